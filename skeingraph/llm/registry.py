@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op8_chat
 from .packing import op3_packing
+from .simhash import op2_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op8_chat": op8_chat,
 }
 ORACLES: dict[str, str] = {}
