@@ -88,10 +88,9 @@ _POWERS: dict[int, np.ndarray] = {}
 def powers(base: np.uint64, n: int) -> np.ndarray:
     have = _POWERS.get(int(base))
     if have is None or len(have) < n:
-        n = max(n, 1 << 16)
-        have = np.full(n, base, dtype=np.uint64)
+        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         have[0] = 1
-        np.cumprod(have, out=have)
+        have = np.cumprod(have)
         _POWERS[int(base)] = have
     return have[:n]
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op8_chat
+from .decontaminate import op10_decontaminate
 from .packing import op3_packing
 from .simhash import op2_simhash
 
@@ -14,5 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op8_chat": op8_chat,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}
