@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op8_chat
 from .decontaminate import op10_decontaminate
+from .language import op4_language
+from .neighbours import op9_neighbours
 from .packing import op3_packing
 from .simhash import op2_simhash
+from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_language": op4_language,
+    "op5_toxicity": op5_toxicity,
     "op8_chat": op8_chat,
+    "op9_neighbours": op9_neighbours,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {}
