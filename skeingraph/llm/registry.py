@@ -12,6 +12,7 @@ from .language import op4_language
 from .neighbours import op9_neighbours
 from .packing import op3_packing
 from .simhash import op2_simhash
+from .substring import op6_substring
 from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
+    "op6_substring": op6_substring,
     "op8_chat": op8_chat,
     "op9_neighbours": op9_neighbours,
     "op10_decontaminate": op10_decontaminate,
