@@ -13,6 +13,7 @@ from .neighbours import op9_neighbours
 from .packing import op3_packing
 from .simhash import op2_simhash
 from .substring import op6_substring
+from .suffixes import op7_suffixes
 from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
     "op6_substring": op6_substring,
+    "op7_suffixes": op7_suffixes,
     "op8_chat": op8_chat,
     "op9_neighbours": op9_neighbours,
     "op10_decontaminate": op10_decontaminate,
