@@ -12,6 +12,7 @@ into a calibrated probability.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship
+from .common import grams, read, ship
 
 #: Labelled texts of each kind used for fitting, and the most characters of each kind.
-TOXIC, ORDINARY, SAMPLE_CHARS = 3000, 6000, 20_000_000
+TOXIC, ORDINARY, SAMPLE_CHARS = 2000, 3000, 10_000_000
 WINDOW, STRIDE, RUN, AROUND = 48, 36, 5, 4
 BASE_BYTES, TAIL_BYTES = 30 << 10, 4 << 10
 STEPS = (1, 2, 3, 4, 6)
@@ -63,29 +64,41 @@ def features(text: str, ordinary, toxic) -> np.ndarray:
     return np.array([*(np.log1p((d >= k).sum()) for k in STEPS), min(d.max(), 10), np.log1p(len(d)), d.mean(), 1.0, (d >= STEPS[1]).sum(), len(d)])
 
 
-def runs(texts: list[str]) -> Counter:
-    """For each run of RUN characters, in how many different surroundings it stands."""
-    seen = set()
+def run_hashes(text: str, length: int) -> np.ndarray:
+    cp = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return grams(cp, length)
+
+
+def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of RUN characters, and in how many different surroundings each stands."""
+    wide, run = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     for t in texts:
         t = t.lower()
-        seen.update(t[i - AROUND : i + RUN + AROUND] for i in range(AROUND, len(t) - RUN - AROUND + 1))
-    return Counter(x[AROUND : AROUND + RUN] for x in seen)
+        w = run_hashes(t, RUN + 2 * AROUND)
+        wide.append(w)
+        run.append(run_hashes(t, RUN)[AROUND : AROUND + len(w)])
+    _, first = np.unique(np.concatenate(wide), return_index=True)
+    return np.unique(np.concatenate(run)[first], return_counts=True)
 
 
 def typical_spans(toxic: list[str], ordinary: list[str], ratio: float = 20.0) -> list[bytes]:
     """Spans of toxic text covered by runs that ordinary text hardly has, commonest last."""
     least = min(10, max(3, len(toxic) // 60))  # surroundings that a run must have
-    t, o = runs(toxic), runs(ordinary)
-    nt, no = max(1, sum(t.values())), max(1, sum(o.values()))
-    mark = {g for g, c in t.items() if c >= least and c / nt > ratio * (o[g] + 0.5) / no}
+    (t, tn), (o, on) = runs(toxic), runs(ordinary)
+    if not len(t):
+        return []
+    at = np.minimum(np.searchsorted(o, t), max(0, len(o) - 1))
+    there = np.where(o[at] == t, on[at], 0) if len(o) else np.zeros(len(t))
+    mark = t[(tn >= least) & (tn / tn.sum() > ratio * (there + 0.5) / max(1, on.sum()))]
     found: Counter = Counter()
     for text in toxic:
         text = text.lower()
-        step = np.zeros(len(text) + 2, np.int32)
-        for i in range(len(text) - RUN + 1):
-            if text[i : i + RUN] in mark:
-                step[i] += 1
-                step[i + RUN] -= 1
+        hit = np.flatnonzero(np.isin(run_hashes(text, RUN), mark))
+        if not len(hit):
+            continue
+        step = np.zeros(len(text) + RUN + 1, np.int32)
+        np.add.at(step, hit, 1)
+        np.add.at(step, hit + RUN, -1)
         inside = np.concatenate([[0], (np.cumsum(step) > 0).astype(np.int8), [0]])
         edge = np.flatnonzero(np.diff(inside))
         found.update(text[a:z].encode() for a, z in zip(edge[::2], edge[1::2], strict=True))
@@ -106,7 +119,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
+def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
+    """share: of toxic texts among all labelled ones, for the sample holds more of them."""
     import zstandard as zs
 
     cut_t, cut_o = 2 * len(toxic) // 3, len(ordinary) // 2
@@ -122,27 +136,29 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     rest_t, rest_o = toxic[cut_t:], ordinary[cut_o:]
     if rest_t and rest_o:
         x = np.stack([features(t, *own)[:-2] for t in [*rest_t, *rest_o]])
-        # the sample holds more toxic texts than the corpus; ordinary ones weigh in at the sampled rate already
         model.weights = logistic(x, np.array([1.0] * len(rest_t) + [0.0] * len(rest_o)))
+        model.weights[-1] += np.log(share / (1 - share) * len(rest_o) / len(rest_t)) if 0 < share < 1 else 0.0
     return model
 
 
-def sample(labelled: DataFrame, toxic: int, most: int) -> list[str]:
-    """At most `most` texts of one kind, by a hash of their ids."""
-    part = labelled.where(F.col("toxic") == toxic).select("text", F.xxhash64("doc_id", F.lit("toxicity")).alias("h")).orderBy("h", "text").limit(most)
+def sample(docs: DataFrame, labels: DataFrame, toxic: int, most: int) -> list[str]:
+    """Texts of at most `most` labelled documents of one kind, by a hash of their ids; the ids are few enough to broadcast."""
+    ids = labels.where(F.col("toxic") == toxic).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(most)
     texts, chars = [], 0
-    for r in part.toLocalIterator():
+    for r in docs.join(F.broadcast(ids), "doc_id").where("text IS NOT NULL").select("text").toLocalIterator():
         if chars >= SAMPLE_CHARS:
             break
         texts.append(r[0])
         chars += len(r[0])
+    texts.sort(key=lambda t: hashlib.sha256(t.encode()).digest())
     return texts
 
 
-def train(labelled: DataFrame) -> Model:
-    """labelled: doc_id, text, toxic (0 or 1); rows with a null among these teach nothing."""
-    kept = labelled.where("text IS NOT NULL AND doc_id IS NOT NULL AND toxic IN (0, 1)")
-    return fit(sample(kept, 1, TOXIC), sample(kept, 0, ORDINARY))
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1); rows with a null among these teach nothing."""
+    counts = dict(labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("toxic").count().collect())
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    return fit(sample(docs, labels, 1, TOXIC), sample(docs, labels, 0, ORDINARY), share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -170,5 +186,4 @@ def held_out() -> F.Column:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic")
-    return score(docs, train(docs.where(~held_out()).join(labels, "doc_id"))).select("doc_id", held_out().alias("held_out"), "score", "predicted", "windows", "toxic_windows")
+    return score(docs, train(docs, read(spark, sf_dir, "labels").where(~held_out()))).select("doc_id", held_out().alias("held_out"), "score", "predicted", "windows", "toxic_windows")
