@@ -11,12 +11,14 @@ from .decontaminate import op10_decontaminate
 from .language import op4_language
 from .neighbours import op9_neighbours
 from .packing import op3_packing
+from .quality import op1_quality
 from .simhash import op2_simhash
 from .substring import op6_substring
 from .suffixes import op7_suffixes
 from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_language": op4_language,
