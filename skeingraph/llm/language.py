@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read, ship, slices, text_of
 
@@ -31,7 +32,6 @@ BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 SAMPLE, SAMPLE_CHARS, EPOCHS, RATE = 1500, 40_000_000, 6, 0.5
 #: Share of rightly labelled texts that the threshold may reject, and the highest threshold.
 LOST, MOST_THRESHOLD = 0.001, 0.4
-SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
 _FOLD = np.arange(0x250, dtype=np.uint16)
 _FOLD[[c for c in range(0x250) if not chr(c).isalpha()]] = 32
@@ -155,14 +155,17 @@ def train(labelled: DataFrame) -> Model:
     return fit(texts, langs)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, rejected for every row, from whole texts.
+def with_language(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """docs (with a text column) and three columns more, named with the prefix: lang_pred, score, rejected.
 
-    A null text or one without a letter is `und` with score 0 and rejected. Repeated rows each get
-    their row; ties go to the language first in the alphabet; an empty table gives no rows.
+    Columns of docs that have these names give way. A null text or one without a letter is `und` with score 0 and
+    rejected. Ties go to the language first in the alphabet; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    added = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
+    kept = [c for c in docs.columns if c not in added]
+    d = docs.select(*kept).withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
@@ -173,9 +176,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             p = m.probabilities(texts)
             best = np.where(letters, p.argmax(axis=1), len(m.langs))
             score = np.where(letters, p.max(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(~letters | (score < m.threshold))], names=["doc_id", "lang_pred", "score", "rejected"])
+            new = [pa.array(names[best], pa.string()), pa.array(score), pa.array(~letters | (score < m.threshold))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*kept, *added])
+
+    schema = T.StructType([*d.schema.fields, *(T.StructField(c, t) for c, t in zip(added, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
+    return d.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, rejected for every row (repeated rows each get theirs), from whole texts."""
+    return with_language(docs.select(F.col("doc_id").cast("long"), "text"), model)
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without those that the model rejects; a null lang is filled with the prediction."""
+    found = with_language(docs, model, "_lid_").where("NOT _lid_rejected")
+    lang = {"lang": F.coalesce("lang", "_lid_lang_pred")} if "lang" in docs.columns else {}
+    return found.withColumns(lang).select(docs.columns)
 
 
 def held_out(column: str = "doc_id") -> F.Column:

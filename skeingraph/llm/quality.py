@@ -221,7 +221,7 @@ def partial_sums(blob: bytes, shard: Shard | None) -> tuple[np.ndarray, ...]:
     rows, has, ids, g, size, doc, c = parts
     weight = c.astype(np.float64)
     log_p = np.repeat(shard.log_p(g), size) if shard is not None and len(g) else np.full(len(doc), np.nan)
-    return rows, has, ids, np.bincount(doc, weight * log_p, n), np.bincount(doc, weight, n).astype(np.int64)
+    return rows, has, ids, np.bincount(doc, weight * log_p, n).astype(np.float64), np.bincount(doc, weight, n).astype(np.int64)
 
 
 def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
