@@ -6,19 +6,19 @@ repeated anchor leads to the windows that picked it, which follow each other: th
 at most 2W-k units. Equal windows lie in passages of one anchor, so passages are compared anchor by
 anchor; equal passages are one, however many documents hold them.
 
-The stages are: anchors of all texts (one scan); anchors that repeat (an aggregation); passages of
+The stages are: anchors of all texts (one scan); anchors that repeat (one exchange); passages of
 the texts that hold such (a join on the row's key and a second look at the text); distinct passages;
 then the operator's own comparison, whose outcome goes back to the texts by the passage's hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import BASE, BASE_INV, LETTER, WBASE, WBASE_INV, U, mix, prefix_sums, ship, slices, sliding_min, span_hash, text_of, word_hashes, words_of
@@ -64,32 +64,41 @@ class Units:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """rid (the row's key: a hash of id and text), id, doc_id, text; equal rows have equal keys and equal outcomes."""
+    """rid (the row's key: a hash of id and text), id, text, row (all columns of docs).
+
+    Rows of equal ids and texts have equal keys and equal outcomes.
+    """
     ship(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return d.select(F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "doc_id", "text")
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    d = d.select(F.col("row.doc_id").cast("long").alias("_d"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"), "row")
+    return d.select(F.xxhash64("_d", "text").alias("rid"), F.coalesce("_d", F.lit(NO_ID)).alias("id"), "text", "row")
 
 
 def anchors(rows: DataFrame, units: Units) -> DataFrame:
-    """rid, id, anchor of every run of windows."""
+    """rid, id, anchor, n: how many runs of windows each row has for each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=units.piece):
             text = text_of(b.column("text"))
             doc, _, _, _, h = units.anchors(*units.values(text, words_of(text) if units.words else None))
-            yield pa.RecordBatch.from_arrays([b.column("rid").take(pa.array(doc)), b.column("id").take(pa.array(doc)), pa.array(h.view(np.int64))], names=["rid", "id", "anchor"])
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.empty(0, np.int64)
+            n = np.diff(np.concatenate([start, [len(h)]]))
+            which = pa.array(doc[start])
+            yield pa.RecordBatch.from_arrays([b.column("rid").take(which), b.column("id").take(which), pa.array(h[start].view(np.int64)), pa.array(n.astype(np.int32))], names=["rid", "id", "anchor", "n"])
 
-    return rows.select("rid", "id", "text").mapInArrow(run, "rid long, id long, anchor long")
+    return rows.select("rid", "id", "text").mapInArrow(run, "rid long, id long, anchor long, n int")
 
 
-def passages(rows: DataFrame, found: DataFrame, repeats: Column, units: Units) -> DataFrame:
+def passages(rows: DataFrame, repeats: Callable[[WindowSpec], Column], units: Units) -> DataFrame:
     """rid, id, at (first unit), windows, anchor, place (of the anchor in it), chash, content of every passage whose anchor repeats.
 
-    found: materialized anchors(rows); repeats: an aggregate that tells whether an anchor repeats.
+    repeats: tells, over all rows of an anchor, whether it repeats.
     content: bytes, or little-endian unsigned 32-bit word hashes; chash: a hash of anchor, place and content.
     """
-    again = found.groupBy("anchor").agg(repeats.alias("again")).where("again").select("anchor")
-    held = found.join(again, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
+    again = anchors(rows, units).withColumn("again", repeats(Window.partitionBy("anchor"))).where("again")
+    held = again.groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = U(0xD6E8FEB86659FD93)
@@ -117,6 +126,6 @@ def passages(rows: DataFrame, found: DataFrame, repeats: Column, units: Units) -
 
 
 def outcomes_by_row(rows: DataFrame, spots: DataFrame) -> DataFrame:
-    """doc_id, text, id and for rows that have any the list of spots (struct); spots: rid and columns."""
+    """row, id and for rows that have any the list of spots (struct); spots: rid and columns."""
     per_row = spots.groupBy("rid").agg(F.collect_list(F.struct(*[c for c in spots.columns if c != "rid"])).alias("spots"))
-    return rows.join(per_row, "rid", "left").select("doc_id", "id", "text", "spots")
+    return rows.select("rid", "id", "row").join(per_row, "rid", "left").select("row", "id", "spots")

@@ -20,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read
-from .passages import Units, anchors, keyed, outcomes_by_row, passages
+from .passages import Units, keyed, outcomes_by_row, passages
 
 WINDOW = 50
-UNITS = Units(words=True, window=WINDOW, gram=8, piece=2 << 20)
+UNITS = Units(words=True, window=WINDOW, gram=8, piece=1 << 19)
 
 
 class Automaton:
@@ -145,10 +146,9 @@ def resolve(distinct: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, id, text, spots (at, windows, least) for every row: where windows may repeat, and their smallest document."""
+    """row, id, spots (at, windows, least) for every row: where windows may repeat, and their smallest document."""
     rows = keyed(docs)
-    found = materialize(anchors(rows, UNITS).distinct(), "anchors")
-    spots = materialize(passages(rows, found, F.min("id") < F.max("id"), UNITS), "passages")
+    spots = materialize(passages(rows, lambda w: F.min("id").over(w) < F.max("id").over(w), UNITS), "passages")
     distinct = spots.groupBy("anchor", "chash", "content").agg(F.min("id").alias("id"))
     least = resolve(distinct, WINDOW)
     hits = spots.select("rid", "id", "at", "windows", "chash").join(least, "chash").where(F.array_min("least") < F.col("id"))
@@ -165,23 +165,16 @@ def removed_words(n: int, own: int, spots: list[dict] | None) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _cleaned(docs: DataFrame, schema: str, row) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = []
-            for i in range(b.num_rows):
-                text = b.column("text")[i].as_py() or ""
-                words = text.encode().split()
-                gone = removed_words(len(words), b.column("id")[i].as_py(), b.column("spots")[i].as_py())
-                kept = words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                cols.append(row(b.column("doc_id")[i].as_py(), text, words, kept))
-            kinds = {"long": pa.int64(), "string": pa.string()}
-            by = list(zip(*cols, strict=True)) if cols else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(by, schema.split(", "), strict=True)], names=names)
-
-    return repeated_windows(docs).mapInArrow(run, schema)
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.StructArray, list[tuple[list[bytes], list[bytes]]]]]:
+    """The rows of each batch, and for each row its words and those that stay."""
+    for b in batches:
+        rows, out = b.column("row"), []
+        for text, own, spots in zip(rows.field("text"), b.column("id").to_pylist(), b.column("spots"), strict=True):
+            words = (text.as_py() or "").encode().split()
+            spots = spots.as_py()
+            gone = removed_words(len(words), own, spots).tolist() if spots else ()
+            out.append((words, [w for w, g in zip(words, gone, strict=True) if not g] if spots else words))
+        yield rows, out
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
@@ -191,7 +184,15 @@ def substring_digest(docs: DataFrame) -> DataFrame:
     nothing. A null doc_id comes after all ids, and rows with one id (repeated rows, or null ids) take nothing from each
     other. An empty table gives no rows.
     """
-    return _cleaned(docs, "doc_id long, n_words long, n_removed long, kept_sha256 string", lambda d, t, w, k: (d, len(w), len(w) - len(k), hashlib.sha256(b" ".join(k)).hexdigest()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, kept in _kept(batches):
+            n = np.array([(len(w), len(w) - len(k)) for w, k in kept], np.int64).reshape(-1, 2)
+            sha = [hashlib.sha256(b" ".join(k)).hexdigest() for _, k in kept]
+            yield pa.RecordBatch.from_arrays([rows.field("doc_id"), pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return repeated_windows(slim).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -200,14 +201,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A text that loses nothing stays as it is, null texts included; of the others the kept words are joined by single
     spaces. Every row and column stays.
     """
-    cut = _cleaned(docs, "doc_id long, text string, kept string", lambda d, t, w, k: (d, t, None if len(w) == len(k) else b" ".join(k).decode()))
-    cut = cut.where("kept IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("rid"), "kept").dropDuplicates(["rid"])
-    out = docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    out = out.join(cut, out["_rid"] == cut["rid"], "left")
-    text = {"text": F.coalesce("kept", "text")}
-    if "n_chars" in docs.columns:
-        text["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(text).select(docs.columns)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, kept in _kept(batches):
+            cut = [None if len(w) == len(k) else b" ".join(k).decode() for w, k in kept]
+            cols = {c: rows.field(c) for c in names}
+            cols["text"] = pc.coalesce(pa.array(cut, cols["text"].type), cols["text"])
+            if "n_chars" in cols:
+                cols["n_chars"] = pc.coalesce(pa.array([None if c is None else len(c) for c in cut], cols["n_chars"].type), cols["n_chars"])
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+
+    return repeated_windows(docs).mapInArrow(run, docs.schema)
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
