@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BASE, BASE_INV, LETTER, materialize, prefix_sums, read, span_hash
-from .passages import Units, anchors, keyed, outcomes_by_row, passages
+from .passages import Units, keyed, outcomes_by_row, passages
 
 WINDOW = 200
-UNITS = Units(words=False, window=WINDOW, gram=24, piece=1 << 20)
+UNITS = Units(words=False, window=WINDOW, gram=24, piece=1 << 18)
 #: Bytes of passages in one batch of a shard.
 BATCH = 1 << 20
 
@@ -127,10 +127,9 @@ def removed_bytes(n: int, spots: list[dict] | None) -> np.ndarray:
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
-    """doc_id, id, text, spots (at, windows, bits) for every row: where 200-byte strings repeat."""
+    """row, id, spots (at, windows, bits) for every row: where 200-byte strings repeat."""
     rows = keyed(docs)
-    found = materialize(anchors(rows, UNITS), "anchors")
-    spots = materialize(passages(rows, found, F.count("*") > 1, UNITS), "passages")
+    spots = materialize(passages(rows, lambda w: F.sum("n").over(w) > 1, UNITS), "passages")
     distinct = spots.groupBy("anchor", "chash", "content").agg(F.count("*").alias("n"))
     hits = spots.select("rid", "at", "windows", "chash").join(resolve(distinct), "chash")
     return outcomes_by_row(rows, hits.select("rid", "at", "windows", "bits"))
@@ -144,15 +143,15 @@ def _cleaned(docs: DataFrame, schema: str, row) -> DataFrame:
         for b in batches:
             rows = []
             for i in range(b.num_rows):
-                data = (b.column("text")[i].as_py() or "").encode()
+                data = (b.column("row").field("text")[i].as_py() or "").encode()
                 gone = removed_bytes(len(data), b.column("spots")[i].as_py())
                 kept = data if not gone.any() else np.frombuffer(data, np.uint8)[~gone].tobytes()
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                rows.append(row(b.column("doc_id")[i].as_py(), data, kept, spans))
+                rows.append(row(b.column("row").field("doc_id")[i].as_py(), data, kept, spans))
             by = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(by, schema.split(", "), strict=True)], names=names)
 
-    return repeated_bytes(docs).mapInArrow(run, schema)
+    return repeated_bytes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def suffix_digest(docs: DataFrame) -> DataFrame:
