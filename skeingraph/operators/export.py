@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import materialized
 from .lookup import numbered
 
 #: DOT attributes by kind.
@@ -127,7 +128,7 @@ def lsif(files: DataFrame, symbols: DataFrame, edges: DataFrame, root: str = "."
     table = parts[0]
     for p in parts[1:]:
         table = table.unionAll(p)
-    table = numbered(table, ["part", "o", "step", "key"], "id")
+    table = materialized(numbered(table, ["part", "o", "step", "key"], "id"), "lsif")  # read three times below
     ids = table.select(F.col("key").alias("_k"), F.col("id").alias("_id"))
     joined = table.join(ids.withColumnsRenamed({"_k": "_ko", "_id": "_out"}), F.col("out_v") == F.col("_ko"), "left").join(ids.withColumnsRenamed({"_k": "_ki", "_id": "_in"}), F.col("in_v") == F.col("_ki"), "left")
     refs = F.when(F.col("_out").isNull(), "").otherwise(F.concat(F.lit(',"outV":'), F.col("_out").cast("string"), F.when(F.col("plural"), F.concat(F.lit(',"inVs":['), F.col("_in").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit(',"inV":'), F.col("_in").cast("string")))))

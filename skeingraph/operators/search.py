@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,12 +171,25 @@ def hybrid(texts: DataFrame, vectors: DataFrame, text_weight: float = 0.4, vecto
 
 
 def hashed_embedding(text: Column, dim: int = 384) -> Column:
-    """A deterministic stand-in for a sentence encoder: signed counts of hashed terms, unit length (zero for no terms)."""
-    terms = tokens(text)
-    at = F.transform(terms, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).cast("int").alias("i"), F.when(F.xxhash64(t, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(at, lambda x: x["i"] == i), F.lit(0.0), lambda s, x: s + x["s"]))
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(raw, lambda x: x / length)).otherwise(raw).cast("array<float>")
+    """A deterministic stand-in for a sentence encoder: signed counts of hashed terms, unit length (zero for no terms).
+
+    Arrow batches: higher-order functions would take the number of terms times dim.
+    """
+    import zlib
+
+    @F.pandas_udf("array<float>")
+    def encode(texts: pd.Series) -> pd.Series:
+        out = []
+        for terms in texts:
+            v = np.zeros(dim, np.float32)
+            for t in terms:
+                h = zlib.crc32(t.encode())
+                v[h % dim] += 1.0 if h >> 31 else -1.0
+            n = np.linalg.norm(v)
+            out.append(v / n if n else v)
+        return pd.Series(out)
+
+    return encode(tokens(text))
 
 
 def symbol_text(name: Column, signature: Column, context: Column | None = None) -> Column:

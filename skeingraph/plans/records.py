@@ -40,20 +40,20 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
 def _duck(body: str) -> str:
     """v: versions with at: an item's place in its version, in the order that the versions list them."""
     v = VERSIONS.replace("{lineitem}", "lineitem").replace("AS STRING)", "AS VARCHAR)")
-    return f"WITH v AS (SELECT *, (ingest_seq, row_number() OVER (PARTITION BY file, ingest_seq ORDER BY pos, symbol, question, summary)) AS at FROM ({v})) {body}"
+    return f"WITH v AS (SELECT *, (ingest_seq, row_number() OVER (PARTITION BY file, ingest_seq ORDER BY pos, symbol, question, summary)) AS spot FROM ({v})) {body}"
 
 
-@query(_duck("SELECT file, symbol, arg_max(summary, at) AS summary FROM v GROUP BY 1, 2"))
+@query(_duck("SELECT file, symbol, arg_max(summary, spot) AS summary FROM v GROUP BY 1, 2"))
 def annotations(spark, d):
     return documents.annotations_of(_versions(spark, d)).select("file", "symbol", "summary")
 
 
-@query(_duck("SELECT file, symbol, question, arg_min(summary, at) AS context FROM v GROUP BY 1, 2, 3"))
+@query(_duck("SELECT file, symbol, question, arg_min(summary, spot) AS context FROM v GROUP BY 1, 2, 3"))
 def unknowns(spark, d):
     return documents.unknowns_of(_versions(spark, d)).select("file", "symbol", "question", "context")
 
 
-@query(_duck(", a AS (SELECT file, symbol, arg_max(summary, at) AS s, min(at) AS place FROM v GROUP BY 1, 2), u AS (SELECT file, symbol, question, min(at) AS place FROM v GROUP BY 1, 2, 3), i AS (SELECT file, count(*) AS insights FROM v GROUP BY 1), m AS (SELECT file, arg_max(summary, at[1]) AS module_summary FROM v WHERE at[2] = 1 AND ingest_seq % 4 = 0 GROUP BY 1), r AS (SELECT file, count(DISTINCT symbol) AS roles FROM v WHERE at[2] = 1 GROUP BY 1) SELECT i.file, coalesce(module_summary, '') AS module_summary, (SELECT md5(string_agg(symbol || s, ',' ORDER BY place)) FROM a WHERE a.file = i.file) AS annotations, (SELECT count(*) FROM u WHERE u.file = i.file) AS unknowns, insights, roles FROM i LEFT JOIN m USING (file) LEFT JOIN r USING (file)").replace("at[1]", "ingest_seq").replace("at[2] = 1", "first_").replace("AS at FROM (", "AS at, row_number() OVER (PARTITION BY file, ingest_seq ORDER BY pos, symbol, question, summary) = 1 AS first_ FROM ("))
+@query(_duck(", a AS (SELECT file, symbol, arg_max(summary, spot) AS s, min(spot) AS place FROM v GROUP BY 1, 2), u AS (SELECT file, symbol, question, min(spot) AS place FROM v GROUP BY 1, 2, 3), i AS (SELECT file, count(*) AS insights FROM v GROUP BY 1), m AS (SELECT file, arg_max(summary, ingest_seq) AS module_summary FROM v WHERE first_ AND ingest_seq % 4 = 0 GROUP BY 1), r AS (SELECT file, count(DISTINCT symbol) AS roles FROM v WHERE first_ GROUP BY 1) SELECT i.file, coalesce(module_summary, '') AS module_summary, (SELECT md5(string_agg(symbol || s, ',' ORDER BY place)) FROM a WHERE a.file = i.file) AS annotations, (SELECT count(*) FROM u WHERE u.file = i.file) AS unknowns, insights, roles FROM i LEFT JOIN m USING (file) LEFT JOIN r USING (file)").replace("AS spot FROM (", "AS spot, row_number() OVER (PARTITION BY file, ingest_seq ORDER BY pos, symbol, question, summary) = 1 AS first_ FROM ("))
 def merged_documents(spark, d):
     m = documents.merge_documents(_versions(spark, d))
     said = F.transform("annotations", lambda a: F.concat(a["symbol"], a["summary"]))
@@ -66,13 +66,13 @@ def coverage(spark, d):
     return documents.coverage(docs, spark.range(40), spark.read.parquet(f"{d}/part.parquet")).select("file_percent", "symbol_percent")
 
 
-@query(oracle(_duck("").removeprefix("WITH v AS").join([", v AS", ", u AS (SELECT file, 'part_' || substr(symbol, 2) AS symbol, question, arg_min(summary, at) AS context FROM v GROUP BY 1, 2, 3), up AS (SELECT target AS name, count(*) AS c FROM calls GROUP BY 1), down AS (SELECT source AS name, count(*) AS c FROM calls GROUP BY 1) SELECT file, symbol, question, coalesce(up.c, 0) + coalesce(down.c, 0) AS reference_count FROM u LEFT JOIN up ON up.name = symbol LEFT JOIN down ON down.name = symbol ORDER BY reference_count DESC, file, symbol, question LIMIT 20"])))
+@query(oracle(_duck("").removeprefix("WITH v AS").join([", v AS", ", u AS (SELECT file, 'part_' || substr(symbol, 2) AS symbol, question, arg_min(summary, spot) AS context FROM v GROUP BY 1, 2, 3), up AS (SELECT target AS name, count(*) AS c FROM calls GROUP BY 1), down AS (SELECT source AS name, count(*) AS c FROM calls GROUP BY 1) SELECT file, symbol, question, coalesce(up.c, 0) + coalesce(down.c, 0) AS reference_count FROM u LEFT JOIN up ON up.name = symbol LEFT JOIN down ON down.name = symbol ORDER BY reference_count DESC, file, symbol, question LIMIT 20"])))
 def unknowns_ranked(spark, d):
     u = documents.unknowns_of(_versions(spark, d)).withColumn("symbol", F.concat(F.lit("part_"), F.substring("symbol", 2, 20)))
     return documents.unknowns_ranked(u, star.edges(spark, d))
 
 
-@query(_duck("SELECT file, symbol, arg_max(summary, at) AS summary FROM v WHERE file = 'file_3' AND symbol = 's4' GROUP BY 1, 2"))
+@query(_duck("SELECT file, symbol, arg_max(summary, spot) AS summary FROM v WHERE file = 'file_3' AND symbol = 's4' GROUP BY 1, 2"))
 def annotation_filter(spark, d):
     return documents.filter_annotations(documents.annotations_of(_versions(spark, d)), "file_3", "s4").select("file", "symbol", "summary")
 
@@ -244,7 +244,7 @@ def main():
 '''
 
 
-@query("SELECT * FROM (VALUES ('Store', 'class', NULL, 6), ('get', 'method', 'Store', 7), ('find', 'method', 'Store', 12), ('main', 'function', NULL, 16), ('LIMIT', 'variable', NULL, 4)) t(name, kind, parent_symbol, start_line)")
+@query("SELECT * FROM (VALUES ('Store', 'class', NULL, 7), ('get', 'method', 'Store', 8), ('find', 'method', 'Store', 13), ('main', 'function', NULL, 17), ('LIMIT', 'variable', NULL, 4)) t(name, kind, parent_symbol, start_line)")
 def parsed_symbols(spark, d):
     sources = spark.createDataFrame([("src/store.py", bytearray(SAMPLE.encode()))], "path string, content binary")
     return project.relations(project.parse(sources))["symbols"].select("name", "kind", "parent_symbol", "start_line")

@@ -171,10 +171,10 @@ class Scanned(Extractor):
             found.append(symbol(name, kind, (*where(at), *where(end)), parent, signature))
         edges = []
         for kind, pattern in self.edges:
-            for m in pattern.finditer(code):
+            for m in pattern.finditer(text if kind == "imports" else code):
+                if kind == "imports" and m[0].strip()[0].isalpha() and code[m.start() + len(m[0]) - len(m[0].lstrip())] == " ":
+                    continue  # in a comment or string
                 for target in re.split(r"\s*,\s*", m["target"].strip()) if kind in ("extends", "implements") else [m["target"].strip()]:
-                    # an import's target may stand in a string, which is blanked in code
-                    target = text[m.start("target") : m.end("target")].strip() if kind == "imports" else target
                     bare = re.sub(r"<.*", "", target).strip("\"'` ;")
                     if not bare or bare.split(".")[0] in self.keywords:
                         continue
@@ -229,7 +229,7 @@ SCRIPT = {
         ("function", r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*(?P<name>[\w$]+)\s*\([^)\n]*\)\s*(?::\s*[^{;\n]+)?\{"),
         ("variable", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=\n]+)?=(?!=)"),
     ],
-    "edges": [("calls", CALL), ("imports", r"\bimport\b[^'\"\n]*['\"]?(?P<target>[^\n;]*)"), ("extends", r"\b(?:class|interface)\s+(?P<source>[\w$]+)[^{\n]*?\bextends\s+(?P<target>[\w$.]+)"), ("implements", r"\bclass\s+(?P<source>[\w$]+)[^{\n]*?\bimplements\s+(?P<target>[\w$.,\s]+)")],
+    "edges": [("calls", CALL), ("imports", r"\bimport\b(?:[^'\"\n;]*\bfrom\s*)?\s*['\"](?P<target>[^'\"\n]+)['\"]"), ("extends", r"\b(?:class|interface)\s+(?P<source>[\w$]+)[^{\n]*?\bextends\s+(?P<target>[\w$.]+)"), ("implements", r"\bclass\s+(?P<source>[\w$]+)[^{\n]*?\bimplements\s+(?P<target>[\w$.,\s]+)")],
     "skip": C_SKIP + r"|`(?:\\.|[^`\\])*`", "keywords": WORDS + " constructor import export",
 }
 GO = {
@@ -237,7 +237,7 @@ GO = {
         ("class", r"^\s*(?:type\s+)?(?P<name>\w+)\s+struct\b"), ("interface", r"^\s*(?:type\s+)?(?P<name>\w+)\s+interface\b"), ("method", r"^func\s*\(\s*\w*\s*\*?(?P<parent>\w+)[^)\n]*\)\s*(?P<name>\w+)"),
         ("function", r"^func\s+(?P<name>\w+)"), ("variable", r"^\s*(?:var|const)\s+(?P<name>\w+)"),
     ],
-    "edges": [("calls", CALL), ("imports", r"^\s*import\s+(?:\w+\s+)?(?P<target>\"?[^\s()\n]+\"?)"), ("type_refs", r"^func[^{\n]*?[(,]\s*\w+\s+\*?(?P<target>[A-Z]\w*)")],
+    "edges": [("calls", CALL), ("imports", r"^[ \t]*(?:import[ \t]+)?(?:[\w.]+[ \t]+)?\"(?P<target>[^\"\n]+)\"[ \t]*$"), ("type_refs", r"^func[^{\n]*?[(,]\s*\w+\s+\*?(?P<target>[A-Z]\w*)")],
     "skip": C_SKIP + r"|`[^`]*`", "keywords": WORDS + " make len append panic struct interface map range go defer select chan",
 }
 RUST = {
@@ -246,7 +246,7 @@ RUST = {
     "skip": r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'", "keywords": WORDS + " fn impl let mut pub use Some Ok Err",
 }
 JAVA = {
-    "symbols": [("class", r"\b(?:class|record|enum)\s+(?P<name>\w+)"), ("interface", r"\binterface\s+(?P<name>\w+)"), ("method", r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized|override|virtual|async|internal)\s+)*[\w<>\[\],.?]+\s+(?P<name>\w+)\s*\([^)\n]*\)\s*(?:throws\s+[\w.,\s]+)?(?:\{|;|=>)")],
+    "symbols": [("class", r"\b(?:class|record|enum)\s+(?P<name>\w+)"), ("interface", r"\binterface\s+(?P<name>\w+)"), ("method", r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized|override|virtual|async|internal)\s+)*(?!(?:return|new|throw|else|await|case)\b)[\w<>\[\],.?]+\s+(?P<name>\w+)\s*\([^)\n]*\)\s*(?:throws\s+[\w.,\s]+)?(?:\{|;|=>)")],
     "edges": [
         ("calls", CALL), ("imports", r"^\s*import\s+(?:static\s+)?(?P<target>[\w.*]+)"), ("extends", r"\b(?:class|interface)\s+(?P<source>\w+)[^{\n]*?\bextends\s+(?P<target>[\w.<>]+)"),
         ("implements", r"\bclass\s+(?P<source>\w+)[^{\n]*?\bimplements\s+(?P<target>[\w.,<>\s]+?)\s*\{"), ("type_refs", r"^\s+(?:(?:public|private|protected|static|final)\s+)*(?P<target>[A-Z]\w*)\s+\w+\s*[(;=]"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import complexity_rank, glob_regex, qualified_name
 from ..operators.graph import resolve_references
-from ..schemas import EDGES, SYMBOLS
+from ..schemas import EDGES, SYMBOLS, columns
 from .languages import Registry, builtin
 
 #: Folders that are never scanned.
@@ -149,10 +149,10 @@ def relations(parsed: DataFrame, resolve: bool = True) -> dict[str, DataFrame]:
     """files, symbols, edges, shapes out of parsed rows; references resolve over all files at once."""
     fine = parsed.where("fatal_error IS NULL")
     s = fine.select(F.col("path").alias("file_path"), F.posexplode("symbols").alias("_n", "s")).select("file_path", "_n", "s.*")
-    symbols = s.withColumn("qualified_name", qualified_name(F.col("parent_symbol"), F.col("name"))).withColumn("id", F.xxhash64("file_path", "_n")).select(*SYMBOLS.fieldNames())
+    symbols = s.withColumn("qualified_name", qualified_name(F.col("parent_symbol"), F.col("name"))).withColumn("id", F.xxhash64("file_path", "_n")).select(*columns(SYMBOLS))
     e = fine.select(F.col("path").alias("source_file"), F.explode("edges").alias("e"))
-    target = {c: F.lit(None).cast(EDGES[c].dataType).alias(c) for c in EDGES.fieldNames() if c.startswith("target_")}
-    edges = e.select("e.source", "e.target", "e.kind", "source_file", *[F.col(f"e.{c}").alias(f"source_{c}") for c in ("start_line", "start_col", "end_line", "end_col")], *target.values()).select(*EDGES.fieldNames())
+    target = {c: F.lit(None).cast(t).alias(c) for c, t in columns(EDGES).items() if c.startswith("target_")}
+    edges = e.select("e.source", "e.target", "e.kind", "source_file", *[F.col(f"e.{c}").alias(f"source_{c}") for c in ("start_line", "start_col", "end_line", "end_col")], *target.values()).select(*columns(EDGES))
     files = parsed.select("path", "language", F.col("content_hash").alias("file_hash"), F.current_timestamp().alias("last_indexed"), F.size("symbols").alias("symbol_count"), F.size("edges").alias("edge_count"), F.size("errors").alias("error_count"), "fatal_error")
     shapes = fine.select("path", F.explode("shapes").alias("x")).select(F.col("path").alias("file"), "x.*")
     return {"files": files, "symbols": symbols, "edges": resolve_references(edges, symbols) if resolve else edges, "shapes": shapes}
