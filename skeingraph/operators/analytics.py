@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import complexity_rank, last_segment, role
-from .lookup import caller_callee_counts, caller_callee_lists
+from .lookup import caller_callee_counts
 
 #: Limits that make a smell.
 GOD_METHODS, LONG_LINES, MANY_PARAMETERS, DEEP, MANY_CALLERS = 20, 50, 5, 4, 10
@@ -56,11 +56,12 @@ def shotgun_surgery(edges: DataFrame) -> DataFrame:
 
 
 def feature_envy(edges: DataFrame) -> DataFrame:
-    """Called symbols that call more names that do not begin with their own than names that do."""
-    lists = caller_callee_lists(edges).where((F.size("callers") > 0) & (F.size("callees") > 0)).withColumnRenamed("name", "symbol")
-    inside = F.size(F.filter("callees", lambda c: F.startswith(c, F.col("symbol"))))
-    rows = lists.withColumn("_in", inside).withColumn("_out", F.size("callees") - F.col("_in")).where("_out > _in")
-    return _odor(rows, "feature_envy", "warning", external="_out", internal="_in")
+    """Called symbols that call more names that do not begin with their own than names that do; counted, never listed."""
+    calls = edges.where("kind = 'calls'").select("source", "target").distinct()
+    inside = F.count_if(F.startswith("target", "source"))
+    counts = calls.groupBy(F.col("source").alias("symbol")).agg(inside.alias("_in"), F.count("*").alias("_all")).withColumn("_out", F.col("_all") - F.col("_in"))
+    called = edges.where("kind = 'calls'").select(F.col("target").alias("symbol"))
+    return _odor(counts.where("_out > _in").join(called, "symbol", "left_semi"), "feature_envy", "warning", external="_out", internal="_in")
 
 
 def smells(shapes: DataFrame, edges: DataFrame) -> DataFrame:

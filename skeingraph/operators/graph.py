@@ -30,8 +30,9 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
 
 
 def edge_pairs(edges: DataFrame, kinds: tuple[str, ...] | None = ("calls",)) -> DataFrame:
+    """source, target, repeats included: a join with a small frontier then needs no shuffle of the edges, and what it finds is made distinct."""
     rows = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
-    return rows.select("source", "target").distinct()
+    return rows.select("source", "target")
 
 
 def first_level(edges: DataFrame, anchors: DataFrame, direction: str, suffix: bool = True) -> DataFrame:
@@ -109,7 +110,7 @@ def impact_of_files(symbols: DataFrame, edges: DataFrame, changed: DataFrame, de
 def neighbourhood(edges: DataFrame, root: str, depth: int = 2, kinds: tuple[str, ...] | None = ("calls",)) -> DataFrame:
     """name, level: every name within depth steps in either direction, at its least distance."""
     pairs = edge_pairs(edges, kinds)
-    both = materialized(pairs.selectExpr("source AS a", "target AS b").unionAll(pairs.selectExpr("target AS a", "source AS b")).distinct(), "pairs")
+    both = materialized(pairs.selectExpr("source AS a", "target AS b").unionAll(pairs.selectExpr("target AS a", "source AS b")), "pairs")
     level = edges.sparkSession.createDataFrame([(root,)], "name string")
     seen = level.withColumn("level", F.lit(0))
     for d in range(1, depth + 1):
@@ -125,7 +126,7 @@ def neighbourhood_graph(symbols: DataFrame, edges: DataFrame, root: str, depth:
     known = first_per_key(symbols.join(reached, symbols["qualified_name"] == reached["name"]).select(*[symbols[c] for c in symbols.columns], "level"), ["qualified_name"], [kind_rank(F.col("kind")), "id"])
     shown = known.orderBy("level", "qualified_name").limit(cap)
     names = shown.select("qualified_name")
-    inside = edge_pairs(edges)
+    inside = edge_pairs(edges).distinct()
     inside = inside.join(names, inside["source"] == names["qualified_name"], "left_semi").join(names, inside["target"] == names["qualified_name"], "left_semi")
     totals = known.agg(F.count("*").alias("total_available")).withColumn("truncated", F.greatest(F.col("total_available") - cap, F.lit(0)))
     return shown, inside, totals
