@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INV, LETTER, WBASE, WBASE_INV, U, mix, prefix_sums, ship, slices, sliding_min, span_hash, text_of, word_hashes, words_of
+from .common import BASE, BASE_INV, LETTER, WBASE, WBASE_INV, U, materialize, mix, prefix_sums, ship, slices, sliding_min, span_hash, text_of, word_hashes, words_of
 
 #: A row without an id comes after all others.
 NO_ID = 2**63 - 1
+#: Passages of one anchor up to which they are compared as a group (some megabytes); of more, each window goes its own way.
+GROUP = 20_000
 
 
 @dataclass(frozen=True)
@@ -129,3 +131,34 @@ def outcomes_by_row(rows: DataFrame, spots: DataFrame) -> DataFrame:
     """row, id and for rows that have any the list of spots (struct); spots: rid and columns."""
     per_row = spots.groupBy("rid").agg(F.collect_list(F.struct(*[c for c in spots.columns if c != "rid"])).alias("spots"))
     return rows.select("rid", "id", "row").join(per_row, "rid", "left").select("row", "id", "spots")
+
+
+def split_hot(spots: DataFrame, distinct: DataFrame, group: int) -> tuple[DataFrame, DataFrame | None]:
+    """distinct passages of anchors with at most `group` passages in all, and the others (None: there are none).
+
+    Anchors are counted in one column of the materialized spots; hot ones are at most the passages over group.
+    """
+    hot = spots.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > group).select("anchor")
+    hot = materialize(hot, "hot")
+    n = hot.count()
+    if not n:
+        return distinct, None
+    side = F.broadcast(hot) if n <= 1_000_000 else hot
+    return distinct.join(side, "anchor", "left_anti").select(distinct.columns), distinct.join(side, "anchor", "left_semi").select(distinct.columns)
+
+
+def windows_of(hot: DataFrame, prints: Callable[[bytes], np.ndarray], weight: str) -> DataFrame:
+    """chash, i, print, and weight of every window of hot passages: rows that no anchor holds together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                each = [prints(c.as_py()) for c in part.column("content")]
+                many = np.array([len(x) for x in each], np.int64)
+                which = pa.array(np.repeat(np.arange(len(each)), many))
+                i = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                cols = [part.column("chash").take(which), pa.array(i.astype(np.int32)), pa.array(np.concatenate(each).view(np.int64)), part.column(weight).take(which)]
+                yield pa.RecordBatch.from_arrays(cols, names=["chash", "i", "print", weight])
+
+    return hot.select("chash", "content", F.col(weight).cast("long")).mapInArrow(run, f"chash long, i int, print long, {weight} long")

@@ -5,8 +5,9 @@ share windows are found by anchors (see `passages`); their distinct passages are
 every shard builds suffix automata over its reference passages, those of the smallest ids first. The
 shard's later passages are streamed through the automaton: it keeps the length of the longest match
 that ends at each word, and where that reaches 50, the state that holds the last 50 words knows the
-smallest document they start in. A passage that is not matched throughout joins the reference. The
-matched windows' documents go back to all texts that hold the passage, and each text loses the maximal
+smallest document they start in. A passage that is not matched throughout joins the reference. An anchor
+that more than GROUP passages hold would make a shard without bound: its passages are resolved window by
+window instead. The matched windows' documents go back to all texts that hold the passage, and each text loses the maximal
 spans covered by windows of smaller documents.
 
 The automata are built where they are used: a whole-corpus broadcast would grow with the corpus, so a
@@ -24,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
-from .passages import Units, keyed, outcomes_by_row, passages
+from .common import grams, materialize, read
+from .passages import GROUP, Units, keyed, outcomes_by_row, passages, split_hot, windows_of
 
 WINDOW = 50
 UNITS = Units(words=True, window=WINDOW, gram=8, piece=1 << 19)
@@ -145,12 +146,27 @@ def resolve(distinct: DataFrame, window: int) -> DataFrame:
     return distinct.repartition("anchor").sortWithinPartitions("anchor", "id", "chash").mapInArrow(run, "chash long, least array<long>")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def resolve_hot(hot: DataFrame) -> DataFrame:
+    """The same as resolve for passages of anchors that too many hold, window by window; a hot window is summed where it is read."""
+
+    def prints(content: bytes) -> np.ndarray:
+        return grams(np.frombuffer(content, "<u4").astype(np.uint64), WINDOW)
+
+    windows = windows_of(hot, prints, "id")
+    first = windows.groupBy("print").agg(F.min("id").alias("first"))
+    each = windows.join(first, "print").groupBy("chash").agg(F.sort_array(F.collect_list(F.struct("i", "first"))).alias("w"))
+    return each.select("chash", F.transform("w", lambda x: x["first"]).alias("least"))
+
+
+def repeated_windows(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """row, id, spots (at, windows, least) for every row: where windows may repeat, and their smallest document."""
     rows = keyed(docs)
     spots = materialize(passages(rows, lambda w: F.min("id").over(w) < F.max("id").over(w), UNITS), "passages")
     distinct = spots.groupBy("anchor", "chash", "content").agg(F.min("id").alias("id"))
+    distinct, hot = split_hot(spots, distinct, group)
     least = resolve(distinct, WINDOW)
+    if hot is not None:
+        least = least.unionAll(resolve_hot(hot))
     hits = spots.select("rid", "id", "at", "windows", "chash").join(least, "chash").where(F.array_min("least") < F.col("id"))
     return outcomes_by_row(rows, hits.select("rid", "at", "windows", "least"))
 
@@ -177,7 +193,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.StructArray, l
         yield rows, out
 
 
-def substring_digest(docs: DataFrame) -> DataFrame:
+def substring_digest(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row.
 
     docs: doc_id, text; other columns are ignored. A null text has no words; texts of under 50 words lose
@@ -192,7 +208,7 @@ def substring_digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.field("doc_id"), pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return repeated_windows(slim).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return repeated_windows(slim, group).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

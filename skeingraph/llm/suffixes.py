@@ -7,7 +7,8 @@ batches: each batch gets a suffix array of its windows, ordered by a 64-bit fing
 times the cost); the array is merge-scanned against every level of the shard's index family, both
 sides learning how often their windows stand elsewhere; then it becomes a level itself, and levels of
 about equal size merge, so that there are never more than the logarithm of the number of batches.
-When all batches are in, each window is known to repeat if any level counts it twice.
+When all batches are in, each window is known to repeat if any level counts it twice. An anchor that more
+than GROUP passages hold would make a shard without bound: its windows are counted one by one instead.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BASE, BASE_INV, LETTER, materialize, prefix_sums, read, span_hash
-from .passages import Units, keyed, outcomes_by_row, passages
+from .passages import GROUP, Units, keyed, outcomes_by_row, passages, split_hot, windows_of
 
 WINDOW = 200
 UNITS = Units(words=False, window=WINDOW, gram=24, piece=1 << 18)
@@ -126,16 +127,38 @@ def removed_bytes(n: int, spots: list[dict] | None) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def repeated_bytes(docs: DataFrame) -> DataFrame:
+def resolve_hot(hot: DataFrame) -> DataFrame:
+    """The same as resolve for passages of anchors that too many hold, window by window; a hot window is summed where it is read."""
+    windows = windows_of(hot, lambda content: window_prints([content])[0], "n")
+    again = windows.groupBy("print").agg(F.sum("n").alias("m")).where("m > 1").select("print")
+    each = windows.join(again, "print").groupBy("chash").agg(F.collect_list("i").alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = []
+            for at in b.column("at").to_pylist():
+                hit = np.zeros(max(at) + 1, bool)
+                hit[at] = True
+                bits.append(np.packbits(hit).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("chash"), pa.array(bits, pa.binary())], names=["chash", "bits"])
+
+    return each.mapInArrow(run, "chash long, bits binary")
+
+
+def repeated_bytes(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """row, id, spots (at, windows, bits) for every row: where 200-byte strings repeat."""
     rows = keyed(docs)
     spots = materialize(passages(rows, lambda w: F.sum("n").over(w) > 1, UNITS), "passages")
     distinct = spots.groupBy("anchor", "chash", "content").agg(F.count("*").alias("n"))
-    hits = spots.select("rid", "at", "windows", "chash").join(resolve(distinct), "chash")
+    distinct, hot = split_hot(spots, distinct, group)
+    bits = resolve(distinct)
+    if hot is not None:
+        bits = bits.unionAll(resolve_hot(hot))
+    hits = spots.select("rid", "at", "windows", "chash").join(bits, "chash")
     return outcomes_by_row(rows, hits.select("rid", "at", "windows", "bits"))
 
 
-def _cleaned(docs: DataFrame, schema: str, row) -> DataFrame:
+def _cleaned(docs: DataFrame, schema: str, row, group: int = GROUP) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
@@ -151,10 +174,10 @@ def _cleaned(docs: DataFrame, schema: str, row) -> DataFrame:
             by = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(by, schema.split(", "), strict=True)], names=names)
 
-    return repeated_bytes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
+    return repeated_bytes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), group).mapInArrow(run, schema)
 
 
-def suffix_digest(docs: DataFrame) -> DataFrame:
+def suffix_digest(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
 
     docs: doc_id, text; other columns are ignored. A null text is empty; texts of under 200 bytes lose
@@ -162,7 +185,7 @@ def suffix_digest(docs: DataFrame) -> DataFrame:
     table gives no rows.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _cleaned(docs, schema, lambda d, data, kept, spans: (d, len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return _cleaned(docs, schema, lambda d, data, kept, spans: (d, len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()), group)
 
 
 def cut_bytes(docs: DataFrame) -> DataFrame:

@@ -195,6 +195,7 @@ def test_substring(docs, none):
         want.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     assert sum(x[2] for x in want) > 1000
     assert sorted(map(tuple, substring_digest(docs).collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, substring_digest(docs, group=3).collect()), key=str) == sorted(want, key=str)  # hot anchors
     cut = remove_repeats(docs)
     assert cut.schema == docs.schema
     rows = cut.collect()
@@ -237,6 +238,7 @@ def test_suffixes(docs, none):
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
     assert sorted(map(tuple, suffix_digest(docs).collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, suffix_digest(docs, group=3).collect()), key=str) == sorted(want, key=str)  # hot anchors
     assert sum(len(r.kept) for r in cut_bytes(docs).collect()) == sum(w[1] - w[2] for w in want)
     assert suffix_digest(none).count() == 0
 
