@@ -60,7 +60,7 @@ def merged_documents(spark, d):
     return m.select("file", "module_summary", F.md5(F.array_join(said, ",")).alias("annotations"), F.size("unknowns").cast("long").alias("unknowns"), F.size("insights").cast("long").alias("insights"), F.size("module_roles").cast("long").alias("roles"))
 
 
-@query(_duck("SELECT round(100.0 * 20 / 40, 1) AS file_percent, round(100.0 * (SELECT count(DISTINCT (file, symbol)) FROM v) / (SELECT count(*) FROM part), 1) AS symbol_percent"))
+@query(_duck("SELECT round(100.0 * (SELECT count(DISTINCT file) FROM v) / 40, 1) AS file_percent, round(100.0 * (SELECT count(DISTINCT (file, symbol)) FROM v) / (SELECT count(*) FROM part), 1) AS symbol_percent"))
 def coverage(spark, d):
     docs = documents.merge_documents(_versions(spark, d)).withColumn("ingest_seq", F.lit(0).cast("long"))
     return documents.coverage(docs, spark.range(40), spark.read.parquet(f"{d}/part.parquet")).select("file_percent", "symbol_percent")
