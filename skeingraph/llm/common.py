@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
+#: Up to so many keys a side of a join is broadcast (32 MB of longs); beyond, it is shuffled.
+BROADCAST_IDS = 4_000_000
 _SHIPPED: set[str] = set()
 _OWN: list[str] = []
 
@@ -58,7 +60,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes the rows once into the shared folder and reads them back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

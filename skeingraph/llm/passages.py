@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INV, LETTER, WBASE, WBASE_INV, U, materialize, mix, prefix_sums, ship, slices, sliding_min, span_hash, text_of, word_hashes, words_of
+from .common import BASE, BASE_INV, BROADCAST_IDS, LETTER, WBASE, WBASE_INV, U, materialize, mix, prefix_sums, ship, slices, sliding_min, span_hash, text_of, word_hashes, words_of
 
 #: A row without an id comes after all others.
 NO_ID = 2**63 - 1
@@ -100,7 +100,7 @@ def passages(rows: DataFrame, repeats: Callable[[WindowSpec], Column], units: Un
     content: bytes, or little-endian unsigned 32-bit word hashes; chash: a hash of anchor, place and content.
     """
     again = anchors(rows, units).withColumn("again", repeats(Window.partitionBy("anchor"))).where("again")
-    held = again.groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
+    held = materialize(again.groupBy("rid").agg(F.collect_set("anchor").alias("anchors")), "held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = U(0xD6E8FEB86659FD93)
@@ -123,14 +123,29 @@ def passages(rows: DataFrame, repeats: Callable[[WindowSpec], Column], units: Un
             )
 
     schema = "rid long, id long, at long, windows int, anchor long, place int, content binary"
-    texts = rows.select("rid", "id", "text").join(held, "rid")
+    texts = with_and_without(rows.select("rid", "id", "text"), held)[0].join(held, "rid")
     return texts.mapInArrow(run, schema).withColumn("chash", F.xxhash64("anchor", "place", "content"))
 
 
+def with_and_without(rows: DataFrame, keyed_table: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """rows whose rid a materialized table has, and the others, so that only the former are shuffled.
+
+    With too many keys to broadcast: all rows, and None.
+    """
+    keys = keyed_table.select("rid")
+    if keys.count() > BROADCAST_IDS:
+        return rows, None
+    return rows.join(F.broadcast(keys), "rid", "left_semi"), rows.join(F.broadcast(keys), "rid", "left_anti")
+
+
 def outcomes_by_row(rows: DataFrame, spots: DataFrame) -> DataFrame:
     """row, id and for rows that have any the list of spots (struct); spots: rid and columns."""
-    per_row = spots.groupBy("rid").agg(F.collect_list(F.struct(*[c for c in spots.columns if c != "rid"])).alias("spots"))
-    return rows.select("rid", "id", "row").join(per_row, "rid", "left").select("row", "id", "spots")
+    per_row = materialize(spots.groupBy("rid").agg(F.collect_list(F.struct(*[c for c in spots.columns if c != "rid"])).alias("spots")), "spots")
+    inside, outside = with_and_without(rows.select("rid", "id", "row"), per_row)
+    found = inside.join(per_row, "rid", "left").select("row", "id", "spots")
+    if outside is None:
+        return found
+    return found.unionAll(outside.select("row", "id", F.lit(None).cast(per_row.schema["spots"].dataType).alias("spots")))
 
 
 def split_hot(spots: DataFrame, distinct: DataFrame, group: int) -> tuple[DataFrame, DataFrame | None]:

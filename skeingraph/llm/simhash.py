@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, materialize, read, ship
+from .common import BROADCAST_IDS, LOWER_ASCII, materialize, read, ship
 from .components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -171,10 +171,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(nodes.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Up to so many ids a side of an anti-join is broadcast (32 MB of longs); beyond, it is shuffled.
-BROADCAST_IDS = 4_000_000
-
-
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is not in ids; ids is a small materialized table or else shuffled."""
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
