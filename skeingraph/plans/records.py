@@ -83,6 +83,50 @@ def insights_without_files(spark, d):
     return documents.without_files(documents.insights_of(_versions(spark, d)), gone).groupBy("file").agg(F.count("*").alias("insights"))
 
 
+@query(_duck("SELECT file, count(DISTINCT symbol) AS annotation_count, count(DISTINCT (symbol, question)) AS unknown_count, count(*) AS insight_count FROM v GROUP BY 1"))
+def document_summaries(spark, d):
+    rows = documents.summaries(documents.merge_documents(_versions(spark, d)))
+    return rows.select("file", *[F.col(c).cast("long").alias(c) for c in ("annotation_count", "unknown_count", "insight_count")])
+
+
+@query(_duck("SELECT DISTINCT file FROM v"))
+def documented_files(spark, d):
+    return documents.documented_files(documents.merge_documents(_versions(spark, d)))
+
+
+@query(_duck("SELECT file, summary AS insight, symbol AS related FROM v ORDER BY file, spot LIMIT 15"))
+def first_insights(spark, d):
+    rows = documents.first_insights(documents.insights_of(_versions(spark, d)), 15)
+    return rows.select("file", "insight", F.col("related_symbols")[0].alias("related"))
+
+
+@query(_duck("SELECT file, symbol FROM (SELECT DISTINCT file, symbol FROM v) WHERE NOT (file = 'file_1' AND symbol = 's2')"))
+def delete_annotation(spark, d):
+    return documents.delete_annotation(documents.annotations_of(_versions(spark, d)), "file_1", "s2").select("file", "symbol")
+
+
+@query("SELECT n_nationkey AS k, coalesce(c.n, 0) AS annotations, coalesce(s.n, 0) AS unknowns FROM nation LEFT JOIN (SELECT c_nationkey, count(*) n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey")
+def documents_from_relations(spark, d):
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    blank = [F.lit("").alias(c) for c in ("kind", "summary", "design_intent", "pitfalls")]
+    a = read("customer").select(F.col("c_nationkey").alias("file"), F.col("c_name").alias("symbol"), *blank)
+    u = read("supplier").select(F.col("s_nationkey").alias("file"), F.col("s_name").alias("symbol"), F.lit("q").alias("question"), F.lit("").alias("context"))
+    i = a.limit(0).select("file", F.col("symbol").alias("insight"), F.array("kind").alias("related_symbols"))
+    m = read("nation").select(F.col("n_nationkey").alias("file"), F.col("n_name").alias("module_summary"))
+    rows = documents.from_relations(a, u, i, m)
+    return rows.select(F.col("file").alias("k"), *[F.coalesce(F.size(F.nullif(c, F.array().cast(rows.schema[c].dataType))), F.lit(0)).cast("long").alias(c) for c in ("annotations", "unknowns")])
+
+
+@query(oracle(_duck("").removeprefix("WITH v AS").join([", v AS", ", r AS (SELECT DISTINCT file, arg_max(question, ingest_seq) OVER (PARTITION BY file, first_symbol) AS role, 'part_' || substr(first_symbol, 2) AS qualified_name FROM (SELECT *, first(symbol) OVER (PARTITION BY file, ingest_seq ORDER BY spot) AS first_symbol, first(question) OVER (PARTITION BY file, ingest_seq ORDER BY spot) AS q FROM v) WHERE symbol = first_symbol AND question = q) SELECT s.qualified_name, count(role) AS roles FROM symbols s LEFT JOIN r USING (qualified_name) WHERE kind = 'class' GROUP BY 1"])))
+def node_details(spark, d):
+    docs = documents.merge_documents(_versions(spark, d))
+    named = F.transform_keys("module_roles", lambda k, _: F.concat(F.lit("part_"), F.substring(k, 2, 20)))
+    s = star.symbols(spark, d).where("kind = 'class'").select("qualified_name", "name")
+    pairs = s.join(docs.select(F.col("file").alias("file_path"), F.explode(F.map_keys(named)).alias("qualified_name")), "qualified_name", "left")
+    found = documents.node_details(pairs, docs.withColumn("module_roles", named))
+    return found.groupBy("qualified_name").agg(F.count("role").alias("roles"))
+
+
 @query("SELECT c_nationkey AS k, arg_max(c_name, c_custkey) AS last, arg_min(c_name, c_custkey) AS first FROM customer GROUP BY 1")
 def upserts(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("k"), "c_custkey", "c_name")

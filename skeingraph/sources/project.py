@@ -177,3 +177,43 @@ def analysis_documents(rel: dict[str, DataFrame], parsed: DataFrame) -> DataFram
     base = parsed.where("fatal_error IS NULL").select(F.col("path").alias("file"), F.col("content_hash").alias("file_hash"), F.lit("auto-analysis").alias("source"), F.col("summary").alias("module_summary"), "raw")
     out = base.join(c, "file", "left").join(odors, "file", "left").join(r, "file", "left")
     return out.withColumn("metrics", F.struct("complexity", "raw")).drop("complexity", "raw")
+
+
+def analyze_with(rel: dict[str, DataFrame], registry: Registry) -> DataFrame:
+    """file, analyzer, result (JSON) of every registered analyzer over each file's symbols with their callers and callees.
+
+    A file's symbols are one group, as large as the file; an analyzer that fails leaves its error as the result.
+    """
+    import json
+
+    from ..operators.lookup import caller_callee_lists
+
+    lists = caller_callee_lists(rel["edges"])
+    rows = rel["symbols"].select("file_path", "qualified_name", "name", "kind", "signature")
+    rows = rows.join(lists.withColumnRenamed("name", "_n"), F.col("name") == F.col("_n"), "left").drop("_n")
+    analyzers = registry.analyzers
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        symbols = group[["qualified_name", "name", "kind", "signature"]].to_dict("records")
+        callers, callees = ({s: list(x) if x is not None else [] for s, x in zip(group["qualified_name"], group[c], strict=True)} for c in ("callers", "callees"))
+        out = []
+        for name, a in sorted(analyzers.items()):
+            try:
+                result = json.dumps(a.analyze(symbols, callers, callees, ""), default=str)
+            except Exception as e:  # a plug-in may fail in any way
+                result = json.dumps({"error": f"{type(e).__name__}: {e}"})
+            out.append((group["file_path"].iloc[0], name, result))
+        return pd.DataFrame(out, columns=["file", "analyzer", "result"])
+
+    return rows.groupBy("file_path").applyInPandas(run, "file string, analyzer string, result string")
+
+
+def history(root: str, name: str, path: str, limit: int = 5, seconds: int = 10) -> list[str]:
+    """Lines of the version history of a function in a file, without diff headers; empty where there is none or git fails."""
+    import subprocess
+
+    try:
+        said = subprocess.run(["git", "-C", root, "log", f"-L:{name}:{path}", f"-n{limit}"], capture_output=True, text=True, timeout=seconds)
+    except (OSError, subprocess.TimeoutExpired):
+        return []
+    return [] if said.returncode else [x for x in said.stdout.splitlines() if not x.startswith(("diff --git", "@@"))]

@@ -46,3 +46,39 @@ def test_table_functions(spark):
     spark.createDataFrame([("a.py", bytearray(b"def f():\n    g()\n")), ("x.unknown", bytearray(b"?")), ("b.py", None)], "path string, content binary").createOrReplaceTempView("sources")
     assert [r.name for r in spark.sql("SELECT path, s.name FROM sources, LATERAL source_symbols(path, content) s").collect()] == ["f"]
     assert [(r.source, r.target) for r in spark.sql("SELECT e.* FROM sources, LATERAL source_edges(path, content) e").collect()] == [("f", "g")]
+
+
+def test_analyzers_run_per_file(spark):
+    from skeingraph.sources.languages import Analyzer, builtin
+
+    class Count(Analyzer):
+        name = "count"
+
+        def analyze(self, symbols, callers, callees, source):
+            return {"n": len(symbols), "called": sum(map(len, callers.values()))}
+
+    class Bad(Analyzer):
+        name = "bad"
+
+        def analyze(self, symbols, callers, callees, source):
+            raise RuntimeError("no")
+
+    r = builtin()
+    r.register(Count())
+    r.register(Bad())
+    sources = spark.createDataFrame([("a.py", bytearray(b"def f():\n    g()\n\ndef g():\n    pass\n"))], "path string, content binary")
+    got = {x.analyzer: json.loads(x.result) for x in project.analyze_with(project.relations(project.parse(sources)), r).collect()}
+    assert got == {"count": {"n": 2, "called": 1}, "bad": {"error": "RuntimeError: no"}}
+
+
+def test_config(tmp_path, monkeypatch):
+    from skeingraph.config import load
+
+    (tmp_path / "skeingraph.toml").write_text('git_log_count = 7\nother = 1\nsearch_limit = 3\n')
+    monkeypatch.setenv("SKEINGRAPH_SEARCH_LIMIT", "9")
+    c = load(str(tmp_path))
+    assert (c.git_log_count, c.search_limit, c.max_depth) == (7, 9, 5)
+
+
+def test_history_of_nothing(tmp_path):
+    assert project.history(str(tmp_path), "f", "a.py") == []
