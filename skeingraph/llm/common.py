@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
-#: Up to so many keys a side of a join is broadcast (32 MB of longs); beyond, it is shuffled.
-BROADCAST_IDS = 4_000_000
+#: Up to so many keys a side of a join is broadcast (about 200 MB as Spark hashes them); beyond, it is shuffled.
+BROADCAST_IDS = 1_000_000
 _SHIPPED: set[str] = set()
 _OWN: list[str] = []
 
@@ -60,7 +60,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes the rows once into the shared folder and reads them back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -185,7 +185,7 @@ def text_of(column: pa.Array) -> Text:
     return Text(data, at - at[0])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about limit bytes of text (a longer text stands alone)."""
     for b in batches:
         if b.num_rows == 0:
