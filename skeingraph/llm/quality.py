@@ -24,18 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U, materialize, read, ship
-from .simhash import BROADCAST_IDS
 
-SHARDS, BLOCK_DOCS, BLOCK_CHARS, GROUP_DOCS = 8, 2048, 8_000_000, 131_072
+SHARDS, BLOCK_DOCS, BLOCK_CHARS, GROUP_DOCS = 8, 2048, 4_000_000, 49_152
 #: Quantile of held-out trusted documents' log perplexities that is the threshold, and the histogram's step.
 QUANTILE, STEP = 0.995, 0.002
 #: Share of trusted documents kept from training for the thresholds, in fifths; and what a threshold adds to the quantile.
 HELD_FIFTHS, SLACK = 1, 0.15
+#: Up to so many ids of trusted documents are sent to the tasks, eight bytes each; beyond, texts and ids are joined.
+TRUSTED_IDS = 16_000_000
 UNKNOWN = "und"
 MASKS = {4: -1, 3: (1 << 48) - 1, 2: (1 << 32) - 1, 1: (1 << 16) - 1}
 OUT = "row long, doc_id long, lang string, log_p double, n long"
@@ -55,8 +56,8 @@ def _shard(unit: Column) -> Column:
     return F.shiftright((unit * F.lit(40503)).bitwiseAND(F.lit(65535)), 13).cast("int")
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """lang, g, c over all texts; texts: lang, text."""
+def count_grams(texts: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
+    """lang, g, c over all texts; texts: lang, text, and with wanted (a sorted array of ids) doc_id, of which only those count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -76,6 +77,10 @@ def count_grams(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "g", "c"])
 
         for b in batches:
+            if wanted is not None and b.num_rows:
+                ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(wanted.value, ids), max(0, len(wanted.value) - 1))
+                b = b.filter(pa.array(wanted.value[at] == ids if len(wanted.value) else np.zeros(b.num_rows, bool)))
             parts: dict[str, list[np.ndarray]] = {}
             held = 0
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
@@ -93,7 +98,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         for k in list(sums):
             yield out(k)
 
-    return texts.where("text <> ''").select("lang", "text").mapInArrow(run, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    return texts.where("text <> ''").select("lang", "text", *(["doc_id"] if wanted is not None else [])).mapInArrow(run, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
 def _ctx(g: str = "g") -> Column:
@@ -106,7 +111,8 @@ def _discounted(order: DataFrame) -> tuple[DataFrame, DataFrame]:
     y = "CASE WHEN n1 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5D END"
     steps = [f"CASE WHEN n{i} > 0 AND n{i + 1} > 0 THEN greatest(0.05D, {i} - {i + 1} * ({y}) * n{i + 1} / n{i}) ELSE {i} * 0.5D END AS d{i}" for i in (1, 2, 3)]
     discounts = order.groupBy("lang").agg(*n).selectExpr("lang", *steps)
-    d = order.join(discounts, "lang").withColumn("ctx", _ctx()).withColumn("d", F.expr("CASE WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END"))
+    languages = materialize(discounts, "discounts")
+    d = order.join(F.broadcast(languages) if languages.count() <= 100_000 else languages, "lang").withColumn("ctx", _ctx()).withColumn("d", F.expr("CASE WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END"))
     contexts = d.groupBy("lang", "ctx").agg(F.sum("c").alias("t"), F.sum("d").alias("saved")).select("lang", "ctx", "t", (F.col("saved") / F.col("t")).alias("weight"))
     return d.join(contexts, ["lang", "ctx"]).select("lang", "g", "ctx", ((F.col("c") - F.col("d")) / F.col("t")).alias("own"), "weight"), contexts.select("lang", "ctx", "weight")
 
@@ -265,12 +271,15 @@ def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = materialize(trusted_ids.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct(), "trusted")
-    few = ids.count() <= BROADCAST_IDS
-    side = F.broadcast(ids) if few else ids
     held = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(5)) < HELD_FIFTHS
-    counts = materialize(count_grams(d.join(side, "doc_id", "left_semi").where(~held)), "grams")
+    if ids.count() <= TRUSTED_IDS:  # then they go to the tasks as they are, and no text is shuffled
+        known = np.sort(ids.where(~held).toPandas()["doc_id"].to_numpy(np.int64))
+        grams = count_grams(d.where("doc_id IS NOT NULL"), docs.sparkSession.sparkContext.broadcast(known))
+    else:
+        grams = count_grams(d.join(ids, "doc_id", "left_semi").where(~held))
+    counts = materialize(grams, "grams")
     scored = materialize(score(d, counts).withColumn("x", F.when((F.col("n") > 0) & ~F.isnan("log_p"), -F.col("log_p") / F.col("n"))), "scores")
-    limits = materialize(thresholds(scored.join(side, "doc_id", "left_semi").where(held).select("lang", "x")), "thresholds")
+    limits = materialize(thresholds(scored.join(ids, "doc_id", "left_semi").where(held).select("lang", "x")), "thresholds")
     per_lang = limits.where("lang IS NOT NULL")
     all_ = limits.where("lang IS NULL").first() or (None, None, None, None)
     out = scored.join(F.broadcast(per_lang) if per_lang.count() <= 100_000 else per_lang, "lang", "left")
