@@ -3,8 +3,9 @@
 A bounded sample of vectors serves as pivots. Every vector is represented by its nearest pivots in
 order, and posted under each of them with its place in that order. A query walks the posting lists of
 its own nearest pivots and adds up, for each vector met, how far the places lie apart (Spearman's
-footrule over the shared pivots, absent ones counting as last); the vectors with the least footrule
-are reranked by the exact inner product in double precision.
+footrule over the shared pivots, absent ones counting as last); the vectors with the least footrule,
+and all that tie with the last of them, are reranked by the exact inner product in double precision.
+Equal vectors are one entry with a list of ids, so copies take no other vector's place.
 
 The index is dealt into blocks of vectors, each with posting lists of its own. The query set goes to
 every block in its turn: a block yields its best for each query, and those are merged. Nothing but the
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import read, ship
 
-#: Pivots; how many a vector is posted under; vectors reranked per block; about how many vectors a block holds.
+#: Pivots; how many a vector is posted under; distinct vectors reranked per block (and ties); about how many vectors a block holds.
 PIVOTS, ORDER, CANDIDATES, BLOCK = 256, 40, 1800, 8192
 EVERY, NEAREST = 20, 20
 HIT = "query_id long, vec_id long, score double"
@@ -53,37 +54,44 @@ def orders(v: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
 
 
 class Block:
-    """Posting lists of one block's vectors."""
+    """Posting lists of one block's distinct vectors, each with the ids that hold it, smallest first."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, pivots: np.ndarray):
-        self.ids, self.v, self.pivots = ids, v, pivots
+        v = np.ascontiguousarray(v + 0.0)  # no negative zeros: equal vectors have equal bytes
+        _, first, group = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        by = np.lexsort((ids, group))
+        self.ids, self.start = ids[by], np.searchsorted(group[by], np.arange(len(first) + 1))
+        self.v, self.pivots = v[first], pivots
         self.n = min(ORDER, len(pivots))
-        own = orders(v, pivots, self.n)
+        own = orders(self.v, pivots, self.n)
         flat = own.ravel()
         by = np.argsort(flat, kind="stable")
         self.at = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
         self.who, self.place = (by // self.n).astype(np.int32), (by % self.n).astype(np.int16)
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, candidates: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        few = len(self.ids) <= candidates
+        few = len(self.v) <= candidates
         wanted = None if few else orders(q, self.pivots, self.n)
         for i in range(len(q)):
             if few:
-                found = np.arange(len(self.ids))
+                found = np.arange(len(self.v))
             else:
-                shared = np.zeros(len(self.ids), np.int32)  # footrule saved against sharing no pivot
+                shared = np.zeros(len(self.v), np.int32)  # footrule saved against sharing no pivot
                 for place, p in enumerate(wanted[i]):
                     a, z = self.at[p], self.at[p + 1]
                     saved = 2 * self.n - place - self.place[a:z] - np.abs(self.place[a:z] - place)
                     shared[self.who[a:z]] += saved
-                found = np.argpartition(-shared, candidates)[:candidates]
-            found = found[self.ids[found] != query_ids[i]]
+                cut = -np.partition(-shared, candidates - 1)[candidates - 1]
+                found = np.flatnonzero(shared >= cut)  # all that tie with the last go on
             score = (self.v[found] * q[i]).sum(axis=1)
-            if len(found) > k:  # ties with the last may go on by id
-                last = -np.partition(-score, k - 1)[k - 1]
+            if len(found) > k + 1:  # one may hold the query's own id alone; ties with the last go on by id
+                last = -np.partition(-score, k)[k]
                 found, score = found[score >= last], score[score >= last]
-            best = np.lexsort((self.ids[found], -score))[:k]
-            yield np.full(len(best), query_ids[i]), self.ids[found[best]], score[best]
+            ids = np.concatenate([self.ids[self.start[g] : self.start[g + 1]] for g in found])
+            score = np.repeat(score, self.start[found + 1] - self.start[found])
+            ids, score = ids[ids != query_ids[i]], score[ids != query_ids[i]]
+            best = np.lexsort((ids, -score))[:k]
+            yield np.full(len(best), query_ids[i]), ids[best], score[best]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, candidates: int = CANDIDATES, block: int = BLOCK) -> DataFrame:

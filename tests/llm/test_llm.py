@@ -310,6 +310,31 @@ def test_neighbours(spark):
     assert nearest(df.limit(0), queries).count() == nearest(df, df.limit(0)).count() == 0
 
 
+def test_neighbours_of_copies():
+    """A third of a block are copies of one vector, another part has one direction: more of each than are reranked."""
+    from skeingraph.llm.neighbours import Block
+
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((3000, 16)).round(3)
+    v[rng.choice(3000, 1000, replace=False)] = v[0]
+    line = np.flatnonzero((v != v[0]).any(axis=1))[:600]
+    v[line] = v[line[0]] * rng.integers(512, 1025, (600, 1)) / 1024
+    ids = rng.permutation(np.arange(3000)).astype(np.int64)
+    pivots = rng.standard_normal((256, 16))
+    pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+    block = Block(ids, v, pivots)
+    same = np.flatnonzero((v == v[0]).all(axis=1))
+    asked = np.concatenate([same[:20], line[:20]])
+    exact = (v[:, None, :] * v[asked]).sum(axis=2)
+    for j, (q, found, score) in enumerate(block.search(ids[asked], v[asked], 300, 20)):
+        order = [i for i in np.lexsort((ids, -exact[:, j])) if ids[i] != ids[asked[j]]][:20]
+        assert q.tolist() == [ids[asked[j]]] * 20
+        alike = same if j < 20 else line  # their footrule is equal: none may be cut
+        assert {ids[i] for i in order if i in alike} <= set(found.tolist()) and len(set(order) & set(alike)) >= 10
+    few = Block(np.array([4, 4, 9, 2]), np.array([[1.0, 0.0], [1.0, -0.0], [1.0, 0.0], [0.0, 1.0]]), np.eye(2))
+    assert [x.tolist() for x in next(few.search(np.array([9]), np.array([[1.0, 0.0]]), 300, 3))[1:]] == [[4, 4, 2], [1.0, 1.0, 0.0]]
+
+
 def few_last(v: np.ndarray) -> int:
     return int(min(range(1, 5), key=lambda i: v[i] @ v[0]))
 
