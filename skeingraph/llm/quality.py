@@ -14,12 +14,13 @@ corpus. Eight partial sums per document make its perplexity.
 
 A document is kept if its perplexity is at most its language's threshold: a high quantile of the
 perplexities of trusted documents that the model has not seen (a fifth of them, by a hash of their ids),
-taken from a fine histogram over all of those, and a little slack.
+taken from a fine histogram over all of those; where they are too few to reach it, by their mean and spread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from .common import U, materialize, read, ship
 SHARDS, BLOCK_DOCS, BLOCK_CHARS, GROUP_DOCS = 8, 2048, 4_000_000, 49_152
 #: Quantile of held-out trusted documents' log perplexities that is the threshold, and the histogram's step.
 QUANTILE, STEP = 0.995, 0.002
-#: Share of trusted documents kept from training for the thresholds, in fifths; and what a threshold adds to the quantile.
-HELD_FIFTHS, SLACK = 1, 0.15
+#: Share of trusted documents kept from training for the thresholds, in fifths.
+HELD_FIFTHS = 1
 #: Up to so many ids of trusted documents are sent to the tasks, eight bytes each; beyond, texts and ids are joined.
 TRUSTED_IDS = 16_000_000
 UNKNOWN = "und"
@@ -251,13 +252,22 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def thresholds(trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """lang, threshold, low, high (log perplexities): the quantile and the two thirds' bounds; trusted: lang, x. An extra null lang holds all."""
+    """lang, threshold, low, high (log perplexities): the quantile and the two thirds' bounds; trusted: lang, x. An extra null lang holds all.
+
+    Fewer than 1 / (1 - quantile) documents do not reach as far as the quantile: then it is that of a normal distribution of
+    their mean and spread, and their highest at least.
+    """
     bins = trusted.where("x IS NOT NULL").withColumn("bin", F.ceil(F.col("x") / STEP)).groupBy(F.col("lang"), "bin").agg(F.count("*").alias("m"))
     bins = bins.unionAll(bins.groupBy("bin").agg(F.sum("m").alias("m")).select(F.lit(None).cast("string").alias("lang"), "bin", "m"))
     order = Window.partitionBy("lang").orderBy("bin")
     share = bins.withColumn("share", F.sum("m").over(order) / F.sum("m").over(Window.partitionBy("lang")))
     at = lambda q, name: F.min(F.when(F.col("share") >= q - 1e-12, F.col("bin") * STEP)).alias(name)
-    return share.groupBy("lang").agg((at(quantile, "threshold") + SLACK).alias("threshold"), at(1 / 3, "low"), at(2 / 3, "high"))
+    mean = F.sum(F.col("m") * F.col("bin")) / F.sum("m")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("m") * F.col("bin") ** 2) / F.sum("m") - mean**2))
+    normal = (mean + NormalDist().inv_cdf(quantile) * spread) * STEP
+    found = share.groupBy("lang").agg(at(quantile, "reached"), F.sum("m").alias("n"), normal.alias("normal"), at(1 / 3, "low"), at(2 / 3, "high"))
+    threshold = F.when(F.col("n") * (1 - quantile) < 1 - 1e-9, F.greatest("reached", "normal")).otherwise(F.col("reached"))
+    return found.select("lang", threshold.alias("threshold"), "low", "high")
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:

@@ -484,6 +484,17 @@ def test_quality(spark, none):
     assert all(r.keep for r in classify(df.where("length(text) > 0"), trusted.limit(0)).collect())
 
 
+def test_quality_threshold_is_the_quantile(spark):
+    from skeingraph.llm.quality import STEP, thresholds
+
+    rows = [("en", i / 1000) for i in range(1, 1001)] + [("de", 2 + i / 500) for i in range(1, 1001)]
+    got = {r.lang: r.threshold for r in thresholds(spark.createDataFrame(rows, "lang string, x double"), 0.9).collect()}
+    for lang, quantile in (("en", 0.9), ("de", 3.8), (None, 3.6)):
+        assert quantile - 1e-9 <= got[lang] <= quantile + STEP
+    few = thresholds(spark.createDataFrame([("en", 1.0 + 0.1 * (-1) ** i) for i in range(20)], "lang string, x double")).where("lang = 'en'").first()
+    assert abs(few.threshold - 1.2576) < 0.005  # mean 1, spread 0.1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
