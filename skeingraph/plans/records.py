@@ -357,7 +357,7 @@ def json_lines(spark, d):
 
 @query()
 def json_document(spark, d):
-    return export.json_document(star.symbols(spark, d).where("kind <> 'method'"), star.edges(spark, d), 20)
+    return export.json_document(star.symbols(spark, d), star.edges(spark, d))
 
 
 def _placed(spark, d):

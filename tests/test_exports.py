@@ -21,3 +21,22 @@ def test_lsif_has_every_file(spark):
     linked = sum(s.qualified_name in targets for s in symbols)
     assert len(lines) == 2 + 2 * len(files) + 7 * len(symbols) + 3 * len(calls) + len(targets) + linked
     assert [x["id"] for x in lines] == list(range(1, len(lines) + 1))
+
+
+def test_json_document_has_every_kind_and_fifty_files(spark):
+    symbols = star.symbols(spark, SF).collect()
+    few = set(sorted({s.file_path for s in symbols})[:50])
+    document = json.loads(registry.queries()["json_document"](spark, SF).first().json)
+    assert len({n["file"] for n in document["nodes"]}) == len(few) > 20
+    assert sorted(n["id"] for n in document["nodes"]) == sorted(s.qualified_name for s in symbols if s.file_path in few)
+    assert {n["kind"] for n in document["nodes"]} == {s.kind for s in symbols if s.file_path in few} >= {"method"}
+
+
+def test_encoded_search_ranks_every_symbol(spark, monkeypatch):
+    from skeingraph.operators import search
+
+    seen = []
+    ranked = search.vector_search
+    monkeypatch.setattr(search, "vector_search", lambda stored, *a, **b: seen.append(stored) or ranked(stored, *a, **b))
+    assert registry.queries()["encoded_search"](spark, SF).count() == 10
+    assert seen[0].count() == star.symbols(spark, SF).count()
