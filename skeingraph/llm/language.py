@@ -30,8 +30,8 @@ UNKNOWN = "und"
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 #: Labelled texts of a language used for fitting, and the most characters of all of them together.
 SAMPLE, SAMPLE_CHARS, EPOCHS, RATE = 1500, 40_000_000, 6, 0.5
-#: Share of rightly labelled texts that the threshold may reject, and the highest threshold.
-LOST, MOST_THRESHOLD = 0.001, 0.4
+#: Share of rightly labelled texts that the threshold may reject.
+LOST = 0.001
 
 _FOLD = np.arange(0x250, dtype=np.uint16)
 _FOLD[[c for c in range(0x250) if not chr(c).isalpha()]] = 32
@@ -126,7 +126,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[held]])
         model.temperature = float(best)
         if len(right):
-            model.threshold = float(min(MOST_THRESHOLD, right[int(LOST * len(right))]))
+            model.threshold = float(right[int(LOST * len(right))])
     return model
 
 

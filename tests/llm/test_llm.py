@@ -464,6 +464,20 @@ def test_kneser_ney(spark):
             assert r.n == len(probe[r.doc_id]) and abs(r.log_p - sum(np.log(p(x[i : i + 4])) for i in range(r.n))) < 1e-6
 
 
+def test_language_rejects_even_texts():
+    """Most texts of both languages by halves are less sure than the held-back texts, whose quantile is the threshold."""
+    import pyarrow as pa
+
+    from skeingraph.llm.language import fit
+
+    rng = random.Random(7)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
+    m = fit([make("aeiou" if i % 2 else "kstrz") for i in range(200)], ["aa" if i % 2 else "bb" for i in range(200)])
+    sure = m.probabilities(pa.array([make("aeiou") for _ in range(50)])).max(axis=1)
+    mixed = m.probabilities(pa.array([make("aeioukstrz") for _ in range(50)])).max(axis=1)
+    assert 0.5 < m.threshold <= 1 and (mixed < m.threshold).mean() > 0.5 and (sure >= m.threshold).mean() > 0.9
+
+
 def test_quality(spark, none):
     from skeingraph.llm.quality import classify
 
