@@ -18,11 +18,14 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 #: Up to so many keys a side of a join is broadcast (about 200 MB as Spark hashes them); beyond, it is shuffled.
 BROADCAST_IDS = 1_000_000
+#: A key that more rows than this hold may be hot; there are never more than HOT_KEYS hot ones.
+HOT_ROWS, HOT_KEYS = 256, 20_000
 _SHIPPED: set[str] = set()
 _OWN: list[str] = []
 
@@ -46,10 +49,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, a laptop), a temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one, on a single machine only (tests, a laptop)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="skein-shared"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -72,8 +77,30 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def small(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """A materialized table with the hint to broadcast it, if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def attach(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """left inner-joined with right, a materialized table of one row per key, without any task holding a hot key.
+
+    rows: the column of right that tells how many rows of left have the key; total: their sum. Keys of over
+    max(HOT_ROWS, total / HOT_KEYS) rows are at most HOT_KEYS, so they are broadcast and their rows of left stay where
+    they are; the others are joined by a shuffle. The result has left's columns and right's others.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    names = [*left.columns, *(c for c in right.columns if c not in keys and c not in left.columns)]
+    hot = right.where(F.col(rows) > most)
+    if hot.isEmpty():
+        return left.join(right, keys).select(names)
+    cold = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(right.where(F.col(rows) <= most), keys)
+    return left.join(F.broadcast(hot), keys).select(names).unionAll(cold.select(names))
+
+
+def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two longs that rows share only if their ids and texts are equal: the id (without one, a hash of the text) and a hash of the text."""
+    return F.coalesce(doc_id, F.xxhash64(text, F.lit("no id"))), F.xxhash64(text)
 
 
 # ---------------------------------------------------------------- hashing
@@ -185,6 +212,11 @@ def text_of(column: pa.Array) -> Text:
     return Text(data, at - at[0])
 
 
+def joined(parts: list[bytes]) -> Text:
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return Text(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(sizes)]))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about limit bytes of text (a longer text stands alone)."""
     for b in batches:

@@ -1,17 +1,18 @@
 """Substring deduplication across documents by suffix automata.
 
 A window of 50 words goes if the same words also start in a document of a smaller id. Texts that may
-share windows are found by anchors (see `passages`); their distinct passages are dealt into shards, and
-every shard builds suffix automata over its reference passages, those of the smallest ids first. The
-shard's later passages are streamed through the automaton: it keeps the length of the longest match
-that ends at each word, and where that reaches 50, the state that holds the last 50 words knows the
-smallest document they start in. A passage that is not matched throughout joins the reference. An anchor
-that more than GROUP passages hold would make a shard without bound: its passages are resolved window by
-window instead. The matched windows' documents go back to all texts that hold the passage, and each text loses the maximal
-spans covered by windows of smaller documents.
-
-The automata are built where they are used: a whole-corpus broadcast would grow with the corpus, so a
-shard is sent exactly the passages that can match in it.
+share windows are found by anchors (see `passages`). Their distinct passages are the reference, dealt
+into shards of bounded size; a shard's suffix automaton is built over its passages, those of the smallest
+ids first, while the passages are streamed through it: it keeps the length of the longest match that ends at
+each word, and where that reaches 50, the state that holds the last 50 words knows the smallest document
+they start in. A passage that is not matched throughout joins the reference. Its letters are the words
+themselves, so a match is an equality of words. Where an anchor's passages are dealt into several parts,
+each part has an automaton of its own, and their answers for a window are summed up by its digest. The
+windows' documents go back to all texts that hold the passage, and each text loses the maximal spans covered
+by windows of smaller documents.
+
+The automata are built where they are used: the reference here is the corpus itself, so to broadcast every
+shard to all documents would cost the square of the corpus; a shard is sent exactly the passages that can match in it.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grams, materialize, read
-from .passages import GROUP, Units, keyed, outcomes_by_row, passages, split_hot, windows_of
+from .common import BROADCAST_IDS, attach, materialize, read
+from .passages import GROUP, KEY, Units, distinct_passages, in_shards, keyed, outcomes_by_row, passages, shards, windows_of
 
 WINDOW = 50
 UNITS = Units(words=True, window=WINDOW, gram=8, piece=1 << 19)
+#: Bytes of reference passages in one shard (a group of up to half a megabyte more): about 20,000 states' worth.
+SHARD = 1 << 17
 
 
 class Automaton:
@@ -98,14 +101,11 @@ class Automaton:
         return found
 
 
-def shard_windows(group: list[tuple[int, np.ndarray]], window: int) -> list[np.ndarray]:
-    """For distinct passages of one anchor, by ascending document: the smallest document of every window; one number if all agree."""
-    if len(group) == 1:
-        return [np.array([group[0][0]], np.int64)]
+def shard_windows(group: list[tuple[int, list[int]]], window: int) -> list[np.ndarray]:
+    """For a shard's distinct passages, by ascending document: the smallest document of every window; one number if all agree."""
     out, automaton = [], Automaton()
-    for doc, content in group:
-        sequence = content.tolist()
-        least = np.array(automaton.windows(sequence, window) if out else [-1] * (len(sequence) - window + 1), np.int64)
+    for doc, sequence in group:
+        least = np.array(automaton.windows(sequence, window), np.int64)
         fresh = least < 0
         if fresh.any():
             automaton.add(sequence, doc)
@@ -114,61 +114,50 @@ def shard_windows(group: list[tuple[int, np.ndarray]], window: int) -> list[np.n
     return out
 
 
-def resolve(distinct: DataFrame, window: int) -> DataFrame:
-    """chash, least (array): distinct: anchor, chash, content, id (the smallest that holds the passage)."""
+def resolve(distinct: DataFrame, window: int, keep: bool = False) -> DataFrame:
+    """digest, least (array), m, and with keep the content; distinct: see distinct_passages. Right within each group."""
+    schema = "digest binary, least array<long>, m long" + (", content binary" if keep else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor: int | None = None
-        group: list[tuple[int, np.ndarray]] = []
-        names: list[int] = []
-        out: list[tuple[list[int], list[np.ndarray]]] = []
-
-        def flush() -> pa.RecordBatch:
-            keys = [k for ks, _ in out for k in ks]
-            least = [x for _, xs in out for x in xs]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["chash", "least"])
-
-        for b in batches:
-            for a, h, content, doc in zip(*(b.column(c).to_pylist() for c in ("anchor", "chash", "content", "id")), strict=True):
-                if a != anchor:
-                    if group:
-                        out.append((names, shard_windows(group, window)))
-                    anchor, group, names = a, [], []
-                group.append((doc, np.frombuffer(content, "<u4")))
-                names.append(h)
-            if out:
-                yield flush()
-        if group:
-            out.append((names, shard_windows(group, window)))
-        yield flush()
-
-    return distinct.repartition("anchor").sortWithinPartitions("anchor", "id", "chash").mapInArrow(run, "chash long, least array<long>")
-
-
-def resolve_hot(hot: DataFrame) -> DataFrame:
-    """The same as resolve for passages of anchors that too many hold, window by window; a hot window is summed where it is read."""
-
-    def prints(content: bytes) -> np.ndarray:
-        return grams(np.frombuffer(content, "<u4").astype(np.uint64), WINDOW)
-
-    windows = windows_of(hot, prints, "id")
-    first = windows.groupBy("print").agg(F.min("id").alias("first"))
-    each = windows.join(first, "print").groupBy("chash").agg(F.sort_array(F.collect_list(F.struct("i", "first"))).alias("w"))
-    return each.select("chash", F.transform("w", lambda x: x["first"]).alias("least"))
-
-
-def repeated_windows(docs: DataFrame, group: int = GROUP) -> DataFrame:
+        for contents, digests, ids, m in shards(batches, SHARD, ("content", "digest", "id", "m")):
+            order = sorted(range(len(ids)), key=lambda i: (ids[i], digests[i]))  # over all groups: a shard may hold several parts of one anchor
+            contents, digests, ids, m = ([x[i] for i in order] for x in (contents, digests, ids, m))
+            letters: dict[bytes, int] = {}
+            group = [(doc, [letters.setdefault(w, len(letters)) for w in c.split(b" ")]) for doc, c in zip(ids, contents, strict=True)]
+            cols = [pa.array(digests, pa.binary()), pa.array(shard_windows(group, window), pa.list_(pa.int64())), pa.array(m, pa.int64())]
+            cols += [pa.array(contents, pa.binary())] if keep else []
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
+
+    return in_shards(distinct).mapInArrow(run, schema)
+
+
+def word_windows(content: bytes) -> list[bytes]:
+    words = content.split(b" ")
+    return [b" ".join(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1)]
+
+
+def over_parts(resolved: DataFrame) -> DataFrame:
+    """digest, least, m of passages whose anchor was dealt into parts: the smallest document of all parts for each window."""
+    done = materialize(resolved, "parts")
+    windows = materialize(windows_of(done, word_windows, "least", "long"), "windows")
+    first = materialize(windows.groupBy("print").agg(F.min("least").alias("first"), F.count("*").alias("c")), "first")
+    each = attach(windows.select("digest", "i", "print"), first, ["print"], "c", windows.count())
+    lists = each.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("i", "first"))).alias("w"))
+    return lists.select("digest", F.transform("w", lambda x: x["first"]).alias("least")).join(done.select("digest", "m"), "digest")
+
+
+def repeated_windows(docs: DataFrame, group: int = GROUP, few: int = BROADCAST_IDS) -> DataFrame:
     """row, id, spots (at, windows, least) for every row: where windows may repeat, and their smallest document."""
     rows = keyed(docs)
-    spots = materialize(passages(rows, lambda w: F.min("id").over(w) < F.max("id").over(w), UNITS), "passages")
-    distinct = spots.groupBy("anchor", "chash", "content").agg(F.min("id").alias("id"))
-    distinct, hot = split_hot(spots, distinct, group)
-    least = resolve(distinct, WINDOW)
-    if hot is not None:
-        least = least.unionAll(resolve_hot(hot))
-    hits = spots.select("rid", "id", "at", "windows", "chash").join(least, "chash").where(F.array_min("least") < F.col("id"))
-    return outcomes_by_row(rows, hits.select("rid", "at", "windows", "least"))
+    spots = materialize(passages(rows, F.min("id") < F.max("id"), UNITS, few), "passages")
+    whole, split = distinct_passages(spots, group)
+    found = resolve(whole, WINDOW)
+    if split is not None:
+        found = found.unionAll(over_parts(resolve(split, WINDOW, keep=True)).select(found.columns))
+    found = materialize(found, "least")
+    hits = attach(spots.select(*KEY, "id", "copies", "at", "windows", "digest"), found, ["digest"], "m", spots.count())
+    hits = hits.where(F.array_min("least") < F.col("id")).select(*KEY, "copies", "at", "windows", "least")
+    return outcomes_by_row(rows, hits, few)
 
 
 def removed_words(n: int, own: int, spots: list[dict] | None) -> np.ndarray:
@@ -193,7 +182,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.StructArray, l
         yield rows, out
 
 
-def substring_digest(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def substring_digest(docs: DataFrame, group: int = GROUP, few: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row.
 
     docs: doc_id, text; other columns are ignored. A null text has no words; texts of under 50 words lose
@@ -208,7 +197,7 @@ def substring_digest(docs: DataFrame, group: int = GROUP) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.field("doc_id"), pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return repeated_windows(slim, group).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return repeated_windows(slim, group, few).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -232,4 +221,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """substring_digest of all documents; nulls, empty texts, repeats and empty tables as there."""
     return substring_digest(read(spark, sf_dir, "documents"))

@@ -2,18 +2,18 @@
 
 A byte goes if a 200-byte string that covers it also starts anywhere else. The strings that may
 repeat are found by anchors (see `passages`) and dealt into shards. A shard takes its passages in
-batches: each batch gets a suffix array of its windows, ordered by a 64-bit fingerprint of their first
-200 bytes (all that a match needs; ordering them letter by letter gives the same matches at about ten
-times the cost); the array is merge-scanned against every level of the shard's index family, both
-sides learning how often their windows stand elsewhere; then it becomes a level itself, and levels of
-about equal size merge, so that there are never more than the logarithm of the number of batches.
-When all batches are in, each window is known to repeat if any level counts it twice. An anchor that more
-than GROUP passages hold would make a shard without bound: its windows are counted one by one instead.
+batches. Each batch gets a suffix array: the starts of its windows in the order of the bytes there, 200 of
+them compared. It becomes a level of the shard's index family; while the last two levels are about equal in size
+they merge, so there are never more than the logarithm of the number of batches. A merge is a scan over both
+arrays in order, in which neighbours with a common prefix of 200 bytes or more show both windows repeated. When all
+batches are in, the levels left are merged, so every two windows have met. Where an anchor's passages are dealt into
+several parts, each part has a family of its own, and windows of different parts are summed up by their digests.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,101 +21,127 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INV, LETTER, materialize, prefix_sums, read, span_hash
-from .passages import GROUP, Units, keyed, outcomes_by_row, passages, split_hot, windows_of
+from .common import BROADCAST_IDS, attach, materialize, read
+from .passages import GROUP, KEY, Units, distinct_passages, in_shards, keyed, outcomes_by_row, passages, shards, windows_of
 
 WINDOW = 200
 UNITS = Units(words=False, window=WINDOW, gram=24, piece=1 << 18)
-#: Bytes of passages in one batch of a shard.
-BATCH = 1 << 20
+#: Bytes of passages in one shard (a group of up to half a megabyte more), and in one batch of it.
+SHARD, BATCH = 1 << 21, 1 << 18
+#: Windows of each level that a merge holds at a time.
+STEP = 1 << 14
 
 
 class Family:
-    """Levels of suffix arrays: each the sorted fingerprints of its windows, and how often each is known to stand anywhere."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, prints: np.ndarray, counts: np.ndarray) -> None:
-        """A new batch's windows, in any order."""
-        order = np.argsort(prints)
-        level = self._merged(prints[order], counts[order])
-        for have, known in self.levels:
-            at = np.searchsorted(have, level[0])
-            at[at == len(have)] = 0
-            met = np.flatnonzero(have[at] == level[0])
-            both = np.minimum(known[at[met]].astype(np.int64) + level[1][met], 2).astype(np.uint8)
-            known[at[met]] = both
-            level[1][met] = both
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
-            have, known = self.levels.pop()
-            prints = np.concatenate([have, level[0]])
-            order = np.argsort(prints, kind="stable")
-            prints, known = prints[order], np.concatenate([known, level[1]])[order]
-            start = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-            level = (prints[start], np.maximum.reduceat(known, start))
+    """Levels of suffix arrays over one growing string of passages; repeated: per position, whether its window is known to repeat."""
+
+    def __init__(self, window: int = WINDOW) -> None:
+        self.window, self.data = window, b""
+        self.levels: list[list[int]] = []
+        self.repeated = bytearray()
+
+    def add(self, contents: list[bytes], counts: list[int]) -> None:
+        """A new batch; counts: how often each passage stands anywhere. Passages of different counts are different strings."""
+        data, at, starts = self.data + b"".join(contents), len(self.data), []
+        self.repeated += bytes(len(data) - at)
+        for c, n in zip(contents, counts, strict=True):
+            many = len(c) - self.window + 1
+            starts += range(at, at + many)
+            if n > 1:
+                self.repeated[at : at + many] = b"\1" * many
+            at += len(c)
+        self.data = data
+        keys = [data[s : s + self.window] for s in starts]
+        order = sorted(range(len(starts)), key=keys.__getitem__)
+        self._mark([keys[i] for i in order], level := [starts[i] for i in order])
         self.levels.append(level)
+        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
+            self._merge_last()
+
+    def finish(self) -> bytearray:
+        while len(self.levels) > 1:
+            self._merge_last()
+        return self.repeated
+
+    def _mark(self, keys: list[bytes], starts: list[int]) -> None:
+        for i in [i for i, (x, y) in enumerate(zip(keys, keys[1:], strict=False)) if x == y]:
+            self.repeated[starts[i]] = self.repeated[starts[i + 1]] = 1
+
+    def _merge_last(self) -> None:
+        """Scans the last two levels in order, a bounded number of windows of each at a time."""
+        sides, w, data = [self.levels.pop(), self.levels.pop()], self.window, self.data
+        at, held, out = [0, 0], [[], []], []
+        last: tuple[list[bytes], list[int]] = ([], [])
+        while True:
+            for k in (0, 1):
+                if not held[k] and at[k] < len(sides[k]):
+                    held[k] = [data[s : s + w] for s in sides[k][at[k] : at[k] + STEP]]
+            if not held[0] and not held[1]:
+                break
+            if held[0] and held[1]:
+                limit = min(held[0][-1], held[1][-1])
+                take = [bisect_right(h, limit) for h in held]
+            else:
+                take = [len(h) for h in held]
+            keys = held[0][: take[0]] + held[1][: take[1]]
+            starts = sides[0][at[0] : at[0] + take[0]] + sides[1][at[1] : at[1] + take[1]]
+            order = sorted(range(len(keys)), key=keys.__getitem__)  # two runs: one pass
+            keys, starts = [keys[i] for i in order], [starts[i] for i in order]
+            self._mark(last[0] + keys, last[1] + starts)
+            out += starts
+            if keys:
+                last = (keys[-1:], starts[-1:])
+            for k in (0, 1):
+                held[k], at[k] = held[k][take[k] :], at[k] + take[k]
+        self.levels.append(out)
+
+
+def resolve(distinct: DataFrame, keep: bool = False) -> DataFrame:
+    """digest, bits (a bit for each window, set if it repeats), m, and with keep content and n; distinct: see distinct_passages."""
+    schema = "digest binary, bits binary, m long" + (", content binary, n long" if keep else "")
 
-    @staticmethod
-    def _merged(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-        return prints[start], np.minimum(np.add.reduceat(counts.astype(np.int64), start), 2).astype(np.uint8)
-
-    def repeats(self, prints: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(prints), bool)
-        for have, known in self.levels:
-            at = np.searchsorted(have, prints)
-            at[at == len(have)] = 0
-            out |= (have[at] == prints) & (known[at] > 1)
-        return out
-
-
-def window_prints(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all windows of the passages, and how many each passage has."""
-    data = np.frombuffer(b"".join(contents), np.uint8)
-    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
-    many = sizes - WINDOW + 1
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    start = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-    return span_hash(prefix_sums(LETTER[data], BASE), start, start + WINDOW, BASE_INV), many
-
-
-def resolve(distinct: DataFrame) -> DataFrame:
-    """chash, bits (a bit for each window, set if it repeats) of passages with any; distinct: anchor, chash, content, n (how often it stands)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for contents, digests, n, m in shards(batches, SHARD, ("content", "digest", "n", "m")):
+            family, first, size = Family(), 0, 0
+            for i, c in enumerate(contents):
+                size += len(c)
+                if size >= BATCH or i == len(contents) - 1:
+                    family.add(contents[first : i + 1], n[first : i + 1])
+                    first, size = i + 1, 0
+            hit = np.frombuffer(family.finish(), np.uint8)
+            at, bits = 0, []
+            for c in contents:
+                bits.append(np.packbits(hit[at : at + len(c) - WINDOW + 1]).tobytes())
+                at += len(c)
+            cols = [pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(m, pa.int64())]
+            cols += [pa.array(contents, pa.binary()), pa.array(n, pa.int64())] if keep else []
+            out = pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
+            yield out if keep else out.filter(pa.array([x.strip(b"\0") != b"" for x in bits]))
+
+    return in_shards(distinct).mapInArrow(run, schema)
+
+
+def byte_windows(content: bytes) -> list[bytes]:
+    return [content[i : i + WINDOW] for i in range(len(content) - WINDOW + 1)]
+
+
+def over_parts(resolved: DataFrame) -> DataFrame:
+    """digest, bits, m of passages whose anchor was dealt into parts: windows that repeat in any of the parts or across them."""
+    done = materialize(resolved, "parts")
+    windows = materialize(windows_of(done, byte_windows, "n", "long"), "windows")
+    again = materialize(windows.groupBy("print").agg(F.sum("n").alias("s"), F.count("*").alias("c")).where("s > 1"), "again")
+    each = attach(windows.select("digest", "i", "print"), again, ["print"], "c", windows.count()).groupBy("digest").agg(F.collect_list("i").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family()
-        kept: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
-        names: list[int] = []
-        contents: list[bytes] = []
-        counts: list[int] = []
-
-        def push() -> None:
-            prints, many = window_prints(contents)
-            family.add(prints, np.repeat(np.minimum(np.array(counts), 2).astype(np.uint8), many))
-            kept.append((pa.array(names, pa.int64()), prints, many))
-            names.clear(), contents.clear(), counts.clear()
-
-        held = 0
         for b in batches:
-            for h, content, n in zip(*(b.column(c).to_pylist() for c in ("chash", "content", "n")), strict=True):
-                names.append(h)
-                contents.append(content)
-                counts.append(n)
-                held += len(content)
-                if held >= BATCH:
-                    push()
-                    held = 0
-        if names:
-            push()
-        for keys, prints, many in kept:
-            hit = family.repeats(prints)
-            at = np.cumsum(many) - many
-            some = np.flatnonzero(np.add.reduceat(hit, at) > 0)
-            bits = [np.packbits(hit[at[i] : at[i] + many[i]]).tobytes() for i in some]
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(some)), pa.array(bits, pa.binary())], names=["chash", "bits"])
-
-    return distinct.repartition("anchor").select("chash", "content", "n").mapInArrow(run, "chash long, bits binary")
+            bits = []
+            for at in b.column("at").to_pylist():
+                hit = np.zeros(max(at) + 1, bool)
+                hit[at] = True
+                bits.append(np.packbits(hit).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(bits, pa.binary())], names=["digest", "bits"])
+
+    return each.mapInArrow(run, "digest binary, bits binary").join(done.select("digest", "m"), "digest")
 
 
 def removed_bytes(n: int, spots: list[dict] | None) -> np.ndarray:
@@ -127,38 +153,20 @@ def removed_bytes(n: int, spots: list[dict] | None) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def resolve_hot(hot: DataFrame) -> DataFrame:
-    """The same as resolve for passages of anchors that too many hold, window by window; a hot window is summed where it is read."""
-    windows = windows_of(hot, lambda content: window_prints([content])[0], "n")
-    again = windows.groupBy("print").agg(F.sum("n").alias("m")).where("m > 1").select("print")
-    each = windows.join(again, "print").groupBy("chash").agg(F.collect_list("i").alias("at"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits = []
-            for at in b.column("at").to_pylist():
-                hit = np.zeros(max(at) + 1, bool)
-                hit[at] = True
-                bits.append(np.packbits(hit).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("chash"), pa.array(bits, pa.binary())], names=["chash", "bits"])
-
-    return each.mapInArrow(run, "chash long, bits binary")
-
-
-def repeated_bytes(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def repeated_bytes(docs: DataFrame, group: int = GROUP, few: int = BROADCAST_IDS) -> DataFrame:
     """row, id, spots (at, windows, bits) for every row: where 200-byte strings repeat."""
     rows = keyed(docs)
-    spots = materialize(passages(rows, lambda w: F.sum("n").over(w) > 1, UNITS), "passages")
-    distinct = spots.groupBy("anchor", "chash", "content").agg(F.count("*").alias("n"))
-    distinct, hot = split_hot(spots, distinct, group)
-    bits = resolve(distinct)
-    if hot is not None:
-        bits = bits.unionAll(resolve_hot(hot))
-    hits = spots.select("rid", "at", "windows", "chash").join(bits, "chash")
-    return outcomes_by_row(rows, hits.select("rid", "at", "windows", "bits"))
+    spots = materialize(passages(rows, F.sum("n") > 1, UNITS, few), "passages")
+    whole, split = distinct_passages(spots, group)
+    bits = resolve(whole)
+    if split is not None:
+        bits = bits.unionAll(over_parts(resolve(split, keep=True)).select(bits.columns))
+    bits = materialize(bits, "bits")
+    hits = attach(spots.select(*KEY, "copies", "at", "windows", "digest"), bits, ["digest"], "m", spots.count())
+    return outcomes_by_row(rows, hits.select(*KEY, "copies", "at", "windows", "bits"), few)
 
 
-def _cleaned(docs: DataFrame, schema: str, row, group: int = GROUP) -> DataFrame:
+def _cleaned(docs: DataFrame, schema: str, row, group: int = GROUP, few: int = BROADCAST_IDS) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
@@ -174,10 +182,10 @@ def _cleaned(docs: DataFrame, schema: str, row, group: int = GROUP) -> DataFrame
             by = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(by, schema.split(", "), strict=True)], names=names)
 
-    return repeated_bytes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), group).mapInArrow(run, schema)
+    return repeated_bytes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), group, few).mapInArrow(run, schema)
 
 
-def suffix_digest(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def suffix_digest(docs: DataFrame, group: int = GROUP, few: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
 
     docs: doc_id, text; other columns are ignored. A null text is empty; texts of under 200 bytes lose
@@ -185,7 +193,7 @@ def suffix_digest(docs: DataFrame, group: int = GROUP) -> DataFrame:
     table gives no rows.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _cleaned(docs, schema, lambda d, data, kept, spans: (d, len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()), group)
+    return _cleaned(docs, schema, lambda d, data, kept, spans: (d, len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()), group, few)
 
 
 def cut_bytes(docs: DataFrame) -> DataFrame:
@@ -194,4 +202,5 @@ def cut_bytes(docs: DataFrame) -> DataFrame:
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """suffix_digest of all documents; nulls, empty texts, repeats and empty tables as there."""
     return suffix_digest(read(spark, sf_dir, "documents"))

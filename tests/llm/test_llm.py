@@ -195,11 +195,15 @@ def test_substring(docs, none):
         want.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     assert sum(x[2] for x in want) > 1000
     assert sorted(map(tuple, substring_digest(docs).collect()), key=str) == sorted(want, key=str)
-    assert sorted(map(tuple, substring_digest(docs, group=3).collect()), key=str) == sorted(want, key=str)  # hot anchors
+    assert sorted(map(tuple, substring_digest(docs, group=3, few=0).collect()), key=str) == sorted(want, key=str)  # hot anchors, no broadcasts
     cut = remove_repeats(docs)
     assert cut.schema == docs.schema
     rows = cut.collect()
     assert len(rows) == len(want) and all(r.text is None or r.n_chars == len(r.text) for r in rows)
+    removed = {(w[0], w[1] - w[2]): w for w in want}
+    for r in rows:  # the text that is left
+        w = removed[(r.doc_id, len(WORD.findall(r.text or "")))]
+        assert hashlib.sha256(" ".join(WORD.findall(r.text or "")).encode()).hexdigest() in {x[3] for x in want if x[0] == r.doc_id and x[1] - x[2] == w[1] - w[2]}
     assert sum(r.text is None for r in rows) == 2
     assert substring_digest(none).count() == remove_repeats(none).count() == 0
 
@@ -238,24 +242,71 @@ def test_suffixes(docs, none):
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
     assert sorted(map(tuple, suffix_digest(docs).collect()), key=str) == sorted(want, key=str)
-    assert sorted(map(tuple, suffix_digest(docs, group=3).collect()), key=str) == sorted(want, key=str)  # hot anchors
+    assert sorted(map(tuple, suffix_digest(docs, group=3, few=0).collect()), key=str) == sorted(want, key=str)  # hot anchors, no broadcasts
     assert sum(len(r.kept) for r in cut_bytes(docs).collect()) == sum(w[1] - w[2] for w in want)
     assert suffix_digest(none).count() == 0
 
 
-def test_index_family():
-    from skeingraph.llm.suffixes import Family
+def test_index_family(monkeypatch):
+    from skeingraph.llm import suffixes
 
-    rng = np.random.default_rng(2)
-    f, seen = Family(), {}
-    batches = [rng.integers(0, 4000, rng.integers(1, 300)).astype(np.uint64) for _ in range(40)]
-    for b in batches:
-        f.add(b, np.ones(len(b), np.uint8))
-        for x in b.tolist():
-            seen[x] = seen.get(x, 0) + 1
-    assert len(f.levels) < 12
-    probe = np.arange(4000, dtype=np.uint64)
-    assert (f.repeats(probe) == np.array([seen.get(x, 0) > 1 for x in range(4000)])).all()
+    monkeypatch.setattr(suffixes, "STEP", 5)  # many steps of each merge
+    rng = random.Random(2)
+    family, texts = suffixes.Family(window=4), []
+    for _ in range(40):
+        batch = [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(4, 30))) for _ in range(rng.randrange(1, 5))]
+        counts = [1 + (rng.random() < 0.1) for _ in batch]
+        family.add(batch, counts)
+        texts += zip(batch, counts, strict=True)
+        assert len(family.levels) < 10
+        sizes = [len(x) for x in family.levels]
+        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    got = family.finish()
+    seen: dict = {}
+    for t, n in texts:
+        for i in range(len(t) - 3):
+            seen[t[i : i + 4]] = seen.get(t[i : i + 4], 0) + n
+    want = [b for t, _ in texts for b in [*(seen[t[i : i + 4]] > 1 for i in range(len(t) - 3)), False, False, False]]
+    assert list(got) == want and 0 < sum(want) < len(want)
+    order = [family.data[s : s + 4] for s in family.levels[0]]
+    assert order == sorted(order)
+
+
+def test_segments_of_long_texts_give_the_same_passages(monkeypatch, docs, spark):
+    from skeingraph.llm import passages, substring, suffixes
+
+    rng = random.Random(4)
+    for units, text in ((substring.UNITS, " ".join(words(rng, 3000))), (suffixes.UNITS, "".join(rng.choice("abcdef ") for _ in range(20_000)))):
+        import pyarrow as pa
+
+        def windows(column):
+            out = set()
+            for _, base, part in units.segments(column):
+                doc, first, a, z, n, h = units.anchors(part)
+                out |= {(int(f + base[d]) + k, int(x)) for d, f, m, x in zip(doc, first, n, h, strict=True) for k in range(m)}
+            return out
+
+        whole = windows(pa.array([text]))
+        monkeypatch.setattr(passages, "SEGMENT", 2000)
+        assert windows(pa.array([text])) == whole
+        monkeypatch.undo()
+
+
+def test_repeated_rows_cost_their_number(spark):
+    """Three thousand rows of one id and text, and one passage in a third of the others."""
+    from skeingraph.llm.substring import substring_digest
+    from skeingraph.llm.suffixes import suffix_digest
+
+    rng = random.Random(6)
+    long, passage = " ".join(words(rng, 500)), " ".join(words(rng, 60))
+    rows = [(7, long)] * 3000 + [(100 + i, " ".join(words(rng, 20)) + (f" {passage} " if i % 3 == 0 else " ") + " ".join(words(rng, 20))) for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_digest(table, group=64).collect()
+    assert len(got) == len(rows) and sum(r.n_removed > 0 for r in got) == 299
+    assert all(60 <= r.n_removed < 66 for r in got if r.n_removed)  # a neighbouring word may repeat too
+    got = suffix_digest(table, group=64).collect()
+    assert sum(r.n_removed == r.n_bytes and r.n_spans == 1 for r in got if r.doc_id == 7) == 3000
+    assert sum(r.n_removed >= len(passage.encode()) for r in got if r.doc_id != 7) == 300
 
 
 def test_chat(spark):
