@@ -12,7 +12,7 @@ passages; then the operator's own comparison, whose outcome goes back to the tex
 
 Anchors only select; what is compared is the content. Keys of contents are 128-bit digests. A row is known by its
 id and a hash of its text, so repeated rows are looked at once and share the outcome. Hot anchors, digests and rows
-are joined by `attach`; passages of an anchor that more than `group` distinct ones have are dealt into parts.
+are joined by `attach`; passages of an anchor that has more than `group` distinct ones are dealt into parts.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from .common import BASE, BASE_INV, BROADCAST_IDS, LETTER, SEPARATOR, WBASE, WBA
 
 #: A row without an id comes after all others.
 NO_ID = 2**63 - 1
-#: Distinct passages of one anchor that are compared in one group (half a megabyte at most); more are dealt into parts.
-GROUP = 1024
 #: Bytes of one text that are looked at together; windows over a seam belong to the segment they start in.
 SEGMENT = 1 << 22
 KEY = ["k1", "k2"]
@@ -69,26 +67,26 @@ class Units:
                 yield np.array([row]), np.array([at]), joined([part])
 
     def anchors(self, text: Text) -> tuple[np.ndarray, ...]:
-        """For each run of windows with the same anchor: its document, first unit, start and end in bytes, windows, anchor's hash."""
+        """For each run of windows with the same anchor: its document, first unit, start, anchor and end in bytes, windows, anchor's hash."""
         words = words_of(text, SEPARATOR) if self.words else None
         values, at = (word_hashes(text, words), words.at) if self.words else (LETTER[text.data], text.at)
         base, inverse = (WBASE, WBASE_INV) if self.words else (BASE, BASE_INV)
         none = np.empty(0, np.int64)
         if len(values) < self.window:
-            return none, none, none, none, none, none.astype(np.uint64)
+            return none, none, none, none, none, none, none.astype(np.uint64)
         i = np.arange(len(values) - self.gram + 1)
         g = span_hash(prefix_sums(values, base), i, i + self.gram, inverse)
         least = sliding_min((g >> _PLACE << _PLACE) | i.astype(np.uint64), self.window - self.gram + 1)
         doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(least)]
         valid = np.flatnonzero(np.arange(len(least)) + self.window <= at[doc + 1])
         if not len(valid):
-            return none, none, none, none, none, none.astype(np.uint64)
+            return none, none, none, none, none, none, none.astype(np.uint64)
         place = (least[valid] & ((U(1) << _PLACE) - U(1))).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(valid) != 1)]))
         first, last = valid[new], valid[np.concatenate([new[1:], [len(valid)]]) - 1]
         doc = doc[first]
-        a, z = (words.start[first], words.end[last + self.window - 1]) if self.words else (first, last + self.window)
-        return doc, first - at[doc], a, z, last - first + 1, g[place[new]]
+        a, k, z = (words.start[first], words.start[place[new]], words.end[last + self.window - 1]) if self.words else (first, place[new], last + self.window)
+        return doc, first - at[doc], a, k, z, last - first + 1, g[place[new]]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -106,7 +104,7 @@ def anchors(rows: DataFrame, units: Units) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=units.piece):
             for row, _, text in units.segments(b.column("text")):
-                doc, _, _, _, _, h = units.anchors(text)
+                doc, _, _, _, _, _, h = units.anchors(text)
                 order = np.lexsort((h, doc))
                 doc, h = doc[order], h[order]
                 start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.empty(0, np.int64)
@@ -118,7 +116,7 @@ def anchors(rows: DataFrame, units: Units) -> DataFrame:
 
 
 def passages(rows: DataFrame, repeats: Column, units: Units, few: int = BROADCAST_IDS) -> DataFrame:
-    """k1, k2, id, copies (rows of this key), at (first unit), windows, anchor, content, digest of every passage whose anchor repeats.
+    """k1, k2, id, copies (rows of this key), at (first unit), windows, anchor, place (its first byte), content, digest of every passage whose anchor repeats.
 
     repeats: over an anchor's rows (id, n), whether it repeats.
     """
@@ -133,7 +131,7 @@ def passages(rows: DataFrame, repeats: Column, units: Units, few: int = BROADCAS
         for b in slices(batches, limit=units.piece):
             wanted = [np.sort(x.values.to_numpy().view(np.uint64)) for x in b.column("anchors")]
             for row, base, text in units.segments(b.column("text")):
-                doc, first, a, z, windows, h = units.anchors(text)
+                doc, first, a, place, z, windows, h = units.anchors(text)
                 cut = np.searchsorted(doc, np.arange(len(row) + 1))
                 hit = [i + np.flatnonzero(np.isin(h[i:j], wanted[row[k]])) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False))]
                 hit = np.concatenate(hit) if hit else np.empty(0, np.int64)
@@ -141,29 +139,30 @@ def passages(rows: DataFrame, repeats: Column, units: Units, few: int = BROADCAS
                 content = [data[i:j] for i, j in zip(a[hit].tolist(), z[hit].tolist(), strict=True)]
                 digest = [xxhash.xxh3_128_digest(x) for x in content]
                 which = pa.array(row[doc[hit]])
-                new = [pa.array(first[hit] + base[doc[hit]]), pa.array(windows[hit].astype(np.int32)), pa.array(h[hit].view(np.int64)), pa.array(content, pa.binary()), pa.array(digest, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(which) for c in ("k1", "k2", "id", "copies")), *new], names=["k1", "k2", "id", "copies", "at", "windows", "anchor", "content", "digest"])
+                new = [pa.array(first[hit] + base[doc[hit]]), pa.array(windows[hit].astype(np.int32)), pa.array(h[hit].view(np.int64)), pa.array((place - a)[hit].astype(np.int32)), pa.array(content, pa.binary()), pa.array(digest, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(which) for c in ("k1", "k2", "id", "copies")), *new], names=["k1", "k2", "id", "copies", "at", "windows", "anchor", "place", "content", "digest"])
 
     texts = rows.select(*KEY, "id", "text").join(small(held.select(*KEY), few), KEY, "left_semi")
     once = texts.groupBy(*KEY).agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("copies"))
-    return once.join(held, KEY).mapInArrow(run, "k1 long, k2 long, id long, copies long, at long, windows int, anchor long, content binary, digest binary")
+    return once.join(held, KEY).mapInArrow(run, "k1 long, k2 long, id long, copies long, at long, windows int, anchor long, place int, content binary, digest binary")
 
 
 def distinct_passages(spots: DataFrame, group: int) -> tuple[DataFrame, DataFrame | None]:
-    """anchor, part, digest, content, id (the smallest), n (rows that hold it, with copies), m (of spots): passages to be compared.
+    """anchor, part, digest, place, content, id (the smallest), n (rows that hold it, with copies), m (of spots): passages to be compared.
 
     First those of anchors with at most `group` distinct ones, all in part 0; then, if there are such, the others, dealt into
     parts of about `group`. spots: materialized.
     """
     shape = [F.min("id").alias("id"), F.sum("copies").alias("n"), F.count("*").alias("m")]
-    columns = ["anchor", "part", "digest", "content", "id", "n", "m"]
+    own = ["anchor", "digest", "place", "content"]
+    columns = ["anchor", "part", "digest", "place", "content", "id", "n", "m"]
     many = spots.groupBy("anchor", "digest").agg(F.count("*").alias("c")).groupBy("anchor").agg(F.count("*").alias("distinct"), F.sum("c").alias("c"))
     hot = materialize(many.where(F.col("distinct") > group), "hot")
     if hot.isEmpty():
-        return spots.groupBy("anchor", "digest", "content").agg(*shape).withColumn("part", F.lit(0)).select(columns), None
-    whole = spots.join(small(hot.select("anchor")), "anchor", "left_anti").groupBy("anchor", "digest", "content").agg(*shape).withColumn("part", F.lit(0))
+        return spots.groupBy(*own).agg(*shape).withColumn("part", F.lit(0)).select(columns), None
+    whole = spots.join(small(hot.select("anchor")), "anchor", "left_anti").groupBy(*own).agg(*shape).withColumn("part", F.lit(0))
     total = hot.agg(F.sum("c")).first()[0]
-    split = attach(spots, hot, ["anchor"], "c", total).groupBy("anchor", "digest", "content", "distinct").agg(*shape)
+    split = attach(spots, hot, ["anchor"], "c", total).groupBy(*own, "distinct").agg(*shape)
     part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("distinct") / group)).cast("int")
     return whole.select(columns), split.withColumn("part", part).select(columns)
 

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, attach, materialize, read
-from .passages import GROUP, KEY, Units, distinct_passages, in_shards, keyed, outcomes_by_row, passages, shards, windows_of
+from .passages import KEY, Units, distinct_passages, in_shards, keyed, outcomes_by_row, passages, shards, windows_of
 
 WINDOW = 50
 UNITS = Units(words=True, window=WINDOW, gram=8, piece=1 << 19)
-#: Bytes of reference passages in one shard (a group of up to half a megabyte more): about 20,000 states' worth.
-SHARD = 1 << 17
+#: Bytes of reference passages in one shard (about 20,000 states' worth; a group may exceed it), and distinct passages of one anchor in a group.
+SHARD, GROUP = 1 << 17, 4096
 
 
 class Automaton:

@@ -1,19 +1,21 @@
 """Suffix-array deduplication of bytes with a logarithmic index family.
 
 A byte goes if a 200-byte string that covers it also starts anywhere else. The strings that may
-repeat are found by anchors (see `passages`) and dealt into shards. A shard takes its passages in
-batches. Each batch gets a suffix array: the starts of its windows in the order of the bytes there, 200 of
-them compared. It becomes a level of the shard's index family; while the last two levels are about equal in size
-they merge, so there are never more than the logarithm of the number of batches. A merge is a scan over both
-arrays in order, in which neighbours with a common prefix of 200 bytes or more show both windows repeated. When all
-batches are in, the levels left are merged, so every two windows have met. Where an anchor's passages are dealt into
-several parts, each part has a family of its own, and windows of different parts are summed up by their digests.
+repeat are found by anchors (see `passages`) and dealt into shards. Every window of a passage holds its anchor, so it
+is what lies left of the anchor's first byte, read backwards, and the suffix that starts there. A shard takes its
+passages in batches. Each batch gets two suffix arrays: its passages in the order of their suffixes at the anchor,
+and in the order of what lies before it, backwards. It becomes a level of the shard's index family; while the last two
+levels are about equal in size they merge, by one scan over each pair of arrays, so there are never more than the
+logarithm of the number of batches. When all batches are in, the levels left are merged, so every two passages have
+met. The common prefixes of neighbours then tell which windows are equal: those with o bytes before the anchor that lie
+between the same places with less than o common bytes in the one array, and less than 200 - o in the other. Where an
+anchor's passages are dealt into several parts, each part has a family of its own, and windows of different parts are
+summed up by their digests.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,78 +24,87 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, attach, materialize, read
-from .passages import GROUP, KEY, Units, distinct_passages, in_shards, keyed, outcomes_by_row, passages, shards, windows_of
+from .passages import KEY, Units, distinct_passages, in_shards, keyed, outcomes_by_row, passages, shards, windows_of
 
 WINDOW = 200
 UNITS = Units(words=False, window=WINDOW, gram=24, piece=1 << 18)
-#: Bytes of passages in one shard (a group of up to half a megabyte more), and in one batch of it.
-SHARD, BATCH = 1 << 21, 1 << 18
-#: Windows of each level that a merge holds at a time.
-STEP = 1 << 14
+#: Bytes of passages in one shard (a group may exceed it) and in one batch of it, and distinct passages of one anchor in a group.
+SHARD, BATCH, GROUP = 1 << 22, 1 << 19, 16_384
+
+
+class Array:
+    """Strings of bounded length in order (shorter ones as if zeros followed), and whose they are."""
+
+    def __init__(self, strings: list[bytes], owners: list[int], ordered: bool = False):
+        order = range(len(strings)) if ordered else sorted(range(len(strings)), key=strings.__getitem__)
+        self.strings, self.owners = [strings[i] for i in order], [owners[i] for i in order]
+
+    def merged(self, other: Array) -> Array:
+        return Array(self.strings + other.strings, self.owners + other.owners)  # two runs, which the sort merges in one scan
+
+    def common(self, width: int) -> np.ndarray:
+        """How many bytes each string has in common with the one before (the first: -1)."""
+        m = np.frombuffer(b"".join(self.strings), np.uint8).reshape(-1, width)
+        out = np.full(len(m), -1, np.int32)
+        for i in range(1, len(m), 4096):  # a bounded part of the differences at a time
+            differ = m[i : i + 4096] != m[i - 1 : i - 1 + len(m[i : i + 4096])]
+            out[i : i + 4096] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        return out
 
 
 class Family:
-    """Levels of suffix arrays over one growing string of passages; repeated: per position, whether its window is known to repeat."""
+    """Levels of suffix arrays over batches of passages with their anchors' places, and how often each passage stands anywhere."""
 
     def __init__(self, window: int = WINDOW) -> None:
-        self.window, self.data = window, b""
-        self.levels: list[list[int]] = []
-        self.repeated = bytearray()
-
-    def add(self, contents: list[bytes], counts: list[int]) -> None:
-        """A new batch; counts: how often each passage stands anywhere. Passages of different counts are different strings."""
-        data, at, starts = self.data + b"".join(contents), len(self.data), []
-        self.repeated += bytes(len(data) - at)
-        for c, n in zip(contents, counts, strict=True):
-            many = len(c) - self.window + 1
-            starts += range(at, at + many)
-            if n > 1:
-                self.repeated[at : at + many] = b"\1" * many
-            at += len(c)
-        self.data = data
-        keys = [data[s : s + self.window] for s in starts]
-        order = sorted(range(len(starts)), key=keys.__getitem__)
-        self._mark([keys[i] for i in order], level := [starts[i] for i in order])
-        self.levels.append(level)
-        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
+        self.window = window
+        self.levels: list[tuple[Array, Array]] = []
+        self.before: list[int] = []
+        self.after: list[int] = []
+        self.copies: list[int] = []
+
+    def add(self, contents: list[bytes], places: list[int], counts: list[int]) -> None:
+        """A new batch. Passages are different strings; counts: how often each stands anywhere."""
+        own = list(range(len(self.copies), len(self.copies) + len(contents)))
+        w = self.window
+        self.before += [min(p, w) for p in places]
+        self.after += [min(len(c) - p, w) for c, p in zip(contents, places, strict=True)]
+        self.copies += counts
+        right = Array([c[p : p + w].ljust(w, b"\0") for c, p in zip(contents, places, strict=True)], own)
+        left = Array([c[max(0, p - w) : p][::-1].ljust(w, b"\0") for c, p in zip(contents, places, strict=True)], own)
+        self.levels.append((right, left))
+        while len(self.levels) > 1 and len(self.levels[-2][0].owners) <= 2 * len(self.levels[-1][0].owners):
             self._merge_last()
 
-    def finish(self) -> bytearray:
+    def _merge_last(self) -> None:
+        a, b = self.levels.pop(), self.levels.pop()
+        self.levels.append((b[0].merged(a[0]), b[1].merged(a[1])))
+
+    def finish(self) -> list[np.ndarray]:
+        """For each passage, which of its windows repeat."""
         while len(self.levels) > 1:
             self._merge_last()
-        return self.repeated
-
-    def _mark(self, keys: list[bytes], starts: list[int]) -> None:
-        for i in [i for i, (x, y) in enumerate(zip(keys, keys[1:], strict=False)) if x == y]:
-            self.repeated[starts[i]] = self.repeated[starts[i + 1]] = 1
-
-    def _merge_last(self) -> None:
-        """Scans the last two levels in order, a bounded number of windows of each at a time."""
-        sides, w, data = [self.levels.pop(), self.levels.pop()], self.window, self.data
-        at, held, out = [0, 0], [[], []], []
-        last: tuple[list[bytes], list[int]] = ([], [])
-        while True:
-            for k in (0, 1):
-                if not held[k] and at[k] < len(sides[k]):
-                    held[k] = [data[s : s + w] for s in sides[k][at[k] : at[k] + STEP]]
-            if not held[0] and not held[1]:
-                break
-            if held[0] and held[1]:
-                limit = min(held[0][-1], held[1][-1])
-                take = [bisect_right(h, limit) for h in held]
-            else:
-                take = [len(h) for h in held]
-            keys = held[0][: take[0]] + held[1][: take[1]]
-            starts = sides[0][at[0] : at[0] + take[0]] + sides[1][at[1] : at[1] + take[1]]
-            order = sorted(range(len(keys)), key=keys.__getitem__)  # two runs: one pass
-            keys, starts = [keys[i] for i in order], [starts[i] for i in order]
-            self._mark(last[0] + keys, last[1] + starts)
-            out += starts
-            if keys:
-                last = (keys[-1:], starts[-1:])
-            for k in (0, 1):
-                held[k], at[k] = held[k][take[k] :], at[k] + take[k]
-        self.levels.append(out)
+        w, many = self.window, len(self.copies)
+        if not many:
+            return []
+        before, after, copies = np.array(self.before), np.array(self.after), np.array(self.copies)
+        common = [x.common(w) for x in self.levels[0]]
+        rank = np.empty((2, many), np.int64)
+        for k, x in enumerate(self.levels[0]):
+            rank[k, x.owners] = np.arange(many)
+        first = before + after - w  # the last window's bytes before the anchor are before - first
+        out = [np.full(n + 1, c > 1) for n, c in zip(first.tolist(), copies.tolist(), strict=True)]
+        flat, at = np.concatenate(out), np.cumsum(first + 1) - first - 1
+        for o in range(int(before.max()) + 1):
+            mine = np.flatnonzero((before >= o) & (after >= w - o))
+            if not len(mine):
+                continue
+            right, left = np.cumsum(common[0] < w - o), np.cumsum(common[1] < o)
+            key = right[rank[0, mine]] << 32 | left[rank[1, mine]]
+            order = np.argsort(key)
+            same = np.flatnonzero(key[order][1:] == key[order][:-1])
+            hit = mine[order[np.concatenate([same, same + 1])]]
+            flat[at[hit] + before[hit] - o] = True
+        return np.split(flat, at[1:])
 
 
 def resolve(distinct: DataFrame, keep: bool = False) -> DataFrame:
@@ -101,18 +112,14 @@ def resolve(distinct: DataFrame, keep: bool = False) -> DataFrame:
     schema = "digest binary, bits binary, m long" + (", content binary, n long" if keep else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for contents, digests, n, m in shards(batches, SHARD, ("content", "digest", "n", "m")):
+        for contents, places, digests, n, m in shards(batches, SHARD, ("content", "place", "digest", "n", "m")):
             family, first, size = Family(), 0, 0
             for i, c in enumerate(contents):
                 size += len(c)
                 if size >= BATCH or i == len(contents) - 1:
-                    family.add(contents[first : i + 1], n[first : i + 1])
+                    family.add(contents[first : i + 1], places[first : i + 1], n[first : i + 1])
                     first, size = i + 1, 0
-            hit = np.frombuffer(family.finish(), np.uint8)
-            at, bits = 0, []
-            for c in contents:
-                bits.append(np.packbits(hit[at : at + len(c) - WINDOW + 1]).tobytes())
-                at += len(c)
+            bits = [np.packbits(x).tobytes() for x in family.finish()]
             cols = [pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(m, pa.int64())]
             cols += [pa.array(contents, pa.binary()), pa.array(n, pa.int64())] if keep else []
             out = pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
