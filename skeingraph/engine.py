@@ -6,62 +6,109 @@ import json
 import os
 import tarfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
 from .operators import analytics, documents, export, graph, lookup, search, sync, usage
-from .sources import changes, conversations, project
+from .sources import changes, conversations, project, watch
 from .sources.languages import Registry, builtin
 
 
 class Engine:
-    """Relations live as Parquet under `home` (one folder per project), each write in a new version of its own.
+    """Relations live as Parquet under `home` (one folder per project), each write in folders of its own.
 
-    A version is complete before `current.json` names it, so readers and a failed ingest never see half of one.
+    A version is a small file that lists every relation's folders. It is created, never overwritten, after its folders are
+    complete: readers and a failed ingest never see half of one, and of two writers at once the second fails.
+    Documents and the query log grow by appended folders; `compact` makes one of them and removes old versions.
     """
 
-    NAMES = {"files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES, "documents": schemas.DOCUMENTS + ", ingest_seq BIGINT", "query_log": schemas.QUERY_LOG, "embeddings": schemas.EMBEDDINGS}
+    NAMES = {
+        "postings": "bucket INT, term STRING, doc BIGINT, field STRING, pos INT", "search_docs": "id BIGINT, symbol_name STRING, qualified_name STRING, signature STRING, kind STRING, file_path STRING, length INT",
+        "files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES, "documents": schemas.DOCUMENTS + ", ingest_seq BIGINT", "query_log": schemas.QUERY_LOG, "embeddings": schemas.EMBEDDINGS,
+    }
+    PARTITIONED = {"symbols": "kind", "postings": "bucket"}
+    #: Results of searches that are kept in memory, the oldest giving way.
+    KEPT = 256
 
     def __init__(self, spark: SparkSession, home: str, registry: Registry | None = None):
         self.spark, self.home = spark, home
         self.registry = registry or builtin()
+        self._searches: dict[tuple, list] = {}
 
     # ------------------------------------------------------------ storage
 
-    def _versions(self) -> dict[str, str]:
-        rows = self._read_text(f"{self.home}/current.json")
-        return json.loads(rows) if rows else {}
-
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _read_text(self, path: str) -> str:
-        fs, p = self._fs(path)
-        return "".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect()) if fs.exists(p) else ""
+    def _numbers(self) -> list[int]:
+        """Numbers of the versions there are, newest first."""
+        fs, p = self._fs(f"{self.home}/versions")
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), reverse=True)
+
+    def _version(self) -> tuple[int, dict[str, list[str]]]:
+        """The newest version that is whole."""
+        for n in self._numbers():
+            try:
+                return n, json.loads("".join(r[0] for r in self.spark.read.text(f"{self.home}/versions/{n}.json", wholetext=True).collect()))
+            except ValueError:  # its writer died
+                continue
+        return 0, {}
 
     def table(self, name: str) -> DataFrame:
-        at = self._versions().get(name)
-        return self.spark.createDataFrame([], self.NAMES[name]) if at is None else self.spark.read.schema(self.NAMES[name]).parquet(f"{self.home}/{at}")
+        at = self._version()[1].get(name)
+        if not at:
+            return self.spark.createDataFrame([], self.NAMES[name])
+        return self.spark.read.schema(self.NAMES[name]).parquet(*(f"{self.home}/{a}" for a in at)) if name not in self.PARTITIONED else self.spark.read.schema(self.NAMES[name]).parquet(f"{self.home}/{at[0]}")
+
+    def _store(self, name: str, df: DataFrame) -> str:
+        at = f"{name}-{uuid.uuid4().hex}"
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], self.NAMES[name]).schema]
+        out = df.select(*columns)
+        if name == "postings":  # a bucket's file is written by one task, sorted by its terms
+            out = out.repartition("bucket").sortWithinPartitions("bucket", "term")
+        (out.write.partitionBy(self.PARTITIONED[name]) if name in self.PARTITIONED else out.write).parquet(f"{self.home}/{at}")
+        return at
+
+    def _commit(self, seen: int, tables: dict[str, list[str]]) -> None:
+        fs, p = self._fs(f"{self.home}/versions/{max([seen, *self._numbers()[:1]]) + 1}.json")
+        if self._version()[0] != seen or fs.exists(p):
+            raise RuntimeError("another writer was first: read again and write again")
+        stream = fs.create(p, False)  # fails if it is there by now
+        stream.write(bytearray(json.dumps(tables).encode()))
+        stream.close()
 
     def write(self, tables: dict[str, DataFrame]) -> None:
-        """All of them or none."""
-        now = self._versions()
-        for name, df in tables.items():
-            at = f"{name}-{time.time_ns()}"
-            columns = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in ((f.name, f.dataType) for f in self.spark.createDataFrame([], self.NAMES[name]).schema)]
-            out = df.select(*columns)
-            (out.write.partitionBy("kind") if name == "symbols" else out.write).parquet(f"{self.home}/{at}")
-            now[name] = at
-        fs, p = self._fs(f"{self.home}/current.json")
-        stream = fs.create(p, True)
-        stream.write(bytearray(json.dumps(now).encode()))
-        stream.close()
+        """All of them or none, in the place of what they held."""
+        seen, now = self._version()
+        self._commit(seen, now | {name: [self._store(name, df)] for name, df in tables.items()})
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Writes the new rows alone."""
+        seen, now = self._version()
+        self._commit(seen, now | {name: [*now.get(name, []), self._store(name, rows)]})
+
+    def compact(self, keep: int = 1) -> None:
+        """Documents and log in one folder each; versions but the newest `keep`, and folders that none of those lists, are removed."""
+        self.write({n: self.table(n) for n in ("documents", "query_log")})
+        fs, home = self._fs(self.home)
+        numbers = self._numbers()
+        used = set()
+        for n in numbers[:keep]:
+            tables = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.home}/versions/{n}.json", wholetext=True).collect()))
+            used |= {a for at in tables.values() for a in at}
+        for n in numbers[keep:]:
+            fs.delete(self._fs(f"{self.home}/versions/{n}.json")[1], False)
+        for x in fs.listStatus(home):
+            if x.getPath().getName().rsplit("-", 1)[0] in self.NAMES and x.getPath().getName() not in used:
+                fs.delete(x.getPath(), True)
 
     def init(self) -> None:
-        self.write({n: self.spark.createDataFrame([], s) for n, s in self.NAMES.items() if n not in self._versions()})
+        self.write({n: self.spark.createDataFrame([], s) for n, s in self.NAMES.items() if n not in self._version()[1]})
 
     def uninit(self) -> None:
         fs, p = self._fs(self.home)
@@ -90,16 +137,29 @@ class Engine:
         rel = project.relations(parsed)
         state = {n: self.table(n) for n in ("files", "symbols", "edges")}
         status = graph.materialized(sync.classify(rel["files"].where("fatal_error IS NULL").select("path", F.col("file_hash").alias("content_hash")), state["files"]), "status")
-        self.write(sync.upsert(state, rel, force, drop_deleted))
+        new = {n: graph.materialized(t, n) for n, t in sync.upsert(state, rel, force, drop_deleted).items()}
+        self.write(new | self._search_tables(new["symbols"]))
         if analyze:
             self.save_documents(project.analysis_documents(rel, parsed))
         return status if drop_deleted else status.where("status <> 'deleted'")
 
     sync = index
 
+    def ingest_paths(self, paths: DataFrame, root: str, analyze: bool = False) -> DataFrame:
+        """Parses and stores only these files (path) of a tree; returns path, status."""
+        parsed = graph.materialized(project.parse(project.contents(paths.select("path").distinct(), root), self.registry), "parsed")
+        return self.ingest(parsed, analyze).join(paths.select("path").distinct(), "path", "left_semi")
+
+    def watch(self, root: str, checkpoint: str, every: str | None = "2 seconds", analyze: bool = False):
+        """Keeps the relations in step with a tree: each batch of new or later files is ingested. Stop it by the query's stop()."""
+        changed = watch.tree(self.spark, root, sorted(self.registry.by_extension))
+        writer = changed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: None if df.isEmpty() else self.ingest_paths(df, root, analyze))
+        return (writer if every is None else writer.trigger(processingTime=every)).start()
+
     def delete_files(self, paths: list[str]) -> None:
         gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        self.write(sync.delete_files({n: self.table(n) for n in ("files", "symbols", "edges")}, gone))
+        left = sync.delete_files({n: self.table(n) for n in ("files", "symbols", "edges")}, gone)
+        self.write(left | self._search_tables(left["symbols"]))
 
     # ------------------------------------------------------------ lookups, walks, search
 
@@ -127,13 +187,17 @@ class Engine:
     def diff(self, text: str, depth: int = 3) -> DataFrame:
         return self.affected(changes.changed_paths(self.spark.createDataFrame([(text,)], "diff string")), depth)
 
-    def affected(self, changed: DataFrame, depth: int = 5, symbols_per_file: int | None = None, targets_per_symbol: int | None = None) -> DataFrame:
-        return graph.impact_of_files(self.table("symbols"), self.table("edges"), changed, depth, symbols_per_file, targets_per_symbol)
+    def affected(self, changed: DataFrame | None = None, depth: int = 5, symbols_per_file: int | None = None, targets_per_symbol: int | None = None, paths: list[str] = (), root: str | None = None) -> DataFrame:
+        """What changed files (path) and named paths lead to; absolute paths count from root, or by the known path they end in."""
+        named = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        all_ = named if changed is None else changed.select("path").unionAll(named)
+        known = changes.known_paths(all_, self.table("files"), root)
+        return graph.impact_of_files(self.table("symbols"), self.table("edges"), known, depth, symbols_per_file, targets_per_symbol)
 
     def neighbourhood(self, root: str, depth: int = 2, cap: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
         return graph.neighbourhood_graph(self.table("symbols"), self.table("edges"), root, depth, cap)
 
-    def shortest_path(self, source: str, target: str, max_rounds: int = 20, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    def shortest_path(self, source: str, target: str, max_rounds: int | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
         return graph.shortest_path(self.table("edges"), source, target, max_rounds, kinds)
 
     def full_graph(self) -> tuple[DataFrame, DataFrame]:
@@ -142,11 +206,29 @@ class Engine:
     def layers(self) -> DataFrame:
         return graph.layers(self.table("symbols"))
 
-    def _index(self) -> search.Index:
-        return search.of_symbols(self.table("symbols"))
+    @staticmethod
+    def _search_tables(symbols: DataFrame) -> dict[str, DataFrame]:
+        built = search.of_symbols(symbols)
+        return {"search_docs": built.docs, "postings": built.postings}
 
-    def search(self, query: str, limit: int = 20, file_path: str | None = None) -> DataFrame:
-        return lookup.with_start_lines(search.search(self._index(), query, limit, file_path), self.table("symbols")).orderBy("score", "rank", "id")
+    def _index(self) -> search.Index:
+        """The stored index; a search reads only the buckets of its terms."""
+        return search.Index(self.table("search_docs"), self.table("postings"))
+
+    def search(self, query: str, limit: int = 20, file_path: str | None = None, log: bool = False) -> DataFrame:
+        """Ranked results with start lines. A search repeated over the same index is answered from memory; log: note what was found."""
+        at = self._version()[1]  # as long as nothing is indexed anew
+        key = (*at.get("postings", ()), *at.get("symbols", ()), query, limit, file_path)
+        if key not in self._searches:
+            found = lookup.with_start_lines(search.search(self._index(), query, limit, file_path), self.table("symbols")).orderBy("score", "rank", "id")
+            schema = found.schema
+            while len(self._searches) >= self.KEPT:
+                self._searches.pop(next(iter(self._searches)))
+            self._searches[key] = [schema, found.collect()]  # at most limit rows
+        schema, rows = self._searches[key]
+        if log:
+            self.log_query("search", query, [r.qualified_name for r in rows])
+        return self.spark.createDataFrame(rows, schema)
 
     def search_task(self, task: str, limit: int = 10, file_path: str | None = None) -> DataFrame:
         return search.search_words(self._index(), task, limit, file_path)
@@ -165,8 +247,19 @@ class Engine:
         v = self.spark.range(1).select(search.hashed_embedding(F.lit(f"query {query}"), dim).alias("v")).first()["v"]
         return search.hybrid(texts.select("qualified_name", "score"), search.vector_search(stored, v, limit).select("qualified_name", "similarity"))
 
+    def rerank_semantic(self, query: str, limit: int = 10, dim: int = 384) -> DataFrame:
+        """Text results that are embedded, joined by name and file, by the cosine of their vectors."""
+        texts = self.search(query, 3 * limit).select("qualified_name", "file_path", "kind", "score")
+        v = self.spark.range(1).select(search.hashed_embedding(F.lit(f"query {query}"), dim).alias("v")).first()["v"]
+        return search.vector_search(texts.join(self.table("embeddings"), ["qualified_name", "file_path"]), v, limit)
+
     def context(self, task: str, limit: int = 10) -> DataFrame:
-        return documents.context(self.search_task(task, limit), self.table("edges"), self.documents())
+        """Results with callers, callees and summaries; hits: how often each was found before; relevance: its score over the best one's."""
+        found = documents.context(self.search_task(task, limit), self.table("edges"), self.documents())
+        used = self.table("query_log").select(F.explode("symbols").alias("qualified_name")).groupBy("qualified_name").agg(F.count("*").alias("hits"))
+        best = found.agg(F.max("score").alias("_best"))  # one row
+        rows = found.join(used, "qualified_name", "left").crossJoin(F.broadcast(best))
+        return rows.withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn("relevance", F.try_divide("score", "_best")).drop("_best")
 
     # ------------------------------------------------------------ analytics, documents, usage
 
@@ -180,13 +273,8 @@ class Engine:
         return documents.merge_documents(self.table("documents"))
 
     def save_documents(self, docs: DataFrame) -> None:
-        """Adds versions; only what is new is written, and reading merges."""
-        old = self.table("documents")
-        seq = (old.agg(F.max("ingest_seq")).first()[0] or 0) + 1
-        new = docs.withColumn("ingest_seq", F.lit(seq).cast("long"))
-        schema = self.spark.createDataFrame([], self.NAMES["documents"]).schema
-        new = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
-        self.write({"documents": old.unionByName(new)})
+        """Adds versions; only they are written, and reading merges. The number of the engine's version orders them."""
+        self.append("documents", docs.withColumn("ingest_seq", F.lit(self._version()[0] + 1).cast("long")))
 
     def annotate(self, file: str, symbol: str, summary: str, kind: str = "unknown", design_intent: str = "", pitfalls: str = "") -> None:
         row = [(file, [(symbol, kind, summary, design_intent, pitfalls)])]
@@ -228,13 +316,14 @@ class Engine:
 
     def log_query(self, tool: str, query: str, symbols: list[str]) -> None:
         row = self.spark.createDataFrame([(time.time(), tool, query, symbols)], schemas.QUERY_LOG)
-        self.write({"query_log": self.table("query_log").unionByName(changes.log_entry(row))})
+        self.append("query_log", changes.log_entry(row))
 
     def hot_symbols(self, limit: int = 20) -> DataFrame:
         return usage.hot_symbols(self.table("query_log"), limit)
 
     def freshness(self, root: str) -> DataFrame:
-        disk = project.parse(project.contents(project.scan(self.spark, root, self.registry), root), self.registry).select("path", "content_hash")
+        files = project.contents(project.scan(self.spark, root, self.registry), root).where("content IS NOT NULL")
+        disk = files.select("path", F.sha2("content", 256).alias("content_hash"))
         return sync.freshness(disk, self.table("files"))
 
     # ------------------------------------------------------------ exports

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import last_segment
-from .lookup import caller_callee_counts, caller_callee_lists
+from .lookup import caller_callee_counts
 
 
 def _exploded(docs: DataFrame, field: str) -> DataFrame:
@@ -157,10 +157,14 @@ def node_details(symbols: DataFrame, docs: DataFrame) -> DataFrame:
 def context(results: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
     """Search results (qualified_name, file_path, ...) with their direct callers and callees and the file's summary."""
     names = results.select("qualified_name", last_segment(F.col("qualified_name")).alias("name"))
-    lists = caller_callee_lists(edges).join(names.select("name").unionAll(names.select("qualified_name")).distinct(), "name", "left_semi")
+    wanted = names.select("name").unionAll(names.select("qualified_name")).distinct()
+    calls = edges.where("kind = 'calls'").select("source", "target")  # only edges that touch a result go on
+    near = [calls.join(wanted, calls[side] == wanted["name"]).select("name", F.col(other).alias(as_)).distinct() for side, other, as_ in (("target", "source", "caller"), ("source", "target", "callee"))]
+    up, down = (n.groupBy("name").agg(F.sort_array(F.collect_list(c)).alias(f"{c}s")) for n, c in zip(near, ("caller", "callee"), strict=True))
+    lists = up.join(down, "name", "full_outer")
     empty = F.array().cast("array<string>")
     # names in edges may be bare or qualified: take both
     both = F.array_sort(F.array_distinct(F.flatten(F.collect_list("callers")))), F.array_sort(F.array_distinct(F.flatten(F.collect_list("callees"))))
-    hits = names.select("qualified_name", F.explode(F.array_distinct(F.array("qualified_name", "name"))).alias("name")).join(lists, "name").groupBy("qualified_name").agg(both[0].alias("callers"), both[1].alias("callees"))
+    hits = names.select("qualified_name", F.explode(F.array_distinct(F.array("qualified_name", "name"))).alias("name")).join(lists, "name").groupBy("qualified_name").agg(both[0].alias("callers"), both[1].alias("callees"))  # collect_list leaves nulls out
     out = results.join(hits, "qualified_name", "left").join(docs.select(F.col("file").alias("file_path"), "module_summary"), "file_path", "left")
     return out.withColumns({c: F.coalesce(c, empty) for c in ("callers", "callees")})

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import materialized
 from .lookup import numbered
+from .tables import materialized
 
 #: DOT attributes by kind.
 NODE_STYLE = {

@@ -7,28 +7,16 @@ are one lazy plan of equi-joins, and adaptive execution broadcasts the small fro
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import kind_rank, last_segment, layer
 from .lookup import first_per_key
+from .tables import materialized
 
 UP, DOWN = "up", "down"
 
 
-def materialized(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage in the folder that spark.checkpoint.dir names; without one (on a laptop), in memory with disk."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        return df.persist()
-    path = f"{at.rstrip('/')}/skein/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def edge_pairs(edges: DataFrame, kinds: tuple[str, ...] | None = ("calls",)) -> DataFrame:
     """source, target, repeats included: a join with a small frontier then needs no shuffle of the edges, and what it finds is made distinct."""
     rows = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
@@ -47,7 +35,7 @@ def first_level(edges: DataFrame, anchors: DataFrame, direction: str, suffix: bo
     a = anchors.select("anchor", *(["file"] if "file" in anchors.columns else [])).distinct()
     exact = e.join(a, e["_name"] == a["anchor"])
     short = last_segment(F.col("anchor"))
-    dotted = a.where(F.contains("anchor", F.lit("."))).withColumn("_short", F.lower(short))
+    dotted = a.where(F.contains("anchor", F.lit("."))).withColumn("_short", F.lower(short))  # adaptive execution drops this branch if it is empty
     loose = e.withColumn("_last", F.lower(last_segment(F.col("_name")))).join(dotted, F.col("_last") == F.col("_short"))
     loose = loose.where((F.col("_name") == short) | F.contains("_name", F.lit(".")) if suffix else F.col("_name") == short).drop("_last", "_short")
     found = exact.unionByName(loose)
@@ -132,8 +120,8 @@ def neighbourhood_graph(symbols: DataFrame, edges: DataFrame, root: str, depth:
     return shown, inside, totals
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_rounds: int = 20, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """step, name of one shortest directed path; no rows if there is none within 2 * max_rounds steps.
+def shortest_path(edges: DataFrame, source: str, target: str, max_rounds: int | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """step, name of one shortest directed path; no rows if there is none (with max_rounds: within 2 * max_rounds steps).
 
     Two frontiers meet: the smaller one of each round goes on. Of several parents a name keeps the least, so
     the path is the same in every run. Only sizes come to the driver, and at last the path itself.
@@ -143,34 +131,47 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_rounds: int =
     if source == target:
         return spark.createDataFrame([(0, source)], schema)
     pairs = materialized(edge_pairs(edges, kinds), "pairs")
-    start = "name string, parent string"
-    seen = {DOWN: spark.createDataFrame([(source, None)], start), UP: spark.createDataFrame([(target, None)], start)}
+    start = "name string, parent string, round int"
+    seen = {DOWN: spark.createDataFrame([(source, None, 0)], start), UP: spark.createDataFrame([(target, None, 0)], start)}
     front = dict(seen)
-    size = {DOWN: 1, UP: 1}
-    for _ in range(2 * max_rounds):
+    size, done = {DOWN: 1, UP: 1}, {DOWN: 0, UP: 0}
+    while max_rounds is None or sum(done.values()) < 2 * max_rounds:
         way = min(size, key=lambda k: (size[k], k))
         if not size[way]:
             return spark.createDataFrame([], schema)
         at, to = ("source", "target") if way == DOWN else ("target", "source")
         names = front[way].select(F.col("name").alias("_at"))
         step = pairs.join(names, pairs[at] == names["_at"]).groupBy(F.col(to).alias("name")).agg(F.min(at).alias("parent"))
-        new = materialized(step.join(seen[way], "name", "left_anti").select("name", "parent"), "front")
+        done[way] += 1
+        new = materialized(step.join(seen[way], "name", "left_anti").select("name", "parent", F.lit(done[way]).alias("round")), "front")
         size[way] = new.count()
         front[way] = new
         seen[way] = seen[way].unionAll(new)
         other = seen[UP if way == DOWN else DOWN]
         met = new.join(other, "name", "left_semi").orderBy("name").limit(1).collect()
         if met:
-            path = [met[0]["name"]]
-            for side, add in ((DOWN, lambda x: path.insert(0, x)), (UP, path.append)):
-                here = met[0]["name"]
-                while (r := seen[side].where(F.col("name") == here).select("parent").first()) and r[0] is not None:
-                    here = r[0]
-                    add(here)
-            return spark.createDataFrame(list(enumerate(path)), schema)
+            return _chain(seen, met[0]["name"])
     return spark.createDataFrame([], schema)
 
 
+def _chain(seen: dict[str, DataFrame], middle: str) -> DataFrame:
+    """step, name: from the middle back along parents to both ends; a name's parent was reached one round before it."""
+    spark = seen[DOWN].sparkSession
+    found = {}
+    for side, table in seen.items():
+        rounds = table.withColumnRenamed("round", "r")
+        at = rounds.where(F.col("name") == middle).agg(F.max("r")).first()[0]
+        here = rounds.where((F.col("name") == middle)).select("parent", "r")
+        path = here.select(F.array(F.lit(middle)).alias("path"), "parent")
+        for r in range(at - 1, -1, -1):  # one plan of as many one-row joins as the path has steps
+            step = F.broadcast(path)
+            up = rounds.where(F.col("r") == r).select("name", F.col("parent").alias("next"))
+            path = up.join(step, up["name"] == step["parent"]).select(F.concat("path", F.array("name")).alias("path"), F.col("next").alias("parent"))
+        found[side] = path.first()["path"]
+    names = [*found[DOWN][::-1], *found[UP][1:]]
+    return spark.createDataFrame(list(enumerate(names)), "step int, name string")
+
+
 def full_graph(symbols: DataFrame, edges: DataFrame, roles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes once by qualified name, with layer; edges once by (source, target), of the first kind in the edge kinds' order."""
     nodes = first_per_key(symbols.select("qualified_name", "name", "kind", "file_path", "start_line", "id"), ["qualified_name"], [kind_rank(F.col("kind")), "id"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import kind_rank
+from .tables import materialized
 
 
 def file_hash(files: DataFrame, path: str) -> DataFrame:
@@ -87,8 +88,11 @@ def with_start_lines(results: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list, name: str = "position") -> DataFrame:
-    """A running number from 1 over the whole order; counts per range partition first, so no single task sorts everything."""
-    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """A running number from 1 over the whole order; counts per range partition first, so no single task sorts everything.
+
+    The partitions are drawn once and kept: drawn again, their bounds may differ.
+    """
+    ranged = materialized(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
     within = Window.partitionBy("_p").orderBy(*order)
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))

@@ -23,48 +23,140 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+#: Postings are stored under so many buckets, by the first two characters of the term (so that prefixes prune, too).
+BUCKETS = 64
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(BUCKETS)).cast("int")
+
+
 class Index:
-    """postings (doc, field, pos, term) of a table with id, FIELDS and file_path; docs: the table and each row's length."""
+    """postings (bucket, term, doc, field, pos) of a table with id, FIELDS and file_path; docs: the table and each row's length."""
 
-    def __init__(self, rows: DataFrame):
-        self.docs = rows.withColumn("length", sum((F.size(tokens(F.col(f))) for f in FIELDS), F.lit(0)))
-        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in FIELDS])).alias("f")
-        flat = rows.select(F.col("id").alias("doc"), pairs)
-        self.postings = flat.select("doc", F.col("f.field").alias("field"), F.posexplode("f.terms").alias("pos", "term"))
+    def __init__(self, docs: DataFrame, postings: DataFrame):
+        self.docs, self.postings = docs, postings
 
     def totals(self) -> DataFrame:
         return self.docs.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
 
 
+def index(rows: DataFrame) -> Index:
+    """The index of rows, not yet computed: to search it often, store docs, and postings partitioned by bucket."""
+    docs = rows.withColumn("length", sum((F.size(tokens(F.col(f))) for f in FIELDS), F.lit(0)))
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in FIELDS])).alias("f")
+    flat = rows.select(F.col("id").alias("doc"), pairs)
+    postings = flat.select("doc", F.col("f.field").alias("field"), F.posexplode("f.terms").alias("pos", "term"))
+    return Index(docs, postings.withColumn("bucket", bucket(F.col("term"))))
+
+
 def of_symbols(symbols: DataFrame) -> Index:
-    return Index(symbols.select("id", F.col("name").alias("symbol_name"), "qualified_name", "signature", "kind", "file_path"))
+    return index(symbols.select("id", F.col("name").alias("symbol_name"), "qualified_name", "signature", "kind", "file_path"))
+
 
+#: Names of the fields in queries.
+FIELD_NAMES = {"symbol_name": "symbol_name", "name": "symbol_name", "qualified_name": "qualified_name", "signature": "signature", "kind": "kind"}
+_LEXEME = re.compile(r'\s*(?:(?P<open>\()|(?P<close>\))|(?P<field>\w+)\s*:\s*|(?P<quoted>"[^"]*"\*?)|(?P<word>[^\s()":]+))')
 
-def phrases(query: str) -> list[tuple[list[str], bool]]:
-    """Words of a query, each a phrase of terms; a final * makes the last term a prefix. All must match."""
-    found = []
-    for word in query.split():
-        if word in ("AND", "OR", "NOT", "NEAR") or re.search(r'[():^"]', word):
-            raise ValueError(f"not supported in a query: {word}")
-        terms = [t.lower() for t in re.findall(r"[^\W_]+", word)]
-        if terms:
-            found.append((terms, word.endswith("*")))
-    return found
 
+def parse(query: str) -> tuple[list[tuple[list[str], bool, str | None]], object]:
+    """A query's phrases (terms, whether the last is a prefix, the field or None), and how they must match.
 
-def phrase_hits(index: Index, wanted: list[tuple[int, list[str], bool]]) -> DataFrame:
-    """phrase, doc, tf for numbered phrases: how often each stands in a document, in one field in a row."""
+    Words and "quoted phrases" are phrases of terms (an underscore separates); a final * makes the last term a prefix;
+    `field:` before one restricts it. AND (or nothing) binds stronger than OR, NOT leaves out what follows; parentheses
+    group. The second value is a number of a phrase, or ("and" | "or" | "not", left, right); None: nothing is asked for.
+    """
+    lexemes, at = [], 0
+    while query[at:].strip():
+        m = _LEXEME.match(query, at)
+        if m is None:
+            raise ValueError(f"not understood in a query: {query[at:]}")
+        lexemes.append((m.lastgroup, m[m.lastgroup]))
+        at = m.end()
+    found: list[tuple[list[str], bool, str | None]] = []
+    lexemes.reverse()
+
+    def peek(*words: str) -> bool:
+        return bool(lexemes) and lexemes[-1][0] == "word" and lexemes[-1][1] in words
+
+    def one(field: str | None = None):
+        kind, text = lexemes.pop() if lexemes else ("end", "")
+        if kind == "open":
+            inner = either()
+            if not lexemes or lexemes.pop()[0] != "close":
+                raise ValueError(f"a parenthesis is not closed: {query}")
+            return inner
+        if kind == "field":
+            if text not in FIELD_NAMES:
+                raise ValueError(f"no such field: {text}")
+            return one(FIELD_NAMES[text])
+        if kind not in ("word", "quoted") or kind == "word" and text in ("AND", "OR", "NOT", "NEAR"):
+            raise ValueError(f"not supported in a query: {text or query}")
+        terms = [t.lower() for t in re.findall(r"[^\W_]+", text)]
+        if not terms:
+            return None
+        found.append((terms, text.endswith("*"), field))
+        return len(found) - 1
+
+    def joined(op: str, a, b):
+        return (b if op != "not" else None) if a is None else a if b is None else (op, a, b)
+
+    def all_of():
+        tree = one()
+        while lexemes and lexemes[-1][0] != "close" and not peek("OR"):
+            op = "and"
+            if peek("AND", "NOT"):
+                op = lexemes.pop()[1].lower()
+            tree = joined(op, tree, one())
+        return tree
+
+    def either():
+        tree = all_of()
+        while peek("OR"):
+            lexemes.pop()
+            tree = joined("or", tree, all_of())
+        return tree
+
+    tree = either() if lexemes else None
+    if lexemes:
+        raise ValueError(f"not understood in a query: {query}")
+    return found, tree
+
+
+def holds(tree, met: Column) -> Column:
+    """Whether the phrases met (their numbers) fulfil a query."""
+    if isinstance(tree, int):
+        return F.array_contains(met, tree)
+    op, a, b = tree
+    left, right = holds(a, met), holds(b, met)
+    return left & right if op == "and" else left | right if op == "or" else left & ~right
+
+
+def phrase_hits(index: Index, wanted: list[tuple[int, list[str], bool, str | None]]) -> DataFrame:
+    """phrase, doc, tf for numbered phrases: how often each stands in a document, in one field in a row.
+
+    Of stored postings only the buckets of the query's terms are read (all for a prefix of one character).
+    """
     spark = index.docs.sparkSession
-    rows = [(p, i, t, i == len(terms) - 1 and prefix, len(terms)) for p, terms, prefix in wanted for i, t in enumerate(terms)]
-    asked = F.broadcast(spark.createDataFrame(rows, "phrase int, place int, want string, prefix boolean, n int"))
-    joined = index.postings.join(asked, (F.col("term") == F.col("want")) if not any(r[3] for r in rows) else F.when(F.col("prefix"), F.startswith("term", "want")).otherwise(F.col("term") == F.col("want")))
+    rows = [(p, i, t, i == len(terms) - 1 and prefix, len(terms), only) for p, terms, prefix, only in wanted for i, t in enumerate(terms)]
+    schema = "phrase int, place int, want string, prefix boolean, n int, only string"
+    postings = index.postings
+    if all(len(t) > 1 or not prefix for _, _, t, prefix, _, _ in rows):
+        heads = spark.createDataFrame([(r[2],) for r in rows], "t string").select(bucket(F.col("t")).alias("b")).distinct().collect()  # a few words
+        postings = postings.where(F.col("bucket").isin([r.b for r in heads]))
+    asked = F.broadcast(spark.createDataFrame(rows, schema))
+    same = F.col("term") == F.col("want")
+    if any(r[3] for r in rows):
+        same = F.when(F.col("prefix"), F.startswith("term", "want")).otherwise(same)
+    joined = postings.join(asked, same).where("only IS NULL OR only = field")
     spots = joined.groupBy("phrase", "n", "doc", "field", (F.col("pos") - F.col("place")).alias("at")).agg(F.count_distinct("place").alias("met"))
     return spots.where("met = n").groupBy("phrase", "doc").agg(F.count("*").alias("tf"))
 
 
 def bm25(index: Index, hits: DataFrame) -> DataFrame:
     """phrase, doc, rank: the negative BM25 of each phrase, so lower is better."""
-    scored = hits.join(index.docs.select(F.col("id").alias("doc"), "length"), "doc").withColumn("df", F.count("*").over(Window.partitionBy("phrase")))
+    df = hits.groupBy("phrase").agg(F.count("*").alias("df"))  # a row for each phrase of the query
+    scored = hits.join(index.docs.select(F.col("id").alias("doc"), "length"), "doc").join(F.broadcast(df), "phrase")
     scored = scored.crossJoin(F.broadcast(index.totals()))  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
@@ -72,12 +164,12 @@ def bm25(index: Index, hits: DataFrame) -> DataFrame:
 
 
 def match(index: Index, query: str, file_path: str | None = None) -> DataFrame:
-    """All documents that hold every phrase of the query, with their rank."""
-    asked = phrases(query)
-    if not asked:
+    """All documents that fulfil the query, with their rank: the sum over its phrases that they hold."""
+    asked, tree = parse(query)
+    if tree is None:
         return index.docs.drop("length").withColumn("rank", F.lit(0.0)).limit(0)
-    per = bm25(index, phrase_hits(index, [(i, t, p) for i, (t, p) in enumerate(asked)]))
-    whole = per.groupBy("doc").agg(F.count("*").alias("met"), F.sum("rank").alias("rank")).where(F.col("met") == len(asked))
+    per = bm25(index, phrase_hits(index, [(i, *p) for i, p in enumerate(asked)]))
+    whole = per.groupBy("doc").agg(F.collect_set("phrase").alias("met"), F.sum("rank").alias("rank")).where(holds(tree, F.col("met")))
     found = index.docs.drop("length").join(whole.select(F.col("doc").alias("id"), "rank"), "id")
     return found if file_path is None else found.where(F.col("file_path") == file_path)
 
@@ -117,7 +209,7 @@ def search_words(index: Index, task: str, limit: int = 10, file_path: str | None
     if not words:
         return search(index, task, limit, file_path)
     spark = index.docs.sparkSession
-    parts = [(i, [t for t in re.findall(r"[^\W_]+", w)], False) for i, w in enumerate(words)]
+    parts = [(i, [t for t in re.findall(r"[^\W_]+", w)], False, None) for i, w in enumerate(words)]
     parts = [p for p in parts if p[1]]
     ranked = bm25(index, phrase_hits(index, parts)).select(F.col("phrase").alias("word"), F.col("doc").alias("id"), "rank")
     rows = index.docs.drop("length").join(ranked, "id")
@@ -158,18 +250,29 @@ def vector_search(stored: DataFrame, query: list[float], top_k: int = 10, field:
 def hybrid(texts: DataFrame, vectors: DataFrame, text_weight: float = 0.4, vector_weight: float = 0.6) -> DataFrame:
     """qualified_name, combined: both sides' scores over their maxima, weighted; a missing side adds nothing.
 
-    texts: qualified_name, score (of equal names the last by position, if there is one); vectors:
+    texts: qualified_name, score, and maybe position (of equal names the last by it counts, else the lowest score); vectors:
     qualified_name, similarity (equal names add up).
     """
     norm = lambda c, t: F.when(F.col(t) > 0, F.col(c) / F.col(t)).otherwise(0.0)
-    t = texts.crossJoin(F.broadcast(texts.agg(F.max("score").alias("_t")))).select("qualified_name", (text_weight * norm("score", "_t")).alias("_a"))
+    place = F.col("position") if "position" in texts.columns else -F.col("score")
+    t = texts.withColumn("_at", place).crossJoin(F.broadcast(texts.agg(F.max("score").alias("_t")))).select("qualified_name", "_at", (text_weight * norm("score", "_t")).alias("_a"))
     v = vectors.crossJoin(F.broadcast(vectors.agg(F.max("similarity").alias("_v")))).select("qualified_name", (vector_weight * norm("similarity", "_v")).alias("_b"))
-    t = t.groupBy("qualified_name").agg(F.last("_a").alias("_a"))
+    t = t.groupBy("qualified_name").agg(F.max_by("_a", F.struct("_at", "_a")).alias("_a"))
     v = v.groupBy("qualified_name").agg(F.sum("_b").alias("_b"))
     both = t.join(v, "qualified_name", "full_outer")
     return both.select("qualified_name", (F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))).alias("combined")).orderBy(F.desc("combined"), "qualified_name")
 
 
+def decoded(blob: Column, dim: int) -> Column:
+    """A stored vector (little-endian 32-bit floats); null if it has not dim components."""
+
+    @F.pandas_udf("array<float>")
+    def decode(blobs: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(b, "<f4") if b is not None and len(b) == 4 * dim else None for b in blobs])
+
+    return decode(blob)
+
+
 def hashed_embedding(text: Column, dim: int = 384) -> Column:
     """A deterministic stand-in for a sentence encoder: signed counts of hashed terms, unit length (zero for no terms).
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import numbered
+from .tables import materialized
+
 #: Upper bounds of the latency buckets, in seconds.
 BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 
@@ -25,9 +28,12 @@ def latency_histogram(samples: DataFrame, seconds: str = "seconds") -> DataFrame
 
 def percentile_ranks(samples: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Per key the sample at index int(n * share) of the sorted ones (share 0.5: n // 2), not interpolated."""
-    w = Window.partitionBy(*keys)
-    rows = samples.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.max(F.when(F.col("_i") == F.floor(F.col("_n") * s), F.col(value))).alias(name) for name, s in shares.items()])
+    rows = materialized(numbered(samples.select(*keys, value), [*keys, value], "_i"), "ranks")  # sorted over all tasks: a key's samples follow each other
+    per = rows.groupBy(*keys).agg(F.min("_i").alias("_first"), F.count("*").alias("n"))
+    picks = F.array(*[F.struct(F.lit(name).alias("name"), (F.col("_first") + F.floor(F.col("n") * s)).alias("_i")) for name, s in shares.items()])
+    wanted = per.select(F.col("n"), F.explode(picks).alias("p")).select("n", "p.name", "p._i")
+    found = rows.join(wanted, "_i").groupBy(*keys).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in shares])
+    return found
 
 
 def hit_rate(log: DataFrame, hit: str = "hit") -> DataFrame:
@@ -35,10 +41,24 @@ def hit_rate(log: DataFrame, hit: str = "hit") -> DataFrame:
     return log.agg(F.coalesce(F.try_divide(F.count_if(hit), F.count("*")), F.lit(0.0)).alias("hit_rate"))
 
 
-def prometheus(counters: dict[str, int], samples: DataFrame, seconds: str = "seconds") -> DataFrame:
-    """Lines of the text exposition format: counters, then the latency histogram with sum and count."""
+def request_counts(log: DataFrame, tool: str = "tool") -> DataFrame:
+    """tool, requests, per_minute: how often each was asked for, and over the time from the first to the last entry (at least a minute)."""
+    span = log.agg(F.greatest(F.lit(1.0), (F.max("ts") - F.min("ts")) / 60).alias("_minutes"))
+    rows = log.groupBy(F.col(tool).alias("tool")).agg(F.count("*").alias("requests")).crossJoin(span)  # one row
+    return rows.select("tool", "requests", F.round(F.col("requests") / F.col("_minutes"), 2).alias("per_minute"))
+
+
+def index_rate(files: DataFrame) -> DataFrame:
+    """files, per_minute: files indexed over the time from the first to the last of them (at least a minute)."""
+    minutes = F.greatest(F.lit(1.0), (F.unix_micros(F.max("last_indexed")) - F.unix_micros(F.min("last_indexed"))) / 60e6)
+    return files.agg(F.count("*").alias("files"), F.round(F.count("*") / F.coalesce(minutes, F.lit(1.0)), 2).alias("per_minute"))
+
+
+def prometheus(counters: dict[str, int], samples: DataFrame, seconds: str = "seconds", gauges: dict[str, float] | None = None) -> DataFrame:
+    """Lines of the text exposition format: counters, gauges, then the latency histogram with sum and count."""
     spark = samples.sparkSession
-    lines = [(0, i, x) for i, (k, v) in enumerate(counters.items()) for x in (f"# TYPE {k} counter", f"{k} {v}")]
+    simple = [(k, v, kind) for kind, values in (("counter", counters), ("gauge", gauges or {})) for k, v in values.items()]
+    lines = [(0, 2 * i + j, x) for i, (k, v, kind) in enumerate(simple) for j, x in enumerate((f"# TYPE {k} {kind}", f"{k} {v}"))]
     h = latency_histogram(samples, seconds)
     order = F.when(F.col("le") == "+Inf", 1e9).otherwise(F.expr("try_cast(le AS double)"))
     buckets = h.select(F.lit(1).alias("part"), (order * 10_000).cast("bigint").alias("i"), F.format_string('request_latency_seconds_bucket{le="%s"} %d', "le", "n").alias("line"))

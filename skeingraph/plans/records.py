@@ -7,7 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import documents, export, lookup, sync, usage
+from ..operators import analytics, documents, export, lookup, sync, usage
+from ..operators.tables import materialized
 from ..operators.usage import BUCKETS
 from ..sources import changes, conversations, project, star
 from ..sources.star import oracle
@@ -53,17 +54,35 @@ def unknowns(spark, d):
     return documents.unknowns_of(_versions(spark, d)).select("file", "symbol", "question", "context")
 
 
-@query(_duck(", a AS (SELECT file, symbol, arg_max(summary, spot) AS s, min(spot) AS place FROM v GROUP BY 1, 2), u AS (SELECT file, symbol, question, min(spot) AS place FROM v GROUP BY 1, 2, 3), i AS (SELECT file, count(*) AS insights FROM v GROUP BY 1), m AS (SELECT file, arg_max(summary, ingest_seq) AS module_summary FROM v WHERE first_ AND ingest_seq % 4 = 0 GROUP BY 1), r AS (SELECT file, count(DISTINCT symbol) AS roles FROM v WHERE first_ GROUP BY 1) SELECT i.file, coalesce(module_summary, '') AS module_summary, (SELECT md5(string_agg(symbol || s, ',' ORDER BY place)) FROM a WHERE a.file = i.file) AS annotations, (SELECT count(*) FROM u WHERE u.file = i.file) AS unknowns, insights, roles FROM i LEFT JOIN m USING (file) LEFT JOIN r USING (file)").replace("AS spot FROM (", "AS spot, row_number() OVER (PARTITION BY file, ingest_seq ORDER BY pos, symbol, question, summary) = 1 AS first_ FROM ("))
+_FIRST = _duck(", a AS (SELECT file, symbol, arg_max(summary, spot) AS s, min(spot) AS place FROM v GROUP BY 1, 2), u AS (SELECT file, symbol, question, arg_min(summary, spot) AS context, min(spot) AS place FROM v GROUP BY 1, 2, 3), i AS (SELECT file, md5(string_agg(summary || symbol, ',' ORDER BY spot)) AS insights FROM v GROUP BY 1), m AS (SELECT file, arg_max(summary, ingest_seq) AS module_summary FROM v WHERE first_ AND ingest_seq % 4 = 0 GROUP BY 1), r AS (SELECT file, md5(string_agg(symbol || q, ',' ORDER BY symbol)) AS roles FROM (SELECT file, symbol, arg_max(question, ingest_seq) AS q FROM v WHERE first_ GROUP BY 1, 2) GROUP BY 1) SELECT i.file, max(ingest) AS ingested_at, coalesce(module_summary, '') AS module_summary, (SELECT md5(string_agg(symbol || s, ',' ORDER BY place)) FROM a WHERE a.file = i.file) AS annotations, (SELECT md5(string_agg(symbol || question || context, ',' ORDER BY place)) FROM u WHERE u.file = i.file) AS unknowns, insights, roles FROM i LEFT JOIN m USING (file) LEFT JOIN r USING (file) JOIN (SELECT file, CAST(max(ingest_seq) AS VARCHAR) AS ingest FROM v GROUP BY 1) USING (file) GROUP BY ALL")
+
+
+@query(_FIRST.replace("AS spot FROM (", "AS spot, row_number() OVER (PARTITION BY file, ingest_seq ORDER BY pos, symbol, question, summary) = 1 AS first_ FROM ("))
 def merged_documents(spark, d):
     m = documents.merge_documents(_versions(spark, d))
-    said = F.transform("annotations", lambda a: F.concat(a["symbol"], a["summary"]))
-    return m.select("file", "module_summary", F.md5(F.array_join(said, ",")).alias("annotations"), F.size("unknowns").cast("long").alias("unknowns"), F.size("insights").cast("long").alias("insights"), F.size("module_roles").cast("long").alias("roles"))
+    said = lambda c, f: F.md5(F.array_join(F.transform(c, f), ",")).alias(c)
+    roles = F.transform(F.array_sort(F.map_entries("module_roles")), lambda e: F.concat(e["key"], e["value"]))
+    return m.select(
+        "file", "ingested_at", "module_summary", said("annotations", lambda a: F.concat(a["symbol"], a["summary"])), said("unknowns", lambda u: F.concat(u["symbol"], u["question"], u["context"])),
+        said("insights", lambda i: F.concat(i["insight"], i["related_symbols"][0])), F.md5(F.array_join(roles, ",")).alias("roles"),
+    )
+
+
+@query(_duck("SELECT file, symbol, 'info' AS severity, count(*) AS n FROM (SELECT file, ingest_seq, arg_min(symbol, spot) AS symbol FROM v WHERE ingest_seq % 2 = 0 GROUP BY 1, 2) GROUP BY 1, 2"))
+def merged_odors(spark, d):
+    """Odors add up over versions; here each even version's first line is one."""
+    empty = F.lit(None).cast("int")
+    first = F.col("annotations")[0]["symbol"]
+    odor = F.struct(F.lit("r").alias("rule"), first.alias("symbol"), F.lit("info").alias("severity"), *[empty.alias(c) for c in ("count", "lines", "depth", "caller_count", "external", "internal")])
+    v = _versions(spark, d).withColumn("odors", F.when(F.col("ingest_seq") % 2 == 0, F.array(odor)).otherwise(F.col("odors")))
+    rows = documents.merge_documents(v).select("file", F.explode("odors").alias("o")).select("file", "o.*")
+    return analytics.filter_smells(rows, severity="info").groupBy("file", "symbol", "severity").agg(F.count("*").alias("n"))
 
 
-@query(_duck("SELECT round(100.0 * (SELECT count(DISTINCT file) FROM v) / 40, 1) AS file_percent, round(100.0 * (SELECT count(DISTINCT (file, symbol)) FROM v) / (SELECT count(*) FROM part), 1) AS symbol_percent"))
+@query(oracle(_duck("").removeprefix("WITH v AS").join([", v AS", ", p AS (SELECT round(100.0 * (SELECT count(DISTINCT file) FROM v) / (SELECT count(*) FROM files), 1) AS file_percent, round(100.0 * (SELECT count(DISTINCT (file, symbol)) FROM v) / (SELECT count(*) FROM symbols), 1) AS symbol_percent) SELECT *, printf('%.1f%% files, %.1f%% symbols', file_percent, symbol_percent) AS coverage FROM p"])))
 def coverage(spark, d):
     docs = documents.merge_documents(_versions(spark, d)).withColumn("ingest_seq", F.lit(0).cast("long"))
-    return documents.coverage(docs, spark.range(40), spark.read.parquet(f"{d}/part.parquet")).select("file_percent", "symbol_percent")
+    return documents.coverage(docs, star.files(spark, d), star.symbols(spark, d)).select("file_percent", "symbol_percent", "coverage")
 
 
 @query(oracle(_duck("").removeprefix("WITH v AS").join([", v AS", ", u AS (SELECT file, 'part_' || substr(symbol, 2) AS symbol, question, arg_min(summary, spot) AS context FROM v GROUP BY 1, 2, 3), up AS (SELECT target AS name, count(*) AS c FROM calls GROUP BY 1), down AS (SELECT source AS name, count(*) AS c FROM calls GROUP BY 1) SELECT file, symbol, question, coalesce(up.c, 0) + coalesce(down.c, 0) AS reference_count FROM u LEFT JOIN up ON up.name = symbol LEFT JOIN down ON down.name = symbol ORDER BY reference_count DESC, file, symbol, question LIMIT 20"])))
@@ -105,7 +124,7 @@ def delete_annotation(spark, d):
     return documents.delete_annotation(documents.annotations_of(_versions(spark, d)), "file_1", "s2").select("file", "symbol")
 
 
-@query("SELECT n_nationkey AS k, coalesce(c.n, 0) AS annotations, coalesce(s.n, 0) AS unknowns FROM nation LEFT JOIN (SELECT c_nationkey, count(*) n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey")
+@query("SELECT n_nationkey AS k, n_name AS module_summary, md5(coalesce(c.s, '')) AS annotations, md5(coalesce(s.s, '')) AS unknowns FROM nation LEFT JOIN (SELECT c_nationkey, string_agg(c_name, ',' ORDER BY c_name) s FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_name) s FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey")
 def documents_from_relations(spark, d):
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
     blank = [F.lit("").alias(c) for c in ("kind", "summary", "design_intent", "pitfalls")]
@@ -114,17 +133,24 @@ def documents_from_relations(spark, d):
     i = a.limit(0).select("file", F.col("symbol").alias("insight"), F.array("kind").alias("related_symbols"))
     m = read("nation").select(F.col("n_nationkey").alias("file"), F.col("n_name").alias("module_summary"))
     rows = documents.from_relations(a, u, i, m)
-    return rows.select(F.col("file").alias("k"), *[F.coalesce(F.size(F.nullif(c, F.array().cast(rows.schema[c].dataType))), F.lit(0)).cast("long").alias(c) for c in ("annotations", "unknowns")])
+    said = lambda c: F.md5(F.array_join(F.coalesce(F.transform(c, lambda x: x["symbol"]), F.array().cast("array<string>")), ",")).alias(c)
+    return rows.select(F.col("file").alias("k"), "module_summary", said("annotations"), said("unknowns"))
 
 
-@query(oracle(_duck("").removeprefix("WITH v AS").join([", v AS", ", r AS (SELECT DISTINCT file, arg_max(question, ingest_seq) OVER (PARTITION BY file, first_symbol) AS role, 'part_' || substr(first_symbol, 2) AS qualified_name FROM (SELECT *, first(symbol) OVER (PARTITION BY file, ingest_seq ORDER BY spot) AS first_symbol, first(question) OVER (PARTITION BY file, ingest_seq ORDER BY spot) AS q FROM v) WHERE symbol = first_symbol AND question = q) SELECT s.qualified_name, count(role) AS roles FROM symbols s LEFT JOIN r USING (qualified_name) WHERE kind = 'class' GROUP BY 1"])))
+@query(oracle(_duck("").removeprefix("WITH v AS").join([", v AS", ", r AS (SELECT file, 'part_' || substr(symbol, 2) AS qualified_name, arg_max(question, ingest_seq) AS role FROM (SELECT file, ingest_seq, arg_min(symbol, spot) AS symbol, arg_min(question, spot) AS question FROM v GROUP BY 1, 2) GROUP BY 1, 2) SELECT s.qualified_name, s.kind, r.file AS file_path, r.role FROM symbols s LEFT JOIN r USING (qualified_name)"])))
 def node_details(spark, d):
     docs = documents.merge_documents(_versions(spark, d))
     named = F.transform_keys("module_roles", lambda k, _: F.concat(F.lit("part_"), F.substring(k, 2, 20)))
-    s = star.symbols(spark, d).where("kind = 'class'").select("qualified_name", "name")
+    s = star.symbols(spark, d).select("qualified_name", "name", "kind")
     pairs = s.join(docs.select(F.col("file").alias("file_path"), F.explode(F.map_keys(named)).alias("qualified_name")), "qualified_name", "left")
-    found = documents.node_details(pairs, docs.withColumn("module_roles", named))
-    return found.groupBy("qualified_name").agg(F.count("role").alias("roles"))
+    return documents.node_details(pairs, docs.withColumn("module_roles", named)).select("qualified_name", "kind", "file_path", "role")
+
+
+@query(_duck("SELECT file, symbol, question, ingest_seq, summary FROM (SELECT *, row_number() OVER (PARTITION BY file, symbol ORDER BY spot) - 1 AS n FROM v) WHERE NOT (file = 'file_1' AND symbol = 's2' AND n = 1)"))
+def delete_one_of_several(spark, d):
+    """The index-th entry of a key alone."""
+    rows = _versions(spark, d).select("file", "ingest_seq", F.posexplode("unknowns").alias("pos", "u")).select("file", "u.*", "ingest_seq", F.struct("ingest_seq", "pos").alias("place"))
+    return documents.delete_annotation(rows, "file_1", "s2", index=1).select("file", "symbol", "question", "ingest_seq", F.col("context").alias("summary"))
 
 
 @query("SELECT c_nationkey AS k, arg_max(c_name, c_custkey) AS last, arg_min(c_name, c_custkey) AS first FROM customer GROUP BY 1")
@@ -165,10 +191,31 @@ def hit_rate(spark, d):
     return usage.hit_rate(spark.read.parquet(f"{d}/events.parquet").select((F.col("event_type") == "click").alias("hit")))
 
 
-@query()
+_BUCKET_SQL = " UNION ALL ".join(f"SELECT 'request_latency_seconds_bucket{{le=\"{b}\"}} ' || count(*) FILTER (x <= {b}) AS line FROM s" for b in BUCKETS)
+
+
+@query("WITH s AS (SELECT value / 1000 AS x FROM events) SELECT unnest(['# TYPE requests_total counter', 'requests_total 7', '# TYPE nodes gauge', 'nodes 3']) AS line UNION ALL " + _BUCKET_SQL + " UNION ALL SELECT 'request_latency_seconds_bucket{le=\"+Inf\"} ' || count(*) FROM s UNION ALL SELECT printf('request_latency_seconds_sum %.3f', sum(x)) FROM s UNION ALL SELECT 'request_latency_seconds_count ' || count(*) FROM s")
 def prometheus_lines(spark, d):
     samples = spark.read.parquet(f"{d}/events.parquet").select((F.col("value") / 1000).alias("seconds"))
-    return usage.prometheus({"requests_total": 7}, samples).select("line")
+    lines = usage.prometheus({"requests_total": 7}, samples, gauges={"nodes": 3}).select("line")
+    cut = F.regexp_extract("line", r"^(\S+) (\S+)$", 2).cast("double")  # the order of a sum is free: three digits are compared
+    return lines.select(F.when(F.startswith("line", F.lit("request_latency_seconds_sum")), F.format_string("request_latency_seconds_sum %.3f", cut)).otherwise(F.col("line")).alias("line"))
+
+
+@query("SELECT event_type AS tool, count(*) AS requests, round(count(*) / (SELECT greatest(1.0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6) FROM events), 2) AS per_minute FROM events GROUP BY 1")
+def request_counts(spark, d):
+    return usage.request_counts(_log(spark, d))
+
+
+@query("SELECT count(*) AS files, round(count(*) / greatest(1.0, (epoch_us(max(o_orderdate)) - epoch_us(min(o_orderdate))) / 60e6), 2) AS per_minute FROM orders")
+def index_rate(spark, d):
+    return usage.index_rate(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").cast("timestamp").alias("last_indexed")))
+
+
+@query("SELECT doc_id, substr(text, 1, 200) AS query, list_transform(range(least(doc_id % 30, 20)), lambda x: 's' || x) AS symbols FROM documents")
+def logged_queries(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("double").alias("ts"), F.col("doc_id").cast("string").alias("tool"), F.col("text").alias("query"), F.transform(F.slice(F.sequence(F.lit(0), F.lit(30)), 1, (F.col("doc_id") % 30).cast("int")), lambda x: F.concat(F.lit("s"), x.cast("string"))).alias("symbols"))
+    return changes.log_entry(rows).select(F.col("ts").cast("long").alias("doc_id"), "query", "symbols")
 
 
 @query("SELECT count(*) AS n, max(value) AS max FROM (SELECT value FROM events ORDER BY ts DESC, event_id LIMIT 5000)")
@@ -200,12 +247,37 @@ def freshness(spark, d):
     return sync.freshness(*_disk(spark, d))
 
 
-@query(oracle("SELECT count(*) AS n, count(DISTINCT file_path) AS files FROM symbols WHERE file_path <> 'src/config/regions.py'"))
+@query(oracle("SELECT 'symbol' AS what, id::VARCHAR AS a, file_path AS b FROM symbols WHERE file_path NOT IN ('src/config/regions.py', 'src/services/nation_3.go') UNION ALL SELECT 'edge', source || ' ' || target || ' ' || kind, source_file FROM edges WHERE source_file NOT IN ('src/config/regions.py', 'src/services/nation_3.go') AND NOT (kind = 'imports' AND target = 'region_1') UNION ALL SELECT 'file', path, file_hash FROM files WHERE path NOT IN ('src/config/regions.py', 'src/services/nation_3.go')"))
 def delete_file(spark, d):
-    gone = spark.createDataFrame([("src/config/regions.py",)], "path string")
-    e = star.edges(spark, d).withColumn("target_file", F.lit(None).cast("string"))
-    out = sync.delete_files({"files": star.files(spark, d), "symbols": star.symbols(spark, d), "edges": e}, gone)
-    return out["symbols"].agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
+    """What is left of the relations without two files, one of which some edges lead into."""
+    gone = spark.createDataFrame([("src/config/regions.py",), ("src/services/nation_3.go",)], "path string")
+    into = F.when(F.expr("kind = 'imports' AND target = 'region_1'"), "src/config/regions.py")
+    out = sync.delete_files({"files": star.files(spark, d), "symbols": star.symbols(spark, d), "edges": star.edges(spark, d).withColumn("target_file", into)}, gone)
+    s = out["symbols"].select(F.lit("symbol").alias("what"), F.col("id").cast("string").alias("a"), F.col("file_path").alias("b"))
+    e = out["edges"].select(F.lit("edge"), F.concat_ws(" ", "source", "target", "kind"), "source_file")
+    return s.unionAll(e).unionAll(out["files"].select(F.lit("file"), "path", "file_hash"))
+
+
+@query("WITH a AS (SELECT 'f' || s_suppkey AS path, s_acctbal AS t FROM supplier WHERE s_suppkey % 3 <> 0), b AS (SELECT 'f' || s_suppkey AS path, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE s_acctbal + 1 END AS t FROM supplier WHERE s_suppkey % 5 <> 1) SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'deleted' ELSE 'newer' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR b.t > a.t")
+def polled_changes(spark, d):
+    """Two scans of a tree: what is new or later, and what is gone."""
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("path"), F.col("s_acctbal").alias("mtime"), "s_suppkey")
+    before = s.where("s_suppkey % 3 <> 0").select("path", "mtime")
+    now = s.where("s_suppkey % 5 <> 1").select("path", F.when(F.col("s_suppkey") % 2 == 0, F.col("mtime")).otherwise(F.col("mtime") + 1).alias("mtime"))
+    return sync.newer(before, now).withColumn("change", F.lit("newer")).unionAll(sync.deleted_since(before, now).withColumn("change", F.lit("deleted")))
+
+
+@query("SELECT 's' || s_suppkey AS path, CASE WHEN s_suppkey % 7 = 0 AND s_suppkey % 4 <> 1 THEN 'new' ELSE 'old' END AS language FROM supplier WHERE s_suppkey % 4 <> 1 UNION ALL SELECT 's' || s_suppkey, 'new' FROM supplier WHERE s_suppkey % 4 = 1 AND s_suppkey % 9 <> 2")
+def upserted_files(spark, d):
+    """A sync's files: changed and new ones replaced, fatal ones left out, others untouched."""
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    row = lambda t, h, language, fatal: t.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), F.lit(language).alias("language"), h.alias("file_hash"), fatal.alias("fatal_error"))
+    none = F.lit(None).cast("string")
+    old = row(s.where("s_suppkey % 4 <> 1"), F.col("s_name"), "old", none)
+    new = row(s, F.when(F.col("s_suppkey") % 7 == 0, "other").otherwise(F.col("s_name")), "new", F.when(F.expr("s_suppkey % 4 = 1 AND s_suppkey % 9 = 2"), "unreadable"))
+    edges = spark.createDataFrame([], "file_path string, source_file string")
+    out = sync.upsert({"files": old, "symbols": edges, "edges": edges}, {"files": new, "symbols": edges, "edges": edges})
+    return out["files"].select("path", "language")
 
 
 @query(oracle("SELECT id, CASE WHEN file_path LIKE 'src/services/%' THEN upper(name) ELSE name END AS name FROM symbols"))
@@ -244,8 +316,18 @@ def conversation_statements(spark, d):
     return conversations.statements(_said(spark, d)).select("id", "family", "pattern", "symbol", "statement")
 
 
-@query()
+@query(_statement_sql().replace("SELECT id, family, pattern, symbol, trim(statement) AS statement FROM (", "SELECT id, CASE WHEN family = 'design_intent' THEN trim(statement) ELSE '' END AS module_summary, CASE WHEN family = 'summary' THEN symbol || ': ' || trim(statement) WHEN family = 'pitfalls' THEN symbol || '! ' || trim(statement) END AS annotation FROM ("))
 def conversation_documents(spark, d):
+    """A document for each statement of the whole text."""
+    docs = conversations.statement_documents(conversations.extract(_said(spark, d)))
+    a = F.col("annotations")[0]
+    said = F.when(F.size("annotations") == 0, None).when(a["kind"] == "function", F.concat(a["symbol"], F.lit(": "), a["summary"])).otherwise(F.concat(a["symbol"], F.lit("! "), a["pitfalls"]))
+    return docs.select("id", "module_summary", said.alias("annotation"))
+
+
+@query()
+def relevant_documents(spark, d):
+    """The same of only the sentences that come near an anchor phrase."""
     return conversations.statement_documents(conversations.extract(_said(spark, d), ["function handles rows", "design keep use caching"]))
 
 
@@ -255,6 +337,18 @@ def sentence_split(spark, d):
     return docs.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
+@query("SELECT conv_id AS id, md5(CASE conv_id % 6 WHEN 4 THEN coalesce(first(text ORDER BY turn), '') WHEN 5 THEN coalesce(string_agg(text, '\n' ORDER BY turn) FILTER (length(text) > 50), '') ELSE string_agg(text, '\n' ORDER BY turn) END) AS digest FROM conversations WHERE text IS NOT NULL GROUP BY 1")
+def conversation_shapes(spark, d):
+    """Lists of strings, of texts and of blocks under four keys, a single string, and strings under unknown keys."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").where("text IS NOT NULL")
+    t = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("t"))
+    k = F.col("conv_id") % 6
+    blocks = F.to_json(F.struct(F.transform("t", lambda x: F.struct(F.array(F.struct(x.alias("text"))).alias("content"))).alias("chat")))
+    keyed = F.to_json(F.map_from_entries(F.transform("t", lambda x, i: F.struct(F.concat(F.lit("k"), F.lpad(i.cast("string"), 6, "0")), x))))
+    json = F.when(k == 0, F.to_json(F.struct(F.col("t").alias("conversation")))).when(k == 1, blocks).when(k == 2, F.to_json(F.transform("t", lambda x: F.struct(x.alias("text"))))).when(k == 3, F.to_json(F.struct(F.struct(F.transform("t", lambda x: F.struct(x.alias("message"))).alias("messages")).alias("content")))).when(k == 4, F.to_json(F.struct(F.col("t")[0].alias("text")))).otherwise(keyed)
+    return conversations.texts(t.select(F.col("conv_id").alias("id"), json.alias("json"))).select("id", F.md5("text").alias("digest"))
+
+
 @query("SELECT conv_id AS id, md5(string_agg(text, '\n' ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
 def conversation_texts(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
@@ -294,13 +388,6 @@ def parsed_symbols(spark, d):
     return project.relations(project.parse(sources))["symbols"].select("name", "kind", "parent_symbol", "start_line")
 
 
-@query()
-def analysed_documents(spark, d):
-    sources = spark.createDataFrame([("src/store.py", bytearray(SAMPLE.encode())), ("bad.py", bytearray(b"def broken(:\n")), ("x.unknown", bytearray(b""))], "path string, content binary")
-    parsed = project.parse(sources)
-    return project.analysis_documents(project.relations(parsed), parsed)
-
-
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE NOT regexp_matches('src/' || source || '/doc_' || doc_id || '.py', '(^|/)(build|dist)(/|$)') AND doc_id % 10 <> 4")
 def ignored_paths(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -336,7 +423,11 @@ def streamed_hot_symbols(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     log = spark.readStream.schema(schema).parquet(f"{d}/events.parq*t").select(F.array(F.concat(F.lit("user_"), F.col("user_id").cast("string")), F.concat(F.lit("type_"), "event_type")).alias("symbols"))
     name = "hot_" + __import__("uuid").uuid4().hex
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        at = tempfile.mkdtemp()
     q = streams.hot_symbols(log).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
@@ -345,19 +436,34 @@ def streamed_hot_symbols(spark, d):
 # ---------------------------------------------------------------- exports
 
 
-@query(oracle("SELECT count(*) + (SELECT count(*) FROM (SELECT DISTINCT source, target, kind FROM edges)) + 13 AS lines FROM (SELECT DISTINCT qualified_name FROM symbols)"))
+def _case(column: str, values: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in values.items()) + " ELSE '' END"
+
+
+_DOT_HEAD = ["digraph code {", *(f"  {h}" for h in export.DOT_HEAD), "", "}"]
+
+
+@query(oracle(f"SELECT '  \"' || qualified_name || '\" [' || {_case('kind', export.NODE_STYLE)} || ' label=\"' || name || '\"];' AS line FROM (SELECT qualified_name, arg_min(kind, id) AS kind, arg_min(name, id) AS name FROM symbols GROUP BY 1) UNION ALL SELECT '  \"' || source || '\" -> \"' || target || '\" ' || {_case('kind', export.EDGE_STYLE)} || ';' FROM (SELECT DISTINCT source, target, kind FROM edges) UNION ALL SELECT unnest({_DOT_HEAD!r})"))
 def dot_lines(spark, d):
-    return export.dot(star.symbols(spark, d), star.edges(spark, d)).agg(F.count("*").alias("lines"))
+    return export.dot(star.symbols(spark, d), star.edges(spark, d)).select("line")
 
 
-@query(oracle("SELECT (SELECT count(*) FROM symbols) + (SELECT count(*) FROM edges) AS lines"))
+@query(oracle("SELECT qualified_name AS a, name AS b, kind AS c, file_path AS d, start_line AS e FROM symbols UNION ALL SELECT source, target, kind, NULL, NULL FROM edges"))
 def json_lines(spark, d):
-    return export.json_lines(star.symbols(spark, d), star.edges(spark, d)).agg(F.count("line").alias("lines"))
+    """The lines read back."""
+    lines = export.json_lines(star.symbols(spark, d), star.edges(spark, d))
+    back = lines.select(F.from_json("line", "node STRUCT<id: STRING, label: STRING, kind: STRING, file: STRING, line: INT>, edge STRUCT<source: STRING, target: STRING, kind: STRING>").alias("x"))
+    return back.select(F.coalesce("x.node.id", "x.edge.source").alias("a"), F.coalesce("x.node.label", "x.edge.target").alias("b"), F.coalesce("x.node.kind", "x.edge.kind").alias("c"), F.col("x.node.file").alias("d"), F.col("x.node.line").alias("e"))
 
 
-@query()
+@query(oracle(", few AS (SELECT DISTINCT file_path FROM symbols ORDER BY 1 LIMIT 50), n AS (SELECT * FROM symbols WHERE file_path IN (FROM few)) SELECT qualified_name AS a, name AS b, kind AS c, file_path AS d, start_line AS e FROM n UNION ALL SELECT source, target, kind, NULL, NULL FROM edges WHERE kind = 'calls' AND target IN (SELECT qualified_name FROM n)"))
 def json_document(spark, d):
-    return export.json_document(star.symbols(spark, d), star.edges(spark, d))
+    """The document of the first fifty files, read back."""
+    node, edge = "STRUCT<id: STRING, label: STRING, kind: STRING, file: STRING, line: INT>", "STRUCT<source: STRING, target: STRING, kind: STRING>"
+    one = export.json_document(star.symbols(spark, d), star.edges(spark, d)).select(F.from_json("json", f"nodes ARRAY<{node}>, edges ARRAY<{edge}>").alias("x"))
+    nodes = one.select(F.explode("x.nodes").alias("n")).select(F.col("n.id").alias("a"), F.col("n.label").alias("b"), F.col("n.kind").alias("c"), F.col("n.file").alias("d"), F.col("n.line").alias("e"))
+    none = F.lit(None)
+    return nodes.unionAll(one.select(F.explode("x.edges").alias("e")).select("e.source", "e.target", "e.kind", none.cast("string"), none.cast("int")))
 
 
 def _placed(spark, d):
@@ -367,16 +473,50 @@ def _placed(spark, d):
     return star.files(spark, d), s, e
 
 
-@query(oracle(", f AS (SELECT path FROM files WHERE path LIKE 'src/services/%' OR path LIKE 'src/config/%'), s AS (SELECT * FROM symbols WHERE file_path IN (SELECT path FROM f)), c AS (SELECT DISTINCT source, target, source_file, source_line FROM edges WHERE kind = 'calls' AND source_file IN (SELECT path FROM f)) SELECT 2 + 2 * (SELECT count(*) FROM f) + 7 * (SELECT count(*) FROM s) + 3 * (SELECT count(*) FROM c) + (SELECT count(DISTINCT target) FROM c) + (SELECT count(*) FROM s WHERE qualified_name IN (SELECT target FROM c)) AS lines"))
+def _dump(spark, d) -> DataFrame:
+    """An LSIF dump's lines, read back."""
+    schema = "id BIGINT, type STRING, label STRING, outV BIGINT, inV BIGINT, inVs ARRAY<BIGINT>, property STRING, uri STRING, languageId STRING, tag STRING, start STRUCT<line: INT, character: INT>, result STRUCT<contents: STRUCT<language: STRING, value: STRING>>"
+    return materialized(export.lsif(*_placed(spark, d)).select(F.col("id").alias("number"), F.from_json("json", schema).alias("x")).select("number", "x.*"), "dump")
+
+
+_CALLS = ", c AS (SELECT DISTINCT source, target, source_file, source_line FROM edges WHERE kind = 'calls' AND source_file IN (SELECT path FROM files))"
+
+
+@query(oracle(_CALLS + ", t AS (SELECT 2 + 2 * (SELECT count(*) FROM files) + 7 * (SELECT count(*) FROM symbols) + 3 * (SELECT count(*) FROM c) + (SELECT count(DISTINCT target) FROM c) + (SELECT count(*) FROM symbols WHERE qualified_name IN (SELECT target FROM c)) AS n) SELECT n AS lines, n AS ids, n AS highest, true AS only_back FROM t"))
 def lsif_lines(spark, d):
-    """The lines of two folders' files, as its SQL counts them; lsif exports all files."""
-    files, s, e = _placed(spark, d)
-    return export.lsif(files.where("path LIKE 'src/services/%' OR path LIKE 'src/config/%'"), s, e).agg(F.count("json").alias("lines"))
+    """Ids run from 1 without gaps, and a line refers only to earlier ones."""
+    last = F.greatest(F.coalesce("outV", F.lit(0)), F.coalesce("inV", F.lit(0)), F.coalesce(F.array_max("inVs"), F.lit(0)))
+    return _dump(spark, d).agg(F.count("*").alias("lines"), F.count_distinct("id").alias("ids"), F.max("id").alias("highest"), F.bool_and((last < F.col("id")) & (F.col("id") == F.col("number"))).alias("only_back"))
 
 
-@query()
+@query(oracle(f"SELECT 'file://' || file_path AS uri, start_line AS line, {_case('kind', export.RANGE_TAG)} AS tag, language, kind || ' ' || name || ': ' || coalesce(signature, '') AS value FROM symbols JOIN files ON path = file_path"))
 def lsif(spark, d):
-    return export.lsif(*_placed(spark, d))
+    """Every definition's place, tag and hover text, found along the edges of the dump of all files."""
+    x = _dump(spark, d)
+    ranges = x.where("label = 'range' AND tag <> 'ref'").select(F.col("id").alias("r"), F.col("start.line").alias("line"), "tag")
+    inside = x.where("label = 'contains'").select(F.col("outV").alias("doc"), F.explode("inVs").alias("r"))
+    docs = x.where("label = 'document'").select(F.col("id").alias("doc"), "uri", F.col("languageId").alias("language"))
+    hover = x.where("label = 'textDocument/hover'").select(F.col("outV").alias("r"), F.col("inV").alias("h"))
+    texts = x.where("label = 'hoverResult'").select(F.col("id").alias("h"), F.col("result.contents.value").alias("value"))
+    return ranges.join(inside, "r").join(docs, "doc").join(hover, "r").join(texts, "h").select("uri", "line", "tag", "language", "value")
+
+
+@query(oracle(_CALLS + " SELECT s.id AS symbol, 'file://' || c.source_file AS uri, c.source_line AS line FROM c JOIN symbols s ON s.qualified_name = c.target"))
+def lsif_references(spark, d):
+    """From each definition, along its referenceResult, every place that refers to it; symbols by their hover's order of ids."""
+    files, s, e = _placed(spark, d)
+    x = materialized(export.lsif(files, s.withColumn("signature", F.col("id").cast("string")), e).select(F.from_json("json", "id BIGINT, label STRING, outV BIGINT, inV BIGINT, inVs ARRAY<BIGINT>, property STRING, uri STRING, tag STRING, start STRUCT<line: INT, character: INT>, result STRUCT<contents: STRUCT<value: STRING>>").alias("x")).select("x.*"), "dump")
+    item = x.where("label = 'item' AND property = 'references'").select(F.col("outV").alias("o"), F.explode("inVs").alias("i"))
+    results = x.where("label = 'referenceResult'").select(F.col("id").alias("result"))
+    places = item.join(results, item["o"] == results["result"]).select("result", F.col("i").alias("r"))
+    linked = item.join(results, item["i"] == results["result"], "left_semi").select(F.col("o").alias("def"), F.col("i").alias("result"))
+    defined = x.where("label = 'textDocument/definition'").select(F.col("inV").alias("def"), F.col("outV").alias("own"))
+    hover = x.where("label = 'textDocument/hover'").select(F.col("outV").alias("own"), F.col("inV").alias("h"))
+    ids = x.where("label = 'hoverResult'").select(F.col("id").alias("h"), F.substring_index("result.contents.value", ": ", -1).cast("long").alias("symbol"))
+    at = x.where("label = 'range' AND tag = 'ref'").select(F.col("id").alias("r"), F.col("start.line").alias("line"))
+    inside = x.where("label = 'contains'").select(F.col("outV").alias("doc"), F.explode("inVs").alias("r"))
+    docs = x.where("label = 'document'").select(F.col("id").alias("doc"), "uri")
+    return linked.join(places, "result").join(at, "r").join(inside, "r").join(docs, "doc").join(defined, "def").join(hover, "own").join(ids, "h").select("symbol", "uri", "line")
 
 
 @query(oracle("SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges, 'healthy' AS status"))
@@ -385,6 +525,21 @@ def health(spark, d):
     return s.select("files", "symbols", "edges", F.when(F.col("files") > 0, "healthy").otherwise("degraded").alias("status"))
 
 
-@query()
+@query("SELECT 'src/' || source || '/doc_' || doc_id || '.py' AS path FROM documents UNION SELECT 'old/' || doc_id || '.py' FROM documents WHERE doc_id % 3 = 1")
 def changed_paths(spark, d):
-    return changes.changed_paths(spark.createDataFrame([("--- a/x.py\n+++ b/y.py\n--- /dev/null\n",)], "diff string"))
+    """Paths in diffs, one diff for each document; some files are renamed, some new, and texts hold no headers."""
+    k = F.col("doc_id").cast("string")
+    path = F.concat(F.lit("src/"), "source", F.lit("/doc_"), k, F.lit(".py"))
+    before = F.when(F.col("doc_id") % 3 == 0, "--- /dev/null").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("--- a/old/"), k, F.lit(".py  "))).otherwise(F.concat(F.lit("--- a/"), path))
+    diff = F.concat(before, F.lit("\n+++ b/"), path, F.lit("\n@@ -1 +1 @@\n-a\n+b\n"))
+    return changes.changed_paths(spark.read.parquet(f"{d}/documents.parquet").select(diff.alias("diff")))
+
+
+@query(oracle("SELECT path FROM files"))
+def named_paths(spark, d):
+    """Files by their path, below a root, and by the end of an absolute path."""
+    f = star.files(spark, d)
+    way = F.pmod(F.xxhash64("path"), F.lit(4))
+    asked = F.when(way == 0, F.concat(F.lit("/root/x/"), "path")).when(way == 1, F.concat(F.lit("./"), "path")).when(way == 2, F.concat(F.lit("/other/place/"), "path")).otherwise(F.col("path"))
+    more = spark.createDataFrame([("/nowhere/a.zz",), ("b.zz",), ("",)], "path string")
+    return changes.known_paths(f.select(asked.alias("path")).unionAll(more), f, "/root/x")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records, searches, walks
+from . import code, records, searches, walks
 
-MODULES = [walks, searches, records]
+MODULES = [walks, searches, records, code]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

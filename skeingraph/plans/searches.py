@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import documents, graph, search
+from ..operators import documents, lookup, search
 from ..sources import star
 from ..sources.star import oracle
 from .registering import registrar
@@ -16,14 +16,14 @@ TOKEN = "regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')"
 FIELDS = ("name", "qualified_name", "signature", "kind")
 
 
-def _bm25(phrases: list[list[str]], extra: str, where: str = "kind IN ('class', 'interface')") -> str:
+def _bm25(phrases: list[list[str]], extra: str) -> str:
     """Common tables: d (documents), spots, s (phrase, doc, rank)."""
     fields = " UNION ALL ".join(f"SELECT id, '{f}' AS field, {TOKEN.format(c=f)} AS terms FROM d" for f in FIELDS)
     spots = " UNION ALL ".join(
         f"SELECT {i} AS phrase, id, count(*) AS tf FROM p p0 {' '.join(f'JOIN p p{k} USING (id, field)' for k in range(1, len(ts)))} WHERE " + " AND ".join(f"p{k}.term = '{t}' AND p{k}.pos = p0.pos + {k}" for k, t in enumerate(ts)) + " GROUP BY id" for i, ts in enumerate(phrases)
     )
     return oracle(
-        f""", d AS (SELECT * FROM symbols WHERE {where}), f AS ({fields}), p AS MATERIALIZED (SELECT id, field, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM f),
+        f""", d AS (SELECT * FROM symbols), f AS ({fields}), p AS MATERIALIZED (SELECT id, field, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM f),
         len AS (SELECT id, sum(len(terms)) AS length FROM f GROUP BY id), total AS (SELECT count(*) AS n, avg(length) AS mean FROM len), spots AS ({spots}),
         s AS (SELECT phrase, id, -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS rank FROM (SELECT *, count(*) OVER (PARTITION BY phrase) AS df FROM spots) JOIN len USING (id), total)
         {extra}"""
@@ -35,7 +35,7 @@ def _score(rank: str, q: str) -> str:
 
 
 def _index(spark: SparkSession, d: str) -> search.Index:
-    return search.of_symbols(star.symbols(spark, d).where("kind IN ('class', 'interface')"))
+    return search.of_symbols(star.symbols(spark, d))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -57,12 +57,40 @@ def text_search(spark, d):
     return _rounded(search.search(_index(spark, d), "supplier", 20).select("id", "score"), "score")
 
 
-@query(_bm25([["class"]], f"SELECT id, round({_score('rank', chr(39) + 'class' + chr(39))}, 6) AS score FROM (SELECT * FROM s JOIN d USING (id) WHERE file_path = 'src/models/brand_1.py' OR file_path = 'src/models/brand_11.py' ORDER BY rank, id LIMIT 60) ORDER BY score, rank, id LIMIT 5"))
+@query(_bm25([["class"]], f"SELECT id, round({_score('rank', chr(39) + 'class' + chr(39))}, 6) AS score FROM (SELECT * FROM s JOIN d USING (id) WHERE file_path = 'src/models/brand_11.py' ORDER BY rank, id LIMIT 60) ORDER BY score, rank, id LIMIT 5"))
 def text_search_in_file(spark, d):
-    index = _index(spark, d)
-    index.docs = index.docs.where("true")
-    rows = search.match(index, "class").where("file_path IN ('src/models/brand_1.py', 'src/models/brand_11.py')").orderBy("rank", "id").limit(60)
-    return _rounded(rows.withColumn("score", search.rerank_score(F.col("rank"), F.col("symbol_name"), F.col("kind"), F.lit("class"))).orderBy("score", "rank", "id").limit(5).select("id", "score"), "score")
+    return _rounded(search.search(_index(spark, d), "class", 5, "src/models/brand_11.py").select("id", "score"), "score")
+
+
+@query(_bm25([["widget"], ["supplier"], ["brand", "1"]], "SELECT id, round(sum(rank), 6) AS rank FROM s GROUP BY id HAVING (bool_or(phrase = 0) OR bool_or(phrase = 1)) AND NOT bool_or(phrase = 2)"))
+def text_expression(spark, d):
+    """OR, NOT, quotes and parentheses."""
+    return _rounded(search.match(_index(spark, d), '(widget OR supplier) NOT "brand 1"').select("id", "rank"), "rank")
+
+
+@query(oracle("SELECT id FROM symbols WHERE kind = 'interface'"))
+def text_in_field(spark, d):
+    return search.match(_index(spark, d), "kind:interface").select("id")
+
+
+@query(oracle("SELECT id FROM symbols WHERE kind = 'type' OR regexp_matches(lower(coalesce(signature, '') || ' ' || name || ' ' || qualified_name), '(^|[^a-z0-9])build[a-z0-9]*')"))
+def text_prefix(spark, d):
+    return search.match(_index(spark, d), "build* OR kind:type").select("id")
+
+
+@query(oracle(", hit AS (SELECT qualified_name, kind FROM symbols WHERE kind IN ('class', 'type')), line AS (SELECT kind, qualified_name, arg_max(start_line, id) AS start_line FROM symbols GROUP BY 1, 2) SELECT qualified_name, kind, start_line FROM hit LEFT JOIN line USING (kind, qualified_name)"))
+def results_with_lines(spark, d):
+    s = star.symbols(spark, d)
+    return lookup.with_start_lines(s.where("kind IN ('class', 'type')").select("qualified_name", "kind"), s).select("qualified_name", "kind", "start_line")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings WHERE vec_id % 7 <> 3")
+def stored_vectors(spark, d):
+    """Vectors out of stored bytes; those of another length are left out."""
+    blob = F.udf(lambda v, n: None if v is None else __import__("struct").pack(f"<{n}f", *v[:n]), "binary")
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", blob("embedding", F.when(F.col("vec_id") % 7 == 3, 63).otherwise(64)).alias("blob"))
+    vectors = rows.select("vec_id", search.decoded(F.col("blob"), 64).alias("v")).where("v IS NOT NULL")
+    return vectors.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
 
 
 _WORDS = ["brand", "widget", "supplier"]
@@ -121,12 +149,12 @@ def encoded_search(spark, d):
     return search.vector_search(stored, q, 10)
 
 
-@query(oracle(", r AS (SELECT qualified_name, file_path FROM symbols WHERE file_path = 'src/services/nation_3.go'), up AS (SELECT target AS n, string_agg(source, ',' ORDER BY source) AS callers FROM calls GROUP BY 1), down AS (SELECT source AS n, string_agg(target, ',' ORDER BY target) AS callees FROM calls GROUP BY 1) SELECT qualified_name, md5(coalesce(callers, '')) AS callers, coalesce(callees, '') AS callees, CASE WHEN file_path = 'src/services/nation_3.go' THEN 'about nation 3' END AS module_summary FROM r LEFT JOIN up ON up.n = qualified_name LEFT JOIN down ON down.n = qualified_name"))
+@query(oracle(", r AS (SELECT qualified_name, file_path FROM symbols WHERE kind IN ('class', 'interface', 'type')), up AS (SELECT target AS n, string_agg(source, ',' ORDER BY source) AS callers FROM calls GROUP BY 1), down AS (SELECT source AS n, string_agg(target, ',' ORDER BY target) AS callees FROM calls GROUP BY 1) SELECT qualified_name, md5(coalesce(callers, '')) AS callers, md5(coalesce(callees, '')) AS callees, CASE WHEN symbol_count > 3 THEN 'about ' || file_path END AS module_summary FROM r LEFT JOIN up ON up.n = qualified_name LEFT JOIN down ON down.n = qualified_name JOIN files ON path = file_path"))
 def task_context(spark, d):
-    s = star.symbols(spark, d).where("file_path = 'src/services/nation_3.go'").select("qualified_name", "file_path")
-    docs = spark.createDataFrame([("src/services/nation_3.go", "about nation 3")], "file string, module_summary string")
+    s = star.symbols(spark, d).where("kind IN ('class', 'interface', 'type')").select("qualified_name", "file_path")
+    docs = star.files(spark, d).where("symbol_count > 3").select(F.col("path").alias("file"), F.concat(F.lit("about "), "path").alias("module_summary"))
     rows = documents.context(s, star.edges(spark, d), docs)
-    return rows.select("qualified_name", F.md5(F.array_join("callers", ",")).alias("callers"), F.array_join("callees", ",").alias("callees"), "module_summary")
+    return rows.select("qualified_name", F.md5(F.array_join("callers", ",")).alias("callers"), F.md5(F.array_join("callees", ",")).alias("callees"), "module_summary")
 
 
 @query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")

@@ -159,6 +159,28 @@ def shortest_path(spark, d):
     return graph.shortest_path(_calls(spark, d), "order_7", "region_2")
 
 
+@query(oracle(", w AS (SELECT source, target, source_file FROM edges WHERE kind = 'calls' AND (source = 'src.part_17' OR source = 'part_17')) SELECT DISTINCT 'src.part_17' AS anchor, source, target, 1 AS depth FROM w WHERE source_file = 'src/models/parts.py'"))
+def strict_walk(spark, d):
+    """By the whole name or the last segment alone, from one file."""
+    anchors = spark.createDataFrame([("src.part_17", "src/models/parts.py")], "anchor string, file string")
+    return graph.walk(_calls(spark, d), anchors, graph.DOWN, 1, suffix=False)
+
+
+@query(oracle(", t AS (SELECT DISTINCT file_path, qualified_name AS symbol, id FROM symbols WHERE file_path LIKE 'src/services/nation_1%'), few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY id) AS n FROM t) WHERE n <= 3), e AS (SELECT DISTINCT file_path, symbol, source, target, 1 AS depth FROM few JOIN calls ON source = symbol) SELECT file_path, symbol, source, target, depth FROM (SELECT *, row_number() OVER (PARTITION BY file_path, symbol ORDER BY depth, source, target) AS n FROM e) WHERE n <= 2"))
+def capped_impact(spark, d):
+    """A report's limits: three symbols of a file, two targets of a symbol."""
+    changed = star.files(spark, d).where("path LIKE 'src/services/nation_1%'").select("path")
+    return graph.impact_of_files(star.symbols(spark, d), _calls(spark, d), changed, 1, symbols_per_file=3, targets_per_symbol=2).select("file_path", "symbol", "source", "target", "depth")
+
+
+@query(oracle(" SELECT qualified_name AS symbol FROM (SELECT DISTINCT qualified_name FROM symbols WHERE kind = 'function') WHERE starts_with(qualified_name, '_') AND qualified_name NOT IN (SELECT target FROM calls) UNION ALL SELECT DISTINCT '_' || qualified_name FROM symbols WHERE kind = 'function' AND '_' || qualified_name NOT IN (SELECT target FROM calls)"))
+def dead_functions(spark, d):
+    """Functions with a private name that nothing calls."""
+    f = star.symbols(spark, d).where("kind = 'function'")
+    both = f.select(F.col("qualified_name").alias("symbol")).unionAll(f.select(F.concat(F.lit("_"), "qualified_name").alias("symbol")))
+    return analytics.dead_code(both.distinct(), _calls(spark, d)).select("symbol")
+
+
 def layer_sql(path: str) -> str:
     cases = " ".join(f"WHEN regexp_matches('/' || {path}, '{p}', 'i') THEN '{name}'" for name, p in LAYER_PATTERNS)
     return f"CASE {cases} ELSE 'other' END"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,32 +87,37 @@ def contents(files: DataFrame, root: str) -> DataFrame:
     return files.select("path").mapInPandas(run, "path string, content binary")
 
 
+#: How lines begin that only name other modules, and how long a line comment must be to say something.
+IMPORTS, LEAST_COMMENT, LONGEST_SUMMARY = ("import ", "from ", "package ", "using ", "#include", "module "), 6, 200
+_STARS = re.compile(r"^[ \t]*\*?[ \t]*|[ \t\r]+$", re.MULTILINE)
+
+
+def _said(text: str) -> Iterator[tuple[int, str]]:
+    """(rank, text) of what each part says: the first block comment 0, line comments 1, other lines 2."""
+    if block := re.search(r"/\*(.*?)\*/", text, re.DOTALL):
+        yield 0, " ".join(filter(None, _STARS.sub("", block[1]).split("\n")))
+    for line in map(str.strip, text.split("\n")):
+        if line.startswith(("//", "#")):
+            comment = line.lstrip("/# \t")
+            if len(comment) >= LEAST_COMMENT:
+                yield 1, comment
+        if line and not line.startswith(IMPORTS):
+            yield 2, line
+
+
 def summary(text: str, language: str, name: str) -> str:
     """A module's first words: docstring, block comment, line comment, first line that imports nothing; 200 characters."""
-    import ast
-    import re
-
+    found: dict[int, str] = {}
     if language == "python":
         try:
-            doc = ast.get_docstring(ast.parse(text))
+            found[-1] = ast.get_docstring(ast.parse(text)) or ""
         except (SyntaxError, ValueError, RecursionError):
-            doc = None
-        if doc:
-            return doc[:200]
-    block = re.search(r"/\*(.*?)\*/", text, re.DOTALL)
-    if block:
-        words = " ".join(x for x in (re.sub(r"^\s*\*\s?", "", line).strip() for line in block[1].strip().split("\n")) if x)
-        if words:
-            return words[:200]
-    lines = [x.strip() for x in text.split("\n")]
-    for x in lines:
-        said = x.lstrip("/# \t").strip()
-        if x.startswith(("//", "#")) and len(said) > 5:
-            return said[:200]
-    for x in lines:
-        if x and not x.startswith(("import ", "from ", "package ", "using ", "#include", "module ")):
-            return x[:200]
-    return f"{language} source file: {name}"
+            pass
+    for rank, said in _said(text):
+        if said:
+            found.setdefault(rank, said)
+    best = min((rank for rank, said in found.items() if said), default=None)
+    return f"{language} source file: {name}" if best is None else found[best][:LONGEST_SUMMARY]
 
 
 def parse(sources: DataFrame, registry: Registry | None = None) -> DataFrame:

@@ -78,3 +78,92 @@ def test_late_events_are_left_out(spark, tmp_path):
     run()
     rows = spark.read.parquet(str(tmp_path / "out")).select(F.hour("start").alias("h"), "n", "total").collect()
     assert [tuple(r) for r in rows] == [(0, 1, 1.0)]
+
+
+def test_versions_appends_and_writers(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "home"))
+    e.init()
+    folders = lambda: {p.name for p in (tmp_path / "home").iterdir() if p.name.startswith(("documents-", "query_log-"))}
+    for i in range(4):
+        e.log_query("search", f"q{i}", ["a"])
+        e.add_insight("x.py", f"note {i}")
+    assert e.table("query_log").count() == 4 and [r.insight for r in e.insights().collect()] == [f"note {i}" for i in range(4)]
+    assert len(folders()) == 10  # one for each row, none rewritten
+    seen, tables = e._version()
+    e.log_query("search", "other", [])
+    try:
+        e._commit(seen, tables)
+        raise AssertionError("a stale writer went through")
+    except RuntimeError:
+        pass
+    (tmp_path / "home" / "versions" / "999.json").write_text('{"query_')  # a writer that died
+    assert e.table("query_log").count() == 5
+    (tmp_path / "home" / "versions" / "999.json").unlink()
+    e.compact()
+    assert len(folders()) == 2 and e.table("query_log").count() == 5 and e.insights().count() == 4
+
+
+def test_search_reads_its_buckets_and_repeats_from_memory(spark, tmp_path):
+    root = tmp_path / "src"
+    root.mkdir()
+    (root / "a.py").write_text("def load_file():\n    pass\n\n\ndef save_file():\n    pass\n")
+    (root / "b.py").write_text("class Loader:\n    def load(self):\n        pass\n")
+    e = Engine(spark, str(tmp_path / "home"))
+    e.init()
+    e.index(str(root))
+    names = lambda q: {r.qualified_name for r in e.search(q).collect()}
+    assert names("load") == {"load_file", "Loader.load"} and names("load*") == {"load_file", "Loader.load", "Loader"}
+    assert names("load OR save") == {"load_file", "Loader.load", "save_file"} and names("file NOT save") == {"load_file"}
+    assert names('"load file"') == {"load_file"} and names("kind:class") == {"Loader"} and names("(load OR save) AND file") == {"load_file", "save_file"}
+    for bad in ("load OR", "(load", "size:3", "load)"):
+        try:
+            e.search(bad)
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+    from skeingraph.operators import search
+
+    plan = search.phrase_hits(e._index(), [(0, ["load"], False, None)])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "bucket#" in plan.split("PartitionFilters:")[1][:120]
+    again = len(e._searches)
+    e.search("load", log=True)
+    assert len(e._searches) == again and e.table("query_log").first().symbols == [r.qualified_name for r in e.search("load").collect()]
+    (root / "c.py").write_text("def load_more():\n    pass\n")
+    e.index(str(root))
+    assert "load_more" in names("load")
+    e.embed(16)
+    assert {r.qualified_name for r in e.rerank_semantic("load", dim=16).collect()} >= {"load_file", "load_more"}
+    assert {r.hits for r in e.context("load file").collect()} >= {1}
+
+
+def test_affected_by_named_paths(spark, tmp_path):
+    root = tmp_path / "src"
+    (root / "pkg").mkdir(parents=True)
+    (root / "pkg" / "a.py").write_text("def one():\n    two()\n\n\ndef two():\n    pass\n")
+    e = Engine(spark, str(tmp_path / "home"))
+    e.init()
+    e.index(str(root))
+    for paths, at in ((["pkg/a.py"], None), ([f"{root}/pkg/a.py"], str(root)), (["/elsewhere/pkg/a.py"], None), (["./pkg/a.py"], None)):
+        assert {r.target for r in e.affected(paths=paths, root=at).collect()} == {"two"}
+    assert e.affected(paths=["no.py"]).count() == 0
+
+
+def test_watch(spark, tmp_path):
+    import os
+
+    root = tmp_path / "src"
+    (root / "node_modules").mkdir(parents=True)
+    (root / "a.py").write_text("def one():\n    pass\n")
+    (root / "node_modules" / "x.py").write_text("def no():\n    pass\n")
+    e = Engine(spark, str(tmp_path / "home"))
+    e.init()
+    q = e.watch(str(root), str(tmp_path / "cp"), every="100 milliseconds")
+    try:
+        q.processAllAvailable()
+        assert {r.path for r in e.files().collect()} == {"a.py"}
+        (root / "b.py").write_text("def two():\n    one()\n")
+        os.utime(root / "b.py", (4e9, 4e9))
+        q.processAllAvailable()
+        assert {r.path for r in e.files().collect()} == {"a.py", "b.py"} and e.node("two").count() == 1
+    finally:
+        q.stop()

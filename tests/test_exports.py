@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from skeingraph.plans import registry
+from skeingraph.operators import export, lookup
+from skeingraph.plans import records, registry
 from skeingraph.sources import star
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def test_lsif_has_every_file(spark):
     symbols = star.symbols(spark, SF).collect()
     calls = {(r.source, r.target, r.source_file, r.source_line) for r in star.edges(spark, SF).collect() if r.kind == "calls" and r.source_file in files}
     targets = {c[1] for c in calls}
-    lines = [json.loads(r.json) for r in registry.queries()["lsif"](spark, SF).collect()]
+    lines = [json.loads(r.json) for r in export.lsif(*records._placed(spark, SF)).collect()]
     assert {x["uri"].removeprefix("file://") for x in lines if x["label"] == "document"} == files
     assert sum(x["label"] == "hoverResult" for x in lines) == len(symbols)
     linked = sum(s.qualified_name in targets for s in symbols)
@@ -26,7 +27,7 @@ def test_lsif_has_every_file(spark):
 def test_json_document_has_every_kind_and_fifty_files(spark):
     symbols = star.symbols(spark, SF).collect()
     few = set(sorted({s.file_path for s in symbols})[:50])
-    document = json.loads(registry.queries()["json_document"](spark, SF).first().json)
+    document = json.loads(export.json_document(star.symbols(spark, SF), star.edges(spark, SF)).first().json)
     assert len({n["file"] for n in document["nodes"]}) == len(few) > 20
     assert sorted(n["id"] for n in document["nodes"]) == sorted(s.qualified_name for s in symbols if s.file_path in few)
     assert {n["kind"] for n in document["nodes"]} == {s.kind for s in symbols if s.file_path in few} >= {"method"}
@@ -40,3 +41,20 @@ def test_encoded_search_ranks_every_symbol(spark, monkeypatch):
     monkeypatch.setattr(search, "vector_search", lambda stored, *a, **b: seen.append(stored) or ranked(stored, *a, **b))
     assert registry.queries()["encoded_search"](spark, SF).count() == 10
     assert seen[0].count() == star.symbols(spark, SF).count()
+
+
+def test_numbers_of_many_rows(spark):
+    """Three million rows with another column: every number once, in order."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3_000_000).select(F.xxhash64("id").alias("k"), F.concat(F.lit("payload "), "id").alias("p"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = lookup.numbered(rows, ["k"])
+        one = got.agg(F.count_distinct("position").alias("n"), F.max("position").alias("m"), F.min("position").alias("least")).first()
+        assert tuple(one) == (3_000_000, 3_000_000, 1)
+        order = got.where("position % 1000 = 0").orderBy("position").select("k").collect()
+        assert [r.k for r in order] == sorted(r.k for r in order)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.catalog.clearCache()

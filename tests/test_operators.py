@@ -83,7 +83,7 @@ def test_search_tiers(spark):
     assert {r.symbol_name for r in search.search(index, "do_wor*").collect()} == set(found)
     assert search.search(index, "...").count() == 0
     with pytest.raises(ValueError):
-        search.search(index, "a OR b")
+        search.search(index, "a NEAR b")
     assert search.search_words(index, "do_work mything", 5).first().score == 1.0
     assert search.search_words(index, "zzz yyy", 5).count() == 0
 
