@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by a permutation index.
 
-A bounded sample of vectors serves as pivots. Every vector is represented by its nearest pivots in
+A bounded sample of vectors serves as pivots. Every distinct vector is represented by its nearest pivots in
 order, and posted under each of them with its place in that order. A query walks the posting lists of
 its own nearest pivots and adds up, for each vector met, how far the places lie apart (Spearman's
 footrule over the shared pivots, absent ones counting as last); the vectors with the least footrule,
 and all that tie with the last of them, are reranked by the exact inner product in double precision.
-Equal vectors are one entry with a list of ids, so copies take no other vector's place.
+Equal vectors are one entry that knows its smallest ids, and equal queries are one search, so copies cost nothing.
 
-The index is dealt into blocks of vectors, each with posting lists of its own. The query set goes to
-every block in its turn: a block yields its best for each query, and those are merged. Nothing but the
-pivots reaches the driver.
+The index is dealt by hash into blocks of vectors, each with posting lists of its own, and the query set meets the
+blocks a bounded part at a time. A query's candidates are a budget for the whole index: a block of a share s of
+the budget gives its best s + 3 sqrt(s), which loses less than one in a hundred of those that are best over all, so
+with B blocks at most budget + 3 sqrt(budget B) vectors are reranked. Nothing but the pivots reaches the driver.
 """
 
 from __future__ import annotations
@@ -21,24 +22,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, ship
+from .common import attach, materialize, read, ship
 
-#: Pivots; how many a vector is posted under; distinct vectors reranked per block (and ties); about how many vectors a block holds.
-PIVOTS, ORDER, CANDIDATES, BLOCK = 256, 40, 1800, 8192
+#: Pivots (a bounded sample); how many a vector is posted under; distinct vectors reranked for a query, and the share of a small index that is.
+PIVOTS, ORDER, CANDIDATES, SHARE = 256, 96, 4000, 0.3
+#: Distinct vectors in a block, and distinct queries that meet it at a time.
+BLOCK, PART = 8192, 8192
 EVERY, NEAREST = 20, 20
-HIT = "query_id long, vec_id long, score double"
+HIT = "q long, vec_id long, score double, same boolean"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (doubles): rows with an id and a vector that is not null, empty, zero, nor holds null, NaN or infinite components."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # no negative zeros
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0))
 
 
+def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
+    """e (a number), v, ids (the `most` smallest, in order) of every distinct vector of usable rows; materialized."""
+    order = Window.partitionBy("v").orderBy("vec_id")
+    first = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    each = first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    return materialize(each.select(F.monotonically_increasing_id().alias("e"), "v", "ids"), "vectors")
+
+
 def pivots_of(vectors: DataFrame, many: int = PIVOTS) -> np.ndarray:
-    """A bounded sample, by a hash of the ids; unit vectors, each once."""
-    rows = vectors.orderBy(F.xxhash64("vec_id", F.lit("pivots")), "vec_id").select("v").limit(2 * many).collect()
+    """A bounded sample, by a hash of the vectors; unit vectors, each once. vectors: distinct."""
+    rows = vectors.orderBy(F.xxhash64("v", F.lit("pivots")), "v").select("v").limit(2 * many).collect()
     if not rows:
         return np.zeros((0, 0))
     p = np.array([r[0] for r in rows])
@@ -54,77 +65,98 @@ def orders(v: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
 
 
 class Block:
-    """Posting lists of one block's distinct vectors, each with the ids that hold it, smallest first."""
-
-    def __init__(self, ids: np.ndarray, v: np.ndarray, pivots: np.ndarray):
-        v = np.ascontiguousarray(v + 0.0)  # no negative zeros: equal vectors have equal bytes
-        _, first, group = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
-        by = np.lexsort((ids, group))
-        self.ids, self.start = ids[by], np.searchsorted(group[by], np.arange(len(first) + 1))
-        self.v, self.pivots = v[first], pivots
+    """Posting lists of one block's vectors."""
+
+    def __init__(self, v: np.ndarray, pivots: np.ndarray):
+        self.v, self.pivots = v, pivots
         self.n = min(ORDER, len(pivots))
-        own = orders(self.v, pivots, self.n)
-        flat = own.ravel()
+        flat = orders(v, pivots, self.n).ravel()
         by = np.argsort(flat, kind="stable")
         self.at = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
         self.who, self.place = (by // self.n).astype(np.int32), (by % self.n).astype(np.int16)
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray, candidates: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        few = len(self.v) <= candidates
-        wanted = None if few else orders(q, self.pivots, self.n)
-        for i in range(len(q)):
-            if few:
-                found = np.arange(len(self.v))
-            else:
-                shared = np.zeros(len(self.v), np.int32)  # footrule saved against sharing no pivot
-                for place, p in enumerate(wanted[i]):
-                    a, z = self.at[p], self.at[p + 1]
-                    saved = 2 * self.n - place - self.place[a:z] - np.abs(self.place[a:z] - place)
-                    shared[self.who[a:z]] += saved
-                cut = -np.partition(-shared, candidates - 1)[candidates - 1]
-                found = np.flatnonzero(shared >= cut)  # all that tie with the last go on
+    def candidates(self, wanted: np.ndarray, most: int) -> np.ndarray:
+        """The `most` vectors of least footrule to a query's order of pivots, and all that tie with the last."""
+        shared = np.zeros(len(self.v), np.int32)  # footrule saved against sharing no pivot
+        for place, p in enumerate(wanted):
+            a, z = self.at[p], self.at[p + 1]
+            shared[self.who[a:z]] += 2 * self.n - place - self.place[a:z] - np.abs(self.place[a:z] - place)
+        if most >= len(self.v):
+            return np.arange(len(self.v))
+        return np.flatnonzero(shared >= -np.partition(-shared, most - 1)[most - 1])
+
+    def search(self, q: np.ndarray, most: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the candidates (and scores) that can be among its k best entries: ties with the last stay."""
+        for i, wanted in enumerate(orders(q, self.pivots, self.n)):
+            found = self.candidates(wanted, most)
             score = (self.v[found] * q[i]).sum(axis=1)
-            if len(found) > k + 1:  # one may hold the query's own id alone; ties with the last go on by id
-                last = -np.partition(-score, k)[k]
+            if len(found) > k:
+                last = -np.partition(-score, k - 1)[k - 1]
                 found, score = found[score >= last], score[score >= last]
-            ids = np.concatenate([self.ids[self.start[g] : self.start[g + 1]] for g in found])
-            score = np.repeat(score, self.start[found + 1] - self.start[found])
-            ids, score = ids[ids != query_ids[i]], score[ids != query_ids[i]]
-            best = np.lexsort((ids, -score))[:k]
-            yield np.full(len(best), query_ids[i]), ids[best], score[best]
+            yield found, score
+
+
+def budget(n: int, candidates: int, block: int) -> int:
+    """Candidates that a block of `block` of n vectors gives for a query."""
+    share = min(candidates, max(64, SHARE * n)) * block / n
+    return int(np.ceil(share + 3 * share**0.5))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, candidates: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, candidates: int = CANDIDATES, block: int = BLOCK, part: int = PART) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of largest inner product with each query, its own row aside.
 
     vectors, queries: vec_id, embedding; other columns are ignored. Ties go to the smaller vec_id. Rows that `usable`
-    leaves out take no part on either side; a query finds every other row if those are at most k. Repeated
-    vec_ids are repeated results. Vectors must be of one length. Either side empty: no rows.
+    leaves out take no part on either side; a query finds every other row if those are at most k. A query's own row is one
+    row of its vec_id and vector; another row of that vec_id may be found, and each of several query rows of one
+    vec_id has ranks of its own. Vectors must be of one length. Either side empty: no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
-    all_, asked = usable(vectors), usable(queries)
-    n = all_.count()
-    pivots = spark.sparkContext.broadcast(pivots_of(all_))
-    blocks = max(1, -(-n // block))
-    dealt = all_.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-        return np.array(column.to_pylist(), dtype=np.float64)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        if left.num_rows and right.num_rows:
-            own = Block(left.column("vec_id").to_numpy(), matrix(left.column("v")), pivots.value)
-            out += own.search(right.column("vec_id").to_numpy(), matrix(right.column("v")), candidates, k)
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
-    hits = dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, HIT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    entries = distinct_vectors(usable(vectors), k + 1)
+    asked = materialize(usable(queries), "queries")
+    different = asked.groupBy("v").agg(F.count("*").alias("m"))
+    different = materialize(different.select(F.monotonically_increasing_id().alias("q"), "v", "m"), "asked")
+    n, many = entries.count(), different.count()
+    pivots = spark.sparkContext.broadcast(pivots_of(entries))
+    blocks, parts = max(1, -(-n // block)), max(1, -(-many // part))
+    deal = lambda c, x: F.pmod(F.xxhash64(c), F.lit(x)).cast("int")
+    every = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
+    left = entries.select(deal("e", blocks).alias("block"), every(parts).alias("part"), "v", "ids")
+    right = different.select(every(blocks).alias("block"), deal("q", parts).alias("part"), "q", "v")
+
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))]
+        if mine.num_rows and theirs.num_rows:
+            own, q = Block(matrix(mine.column("v")), pivots.value), matrix(theirs.column("v"))
+            ids = mine.column("ids").combine_chunks()
+            start, ids = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]), np.asarray(ids.flatten())
+            for i, (found, score) in enumerate(own.search(q, budget(n, candidates, len(own.v)), k + 1)):
+                size = start[found + 1] - start[found]
+                which = np.concatenate([ids[start[g] : start[g + 1]] for g in found])
+                same = np.repeat((own.v[found] == q[i]).all(axis=1), size)
+                score = np.repeat(score, size)
+                best = np.lexsort((which, -score))[: k + 1]
+                out.append((np.full(len(best), theirs.column("q")[i].as_py()), which[best], score[best], same[best]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["q", "vec_id", "score", "same"])
+
+    hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, HIT)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
+    best = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score", "same"))).alias("found"))
+    best = materialize(different.select("q", "v", "m").join(best, "q").select("v", "m", "found"), "found")
+    each = attach(asked.withColumnRenamed("vec_id", "query_id"), best, ["v"], "m", asked.count())
+    own = F.expr("array_position(transform(found, x -> x.same AND x.vec_id = query_id), true)")
+    others = each.withColumn("own", own).select("query_id", F.expr("slice(filter(found, (x, i) -> i + 1 <> own), 1, " + str(k) + ")").alias("found"))
+    flat = others.select("query_id", F.posexplode("found").alias("at", "x"))
+    return flat.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nearest of every row whose vec_id is divisible by 20; unusable vectors, ties, repeats and empty tables as there."""
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
