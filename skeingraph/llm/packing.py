@@ -179,7 +179,8 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[
     """One row per piece of a document in a sequence.
 
     docs: doc_id, text; other columns are ignored. A null text counts as empty (its end id alone); null
-    or repeated doc_ids are kept as they are, each row its own document. An empty table gives no rows.
+    or repeated doc_ids are kept as they are, each row its own document. A special token of the vocabulary in a text is
+    its id, as the vocabulary has it. An empty table gives no rows.
     Ties are broken by input order within a split, so the result follows from the input files.
     """
     if any(a <= b or a % b for a, b in zip(tiers, tiers[1:], strict=False)) or any(t & (t - 1) for t in tiers):
@@ -190,4 +191,5 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, tiers: tuple[
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents of all documents; nulls, repeats and empty tables as there."""
     return pack_documents(read(spark, sf_dir, "documents"))
