@@ -23,13 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Text, U, grams, materialize, read, ship, slices, text_of, word_hashes, words_of
+from .common import Text, U, grams, materialize, read, row_keys, ship, slices, text_of, word_hashes, words_of
 from .simhash import without
 
 SHINGLE, CONTAINMENT, FUNCTIONS, LEAST_BLOCK, LEAST_CLASS = 5, 0.8, 64, 32, 8
 #: Shingles in one block of items: about 60 MB on each executor.
 BLOCK_SHINGLES = 1_000_000
-SCHEMA = "doc_id long, item_id long, containment double, item_shingles int"
+SCHEMA = "k1 long, k2 long, doc_id long, item_id long, containment double, item_shingles int"
 
 #: Words are runs of anything but ASCII white space and punctuation.
 NOT_WORD = np.zeros(256, dtype=bool)
@@ -157,12 +157,23 @@ def _search(docs: DataFrame, index: Index, least: float) -> DataFrame:
                         have[size] = {b" ".join(said[i : i + size]) for i in range(len(said) - size + 1)}
                     share = len(item & have[size]) / len(item)
                     if share >= least:
-                        rows.append((b.column("doc_id")[d].as_py(), index.ids[k], share, len(item)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "containment", "item_shingles"])
+                        rows.append((*(b.column(c)[d].as_py() for c in ("k1", "k2", "doc_id")), index.ids[k], share, len(item)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [*[pa.int64()] * 4, pa.float64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
+    return d.select(k1.alias("k1"), k2.alias("k2"), "doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, least: float, block_shingles: int) -> DataFrame:
+    ship(docs.sparkSession)
+    found = None
+    for items in blocks_of_items(benchmark, block_shingles):
+        part = _search(docs, Index(items), least)
+        found = part if found is None else found.unionAll(part)
+    return found if found is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -173,18 +184,17 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least: float = CONTAI
     one without words is in nothing. Null texts have no words. Each row counts for itself: repeated rows
     give repeated results. Either table empty: no rows.
     """
-    ship(docs.sparkSession)
-    found = None
-    for items in blocks_of_items(benchmark, block_shingles):
-        part = _search(docs, Index(items), least)
-        found = part if found is None else found.unionAll(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+    return _hits(docs, benchmark, least, block_shingles).drop("k1", "k2")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that contain a benchmark item; rows with a null doc_id stay."""
-    return without(docs, materialize(contained_items(docs, benchmark).select("doc_id").where("doc_id IS NOT NULL").distinct(), "leaks"))
+    """docs without the rows that contain a benchmark item, whether they have an id or not.
+
+    Rows are told apart by id and text, so another text of the same doc_id stays.
+    """
+    return without(docs, materialize(_hits(docs, benchmark, CONTAINMENT, BLOCK_SHINGLES).select("k1", "k2").distinct(), "leaks"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contained_items of all documents and items; nulls, short items, repeats and empty tables as there."""
     return contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

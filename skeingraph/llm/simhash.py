@@ -9,7 +9,8 @@ against those not yet reached, and only a spanning forest leaves the task. So a
 near copies costs about its size, not its square, and no link between different texts is lost.
 
 Exact copies share a fingerprint and are one node throughout; each fingerprint has 64 postings, so one
-posting never holds more than 1/64 of the rows that are dealt out.
+posting never holds more than 1/64 of the rows that are dealt out. A task holds a run as eight bytes for each
+distinct fingerprint in it. Fingerprints and components that many rows share are joined back by `attach`.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, LOWER_ASCII, materialize, read, ship
+from .common import BROADCAST_IDS, LOWER_ASCII, attach, materialize, read, row_keys, ship, small
 from .components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -51,15 +52,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) for every row; a null text has no words."""
+    """k1, k2 (the row's key), doc_id, fp (the fingerprint's bits as a signed long) for every row; a null text has no words."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("k1", "k2", "doc_id")), pa.array(fp.view(np.int64))], names=["k1", "k2", "doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
+    return d.select(k1.alias("k1"), k2.alias("k2"), "doc_id", "text").mapInArrow(run, "k1 long, k2 long, doc_id long, fp long")
 
 
 def postings(fps: DataFrame) -> DataFrame:
@@ -156,6 +159,22 @@ def links(distinct_fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
     return postings(distinct_fps).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def grouped(docs: DataFrame, most: int = MAX_BITS) -> DataFrame:
+    """k1, k2, doc_id, fp, component_id, best (the key of the component's first row) for every row.
+
+    The first row is the one of the smallest doc_id, of the smallest text hash among equal ids; null ids come last.
+    """
+    fps = materialize(fingerprints(docs), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2"))
+    firsts = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), best.alias("best"), F.count("*").alias("n")), "firsts")
+    roots = connected_components(links(firsts.select("fp"), most), "a", "b")
+    nodes = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", "best", "n", F.coalesce("root", "fp").alias("root"))
+    nodes = materialize(nodes, "nodes")
+    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"), F.min("best").alias("chosen"), F.count("*").alias("c"))
+    known = attach(nodes, materialize(least, "least"), ["root"], "c", nodes.count()).select("fp", "n", "component_id", F.col("chosen").alias("best"))
+    return attach(fps, materialize(known, "known"), ["fp"], "n", fps.count()).select("k1", "k2", "doc_id", "fp", "component_id", "best")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable by links, its own included) for every row.
 
@@ -163,33 +182,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and are linked like any other. Rows with the same doc_id each stay. A component whose doc_ids are all
     null has a null id. An empty table gives no rows.
     """
-    fps = materialize(fingerprints(docs), "fingerprints")
-    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(firsts.select("fp")), "a", "b")
-    nodes = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(nodes.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return grouped(docs).select("doc_id", "fp", "component_id")
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """k1, k2 (the row's key), row (all columns of docs)."""
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    k1, k2 = row_keys(F.col("row.doc_id").cast("long"), F.col("row.text").cast("string"))
+    return d.select(k1.alias("k1"), k2.alias("k2"), "row")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in ids; ids is a small materialized table or else shuffled."""
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, "doc_id", "left_anti").select(docs.columns)
+def without(docs: DataFrame, keys: DataFrame, few: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs whose key (k1, k2) is not in keys, a materialized table."""
+    return keyed_rows(docs).join(small(keys, few), ["k1", "k2"], "left_anti").select("row.*")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest doc_id. Columns and texts stay as they are.
+def keep_first(docs: DataFrame, few: int = BROADCAST_IDS) -> DataFrame:
+    """One row of each near-duplicate group: that of the smallest doc_id. Columns and texts stay as they are.
 
-    A doc_id goes if any row of it is in a group with a smaller one. Of several rows with one doc_id one
-    stays. Rows with a null doc_id stay.
+    Rows are told apart by id and text: of different texts of one doc_id each has its own group, null ids come last in
+    theirs, and of rows equal in both one stays.
     """
-    groups = materialize(near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n")), "groups")
-    kept = without(docs, groups.where("doc_id <> least").select("doc_id"))
-    again = groups.where("doc_id = least AND n > 1").select("doc_id")
+    rows = materialize(grouped(docs).select("k1", "k2", (F.struct("k1", "k2") == F.struct("best.k1", "best.k2")).alias("first")), "groups")
+    gone = materialize(rows.where("NOT first").select("k1", "k2").distinct(), "gone")
+    again = materialize(rows.where("first").groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"), "again")
+    kept = keyed_rows(docs).join(small(gone, few), ["k1", "k2"], "left_anti")
     if again.isEmpty():
-        return kept
-    return without(kept, again).unionAll(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        return kept.select("row.*")
+    side = small(again, few)
+    one = kept.join(side, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("row").alias("row"))
+    return kept.join(side, ["k1", "k2"], "left_anti").select("row.*").unionAll(one.select("row.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of all documents; nulls, empty texts, repeats and empty tables as there."""
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
