@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, ship, slices, text_of
+from .common import materialize, read, ship, slices, small, text_of
 
 UNKNOWN = "und"
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
@@ -132,10 +132,8 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
 
 def sample(labelled: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], list[str]]:
     """About per_language texts of each language, by a hash of their ids: a bounded sample."""
-    n = labelled.groupBy("lang").count()
-    shares = F.broadcast(n.select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("share"))) if n.count() <= 10_000 else None
-    if shares is None:
-        raise ValueError("more than 10,000 languages")
+    n = materialize(labelled.groupBy("lang").count(), "languages")
+    shares = small(n.select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("share")))
     part = labelled.join(shares, "lang").where((F.abs(F.xxhash64("doc_id", F.lit("language"))) % 1_000_000) < F.col("share") * 1_000_000)
     texts, langs, chars = [], [], 0
     for r in part.select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "text").toLocalIterator():
@@ -204,5 +202,6 @@ def train_on_documents(docs: DataFrame) -> Model:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predict for all documents; nulls, texts without letters, ties, repeats and empty tables as in with_language."""
     docs = read(spark, sf_dir, "documents")
     return predict(docs, train_on_documents(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

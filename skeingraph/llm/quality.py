@@ -9,8 +9,10 @@ the documents that hold it and how often, are split by the hash of the third cha
 4-gram's interpolation and backing off need (every order's entry ends in the same two characters, every
 context in the third) lies in the same shard of the model, so a block's share meets the model's
 shard in one co-group, and yields a partial sum of log probabilities for each document of the block.
-Blocks are dealt into groups, each of which gets the shard, so a cell's size does not grow with the
-corpus. Eight partial sums per document make its perplexity.
+There are as many shards as keep one at about SHARD_ROWS entries, and blocks are dealt into groups, each of which gets
+the shard; the more shards, the more documents a group holds, so neither a cell nor the model's copies per document
+grow with the corpus. A document's partial sums, one of each shard, make its perplexity. They are joined by the row's
+key (id, hash of the text, and a count among equal rows), which a task that runs again gives again, in whatever order its rows come.
 
 A document is kept if its perplexity is at most its language's threshold: a high quantile of the
 perplexities of trusted documents that the model has not seen (a fifth of them, by a hash of their ids),
@@ -19,28 +21,28 @@ taken from a fine histogram over all of those; where they are too few to reach i
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U, materialize, read, ship
+from .common import BROADCAST_IDS, U, materialize, read, row_keys, ship, small
 
-SHARDS, BLOCK_DOCS, BLOCK_CHARS, GROUP_DOCS = 8, 2048, 4_000_000, 49_152
+#: Fewest and most shards (powers of two), entries of 4-grams that one should hold, documents in a block, and, with the fewest shards, in a group.
+LEAST_SHARDS, MOST_SHARDS, SHARD_ROWS, BLOCK_DOCS, BLOCK_CHARS, GROUP_DOCS = 8, 4096, 60_000, 2048, 4_000_000, 49_152
 #: Quantile of held-out trusted documents' log perplexities that is the threshold, and the histogram's step.
 QUANTILE, STEP = 0.995, 0.002
 #: Share of trusted documents kept from training for the thresholds, in fifths.
 HELD_FIFTHS = 1
-#: Up to so many ids of trusted documents are sent to the tasks, eight bytes each; beyond, texts and ids are joined.
-TRUSTED_IDS = 16_000_000
 UNKNOWN = "und"
 MASKS = {4: -1, 3: (1 << 48) - 1, 2: (1 << 32) - 1, 1: (1 << 16) - 1}
-OUT = "row long, doc_id long, lang string, log_p double, n long"
+OUT = "k1 long, k2 long, slot long, doc_id long, lang string, log_p double, n long"
 
 
 def codes(text: str) -> np.ndarray:
@@ -49,16 +51,21 @@ def codes(text: str) -> np.ndarray:
     return u[:-3] << U(48) | u[1:-2] << U(32) | u[2:-1] << U(16) | u[3:]
 
 
-def shard_of(unit: np.ndarray) -> np.ndarray:
-    return ((unit * U(40503)) & U(65535)) >> U(13)
+def shards_for(entries: int) -> int:
+    """How many shards a model of so many 4-grams is cut into."""
+    return min(MOST_SHARDS, max(LEAST_SHARDS, 1 << max(0, -(-entries // SHARD_ROWS) - 1).bit_length()))
 
 
-def _shard(unit: Column) -> Column:
-    return F.shiftright((unit * F.lit(40503)).bitwiseAND(F.lit(65535)), 13).cast("int")
+def shard_of(unit: np.ndarray, shards: int) -> np.ndarray:
+    return ((unit * U(40503)) & U(65535)) // U(65536 // shards)
 
 
-def count_grams(texts: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
-    """lang, g, c over all texts; texts: lang, text, and with wanted (a sorted array of ids) doc_id, of which only those count."""
+def _shard(unit: Column, shards: int) -> Column:
+    return F.floor((unit * F.lit(40503)).bitwiseAND(F.lit(65535)) / F.lit(65536 // shards)).cast("int")
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """lang, g, c over all texts; texts: lang, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -78,10 +85,6 @@ def count_grams(texts: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "g", "c"])
 
         for b in batches:
-            if wanted is not None and b.num_rows:
-                ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(wanted.value, ids), max(0, len(wanted.value) - 1))
-                b = b.filter(pa.array(wanted.value[at] == ids if len(wanted.value) else np.zeros(b.num_rows, bool)))
             parts: dict[str, list[np.ndarray]] = {}
             held = 0
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
@@ -99,7 +102,7 @@ def count_grams(texts: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
         for k in list(sums):
             yield out(k)
 
-    return texts.where("text <> ''").select("lang", "text", *(["doc_id"] if wanted is not None else [])).mapInArrow(run, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    return texts.where("text <> ''").select("lang", "text").mapInArrow(run, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
 def _ctx(g: str = "g") -> Column:
@@ -113,12 +116,12 @@ def _discounted(order: DataFrame) -> tuple[DataFrame, DataFrame]:
     steps = [f"CASE WHEN n{i} > 0 AND n{i + 1} > 0 THEN greatest(0.05D, {i} - {i + 1} * ({y}) * n{i + 1} / n{i}) ELSE {i} * 0.5D END AS d{i}" for i in (1, 2, 3)]
     discounts = order.groupBy("lang").agg(*n).selectExpr("lang", *steps)
     languages = materialize(discounts, "discounts")
-    d = order.join(F.broadcast(languages) if languages.count() <= 100_000 else languages, "lang").withColumn("ctx", _ctx()).withColumn("d", F.expr("CASE WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END"))
+    d = order.join(small(languages), "lang").withColumn("ctx", _ctx()).withColumn("d", F.expr("CASE WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END"))
     contexts = d.groupBy("lang", "ctx").agg(F.sum("c").alias("t"), F.sum("d").alias("saved")).select("lang", "ctx", "t", (F.col("saved") / F.col("t")).alias("weight"))
     return d.join(contexts, ["lang", "ctx"]).select("lang", "g", "ctx", ((F.col("c") - F.col("d")) / F.col("t")).alias("own"), "weight"), contexts.select("lang", "ctx", "weight")
 
 
-def model(counts: DataFrame) -> DataFrame:
+def model(counts: DataFrame, shards: int = LEAST_SHARDS) -> DataFrame:
     """lang, shard, kind, code, value: kinds 4 to 1 are probabilities, 14 to 12 context weights, 0 the unknown's probability.
 
     counts: materialized count_grams.
@@ -132,15 +135,15 @@ def model(counts: DataFrame) -> DataFrame:
     unknown = weights.join(units, "lang").select("lang", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("code"), (F.col("weight") * F.col("even")).alias("value"))
     lower = materialize(lowest, "p1")
     everywhere = unknown.unionAll(lower.selectExpr("lang", "1 AS kind", "g AS code", "p AS value"))
-    parts = everywhere.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1)))).select("lang", "shard", "kind", "code", "value")
+    parts = everywhere.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("lang", "shard", "kind", "code", "value")
     for k in (2, 3, 4):
         own, weights = _discounted(orders[k])
         below = lower.select("lang", F.col("g").alias("suffix"), F.col("p").alias("q"))
         now = own.withColumn("suffix", F.col("g").bitwiseAND(F.lit(MASKS[k - 1]))).join(below, ["lang", "suffix"]).select("lang", "g", (F.col("own") + F.col("weight") * F.col("q")).alias("p"))
         lower = materialize(now, f"p{k}")
         third = _ctx().bitwiseAND(F.lit(65535))
-        parts = parts.unionAll(lower.select("lang", _shard(third).alias("shard"), F.lit(k).alias("kind"), F.col("g").alias("code"), F.col("p").alias("value")))
-        parts = parts.unionAll(weights.select("lang", _shard(F.col("ctx").bitwiseAND(F.lit(65535))).alias("shard"), F.lit(10 + k).alias("kind"), F.col("ctx").alias("code"), F.col("weight").alias("value")))
+        parts = parts.unionAll(lower.select("lang", _shard(third, shards).alias("shard"), F.lit(k).alias("kind"), F.col("g").alias("code"), F.col("p").alias("value")))
+        parts = parts.unionAll(weights.select("lang", _shard(F.col("ctx").bitwiseAND(F.lit(65535)), shards).alias("shard"), F.lit(10 + k).alias("kind"), F.col("ctx").alias("code"), F.col("weight").alias("value")))
     return parts
 
 
@@ -168,14 +171,14 @@ class Shard:
         return np.log(p)
 
 
-def blocks(docs: DataFrame, groups: int) -> DataFrame:
-    """lang, shard, cell, blob: each block's distinct 4-grams of one shard with the documents that hold them."""
+def blocks(docs: DataFrame, groups: int, shards: int) -> DataFrame:
+    """lang, shard, cell, blob: each block's distinct 4-grams of one shard with the documents that hold them; docs: k1, k2, doc_id, lang, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
-        n_rows = n_blocks = 0
+        base, n_blocks = TaskContext.get().partitionId() << 40, 0
+        seen: Counter = Counter()
         pack = zstandard.ZstdCompressor(level=1).compress
-        open_: dict[str, list] = {}  # language: rows, doc ids, codes, counts, characters
+        open_: dict[str, list] = {}  # language: row keys, doc ids, codes, counts, characters
 
         def close(lang: str) -> pa.RecordBatch:
             nonlocal n_blocks
@@ -186,29 +189,31 @@ def blocks(docs: DataFrame, groups: int) -> DataFrame:
             g, c = g[order], np.concatenate(cs)[order]
             start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
             size = np.diff(np.concatenate([start, [len(g)]])).astype(np.uint16)
-            shard = shard_of((g[start] >> U(16)) & U(0xFFFF)).astype(np.int64)
+            shard = shard_of((g[start] >> U(16)) & U(0xFFFF), shards).astype(np.int64)
             pair_shard = np.repeat(shard, size)
             head = np.array(rows, np.int64).tobytes() + np.array([x is not None for x in ids], np.uint8).tobytes() + np.array([x or 0 for x in ids], np.int64).tobytes()
             blobs = []
-            for s in range(SHARDS):
-                u, p = np.flatnonzero(shard == s), np.flatnonzero(pair_shard == s)
+            by_u, by_p = np.argsort(shard, kind="stable"), np.argsort(pair_shard, kind="stable")
+            at_u, at_p = (np.searchsorted(x, np.arange(shards + 1)) for x in (shard[by_u], pair_shard[by_p]))
+            for s in range(shards):
+                u, p = by_u[at_u[s] : at_u[s + 1]], by_p[at_p[s] : at_p[s + 1]]
                 sizes = np.array([len(rows), len(u), len(p)], np.int64).tobytes()
                 blobs.append(pack(sizes + head + g[start][u].tobytes() + size[u].tobytes() + doc[p].tobytes() + c[p].tobytes()))
             cell = (TaskContext.get().partitionId() + n_blocks) % groups
             n_blocks += 1
-            return pa.RecordBatch.from_arrays([pa.array([lang] * SHARDS), pa.array(range(SHARDS), pa.int32()), pa.array([cell] * SHARDS, pa.int32()), pa.array(blobs, pa.binary())], names=["lang", "shard", "cell", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([lang] * shards), pa.array(range(shards), pa.int32()), pa.array([cell] * shards, pa.int32()), pa.array(blobs, pa.binary())], names=["lang", "shard", "cell", "blob"])
 
         for b in batches:
-            for lang, doc_id, text in zip(b.column("lang").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            for k1, k2, lang, doc_id, text in zip(*(b.column(x).to_pylist() for x in ("k1", "k2", "lang", "doc_id")), b.column("text"), strict=True):
                 g, c = np.unique(codes(text.as_py() or ""), return_counts=True)
                 while c.max(initial=0) > 65535:  # split what 16 bits can't hold
                     over = c > 65535
                     g, c = np.concatenate([g, g[over]]), np.concatenate([np.minimum(c, 65535), c[over] - 65535])
                 own = open_.setdefault(lang, [[], [], [], [], 0])
-                for k, x in enumerate((base + n_rows, doc_id, g, c.astype(np.uint16))):
+                for k, x in enumerate(((k1, k2, base + seen[k1, k2]), doc_id, g, c.astype(np.uint16))):
                     own[k].append(x)
                 own[4] += len(g)
-                n_rows += 1
+                seen[k1, k2] += 1
                 if len(own[0]) >= BLOCK_DOCS or own[4] >= BLOCK_CHARS // 4:
                     yield close(lang)
         for lang in list(open_):
@@ -218,23 +223,24 @@ def blocks(docs: DataFrame, groups: int) -> DataFrame:
 
 
 def partial_sums(blob: bytes, shard: Shard | None) -> tuple[np.ndarray, ...]:
-    """Rows, whether they have an id, ids, log probabilities and numbers of 4-grams of a block's documents in one shard."""
+    """Row keys, whether they have an id, ids, log probabilities and numbers of 4-grams of a block's documents in one shard."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, u, p = np.frombuffer(raw, np.int64, 3)
     at, parts = 24, []
-    for kind, many in ((np.int64, n), (np.uint8, n), (np.int64, n), (np.uint64, u), (np.uint16, u), (np.uint16, p), (np.uint16, p)):
+    for kind, many in ((np.int64, 3 * n), (np.uint8, n), (np.int64, n), (np.uint64, u), (np.uint16, u), (np.uint16, p), (np.uint16, p)):
         parts.append(np.frombuffer(raw, kind, many, at))
         at += parts[-1].nbytes
     rows, has, ids, g, size, doc, c = parts
     weight = c.astype(np.float64)
     log_p = np.repeat(shard.log_p(g), size) if shard is not None and len(g) else np.full(len(doc), np.nan)
-    return rows, has, ids, np.bincount(doc, weight * log_p, n).astype(np.float64), np.bincount(doc, weight, n).astype(np.int64)
+    return rows.reshape(-1, 3), has, ids, np.bincount(doc, weight * log_p, n).astype(np.float64), np.bincount(doc, weight, n).astype(np.int64)
 
 
 def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """row, doc_id, lang, log_p, n for every row of docs (doc_id, lang, text)."""
-    groups = max(1, -(-docs.count() // GROUP_DOCS))
-    shards = model(counts).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    """doc_id, lang, log_p, n for every row of docs (doc_id, lang, text)."""
+    many = shards_for(counts.count())
+    groups = max(1, -(-docs.count() // (GROUP_DOCS * many // LEAST_SHARDS)))
+    shards = model(counts, many).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -243,12 +249,13 @@ def score(docs: DataFrame, counts: DataFrame) -> DataFrame:
             lang = left.column("lang")[0].as_py()
             for blob in left.column("blob"):
                 rows, has, ids, log_p, n = partial_sums(blob.as_py(), shard)
-                out.append(pa.table([pa.array(rows), pa.array(ids, mask=has == 0), pa.array([lang] * len(rows), pa.string()), pa.array(log_p), pa.array(n)], names=["row", "doc_id", "lang", "log_p", "n"]))
+                out.append(pa.table([*(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3)), pa.array(ids, mask=has == 0), pa.array([lang] * len(rows), pa.string()), pa.array(log_p), pa.array(n)], names=[x.split()[0] for x in OUT.split(", ")]))
         return pa.concat_tables(out) if out else pa.table({x.split()[0]: pa.array([], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for x in OUT.split(", ")})
 
     key = ["lang", "shard", "cell"]
-    sums = blocks(docs, groups).groupBy(*key).cogroup(shards.groupBy(*key)).applyInArrow(run, OUT)
-    return sums.groupBy("row", "doc_id", "lang").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
+    k1, k2 = row_keys(F.col("doc_id"), F.col("text"))
+    sums = blocks(docs.select(k1.alias("k1"), k2.alias("k2"), "doc_id", "lang", "text"), groups, many).groupBy(*key).cogroup(shards.groupBy(*key)).applyInArrow(run, OUT)
+    return sums.groupBy("k1", "k2", "slot", "doc_id", "lang").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
 
 
 def thresholds(trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -270,7 +277,7 @@ def thresholds(trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return found.select("lang", threshold.alias("threshold"), "low", "high")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, few: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, keep, bucket for every row.
 
     docs: doc_id, text, lang; trusted_ids: doc_id. Null languages are `und`. A null or empty text has no perplexity, is
@@ -282,17 +289,13 @@ def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = materialize(trusted_ids.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct(), "trusted")
     held = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(5)) < HELD_FIFTHS
-    if ids.count() <= TRUSTED_IDS:  # then they go to the tasks as they are, and no text is shuffled
-        known = np.sort(ids.where(~held).toPandas()["doc_id"].to_numpy(np.int64))
-        grams = count_grams(d.where("doc_id IS NOT NULL"), docs.sparkSession.sparkContext.broadcast(known))
-    else:
-        grams = count_grams(d.join(ids, "doc_id", "left_semi").where(~held))
+    grams = count_grams(d.join(small(ids.where(~held), few), "doc_id", "left_semi"))
     counts = materialize(grams, "grams")
     scored = materialize(score(d, counts).withColumn("x", F.when((F.col("n") > 0) & ~F.isnan("log_p"), -F.col("log_p") / F.col("n"))), "scores")
-    limits = materialize(thresholds(scored.join(ids, "doc_id", "left_semi").where(held).select("lang", "x")), "thresholds")
+    limits = materialize(thresholds(scored.join(small(ids.where(held), few), "doc_id", "left_semi").select("lang", "x")), "thresholds")
     per_lang = limits.where("lang IS NOT NULL")
     all_ = limits.where("lang IS NULL").first() or (None, None, None, None)
-    out = scored.join(F.broadcast(per_lang) if per_lang.count() <= 100_000 else per_lang, "lang", "left")
+    out = scored.join(small(per_lang), "lang", "left")
     t = F.coalesce("threshold", F.lit(all_[1]).cast("double"))
     keep = (F.col("n") > 0) & (F.col("x").isNull() | t.isNull() | (F.col("x") <= t))
     bucket = F.expr("CASE WHEN x IS NULL THEN NULL WHEN x <= low THEN 'head' WHEN x <= high THEN 'middle' ELSE 'tail' END")
@@ -300,5 +303,6 @@ def classify(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classify all documents by those labelled good; nulls, empty texts, repeats and empty tables as there."""
     trusted = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return classify(read(spark, sf_dir, "documents"), trusted)
