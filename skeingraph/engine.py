@@ -7,13 +7,14 @@ import os
 import tarfile
 import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
 from .operators import analytics, documents, export, graph, lookup, search, sync, usage
-from .sources import changes, conversations, project, watch
+from .sources import changes, conversations, project, stores, watch
 from .sources.languages import Registry, builtin
 
 
@@ -26,15 +27,17 @@ class Engine:
     """
 
     NAMES = {
+        "calls_out": "bucket INT, source STRING, target STRING, kind STRING, source_file STRING, target_file STRING", "calls_in": "bucket INT, source STRING, target STRING, kind STRING, source_file STRING, target_file STRING",
         "postings": "bucket INT, term STRING, doc BIGINT, field STRING, pos INT", "search_docs": "id BIGINT, symbol_name STRING, qualified_name STRING, signature STRING, kind STRING, file_path STRING, length INT",
         "files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES, "documents": schemas.DOCUMENTS + ", ingest_seq BIGINT", "query_log": schemas.QUERY_LOG, "embeddings": schemas.EMBEDDINGS,
     }
-    PARTITIONED = {"symbols": "kind", "postings": "bucket"}
+    PARTITIONED = {"symbols": "kind", "postings": "bucket", "calls_out": "bucket", "calls_in": "bucket"}
     #: Results of searches that are kept in memory, the oldest giving way.
     KEPT = 256
 
-    def __init__(self, spark: SparkSession, home: str, registry: Registry | None = None):
-        self.spark, self.home = spark, home
+    def __init__(self, spark: SparkSession, home: str, registry: Registry | None = None, encoder: Callable[[Column, int], Column] | None = search.hashed_embedding):
+        """encoder: a text column and a number of dimensions to a column of vectors; None: nothing is embedded, and searches go by text alone."""
+        self.spark, self.home, self.encoder = spark, home, encoder
         self.registry = registry or builtin()
         self._searches: dict[tuple, list] = {}
 
@@ -69,8 +72,8 @@ class Engine:
         at = f"{name}-{uuid.uuid4().hex}"
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], self.NAMES[name]).schema]
         out = df.select(*columns)
-        if name == "postings":  # a bucket's file is written by one task, sorted by its terms
-            out = out.repartition("bucket").sortWithinPartitions("bucket", "term")
+        if "bucket" in out.columns:  # a bucket's file is written by one task, sorted by what is looked up
+            out = out.repartition("bucket").sortWithinPartitions("bucket", {"postings": "term", "calls_out": "source", "calls_in": "target"}[name])
         (out.write.partitionBy(self.PARTITIONED[name]) if name in self.PARTITIONED else out.write).parquet(f"{self.home}/{at}")
         return at
 
@@ -128,17 +131,22 @@ class Engine:
     # ------------------------------------------------------------ ingest
 
     def index(self, root: str, analyze: bool = False, force: bool = False, drop_deleted: bool = True) -> DataFrame:
-        """Scans and parses a tree, and stores what changed; returns path, status."""
-        parsed = project.parse(project.contents(project.scan(self.spark, root, self.registry), root), self.registry)
+        """Scans and parses a tree (a local folder, or an address of any store that Spark reads), and stores what changed; returns path, status."""
+        parsed = project.parse(self._sources(root), self.registry)
         parsed = graph.materialized(parsed, "parsed")
         return self.ingest(parsed, analyze, force, drop_deleted)
 
+    def _sources(self, root: str) -> DataFrame:
+        if "://" in root or root.startswith("file:/"):
+            return project.stored(self.spark, root, self.registry).select("path", "content")
+        return project.contents(project.scan(self.spark, root, self.registry), root)
+
     def ingest(self, parsed: DataFrame, analyze: bool = False, force: bool = False, drop_deleted: bool = False) -> DataFrame:
         rel = project.relations(parsed)
         state = {n: self.table(n) for n in ("files", "symbols", "edges")}
         status = graph.materialized(sync.classify(rel["files"].where("fatal_error IS NULL").select("path", F.col("file_hash").alias("content_hash")), state["files"]), "status")
         new = {n: graph.materialized(t, n) for n, t in sync.upsert(state, rel, force, drop_deleted).items()}
-        self.write(new | self._search_tables(new["symbols"]))
+        self.write(new | self._derived(new))
         if analyze:
             self.save_documents(project.analysis_documents(rel, parsed))
         return status if drop_deleted else status.where("status <> 'deleted'")
@@ -159,7 +167,7 @@ class Engine:
     def delete_files(self, paths: list[str]) -> None:
         gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
         left = sync.delete_files({n: self.table(n) for n in ("files", "symbols", "edges")}, gone)
-        self.write(left | self._search_tables(left["symbols"]))
+        self.write(left | self._derived(left))
 
     # ------------------------------------------------------------ lookups, walks, search
 
@@ -176,13 +184,13 @@ class Engine:
         return lookup.stats(self.table("files"), self.table("symbols"), self.table("edges"), self.table("embeddings"))
 
     def callers(self, name: str, depth: int = 1, file_path: str | None = None) -> DataFrame:
-        return graph.callers(self.table("edges"), name, depth, file_path)
+        return graph.callers(self._calls(), name, depth, file_path)
 
     def callees(self, name: str, depth: int = 1, file_path: str | None = None) -> DataFrame:
-        return graph.callees(self.table("edges"), name, depth, file_path)
+        return graph.callees(self._calls(), name, depth, file_path)
 
     def impact(self, name: str, max_depth: int = 5) -> DataFrame:
-        return graph.impact(self.table("edges"), name, max_depth)
+        return graph.impact(self._calls(), name, max_depth)
 
     def diff(self, text: str, depth: int = 3) -> DataFrame:
         return self.affected(changes.changed_paths(self.spark.createDataFrame([(text,)], "diff string")), depth)
@@ -207,9 +215,13 @@ class Engine:
         return graph.layers(self.table("symbols"))
 
     @staticmethod
-    def _search_tables(symbols: DataFrame) -> dict[str, DataFrame]:
-        built = search.of_symbols(symbols)
-        return {"search_docs": built.docs, "postings": built.postings}
+    def _derived(state: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The stored forms that searches and walks read."""
+        built = search.of_symbols(state["symbols"])
+        return {"search_docs": built.docs, "postings": built.postings, **graph.Adjacency.tables(state["edges"])}
+
+    def _calls(self) -> graph.Adjacency:
+        return graph.Adjacency(self.table("calls_out"), self.table("calls_in"))
 
     def _index(self) -> search.Index:
         """The stored index; a search reads only the buckets of its terms."""
@@ -235,22 +247,24 @@ class Engine:
 
     def embed(self, dim: int = 384) -> None:
         """Stores an embedding of every symbol's name and signature."""
+        if self.encoder is None:
+            raise ValueError("this engine has no encoder")
         text = search.symbol_text(F.col("name"), F.col("signature"))
-        self.write({"embeddings": self.table("symbols").select("qualified_name", "file_path", search.hashed_embedding(text, dim).alias("embedding"), F.lit(f"hashed-{dim}").alias("model_version")).dropDuplicates(["qualified_name", "file_path"])})
+        self.write({"embeddings": self.table("symbols").select("qualified_name", "file_path", self.encoder(text, dim).alias("embedding"), F.lit(f"{self.encoder.__name__}-{dim}").alias("model_version")).dropDuplicates(["qualified_name", "file_path"])})
 
     def search_semantic(self, query: str, limit: int = 10, dim: int = 384) -> DataFrame:
         """Vectors and text together; text alone where nothing is embedded."""
         stored = self.table("embeddings").where(F.size("embedding") == dim)
         texts = self.search_task(query, limit)
-        if stored.isEmpty():
+        if self.encoder is None or stored.isEmpty():
             return texts.select("qualified_name", F.col("score").alias("combined"))
-        v = self.spark.range(1).select(search.hashed_embedding(F.lit(f"query {query}"), dim).alias("v")).first()["v"]
+        v = self.spark.range(1).select(self.encoder(F.lit(f"query {query}"), dim).alias("v")).first()["v"]
         return search.hybrid(texts.select("qualified_name", "score"), search.vector_search(stored, v, limit).select("qualified_name", "similarity"))
 
     def rerank_semantic(self, query: str, limit: int = 10, dim: int = 384) -> DataFrame:
         """Text results that are embedded, joined by name and file, by the cosine of their vectors."""
         texts = self.search(query, 3 * limit).select("qualified_name", "file_path", "kind", "score")
-        v = self.spark.range(1).select(search.hashed_embedding(F.lit(f"query {query}"), dim).alias("v")).first()["v"]
+        v = self.spark.range(1).select(self.encoder(F.lit(f"query {query}"), dim).alias("v")).first()["v"]
         return search.vector_search(texts.join(self.table("embeddings"), ["qualified_name", "file_path"]), v, limit)
 
     def context(self, task: str, limit: int = 10) -> DataFrame:
@@ -305,15 +319,66 @@ class Engine:
     def metrics(self, file: str | None = None) -> DataFrame:
         return documents.complexity_rows(self.documents(), file)
 
-    def ingest_conversation(self, text: str, file: str) -> None:
+    def ingest_conversation(self, text: str, file: str, tiers: list[Callable[[DataFrame], DataFrame]] | None = None) -> None:
+        """Statements of a conversation as a document of the file; documents without annotation or summary are not kept.
+
+        tiers: ways from texts (id, text) to statements, tried in turn until one finds any; the last by default is the patterns over the whole text.
+        """
         rows = conversations.texts(self.spark.createDataFrame([(0, text)], "id int, json string"))
-        found = conversations.statement_documents(conversations.statements(rows), file)
-        self.save_documents(documents.merge_documents(self._padded(found)))
+        for way in [*(tiers or []), conversations.statements]:
+            said = graph.materialized(way(rows), "said")
+            if not said.isEmpty():
+                break
+        found = documents.merge_documents(self._padded(conversations.statement_documents(said, file)))
+        self.save_documents(found.where("size(annotations) > 0 OR module_summary <> ''"))
+
+    def summarize(self, root: str) -> None:
+        """A document with its summary for each file of a tree, without an index."""
+        parsed = project.parse(self._sources(root), self.registry).where("fatal_error IS NULL")
+        self.save_documents(parsed.select(F.col("path").alias("file"), F.col("content_hash").alias("file_hash"), F.lit("semantic-ingest").alias("source"), F.col("summary").alias("module_summary")))
+
+    def file_semantics(self, file: str) -> DataFrame:
+        """What a file's document says, in five columns: module_summary, annotations, unknowns, insights, module_roles; no row without a document."""
+        return documents.merge_documents(self.table("documents").where(F.col("file") == file)).select("module_summary", "annotations", "unknowns", "insights", "module_roles")
+
+    def start(self, root: str, enabled: bool = True, analyze: bool = False) -> dict:
+        """Syncs if anything changed: {status: off, fresh, synced or error, ...}."""
+        if not enabled:
+            return {"status": "off"}
+        try:
+            stale = {r.status: r.n for r in self.freshness(root).where("status <> 'unchanged'").collect()}
+            if not stale:
+                return {"status": "fresh"}
+            self.index(root, analyze)
+            return {"status": "synced", **stale}
+        except (OSError, ValueError, RuntimeError) as e:
+            return {"status": "error", "error": str(e)}
+
+    def tours(self, folder: str) -> DataFrame:
+        """file, tour (JSON) of every JSON file in a folder; malformed ones are left out."""
+        text = self.spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("tour"))
+        return text.where("try_parse_json(tour) IS NOT NULL")
 
     def _padded(self, docs: DataFrame) -> DataFrame:
         schema = self.spark.createDataFrame([], self.NAMES["documents"]).schema
         return docs.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in docs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
+    def save_conversation(self, text: str, folder: str) -> str:
+        """Keeps a conversation as a JSON file with the time it was saved; returns its path."""
+        fs, p = self._fs(f"{folder}/conversation-{time.strftime('%Y%m%d-%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}.json")
+        stream = fs.create(p, False)
+        stream.write(bytearray(stores.saved_conversation(text).encode()))
+        stream.close()
+        return p.toString()
+
+    def health(self) -> DataFrame:
+        """One row: what there is, and whether it can be asked (healthy, or degraded without an index)."""
+        counted = lookup.stats(self.table("files"), self.table("symbols"), self.table("edges"), self.table("embeddings"))
+        return lookup.health(counted)
+
+    def index_rate(self) -> DataFrame:
+        return usage.index_rate(self.table("files"))
+
     def log_query(self, tool: str, query: str, symbols: list[str]) -> None:
         row = self.spark.createDataFrame([(time.time(), tool, query, symbols)], schemas.QUERY_LOG)
         self.append("query_log", changes.log_entry(row))
@@ -322,7 +387,7 @@ class Engine:
         return usage.hot_symbols(self.table("query_log"), limit)
 
     def freshness(self, root: str) -> DataFrame:
-        files = project.contents(project.scan(self.spark, root, self.registry), root).where("content IS NOT NULL")
+        files = self._sources(root).where("content IS NOT NULL")
         disk = files.select("path", F.sha2("content", 256).alias("content_hash"))
         return sync.freshness(disk, self.table("files"))
 

@@ -7,7 +7,7 @@ are one lazy plan of equi-joins, and adaptive execution broadcasts the small fro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import kind_rank, last_segment, layer
@@ -17,19 +17,48 @@ from .tables import materialized
 UP, DOWN = "up", "down"
 
 
+#: Calls are stored under so many buckets, by the last segment of the name that is looked up.
+BUCKETS = 256
+
+
+def name_bucket(name: Column) -> Column:
+    """Of a name: the same for all names that a dotted anchor can match."""
+    return F.pmod(F.xxhash64(F.lower(last_segment(name))), F.lit(BUCKETS)).cast("int")
+
+
+class Adjacency:
+    """Calls stored twice, in buckets of the caller and of the callee, so that a step reads only its frontier's buckets."""
+
+    def __init__(self, by_source: DataFrame, by_target: DataFrame):
+        self.sides = {DOWN: by_source, UP: by_target}
+
+    @staticmethod
+    def tables(edges: DataFrame) -> dict[str, DataFrame]:
+        """What to store, partitioned by bucket: calls_out and calls_in."""
+        calls = edges.where("kind = 'calls'").select("source", "target", "kind", "source_file", "target_file")
+        return {"calls_out": calls.withColumn("bucket", name_bucket(F.col("source"))), "calls_in": calls.withColumn("bucket", name_bucket(F.col("target")))}
+
+    def near(self, names: DataFrame, column: str, direction: str) -> DataFrame:
+        """The calls in the buckets of the names: a superset of those that touch one. Only bucket numbers come to the driver."""
+        found = sorted(r[0] for r in names.select(name_bucket(F.col(column))).distinct().collect() if r[0] is not None)
+        return self.sides[direction].where(F.col("bucket").isin(found)).drop("bucket")
+
+
 def edge_pairs(edges: DataFrame, kinds: tuple[str, ...] | None = ("calls",)) -> DataFrame:
     """source, target, repeats included: a join with a small frontier then needs no shuffle of the edges, and what it finds is made distinct."""
     rows = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
     return rows.select("source", "target")
 
 
-def first_level(edges: DataFrame, anchors: DataFrame, direction: str, suffix: bool = True) -> DataFrame:
+def first_level(edges: DataFrame | Adjacency, anchors: DataFrame, direction: str, suffix: bool = True) -> DataFrame:
     """anchor, source, target: edges that touch an anchor by its name.
 
     A dotted anchor also matches its last segment and, with suffix, any dotted name that ends in that segment in
     any case. Anchors may bring a file: then only edges from there (down) or into there (up) count.
     """
     side = "target" if direction == UP else "source"
+    if isinstance(edges, Adjacency):
+        edges = edges.near(anchors, "anchor", direction)
     cols = ["source", "target"] + ([f"{side}_file"] if "file" in anchors.columns else [])
     e = edges.where("kind = 'calls'").select(*cols).withColumn("_name", F.col(side))
     a = anchors.select("anchor", *(["file"] if "file" in anchors.columns else [])).distinct()
@@ -44,36 +73,43 @@ def first_level(edges: DataFrame, anchors: DataFrame, direction: str, suffix: bo
     return found.select("anchor", "source", "target").distinct()
 
 
-def walk(edges: DataFrame, anchors: DataFrame, direction: str, depth: int = 1, suffix: bool = True) -> DataFrame:
-    """anchor, source, target, depth: the walk from all anchors at once. depth below 1 counts as 1."""
+def walk(edges: DataFrame | Adjacency, anchors: DataFrame, direction: str, depth: int = 1, suffix: bool = True) -> DataFrame:
+    """anchor, source, target, depth: the walk from all anchors at once. depth below 1 counts as 1.
+
+    Over plain edges it is one lazy plan; over an Adjacency each level is kept, and the next reads the buckets it needs.
+    """
+    stored = isinstance(edges, Adjacency)
     level = first_level(edges, anchors, direction, suffix)
+    level = materialized(level, "walk") if stored and depth > 1 else level
     found = level.withColumn("depth", F.lit(1))
-    pairs = edge_pairs(edges)
+    pairs = None if stored else edge_pairs(edges)
     for d in range(2, depth + 1):
         at, to = ("source", "target") if direction == UP else ("target", "source")
         frontier = level.select("anchor", F.col(at).alias("_at")).distinct()
+        if stored:
+            pairs = edges.near(frontier, "_at", direction).select("source", "target")
         level = pairs.join(frontier, pairs[to] == frontier["_at"]).select("anchor", "source", "target").distinct()
-        if d % 6 == 0:
+        if stored and d < depth or d % 6 == 0:
             level = materialized(level, "walk")
         found = found.unionAll(level.withColumn("depth", F.lit(d)))
     return found
 
 
-def one(spark, name: str, file_path: str | None = None) -> DataFrame:
+def one(spark: SparkSession, name: str, file_path: str | None = None) -> DataFrame:
     if file_path is None:
         return spark.createDataFrame([(name,)], "anchor string")
     return spark.createDataFrame([(name, file_path)], "anchor string, file string")
 
 
-def callers(edges: DataFrame, name: str, depth: int = 1, file_path: str | None = None) -> DataFrame:
-    return walk(edges, one(edges.sparkSession, name, file_path), UP, depth).drop("anchor").orderBy("depth", "source", "target")
+def callers(edges: DataFrame | Adjacency, name: str, depth: int = 1, file_path: str | None = None) -> DataFrame:
+    return walk(edges, one(SparkSession.active(), name, file_path), UP, depth).drop("anchor").orderBy("depth", "source", "target")
 
 
-def callees(edges: DataFrame, name: str, depth: int = 1, file_path: str | None = None) -> DataFrame:
-    return walk(edges, one(edges.sparkSession, name, file_path), DOWN, depth).drop("anchor").orderBy("depth", "source", "target")
+def callees(edges: DataFrame | Adjacency, name: str, depth: int = 1, file_path: str | None = None) -> DataFrame:
+    return walk(edges, one(SparkSession.active(), name, file_path), DOWN, depth).drop("anchor").orderBy("depth", "source", "target")
 
 
-def impact(edges: DataFrame, name: str, max_depth: int = 5) -> DataFrame:
+def impact(edges: DataFrame | Adjacency, name: str, max_depth: int = 5) -> DataFrame:
     """What a symbol leads to."""
     return callees(edges, name, max_depth)
 

@@ -56,6 +56,11 @@ def stats(files: DataFrame, symbols: DataFrame, edges: DataFrame, embeddings: Da
     return counted.crossJoin(embeddings.agg((F.count("*") > 0).alias("has_embeddings")))
 
 
+def health(stats_: DataFrame) -> DataFrame:
+    """The counts, and status: healthy, or degraded if no file is indexed."""
+    return stats_.withColumn("status", F.when(F.col("files") > 0, "healthy").otherwise("degraded"))
+
+
 def counts_per_file(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """path, symbol_count, edge_count of every file."""
     s = symbols.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("symbol_count"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
     order = F.sort_array(F.collect_list(F.struct("pos", "symbol", "question", "summary")))
     packed = rows.groupBy("file", "ingest_seq").agg(order.alias("v"))
     blank = F.lit("")
-    return packed.select(
+    return materialized(packed.select(
         "file", "ingest_seq", F.lit("h").alias("file_hash"), F.col("ingest_seq").cast("string").alias("ingested_at"), F.lit("test").alias("source"), F.when(F.col("ingest_seq") % 4 == 0, F.col("v")[0]["summary"]).otherwise("").alias("module_summary"),
         F.transform("v", lambda x: F.struct(x["symbol"].alias("symbol"), F.lit("function").alias("kind"), x["summary"].alias("summary"), blank.alias("design_intent"), blank.alias("pitfalls"))).alias("annotations"),
         F.transform("v", lambda x: F.struct(x["symbol"].alias("symbol"), x["question"].alias("question"), x["summary"].alias("context"))).alias("unknowns"),
@@ -35,7 +36,7 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit(None).cast("array<struct<name: string, lineno: int, complexity: int, rank: string>>").alias("complexity"), F.lit(None).cast("struct<loc: int, lloc: int, sloc: int, comments: int, multi: int, blank: int>").alias("raw")).alias("metrics"),
         F.array().cast("array<struct<rule: string, symbol: string, severity: string, count: int, lines: int, depth: int, caller_count: int, external: int, internal: int>>").alias("odors"),
         F.create_map(F.col("v")[0]["symbol"], F.col("v")[0]["question"]).alias("module_roles"),
-    )
+    ), "versions")
 
 
 def _duck(body: str) -> str:
@@ -422,15 +423,16 @@ def streamed_hot_symbols(spark, d):
     """The same counts through a streaming query over the events' files, run until it has read all."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     log = spark.readStream.schema(schema).parquet(f"{d}/events.parq*t").select(F.array(F.concat(F.lit("user_"), F.col("user_id").cast("string")), F.concat(F.lit("type_"), "event_type")).alias("symbols"))
-    name = "hot_" + __import__("uuid").uuid4().hex
+    name = "hot_" + uuid.uuid4().hex
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp()
-    q = streams.hot_symbols(log).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/{name}").trigger(availableNow=True).start()
+    out = f"{at}/{name}-counts"
+    q = streams.hot_symbols(log).writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{at}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(out)
 
 
 # ---------------------------------------------------------------- exports
@@ -522,7 +524,7 @@ def lsif_references(spark, d):
 @query(oracle("SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges, 'healthy' AS status"))
 def health(spark, d):
     s = lookup.stats(star.files(spark, d), star.symbols(spark, d), star.edges(spark, d))
-    return s.select("files", "symbols", "edges", F.when(F.col("files") > 0, "healthy").otherwise("degraded").alias("status"))
+    return lookup.health(s).select("files", "symbols", "edges", "status")
 
 
 @query("SELECT 'src/' || source || '/doc_' || doc_id || '.py' AS path FROM documents UNION SELECT 'old/' || doc_id || '.py' FROM documents WHERE doc_id % 3 = 1")

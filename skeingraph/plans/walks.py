@@ -9,6 +9,7 @@ from ..functions.names import LAYER_PATTERNS, ROLE_SUFFIXES
 from ..operators import analytics, graph, lookup
 from ..sources import star
 from ..sources.star import oracle
+from ..operators.tables import materialized
 from .registering import registrar
 
 QUERIES, ORACLES, query = registrar()
@@ -96,7 +97,8 @@ def _walk_sql(seed: str, depth: int, direction: str) -> str:
 
 
 def _calls(spark, d):
-    return star.edges(spark, d)
+    """The edges, kept as an engine keeps them: the view would be computed anew for every level."""
+    return materialized(star.edges(spark, d), "edges")
 
 
 @query(_walk_sql("SELECT 'part_5' AS anchor, source, target FROM calls WHERE target = 'part_5'", 1, "up"))

@@ -70,6 +70,20 @@ def scan(spark: SparkSession, root: str, registry: Registry | None = None) -> Da
     return df.where(~excluded(F.col("path"), patterns)) if found else df
 
 
+def stored(spark: SparkSession, root: str, registry: Registry | None = None) -> DataFrame:
+    """path (relative), mtime, content of source files under a root in any store that Spark reads, listed and read by the executors.
+
+    Names that begin with _ or . are left out, as file sources do; ignore patterns come from the root's own .gitignore on a local root only.
+    """
+    registry = registry or builtin()
+    ends = ",".join(sorted(e.removeprefix(".") for e in registry.by_extension))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{ends}}}").load(root)
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    rows = found.select(F.substring(F.col("path"), F.instr("path", base) + len(base), F.lit(1 << 30)).alias("path"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), "content")
+    return rows.where(~excluded(F.col("path")))
+
+
 def contents(files: DataFrame, root: str) -> DataFrame:
     """path, content of files (path) under a root that every executor can read; content is null where it can't."""
 
@@ -186,8 +200,10 @@ def analysis_documents(rel: dict[str, DataFrame], parsed: DataFrame) -> DataFram
     return out.withColumn("metrics", F.struct("complexity", "raw")).drop("complexity", "raw")
 
 
-def analyze_with(rel: dict[str, DataFrame], registry: Registry) -> DataFrame:
-    """file, analyzer, result (JSON) of every registered analyzer over each file's symbols with their callers and callees.
+def analyze_with(rel: dict[str, DataFrame], registry: Registry, sources: DataFrame | None = None) -> DataFrame:
+    """file, analyzer, result (JSON) of every registered analyzer over each file's symbols with their callers and callees, and its text.
+
+    sources: path, content; without them the text is empty.
 
     A file's symbols are one group, as large as the file; an analyzer that fails leaves its error as the result.
     """
@@ -198,21 +214,25 @@ def analyze_with(rel: dict[str, DataFrame], registry: Registry) -> DataFrame:
     lists = caller_callee_lists(rel["edges"])
     rows = rel["symbols"].select("file_path", "qualified_name", "name", "kind", "signature")
     rows = rows.join(lists.withColumnRenamed("name", "_n"), F.col("name") == F.col("_n"), "left").drop("_n")
+    texts = rows.select(F.concat("file_path", F.lit("")).alias("file_path")).distinct().withColumn("_text", F.lit("")) if sources is None else sources.select(F.col("path").alias("file_path"), F.decode("content", "utf-8").alias("_text"))
     analyzers = registry.analyzers
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame([], columns=["file", "analyzer", "result"])
+        said = text["_text"].iloc[0] if len(text) else ""
         symbols = group[["qualified_name", "name", "kind", "signature"]].to_dict("records")
         callers, callees = ({s: list(x) if x is not None else [] for s, x in zip(group["qualified_name"], group[c], strict=True)} for c in ("callers", "callees"))
         out = []
         for name, a in sorted(analyzers.items()):
             try:
-                result = json.dumps(a.analyze(symbols, callers, callees, ""), default=str)
+                result = json.dumps(a.analyze(symbols, callers, callees, said), default=str)
             except Exception as e:  # a plug-in may fail in any way
                 result = json.dumps({"error": f"{type(e).__name__}: {e}"})
             out.append((group["file_path"].iloc[0], name, result))
         return pd.DataFrame(out, columns=["file", "analyzer", "result"])
 
-    return rows.groupBy("file_path").applyInPandas(run, "file string, analyzer string, result string")
+    return rows.groupBy("file_path").cogroup(texts.groupBy("file_path")).applyInPandas(run, "file string, analyzer string, result string")
 
 
 def history(root: str, name: str, path: str, limit: int = 5, seconds: int = 10) -> list[str]:

@@ -287,3 +287,26 @@ def test_numbering_has_no_gaps(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     got = lookup.numbered(rows, ["k"]).collect()
     assert all(r.position == r.k + 1 for r in got)
+
+
+def test_walks_over_stored_adjacency(spark, tmp_path):
+    """The same walks, and only the buckets of the frontier are read."""
+    import random
+
+    rng = random.Random(3)
+    names = [f"m{i % 5}.f{i}" if i % 3 else f"F{i}" for i in range(60)]
+    rows = [(rng.choice(names), rng.choice(names + ["f7", "F9"]), "calls" if i % 9 else "imports", f"{i % 4}.py", None) for i in range(200)]
+    edges = spark.createDataFrame(rows, "source string, target string, kind string, source_file string, target_file string")
+    at = {}
+    for name, table in graph.Adjacency.tables(edges).items():
+        table.write.partitionBy("bucket").parquet(str(tmp_path / name))
+        at[name] = spark.read.schema(table.schema).parquet(str(tmp_path / name))
+    stored = graph.Adjacency(at["calls_out"], at["calls_in"])
+    anchors = spark.createDataFrame([(n,) for n in ("m1.f1", "F9", "x.f7", "none")], "anchor string")
+    for way in (graph.UP, graph.DOWN):
+        for suffix in (True, False):
+            want = sorted(map(tuple, graph.walk(edges, anchors, way, 4, suffix).collect()))
+            assert sorted(map(tuple, graph.walk(stored, anchors, way, 4, suffix).collect())) == want
+    plan = stored.near(anchors.limit(1), "anchor", graph.DOWN)._jdf.queryExecution().toString()
+    assert "PartitionFilters: []" not in plan
+    assert graph.callees(stored, "F9", 2).count() == graph.callees(edges, "F9", 2).count()

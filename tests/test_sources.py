@@ -82,3 +82,31 @@ def test_config(tmp_path, monkeypatch):
 
 def test_history_of_nothing(tmp_path):
     assert project.history(str(tmp_path), "f", "a.py") == []
+
+
+def test_database(spark):
+    """A relation written to a database and read back in ranges of its key."""
+    url, driver = "jdbc:derby:memory:relations;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(100).selectExpr("id", "'s' || id AS name")
+    rows.write.format("jdbc").option("url", url).option("driver", driver).option("dbtable", "symbols").save()
+    got = stores.database(spark, url, "symbols", key="id", low=0, high=100, parts=4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted((r[0], r[1]) for r in got.collect()) == [(i, f"s{i}") for i in range(100)]
+
+
+def test_stored_tree_is_the_scanned_one(spark, tmp_path):
+    from skeingraph.engine import Engine
+
+    (tmp_path / "src" / "pkg" / "node_modules").mkdir(parents=True)
+    (tmp_path / "src" / "pkg" / "a b.py").write_text("def one():\n    pass\n")
+    (tmp_path / "src" / "pkg" / "node_modules" / "x.py").write_text("def no():\n    pass\n")
+    (tmp_path / "src" / "notes.txt").write_text("no")
+    (tmp_path / "src" / "b.go").write_text("package b\n\nfunc Two() {}\n")
+    found = {}
+    for name, root in (("local", str(tmp_path / "src")), ("address", f"file://{tmp_path}/src")):
+        e = Engine(spark, str(tmp_path / name))
+        e.init()
+        e.index(root)
+        found[name] = sorted(tuple(r) for r in e.files().select("path", "file_hash", "symbol_count").collect())
+        assert {r.status: r.n for r in e.freshness(root).collect()} == {"unchanged": 2}
+    assert found["local"] == found["address"] and len(found["local"]) == 2
