@@ -286,4 +286,4 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """digests of all conversations and a hostile one; nulls, equal turns and empty tables as in turn_pieces and in_order."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql(f"SELECT -1L AS conv_id, t AS turn, r AS role, '{HOSTILE}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
-    return digests(turn_pieces(rows.unionByName(extra)))
+    return digests(turn_pieces(rows.unionByName(extra))).drop("n_tokens", "loss_tokens")

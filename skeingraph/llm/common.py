@@ -248,10 +248,20 @@ def words_of(text: Text, separator: np.ndarray = SEPARATOR) -> Words:
     return Words(ws, np.flatnonzero(end) + 1, np.searchsorted(ws, text.at))
 
 
+#: Bytes (or characters) of a long text that are worked on at a time where all its parts add up.
+PIECE = 1 << 22
+
+
 def word_hashes(text: Text, words: Words) -> np.ndarray:
-    if not len(words.start):
-        return np.empty(0, np.uint64)
-    return span_hash(prefix_sums(LETTER[text.data], BASE), words.start, words.end, BASE_INV)
+    """A 64-bit hash of each word, some megabytes of text at a time."""
+    out, at = np.empty(len(words.start), np.uint64), 0
+    while at < len(out):
+        a = words.start[at]
+        to = max(at + 1, int(np.searchsorted(words.start, a + PIECE)))
+        part = LETTER[text.data[a : words.end[to - 1]]]
+        out[at:to] = span_hash(prefix_sums(part, BASE), words.start[at:to] - a, words.end[at:to] - a, BASE_INV)
+        at = to
+    return out
 
 
 LOWER_ASCII = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

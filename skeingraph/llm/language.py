@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read, ship, slices, small, text_of
+from .common import PIECE, materialize, read, ship, slices, small, text_of
 
 UNKNOWN = "und"
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
@@ -74,13 +74,23 @@ class Model:
     temperature: float
     threshold: float
 
-    def logits(self, texts: pa.Array) -> np.ndarray:
+    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all subwords of each text, and how many characters it has."""
         cp, at = characters(texts)
         total = np.zeros((len(texts), len(self.langs)))
         for b in subwords(cp):
             for j in range(len(self.langs)):
                 total[:, j] += np.add.reduceat(self.scores[j][b].astype(np.float64), at[:-1])
-        return total / (np.diff(at) * len(ORDERS))[:, None] + self.bias
+        return total, np.diff(at)
+
+    def logits(self, texts: pa.Array, piece: int = PIECE) -> np.ndarray:
+        """A text alone that is longer than a piece is added up piece by piece, each between blanks."""
+        if len(texts) == 1 and len(text := texts[0].as_py() or "") > piece:
+            parts = [self.sums(pa.array([text[i : i + piece]])) for i in range(0, len(text), piece)]
+            total, n = (sum(x) for x in zip(*parts, strict=True))
+        else:
+            total, n = self.sums(texts)
+        return total / (n * len(ORDERS))[:, None] + self.bias
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         return softmax(self.logits(texts) / self.temperature)

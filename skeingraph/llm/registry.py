@@ -10,6 +10,7 @@ from .chat import op8_chat
 from .decontaminate import op10_decontaminate
 from .language import op4_language
 from .neighbours import op9_neighbours
+from .oracles import ORACLES
 from .packing import op3_packing
 from .quality import op1_quality
 from .simhash import op2_simhash
@@ -29,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

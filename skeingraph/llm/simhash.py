@@ -15,6 +15,7 @@ distinct fingerprint in it. Fingerprints and components that many rows share are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,32 +23,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, LOWER_ASCII, attach, materialize, read, row_keys, ship, small
+from .common import BROADCAST_IDS, LOWER_ASCII, PIECE, attach, materialize, read, row_keys, ship, small
 from .components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Runs up to this length are compared by shifts; longer ones by growing components.
 SHORT_RUN = 48
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def words_by_pieces(data: bytes, piece: int) -> Iterator[list[bytes]]:
+    """The words of a text, some megabytes at a time; no word is cut."""
+    at = 0
+    while at < len(data):
+        to = at + piece
+        if to < len(data):
+            cut = _SPACE.search(data, to)
+            to = cut.start() if cut else len(data)
+        yield data[at:to].split()
+        at = to
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, piece: int = PIECE) -> int:
     """Bit set where over half of the shingles' XXH64 have it; no words: 0."""
     import xxhash
 
-    words = (text or "").encode().translate(LOWER_ASCII).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    n = len(words) - shingle + 1
-    starts = [0, *(gaps[: n - 1] + 1).tolist()]
-    ends = [*gaps[shingle - 1 :].tolist(), len(joined)]
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
-    ones = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    digest, n, held = xxhash.xxh64_intdigest, 0, []
+    ones = np.zeros(64, np.int64)
+    for some in words_by_pieces((text or "").encode().translate(LOWER_ASCII), piece):
+        words = held + some
+        many = len(words) - shingle + 1
+        if many <= 0:
+            held = words
+            continue
+        joined = b" ".join(words)
+        gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        starts = [0, *(gaps[: many - 1] + 1).tolist()]
+        ends = [*gaps[shingle - 1 :].tolist(), len(joined)]
+        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, many)
+        ones += np.unpackbits(h.view(np.uint8).reshape(many, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += many
+        held = words[many:]
+    if not n:
+        return digest(b" ".join(held), SEED) if held else 0
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 

@@ -92,6 +92,24 @@ def test_simhash(docs, none):
     assert near_duplicates(none).count() == keep_first(none).count() == 0
 
 
+def test_long_texts_by_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from skeingraph.llm import common, language, simhash
+
+    rng = random.Random(3)
+    for text in (" ".join(words(rng, 900)), " \n" * 50 + "one two", "x" * 500, "a b c " * 90, " lead and trail \t"):
+        for piece in (1, 7, 64):
+            assert simhash.fingerprint(text, piece=piece) == simhash.fingerprint(text)
+    t = common.joined([b" ".join(w.encode() for w in words(rng, 500)), b"", b"z" * 300])
+    whole = common.word_hashes(t, common.words_of(t))
+    monkeypatch.setattr(common, "PIECE", 100)
+    assert (common.word_hashes(t, common.words_of(t)) == whole).all()
+    m = language.fit(["abab baba " * 9] * 5 + ["xyxy yxyx " * 9] * 5, ["a"] * 5 + ["x"] * 5)
+    long = pa.array(["abab baba abba " * 400])
+    assert np.abs(m.logits(long, piece=500) - m.logits(long)).max() < 0.05
+
+
 def test_long_runs_give_the_same_groups():
     from skeingraph.llm.simhash import forest
 

@@ -34,6 +34,15 @@ def rows(spark):
     return run
 
 
+@pytest.mark.parametrize("name", ["op6_substring", "op7_suffixes", "op8_chat", "op10_decontaminate"])
+def test_same_rows_as_sql(spark, name):
+    from oracle import compare
+
+    from skeingraph.llm.registry import ORACLES, QUERIES
+
+    assert not compare(spark, SF, name, QUERIES[name], ORACLES[name])
+
+
 def test_quality(rows, tables):
     got, docs = {r.doc_id: r for r in rows(1)}, tables("documents")
     assert sorted(got) == sorted(r.doc_id for r in docs)
