@@ -8,6 +8,7 @@ Lines and columns count from 0. A symbol's name is kept once per file and parent
 from __future__ import annotations
 
 import ast
+import functools
 import re
 from bisect import bisect_right
 
@@ -16,6 +17,15 @@ from .languages import Extractor
 MODULE, ANONYMOUS = "<module_level>", "<anonymous>"
 
 
+@functools.lru_cache(maxsize=1)
+def syntax(text: str) -> tuple[ast.Module | None, str]:
+    """A Python text's tree, or None and why; the last text is kept, as several steps ask for one file's."""
+    try:
+        return ast.parse(text), ""
+    except (SyntaxError, ValueError, RecursionError) as e:
+        return None, str(e)
+
+
 def symbol(name, kind, at, parent=None, signature=None, partial=False) -> dict:
     return {"name": name, "kind": kind, "parent_symbol": parent, "signature": signature, "start_line": at[0], "start_col": at[1], "end_line": at[2], "end_col": at[3], "is_partial": partial}
 
@@ -46,13 +56,12 @@ class Python(Extractor):
 
     def extract(self, path: str, source: bytes) -> dict:
         text = source.decode("utf-8", "replace")
-        try:
-            tree = ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError) as e:
+        tree, why = syntax(text)
+        if tree is None:
             found = Scanned("python", self.extensions, PYTHON_LINES).extract(path, source)
             for s in found["symbols"]:
                 s["is_partial"] = True
-            found["errors"].append(f"{path}: {e}")
+            found["errors"].append(f"{path}: {why}")
             return found
         lines = text.split("\n")
         out = {"symbols": [], "edges": [], "shapes": [], "errors": [], "fatal": None}
@@ -123,14 +132,11 @@ def raw_metrics(text: str) -> dict:
     lines = text.split("\n")[: -1 if text.endswith("\n") else None] if text else []
     multi: set[int] = set()
     lloc = 0
-    try:
-        tree = ast.parse(text)
-        lloc = sum(isinstance(n, ast.stmt) for n in ast.walk(tree))
-        for n in ast.walk(tree):
-            if isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str) and n.end_lineno > n.lineno:
-                multi.update(range(n.lineno - 1, n.end_lineno))
-    except (SyntaxError, ValueError, RecursionError):
-        pass
+    tree, _ = syntax(text)
+    for n in ast.walk(tree) if tree else ():
+        lloc += isinstance(n, ast.stmt)
+        if isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str) and n.end_lineno > n.lineno:
+            multi.update(range(n.lineno - 1, n.end_lineno))
     blank = sum(not x.strip() for i, x in enumerate(lines) if i not in multi)
     alone = sum(x.strip().startswith("#") for i, x in enumerate(lines) if i not in multi)
     return {"loc": len(lines), "lloc": lloc, "sloc": len(lines) - blank - alone - len(multi), "comments": alone, "multi": len(multi), "blank": blank}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.names import complexity_rank, glob_regex, qualified_name
 from ..operators.graph import resolve_references
 from ..schemas import EDGES, SYMBOLS, columns
+from .extract import raw_metrics, syntax
 from .languages import Registry, builtin
 
 #: Folders that are never scanned.
@@ -123,10 +124,8 @@ def summary(text: str, language: str, name: str) -> str:
     """A module's first words: docstring, block comment, line comment, first line that imports nothing; 200 characters."""
     found: dict[int, str] = {}
     if language == "python":
-        try:
-            found[-1] = ast.get_docstring(ast.parse(text)) or ""
-        except (SyntaxError, ValueError, RecursionError):
-            pass
+        tree, _ = syntax(text)
+        found[-1] = ast.get_docstring(tree) or "" if tree else ""
     for rank, said in _said(text):
         if said:
             found.setdefault(rank, said)
@@ -139,8 +138,6 @@ def parse(sources: DataFrame, registry: Registry | None = None) -> DataFrame:
     registry = registry or builtin()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from .extract import raw_metrics
-
         zero = dict.fromkeys(("loc", "lloc", "sloc", "comments", "multi", "blank"), 0)
         for f in frames:
             rows = []
