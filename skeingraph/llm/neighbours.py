@@ -65,25 +65,31 @@ def orders(v: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
 
 
 class Block:
-    """Posting lists of one block's vectors."""
+    """Inverted files of one block's vectors: under each pivot, the place that it has in every vector's order (ORDER: it is not posted).
+
+    More than a third of the vectors are posted under a pivot, so a file is a row with a byte for each vector.
+    """
 
     def __init__(self, v: np.ndarray, pivots: np.ndarray):
         self.v, self.pivots = v, pivots
         self.n = min(ORDER, len(pivots))
-        flat = orders(v, pivots, self.n).ravel()
-        by = np.argsort(flat, kind="stable")
-        self.at = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
-        self.who, self.place = (by // self.n).astype(np.int32), (by % self.n).astype(np.int16)
+        self.files = np.full((len(pivots), len(v)), self.n, np.uint8)
+        own = orders(v, pivots, self.n)
+        for place in range(self.n):
+            self.files[own[:, place], np.arange(len(v))] = place
 
     def candidates(self, wanted: np.ndarray, most: int) -> np.ndarray:
-        """The `most` vectors of least footrule to a query's order of pivots, and all that tie with the last."""
-        shared = np.zeros(len(self.v), np.int32)  # footrule saved against sharing no pivot
+        """The `most` vectors of least footrule to a query's order of pivots, and all that tie with the last.
+
+        A pivot at places a and b adds |a - b|, which saves 2 (ORDER - max(a, b)) against not being shared: so the sum of the
+        later places ranks as the footrule does, and a pivot that is not posted is at the last place.
+        """
+        later, row = np.zeros(len(self.v), np.uint16), np.empty(len(self.v), np.uint8)
         for place, p in enumerate(wanted):
-            a, z = self.at[p], self.at[p + 1]
-            shared[self.who[a:z]] += 2 * self.n - place - self.place[a:z] - np.abs(self.place[a:z] - place)
+            later += np.maximum(self.files[p], np.uint8(place), out=row)
         if most >= len(self.v):
             return np.arange(len(self.v))
-        return np.flatnonzero(shared >= -np.partition(-shared, most - 1)[most - 1])
+        return np.flatnonzero(later <= np.partition(later, most - 1)[most - 1])
 
     def search(self, q: np.ndarray, most: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the candidates (and scores) that can be among its k best entries: ties with the last stay."""
