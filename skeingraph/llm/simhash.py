@@ -5,7 +5,7 @@ segments (22, 21 and 21 bits). Each distinct fingerprint therefore posts, for ev
 bit of it, the segment with that bit left out; fingerprints that share a posting are candidates and
 are compared in full. Postings are hash-partitioned and sorted, and a task streams over runs of equal
 postings: short runs are compared at once by shifts, long ones grow each component from its members
-against those not yet reached, and only a spanning forest leaves the task. So a group of thousands of
+against those not yet reached (very long ones after a second level of keys within the run), and only a spanning forest leaves the task. So a group of thousands of
 near copies costs about its size, not its square, and no link between different texts is lost.
 
 Exact copies share a fingerprint and are one node throughout; each fingerprint has 64 postings, so one
@@ -28,8 +28,8 @@ from .components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Runs up to this length are compared by shifts; longer ones by growing components.
-SHORT_RUN = 48
+#: Runs up to the first length are compared by shifts, longer ones by growing components, those over the second by a second level of keys.
+SHORT_RUN, LONG_RUN = 48, 4096
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -142,13 +142,35 @@ def run_links(key: np.ndarray, fp: np.ndarray, most: int = MAX_BITS) -> tuple[np
         a.append(x[near])
         b.append(y[near])
     for i in np.flatnonzero(size > SHORT_RUN):
-        x, y = forest(fp[start[i] : start[i] + size[i]], most)
+        f = fp[start[i] : start[i] + size[i]]
+        x, y = second_level(f, most) if len(f) > LONG_RUN else forest(f, most)
         a.append(x)
         b.append(y)
     none = [np.empty(0, np.uint64)]
     return np.concatenate(a or none), np.concatenate(b or none)
 
 
+def second_level(f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a long run: of `most` + 1 pieces of two near fingerprints one is equal, so each piece in turn is a key."""
+    edges = np.linspace(0, 64, most + 2).astype(int)
+    a, b = [], []
+    for low, high in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+        piece = (f >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        order = np.argsort(piece, kind="stable")
+        g, key = f[order], piece[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([start, [len(g)]]))
+        many = np.repeat(size, size) <= SHORT_RUN
+        x, y = run_links(key[many], g[many], most) if many.any() else (g[:0], g[:0])
+        a.append(x)
+        b.append(y)
+        for i in np.flatnonzero(size > SHORT_RUN):
+            x, y = forest(g[start[i] : start[i] + size[i]], most)
+            a.append(x)
+            b.append(y)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def links(distinct_fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """a, b: verified links between different fingerprints, enough to join whatever all of them would."""
 

@@ -135,6 +135,33 @@ def test_long_runs_give_the_same_groups():
     assert len(a) == len(f) - len(set(groups(near)))
 
 
+def test_second_level_gives_the_same_groups():
+    from skeingraph.llm.simhash import forest, second_level
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 40).astype(np.uint64)
+    near = base[rng.integers(0, 40, 1500)]
+    for _ in range(3):
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
+    f = np.unique(np.concatenate([near, base, rng.integers(0, 2**63, 1500).astype(np.uint64)]))
+
+    def roots(a, b):
+        root = {x: x for x in f.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            assert (x ^ y).bit_count() <= 4
+            x, y = sorted((find(x), find(y)))
+            root[y] = x
+        return {x: find(x) for x in root}
+
+    assert roots(*forest(f, 4)) == roots(*second_level(f, 4))
+
+
 def test_components(spark):
     from skeingraph.llm.components import connected_components
 
