@@ -218,6 +218,11 @@ def full_graph(symbols: DataFrame, edges: DataFrame, roles: DataFrame | None = N
     return nodes, edges.groupBy("source", "target").agg(F.min_by("kind", order).alias("kind"))
 
 
+def layer_members(symbols: DataFrame) -> DataFrame:
+    """layer, qualified_name of every name, once for each layer that it is in."""
+    return symbols.select(layer(F.col("file_path")).alias("layer"), "qualified_name").distinct()
+
+
 def layers(symbols: DataFrame) -> DataFrame:
     """layer, symbols: how many different qualified names each layer has, and the first in the alphabet."""
     rows = symbols.select("qualified_name", layer(F.col("file_path")).alias("layer")).distinct()

@@ -28,6 +28,11 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return packed.select("_row.*")
 
 
+def named(symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """All symbols whose qualified name is among names (qualified_name)."""
+    return symbols.join(names.select("qualified_name").distinct(), "qualified_name", "left_semi").select(symbols.columns)
+
+
 def nodes(symbols: DataFrame, names: DataFrame, file_path: str | None = None) -> DataFrame:
     """For each of names (qualified_name) its symbol: of several the first kind in lookup order, then the least id."""
     rows = symbols if file_path is None else symbols.where(F.col("file_path") == file_path)

@@ -127,3 +127,166 @@ def module_smells(spark, d):
 @query(_FILES + "SELECT path, 5 AS symbol_count, 4 AS edge_count, 'python' AS language FROM c")
 def module_files(spark, d):
     return lookup.list_files(project.relations(_parsed(spark, d), resolve=False)["files"]).select("path", "symbol_count", "edge_count", "language")
+
+
+#: A supplier's module in each language: an interface with a method, a class that fulfils it, a function where there are such.
+LANGUAGES = {
+    'a.ts': '''import { lib{n} } from "./lib_{n}";
+
+interface Shape{k} extends Base{n} {
+  area(): number;
+}
+
+export class Box{k} extends Root{n} implements Shape{k} {
+  area(): number {
+    return measure{n}(this);
+  }
+}
+
+export function make{k}(a: number): Box{k} {
+  return build{n}(a);
+}
+
+type Alias{k} = string;
+const limit{k} = 3;
+''',
+    'a.go': '''package p{n}
+
+import "lib/{n}"
+
+type Shape{k} interface {
+	Area() int
+}
+
+type Box{k} struct {
+	Side int
+}
+
+func (b *Box{k}) Area() int {
+	return measure{n}(b)
+}
+
+func Make{k}(a int) *Box{k} {
+	return build{n}(a)
+}
+
+const Limit{k} = 3
+''',
+    'A.java': '''package p{n};
+
+import lib.Lib{n};
+
+public interface Shape{k} {
+    int area();
+}
+
+public class Box{k} extends Root{n} implements Shape{k} {
+    public int area() {
+        return measure{n}(this);
+    }
+}
+''',
+    'a.rs': '''use lib::part_{n};
+
+pub trait Shape{k} {
+    fn area(&self) -> i32;
+}
+
+pub struct Box{k} {
+    side: i32,
+}
+
+impl Shape{k} for Box{k} {
+    fn area(&self) -> i32 {
+        measure_{n}(self)
+    }
+}
+
+pub fn make_{k}(a: i32) -> Box{k} {
+    build_{n}(a)
+}
+
+const LIMIT_{k}: i32 = 3;
+''',
+    'A.cs': '''using Lib{n};
+
+namespace P{n}
+{
+    public interface IShape{k}
+    {
+        int Area();
+    }
+
+    public class Box{k} : Root{n}, IShape{k}
+    {
+        public int Area()
+        {
+            return Measure{n}(this);
+        }
+    }
+}
+''',
+    'a.js': '''import lib{n} from "./lib_{n}";
+
+class Box{k} extends Root{n} {
+  area() {
+    return measure{n}(this);
+  }
+}
+
+function make{k}(a) {
+  return build{n}(a);
+}
+''',
+}
+
+#: What the modules hold: language, name, kind, parent; {k} is the supplier's key.
+HELD = (
+    ("a.ts", "Shape{k}", "interface", None), ("a.ts", "area", "method", "Shape{k}"), ("a.ts", "Box{k}", "class", None), ("a.ts", "area", "method", "Box{k}"), ("a.ts", "make{k}", "function", None), ("a.ts", "Alias{k}", "type", None), ("a.ts", "limit{k}", "variable", None),
+    ("a.go", "Shape{k}", "interface", None), ("a.go", "Area", "method", "Shape{k}"), ("a.go", "Box{k}", "class", None), ("a.go", "Area", "method", "Box{k}"), ("a.go", "Make{k}", "function", None), ("a.go", "Limit{k}", "variable", None),
+    ("A.java", "Shape{k}", "interface", None), ("A.java", "area", "method", "Shape{k}"), ("A.java", "Box{k}", "class", None), ("A.java", "area", "method", "Box{k}"),
+    ("a.rs", "Shape{k}", "interface", None), ("a.rs", "area", "method", "Shape{k}"), ("a.rs", "Box{k}", "class", None), ("a.rs", "area", "method", "Box{k}"), ("a.rs", "make_{k}", "function", None), ("a.rs", "LIMIT_{k}", "variable", None),
+    ("A.cs", "IShape{k}", "interface", None), ("A.cs", "Area", "method", "IShape{k}"), ("A.cs", "Box{k}", "class", None), ("A.cs", "Area", "method", "Box{k}"),
+    ("a.js", "Box{k}", "class", None), ("a.js", "area", "method", "Box{k}"), ("a.js", "make{k}", "function", None),
+)
+#: And their edges: language, source, target, kind; {n} is the nation's key.
+LINKED = (
+    ("a.ts", "area", "measure{n}", "calls"), ("a.ts", "make{k}", "build{n}", "calls"), ("a.ts", "<module_level>", "./lib_{n}", "imports"), ("a.ts", "Shape{k}", "Base{n}", "extends"), ("a.ts", "Box{k}", "Root{n}", "extends"), ("a.ts", "Box{k}", "Shape{k}", "implements"),
+    ("a.go", "Area", "measure{n}", "calls"), ("a.go", "Make{k}", "build{n}", "calls"), ("a.go", "<module_level>", "lib/{n}", "imports"), ("a.go", "<module_level>", "Box{k}", "type_refs"),
+    ("A.java", "area", "measure{n}", "calls"), ("A.java", "<module_level>", "lib.Lib{n}", "imports"), ("A.java", "Box{k}", "Root{n}", "extends"), ("A.java", "Box{k}", "Shape{k}", "implements"),
+    ("a.rs", "area", "measure_{n}", "calls"), ("a.rs", "make_{k}", "build_{n}", "calls"), ("a.rs", "<module_level>", "lib::part_{n}", "imports"), ("a.rs", "Box{k}", "Shape{k}", "implements"),
+    ("A.cs", "Area", "Measure{n}", "calls"), ("A.cs", "<module_level>", "Lib{n}", "imports"), ("A.cs", "Box{k}", "Root{n}", "extends"), ("A.cs", "Box{k}", "IShape{k}", "implements"),
+    ("a.js", "area", "measure{n}", "calls"), ("a.js", "make{k}", "build{n}", "calls"), ("a.js", "<module_level>", "./lib_{n}", "imports"), ("a.js", "Box{k}", "Root{n}", "extends"),
+)
+
+
+def _languages(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    modules = F.explode(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])).alias("name", "text")
+    k, n = (F.col(c).cast("string") for c in ("s_suppkey", "s_nationkey"))
+    rows = s.select("s_suppkey", "s_nationkey", modules)
+    text = F.replace(F.replace("text", F.lit("{k}"), k), F.lit("{n}"), n)
+    sources = rows.select(F.concat(F.lit("s"), k, F.lit("/"), "name").alias("path"), F.encode(text, "utf-8").alias("content"))
+    return project.relations(materialized(project.parse(sources), "parsed"), resolve=False)
+
+
+def _expected(rows: tuple, columns: tuple[str, ...]) -> str:
+    said = lambda x: "NULL" if x is None else f"'{x}'"
+    values = ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows)
+    cells = ", ".join(f"replace(replace({c}, '{{k}}', s_suppkey::VARCHAR), '{{n}}', s_nationkey::VARCHAR) AS {c}" for c in columns)
+    return f"SELECT 's' || s_suppkey || '/' || file AS path, {cells} FROM supplier, (VALUES {values}) AS t(file, {', '.join(columns)})"
+
+
+@query(_expected(HELD, ("name", "kind", "parent_symbol")))
+def language_symbols(spark, d):
+    return _languages(spark, d)["symbols"].select(F.col("file_path").alias("path"), "name", "kind", "parent_symbol")
+
+
+@query(_expected(LINKED, ("source", "target", "kind")))
+def language_edges(spark, d):
+    return _languages(spark, d)["edges"].select(F.col("source_file").alias("path"), "source", "target", "kind")
+
+
+@query("SELECT 's' || s_suppkey || '/' || x.f AS path, x.l AS language FROM (SELECT s_suppkey, unnest([{f: 'a.ts', l: 'typescript'}, {f: 'a.go', l: 'go'}, {f: 'A.java', l: 'java'}, {f: 'a.rs', l: 'rust'}, {f: 'A.cs', l: 'csharp'}, {f: 'a.js', l: 'javascript'}]) AS x FROM supplier)")
+def languages(spark, d):
+    return _languages(spark, d)["files"].select("path", "language")

@@ -45,8 +45,8 @@ def first_by_name(spark, d):
 
 @query(oracle("SELECT qualified_name, kind, start_line FROM symbols WHERE qualified_name IN ('part_1', 'supplier_2', 'nation_3', 'nowhere')"))
 def in_list(spark, d):
-    s = star.symbols(spark, d)
-    return s.where(F.col("qualified_name").isin("part_1", "supplier_2", "nation_3", "nowhere")).select("qualified_name", "kind", "start_line")
+    names = spark.createDataFrame([(n,) for n in ("part_1", "supplier_2", "nation_3", "nowhere", "part_1")], "qualified_name string")
+    return lookup.named(star.symbols(spark, d), names).select("qualified_name", "kind", "start_line")
 
 
 @query(oracle("SELECT source, target, kind FROM edges"))
@@ -203,6 +203,11 @@ def layers(spark, d):
     return graph.layers(star.symbols(spark, d))
 
 
+@query(oracle(f" SELECT DISTINCT {layer_sql('file_path')} AS layer, qualified_name FROM symbols"))
+def layer_members(spark, d):
+    return graph.layer_members(star.symbols(spark, d))
+
+
 def _spanned(spark, d):
     s = star.symbols(spark, d).select("*", F.lit(0).alias("start_col"), F.lit(1).alias("end_line"), F.lit(2).alias("end_col"))
     e = star.edges(spark, d).select("source", "target", "kind", "source_file", "source_line", *[F.lit(None).cast("string" if c == "target_file" else "int").alias(c) for c in ("target_file", "target_start_line", "target_start_col", "target_end_line", "target_end_col")])
@@ -267,14 +272,14 @@ SIGNATURES = ("def get_instance(self)", "def __init__(self, component)", "def ma
 
 
 def _pattern_symbols(spark, d):
-    s = star.symbols(spark, d).where("kind <> 'method'")
+    s = star.symbols(spark, d)
     name = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("id") % len(WORDS) + 1).cast("int"))
     signature = F.element_at(F.array(*map(F.lit, SIGNATURES)), (F.col("id") % 7 % len(SIGNATURES) + 1).cast("int"))
     return s.withColumns({"name": name, "signature": signature})
 
 
 _PATTERN_SQL = oracle(
-    f""", base AS (SELECT * REPLACE (list_extract({list(WORDS)}, CAST(id % {len(WORDS)} + 1 AS INTEGER)) AS name, list_extract({list(SIGNATURES)}, CAST(id % 7 % {len(SIGNATURES)} + 1 AS INTEGER)) AS signature) FROM symbols WHERE kind <> 'method'),
+    f""", base AS (SELECT * REPLACE (list_extract({list(WORDS)}, CAST(id % {len(WORDS)} + 1 AS INTEGER)) AS name, list_extract({list(SIGNATURES)}, CAST(id % 7 % {len(SIGNATURES)} + 1 AS INTEGER)) AS signature) FROM symbols),
     l AS (SELECT *, lower(name) AS n, lower(signature) AS g FROM base),
     k AS (SELECT *, CASE WHEN contains(g, 'component') THEN 'component' WHEN contains(g, 'wrapped') THEN 'wrapped' WHEN contains(g, 'wrappee') THEN 'wrappee' WHEN contains(g, 'delegate') THEN 'delegate' END AS word FROM l WHERE kind = 'class' AND contains(signature, 'self')),
     made AS (SELECT qualified_name, rtrim(trim(regexp_extract(signature, '->(.*)$', 1)), ':') AS type FROM l WHERE kind IN ('function', 'method', 'interface') AND contains(signature, '->'))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 import functools
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 
 from .languages import Extractor
 
@@ -145,7 +145,8 @@ def raw_metrics(text: str) -> dict:
 class Scanned(Extractor):
     """Declarations and calls by patterns over text whose comments and strings are blanked; braces give the extents.
 
-    patterns: (kind, pattern with groups name and, for members, parent); edges: (kind, pattern with group target).
+    patterns: (kind, pattern with groups name and, for members, parent); edges: (kind, pattern with group target). Two kinds
+    are no kinds of symbols: a `declared` is a method if an interface is what it stands in, and an `owner` only gives its members their parent.
     """
 
     def __init__(self, language: str, extensions: tuple[str, ...], patterns: dict):
@@ -169,10 +170,16 @@ class Scanned(Extractor):
                 if name in self.keywords:
                     continue
                 end = self._end(code, m.start("name"), m.end())
-                spans.append((m.start("name"), end, name, kind))
+                if kind == "declared":
+                    around = self._innermost(spans, m.start("name"), EVERY)
+                    if around is None or around[3] != "interface":
+                        continue
+                    kind, end = "method", m.end()
+                insort(spans, (m.start("name"), end, name, "class" if kind == "owner" else kind))
+                if kind == "owner":
+                    continue
                 given = m.groupdict().get("parent")
                 symbols.append((m.start("name"), end, name, kind, given, first_line(text[m.start("name") - (m.start("name") - m.start()) : m.end() + 200])))
-        spans.sort()
         found = []
         for at, end, name, kind, given, signature in symbols:
             parent = given or self._around(spans, at, name, ("class", "interface"))
@@ -215,16 +222,22 @@ class Scanned(Extractor):
 
     @staticmethod
     def _around(spans: list[tuple[int, int, str, str]], at: int, name: str | None, kinds: tuple[str, ...]) -> str | None:
-        """The innermost of these kinds around a place."""
+        """The name of the innermost of these kinds around a place."""
+        best = Scanned._innermost(spans, at, kinds)
+        return best and best[2]
+
+    @staticmethod
+    def _innermost(spans: list[tuple[int, int, str, str]], at: int, kinds: tuple[str, ...]) -> tuple[int, int, str, str] | None:
         best = None
-        for a, z, n, k in spans:
-            if a >= at:
+        for span in spans:
+            if span[0] >= at:
                 break
-            if z > at and k in kinds:
-                best = n
+            if span[1] > at and span[3] in kinds:
+                best = span
         return best
 
 
+EVERY = ("class", "interface", "function", "method", "type", "variable")
 C_SKIP = r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
 CALL = r"(?<![\w.])(?:new\s+)?(?P<target>[A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*\("
 WORDS = "if for while switch catch return function typeof new await super else do case throw in of sizeof lock using nameof match loop func def and or not elif with assert class"
@@ -239,7 +252,7 @@ SCRIPT = {
         ("class", r"\bclass\s+(?P<name>[\w$]+)"), ("interface", r"\binterface\s+(?P<name>[\w$]+)"), ("type", r"^\s*(?:export\s+)?type\s+(?P<name>[\w$]+)\s*[=<]"),
         ("function", r"\bfunction\s*\*?\s+(?P<name>[\w$]+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)\s*=\s*(?:async\s*)?(?:\([^)\n]*\)|[\w$]+)\s*(?::[^=\n]+)?=>"),
         ("function", r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*(?P<name>[\w$]+)\s*\([^)\n]*\)\s*(?::\s*[^{;\n]+)?\{"),
-        ("variable", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=\n]+)?=(?!=)"),
+        ("variable", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=\n]+)?=(?!=)"), ("declared", r"^[ \t]+(?P<name>[\w$]+)\??[ \t]*\([^)\n]*\)[^\n{]*$"),
     ],
     "edges": [("calls", CALL), ("imports", r"\bimport\b(?:[^'\"\n;]*\bfrom\s*)?\s*['\"](?P<target>[^'\"\n]+)['\"]"), ("extends", r"\b(?:class|interface)\s+(?P<source>[\w$]+)[^{\n]*?\bextends\s+(?P<target>[\w$.]+)"), ("implements", r"\bclass\s+(?P<source>[\w$]+)[^{\n]*?\bimplements\s+(?P<target>[\w$.,\s]+)")],
     "skip": C_SKIP + r"|`(?:\\.|[^`\\])*`", "keywords": WORDS + " constructor import export",
@@ -247,13 +260,13 @@ SCRIPT = {
 GO = {
     "symbols": [
         ("class", r"^\s*(?:type\s+)?(?P<name>\w+)\s+struct\b"), ("interface", r"^\s*(?:type\s+)?(?P<name>\w+)\s+interface\b"), ("method", r"^func\s*\(\s*\w*\s*\*?(?P<parent>\w+)[^)\n]*\)\s*(?P<name>\w+)"),
-        ("function", r"^func\s+(?P<name>\w+)"), ("variable", r"^\s*(?:var|const)\s+(?P<name>\w+)"),
+        ("function", r"^func\s+(?P<name>\w+)"), ("variable", r"^\s*(?:var|const)\s+(?P<name>\w+)"), ("declared", r"^[ \t]+(?P<name>\w+)\([^)\n]*\)[^\n{]*$"),
     ],
     "edges": [("calls", CALL), ("imports", r"^[ \t]*(?:import[ \t]+)?(?:[\w.]+[ \t]+)?\"(?P<target>[^\"\n]+)\"[ \t]*$"), ("type_refs", r"^func[^{\n]*?[(,]\s*\w+\s+\*?(?P<target>[A-Z]\w*)")],
     "skip": C_SKIP + r"|`[^`]*`", "keywords": WORDS + " make len append panic struct interface map range go defer select chan",
 }
 RUST = {
-    "symbols": [("class", r"\bstruct\s+(?P<name>\w+)"), ("interface", r"\btrait\s+(?P<name>\w+)"), ("function", r"\bfn\s+(?P<name>\w+)"), ("variable", r"^\s*(?:pub\s+)?(?:const|static)\s+(?:mut\s+)?(?P<name>\w+)")],
+    "symbols": [("class", r"\bstruct\s+(?P<name>\w+)"), ("interface", r"\btrait\s+(?P<name>\w+)"), ("owner", r"\bimpl(?:<[^>\n]*>)?\s+(?:[\w:<>]+\s+for\s+)?(?P<name>\w+)"), ("function", r"\bfn\s+(?P<name>\w+)"), ("variable", r"^\s*(?:pub\s+)?(?:const|static)\s+(?:mut\s+)?(?P<name>\w+)")],
     "edges": [("calls", r"(?<![\w.:!])(?P<target>[A-Za-z_]\w*(?:(?:::|\.)[A-Za-z_]\w*)*)\s*\("), ("imports", r"\buse\s+(?P<target>[\w:]+)"), ("implements", r"\bimpl(?:<[^>\n]*>)?\s+(?P<target>\w+)\s+for\s+(?P<source>\w+)"), ("type_refs", r"\bfn\s+\w+[^{\n]*?:\s*&?(?:mut\s+)?(?P<target>[A-Z]\w*)")],
     "skip": r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'", "keywords": WORDS + " fn impl let mut pub use Some Ok Err",
 }
