@@ -249,7 +249,7 @@ def words_of(text: Text, separator: np.ndarray = SEPARATOR) -> Words:
 
 
 #: Bytes (or characters) of a long text that are worked on at a time where all its parts add up.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def word_hashes(text: Text, words: Words) -> np.ndarray:

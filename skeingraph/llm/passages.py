@@ -30,7 +30,7 @@ from .common import BASE, BASE_INV, BROADCAST_IDS, LETTER, SEPARATOR, WBASE, WBA
 #: A row without an id comes after all others.
 NO_ID = 2**63 - 1
 #: Bytes of one text that are looked at together; windows over a seam belong to the segment they start in.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 KEY = ["k1", "k2"]
 _PLACE = U(24)
 
