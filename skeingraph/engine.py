@@ -8,6 +8,7 @@ import tarfile
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +89,9 @@ class Engine:
     def write(self, tables: dict[str, DataFrame]) -> None:
         """All of them or none, in the place of what they held."""
         seen, now = self._version()
-        self._commit(seen, now | {name: [self._store(name, df)] for name, df in tables.items()})
+        with ThreadPoolExecutor(4) as pool:  # relations are written side by side
+            stored = list(pool.map(lambda item: self._store(*item), tables.items()))
+        self._commit(seen, now | {name: [at] for name, at in zip(tables, stored, strict=True)})
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Writes the new rows alone."""

@@ -18,7 +18,7 @@ UP, DOWN = "up", "down"
 
 
 #: Calls are stored under so many buckets, by the last segment of the name that is looked up.
-BUCKETS = 256
+BUCKETS = 64
 
 
 def name_bucket(name: Column) -> Column:
