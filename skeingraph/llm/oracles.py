@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .notices import BASE, MORE, notices
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 #: A word goes if one of the 50 windows that cover it starts in a document of a smaller id, too.
@@ -50,4 +52,56 @@ met AS (SELECT doc_id, item_id, count(*) AS m FROM wanted JOIN have USING (size,
 SELECT doc_id, item_id, m / n AS containment, CAST(n AS INTEGER) AS item_shingles FROM met JOIN total USING (item_id) WHERE m / n >= 0.8
 """
 
-ORACLES = {"op6_substring": SUBSTRING, "op7_suffixes": SUFFIXES, "op8_chat": CHAT, "op10_decontaminate": DECONTAMINATE}
+_PLAIN = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda x: x <> '')"
+
+_NOTICES = notices(BASE | MORE)
+_KNOWN = ", ".join(f"('{n.phrase}', '{n.label}', {n.phrase in BASE}, {n.edits}, {len(n.phrase.split())})" for n in _NOTICES)
+_MOST = max(len(n.phrase.split()) + n.edits for n in _NOTICES)
+
+#: Every run of words near a notice's length. DuckDB's levenshtein counts bytes, so any character beyond ASCII becomes one that no notice has.
+LICENSES = f"""
+WITH p(phrase, label, base, k, n) AS (VALUES {_KNOWN}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+runs AS (SELECT r, i, m, regexp_replace(array_to_string(w[i:i + m - 1], ' '), '[^\x00-\x7f]', '~', 'g') AS t FROM (SELECT r, w, i, unnest(range(1, {_MOST} + 1)) AS m FROM starts) WHERE i + m - 1 <= len(w)),
+near AS (SELECT r, i, label, base, length(phrase) AS size, levenshtein(t, phrase) AS e FROM runs JOIN p ON m BETWEEN n - k AND n + k AND length(t) BETWEEN length(phrase) - k AND length(phrase) + k WHERE levenshtein(t, phrase) <= k),
+found AS (SELECT r, count(*) FILTER (base AND e = 0) AS n_base, min(i - 1) FILTER (base AND e = 0) AS first_word, max(i - 1) FILTER (base AND e = 0) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND e = 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max((size - e) / size) AS best FROM near GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score FROM d LEFT JOIN found USING (r)
+"""
+
+#: CRC-32 byte by byte, for each different word once.
+RESAMPLING = f"""
+WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS word FROM d), tw AS (SELECT unnest({_PLAIN}) AS word FROM benchmark),
+words AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION ALL SELECT word FROM tw)),
+b AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda j: CAST('0x' || substr(h, 2 * j + 1, 2) AS BIGINT))), lambda a, x: xor(a >> 8, tab[xor(a & 255, x) + 1])), 4294967295) % 10000 AS bucket FROM words, c),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN b USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM tw JOIN b USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dw) AS s_all, (SELECT count(*) FROM tw) AS t_all),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket), n),
+w AS (SELECT r, sum(g) AS weight FROM dw JOIN b USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN w USING (r)),
+drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM drawn) THEN rank END AS rank FROM scored LEFT JOIN drawn USING (r)
+"""
+
+_FIRST = """
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT *, sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM e) ORDER BY h, v LIMIT 40)"""
+_NEAREST = """,
+a{r} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT r, k, CAST(list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS BIGINT) AS d FROM e, c{r}) GROUP BY r)"""
+_MEANS = """,
+m{r} AS (SELECT k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(range(64)) AS i FROM a{r} JOIN e USING (r)) GROUP BY k, i),
+c{z} AS MATERIALIZED (SELECT k, coalesce(means, c) AS c FROM c{r} LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS means FROM m{r} GROUP BY k) USING (k))"""
+
+#: Five rounds, and the last assignment.
+CLUSTERS = (
+    _FIRST + "".join(_NEAREST.format(r=r) + _MEANS.format(r=r, z=r + 1) for r in range(5)) + _NEAREST.format(r=5)
+    + """
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a5 JOIN e USING (r) JOIN c5 USING (k)
+"""
+)
+
+ORACLES = {"op6_substring": SUBSTRING, "op7_suffixes": SUFFIXES, "op8_chat": CHAT, "op10_decontaminate": DECONTAMINATE, "op11_licenses": LICENSES, "op12_resampling": RESAMPLING, "op13_clusters": CLUSTERS}
