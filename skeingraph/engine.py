@@ -13,10 +13,11 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schemas
+from . import schemas, segments
 from .operators import analytics, documents, export, graph, lookup, search, sync, usage
 from .sources import changes, conversations, project, stores, watch
 from .sources.languages import Registry, builtin
+from .streaming import queries as streams
 
 
 class Engine:
@@ -24,15 +25,12 @@ class Engine:
 
     A version is a small file that lists every relation's folders. It is created, never overwritten, after its folders are
     complete: readers and a failed ingest never see half of one, and of two writers at once the second fails.
-    Documents and the query log grow by appended folders; `compact` makes one of them and removes old versions.
+    Files, symbols, edges, postings and adjacency are a log of segments: an ingest writes the changed files' rows alone.
+    Documents and the query log grow by appended folders; `compact` makes one of all and removes old versions.
     """
 
-    NAMES = {
-        "calls_out": "bucket INT, source STRING, target STRING, kind STRING, source_file STRING, target_file STRING", "calls_in": "bucket INT, source STRING, target STRING, kind STRING, source_file STRING, target_file STRING",
-        "postings": "bucket INT, term STRING, doc BIGINT, field STRING, pos INT", "search_docs": "id BIGINT, symbol_name STRING, qualified_name STRING, signature STRING, kind STRING, file_path STRING, length INT",
-        "files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES, "documents": schemas.DOCUMENTS + ", ingest_seq BIGINT", "query_log": schemas.QUERY_LOG, "embeddings": schemas.EMBEDDINGS,
-    }
-    PARTITIONED = {"symbols": "kind", "postings": "bucket", "calls_out": "bucket", "calls_in": "bucket"}
+    #: What grows by whole folders; all that comes from source files is in segments.
+    NAMES = {"documents": schemas.DOCUMENTS + ", ingest_seq BIGINT", "query_log": schemas.QUERY_LOG, "embeddings": schemas.EMBEDDINGS}
     #: Results of searches that are kept in memory, the oldest giving way.
     KEPT = 256
 
@@ -40,6 +38,7 @@ class Engine:
         """encoder: a text column and a number of dimensions to a column of vectors; None: nothing is embedded, and searches go by text alone."""
         self.spark, self.home, self.encoder = spark, home, encoder
         self.registry = registry or builtin()
+        self.log = segments.Segments(spark, home)
         self._searches: dict[tuple, list] = {}
 
     # ------------------------------------------------------------ storage
@@ -63,19 +62,21 @@ class Engine:
                 continue
         return 0, {}
 
+    def _segments(self) -> list[segments.Segment]:
+        return segments.from_log(self._version()[1].get("segments", []))
+
     def table(self, name: str) -> DataFrame:
+        if name in segments.RELATIONS:
+            return self.log.live(name, self._segments())
         at = self._version()[1].get(name)
         if not at:
             return self.spark.createDataFrame([], self.NAMES[name])
-        return self.spark.read.schema(self.NAMES[name]).parquet(*(f"{self.home}/{a}" for a in at)) if name not in self.PARTITIONED else self.spark.read.schema(self.NAMES[name]).parquet(f"{self.home}/{at[0]}")
+        return self.spark.read.schema(self.NAMES[name]).parquet(*(f"{self.home}/{a}" for a in at))
 
     def _store(self, name: str, df: DataFrame) -> str:
         at = f"{name}-{uuid.uuid4().hex}"
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], self.NAMES[name]).schema]
-        out = df.select(*columns)
-        if "bucket" in out.columns:  # a bucket's file is written by one task, sorted by what is looked up
-            out = out.repartition("bucket").sortWithinPartitions("bucket", {"postings": "term", "calls_out": "source", "calls_in": "target"}[name])
-        (out.write.partitionBy(self.PARTITIONED[name]) if name in self.PARTITIONED else out.write).parquet(f"{self.home}/{at}")
+        df.select(*columns).write.parquet(f"{self.home}/{at}")
         return at
 
     def _commit(self, seen: int, tables: dict[str, list[str]]) -> None:
@@ -99,18 +100,22 @@ class Engine:
         self._commit(seen, now | {name: [*now.get(name, []), self._store(name, rows)]})
 
     def compact(self, keep: int = 1) -> None:
-        """Documents and log in one folder each; versions but the newest `keep`, and folders that none of those lists, are removed."""
+        """Documents and log in one folder each, all segments in one; versions but the newest `keep`, and folders that none of those lists, are removed."""
         self.write({n: self.table(n) for n in ("documents", "query_log")})
+        seen, now = self._version()
+        if len(now.get("segments", [])) > 1:
+            whole = self.log.merge(self._segments(), len(now["segments"]))
+            self._commit(seen, now | {"segments": segments.as_log(whole)})
         fs, home = self._fs(self.home)
         numbers = self._numbers()
         used = set()
         for n in numbers[:keep]:
             tables = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.home}/versions/{n}.json", wholetext=True).collect()))
-            used |= {a for at in tables.values() for a in at}
+            used |= {a for name, at in tables.items() if name != "segments" for a in at} | {a for x in tables.get("segments", []) for a in x["folders"].values()}
         for n in numbers[keep:]:
             fs.delete(self._fs(f"{self.home}/versions/{n}.json")[1], False)
         for x in fs.listStatus(home):
-            if x.getPath().getName().rsplit("-", 1)[0] in self.NAMES and x.getPath().getName() not in used:
+            if x.getPath().getName().rsplit("-", 1)[0] in {*self.NAMES, *segments.RELATIONS, "gone"} and x.getPath().getName() not in used:
                 fs.delete(x.getPath(), True)
 
     def init(self) -> None:
@@ -145,15 +150,29 @@ class Engine:
         return project.contents(project.scan(self.spark, root, self.registry), root)
 
     def ingest(self, parsed: DataFrame, analyze: bool = False, force: bool = False, drop_deleted: bool = False) -> DataFrame:
+        """Writes a segment of what is new or changed, and marks what it replaces; then merges that are due."""
         rel = project.relations(parsed)
-        state = {n: self.table(n) for n in ("files", "symbols", "edges")}
-        status = graph.materialized(sync.classify(rel["files"].where("fatal_error IS NULL").select("path", F.col("file_hash").alias("content_hash")), state["files"]), "status")
-        new = {n: graph.materialized(t, n) for n, t in sync.upsert(state, rel, force, drop_deleted).items()}
-        self.write(new | self._derived(new))
+        state = self.table("files").select("path", "file_hash")
+        read = rel["files"].where("fatal_error IS NULL")
+        status = graph.materialized(sync.classify(read.select("path", F.col("file_hash").alias("content_hash")), state), "status")
+        gone = sync.classify(rel["files"].select("path", F.col("file_hash").alias("content_hash")), state).where("status = 'deleted'") if drop_deleted else status.limit(0)
+        new, out = segments.batch(state, rel | {"files": read}, status.where("status <> 'deleted'").unionAll(gone), force)
+        self._extend(new, out)
         if analyze:
             self.save_documents(project.analysis_documents(rel, parsed))
         return status if drop_deleted else status.where("status <> 'deleted'")
 
+    def _extend(self, new: dict[str, DataFrame], gone: DataFrame) -> None:
+        seen, now = self._version()
+        added = self.log.write(new, gone)
+        if added.files + added.gone == 0:
+            return
+        self._commit(seen, now | {"segments": now.get("segments", []) + segments.as_log([added])})
+        seen, now = self._version()
+        settled = self.log.settled(before := segments.from_log(now["segments"]))
+        if settled != before:
+            self._commit(seen, now | {"segments": segments.as_log(settled)})
+
     sync = index
 
     def ingest_paths(self, paths: DataFrame, root: str, analyze: bool = False) -> DataFrame:
@@ -162,15 +181,27 @@ class Engine:
         return self.ingest(parsed, analyze).join(paths.select("path").distinct(), "path", "left_semi")
 
     def watch(self, root: str, checkpoint: str, every: str | None = "2 seconds", analyze: bool = False):
-        """Keeps the relations in step with a tree: each batch of new or later files is ingested. Stop it by the query's stop()."""
-        changed = watch.tree(self.spark, root, sorted(self.registry.by_extension))
-        writer = changed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: None if df.isEmpty() else self.ingest_paths(df, root, analyze))
-        return (writer if every is None else writer.trigger(processingTime=every)).start()
+        """Keeps the relations in step with a tree: each batch's new and changed files are ingested, deleted and moved ones leave. Stop it by the query's stop()."""
+        listings = watch.tree(self.spark, root, sorted(self.registry.by_extension))
+        return streams.tree_changes(listings, lambda df, _: self.follow(df, root, analyze), checkpoint, every)
+
+    def follow(self, changes_: DataFrame, root: str, analyze: bool = False) -> None:
+        """A batch of a tree's changes (path, change, was) into the relations; it may come again."""
+        batch = graph.materialized(changes_, "batch")
+        gone = batch.where("change = 'deleted'").select("path").unionAll(batch.where("change = 'moved'").select(F.col("was").alias("path")))
+        if not gone.isEmpty():
+            self._drop(gone)
+        here = batch.where("change <> 'deleted'").select("path")
+        if not here.isEmpty():
+            self.ingest_paths(here, root, analyze)
 
     def delete_files(self, paths: list[str]) -> None:
-        gone = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        left = sync.delete_files({n: self.table(n) for n in ("files", "symbols", "edges")}, gone)
-        self.write(left | self._derived(left))
+        self._drop(self.spark.createDataFrame([(p,) for p in paths], "path string"))
+
+    def _drop(self, paths: DataFrame) -> None:
+        """A segment that holds nothing and takes these files out."""
+        none = {n: self.spark.createDataFrame([], segments.RELATIONS[n]) for n in ("files", "symbols", "edges")}
+        self._extend(none, paths.join(self.table("files").select("path"), "path", "left_semi").withColumn("deleted", F.lit(True)))
 
     # ------------------------------------------------------------ lookups, walks, search
 
@@ -203,13 +234,17 @@ class Engine:
         named = self.spark.createDataFrame([(p,) for p in paths], "path string")
         all_ = named if changed is None else changed.select("path").unionAll(named)
         known = changes.known_paths(all_, self.table("files"), root)
-        return graph.impact_of_files(self.table("symbols"), self.table("edges"), known, depth, symbols_per_file, targets_per_symbol)
+        return graph.impact_of_files(self.table("symbols"), self._calls(), known, depth, symbols_per_file, targets_per_symbol)
 
     def neighbourhood(self, root: str, depth: int = 2, cap: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return graph.neighbourhood_graph(self.table("symbols"), self.table("edges"), root, depth, cap)
+        return graph.neighbourhood_graph(self.table("symbols"), self._calls(), root, depth, cap)
+
+    def discovery(self, root: str, depth: int = 2, cap: int = 500, branches: int = 20) -> dict[str, DataFrame]:
+        """nodes, edges, branches and totals of a breadth-first walk that stops at cap symbols."""
+        return graph.discovery(self.table("symbols"), self._calls(), root, depth, cap, branches)
 
     def shortest_path(self, source: str, target: str, max_rounds: int | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
-        return graph.shortest_path(self.table("edges"), source, target, max_rounds, kinds)
+        return graph.shortest_path(self._calls(), source, target, max_rounds, kinds)
 
     def full_graph(self) -> tuple[DataFrame, DataFrame]:
         return graph.full_graph(self.table("symbols"), self.table("edges"))
@@ -217,14 +252,8 @@ class Engine:
     def layers(self) -> DataFrame:
         return graph.layers(self.table("symbols"))
 
-    @staticmethod
-    def _derived(state: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """The stored forms that searches and walks read."""
-        built = search.of_symbols(state["symbols"])
-        return {"search_docs": built.docs, "postings": built.postings, **graph.Adjacency.tables(state["edges"])}
-
     def _calls(self) -> graph.Adjacency:
-        return graph.Adjacency(self.table("calls_out"), self.table("calls_in"))
+        return graph.Adjacency(self.table("edges_out"), self.table("edges_in"), self.table("degrees"))
 
     def _index(self) -> search.Index:
         """The stored index; a search reads only the buckets of its terms."""
@@ -232,8 +261,8 @@ class Engine:
 
     def search(self, query: str, limit: int = 20, file_path: str | None = None, log: bool = False) -> DataFrame:
         """Ranked results with start lines. A search repeated over the same index is answered from memory; log: note what was found."""
-        at = self._version()[1]  # as long as nothing is indexed anew
-        key = (*at.get("postings", ()), *at.get("symbols", ()), query, limit, file_path)
+        # as long as nothing is indexed anew
+        key = (*(s.folders[n] for s in self._segments() for n in ("postings", "gone") if n in s.folders), query, limit, file_path)
         if key not in self._searches:
             found = lookup.with_start_lines(search.search(self._index(), query, limit, file_path), self.table("symbols")).orderBy("score", "rank", "id")
             schema = found.schema

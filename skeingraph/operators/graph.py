@@ -7,11 +7,13 @@ are one lazy plan of equi-joins, and adaptive execution broadcasts the small fro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import kind_rank, last_segment, layer
-from .lookup import first_per_key
+from .lookup import first_per_key, numbered
 from .tables import materialized
 
 UP, DOWN = "up", "down"
@@ -27,21 +29,40 @@ def name_bucket(name: Column) -> Column:
 
 
 class Adjacency:
-    """Calls stored twice, in buckets of the caller and of the callee, so that a step reads only its frontier's buckets."""
+    """Edges of all kinds stored twice, by kind and bucket of the source and of the target, so that a step reads only its frontier's buckets.
+
+    degrees tells how many edges a name has, at most: a search from two sides goes on where fewer will be read.
+    """
 
-    def __init__(self, by_source: DataFrame, by_target: DataFrame):
-        self.sides = {DOWN: by_source, UP: by_target}
+    def __init__(self, by_source: DataFrame, by_target: DataFrame, degrees: DataFrame | None = None):
+        self.sides, self.counted = {DOWN: by_source, UP: by_target}, degrees
 
     @staticmethod
     def tables(edges: DataFrame) -> dict[str, DataFrame]:
-        """What to store, partitioned by bucket: calls_out and calls_in."""
-        calls = edges.where("kind = 'calls'").select("source", "target", "kind", "source_file", "target_file")
-        return {"calls_out": calls.withColumn("bucket", name_bucket(F.col("source"))), "calls_in": calls.withColumn("bucket", name_bucket(F.col("target")))}
+        """What to store, partitioned by kind and bucket: edges_out, edges_in and degrees."""
+        rows = edges.select("source", "target", "kind", "source_file", "target_file" if "target_file" in edges.columns else F.lit(None).cast("string").alias("target_file"))
+        return {"edges_out": rows.withColumn("bucket", name_bucket(F.col("source"))), "edges_in": rows.withColumn("bucket", name_bucket(F.col("target"))), "degrees": Adjacency.degrees(rows)}
+
+    @staticmethod
+    def degrees(rows: DataFrame) -> DataFrame:
+        """bucket, kind, name, n_out, n_in."""
+        ends = F.explode(F.array(F.struct(F.col("source").alias("name"), F.lit(1).alias("o")), F.struct(F.col("target").alias("name"), F.lit(0).alias("o")))).alias("x")
+        return rows.select("kind", ends).groupBy("kind", "x.name").agg(F.sum("x.o").alias("n_out"), F.sum(1 - F.col("x.o")).alias("n_in")).withColumn("bucket", name_bucket(F.col("name")))
+
+    @staticmethod
+    def _pruned(table: DataFrame, names: DataFrame, column: str, kinds: tuple[str, ...] | None) -> DataFrame:
+        found = sorted(r[0] for r in names.select(name_bucket(F.col(column))).distinct().collect() if r[0] is not None)  # BUCKETS numbers at most
+        rows = table.where(F.col("bucket").isin(found))
+        return rows if kinds is None else rows.where(F.col("kind").isin(*kinds))
 
-    def near(self, names: DataFrame, column: str, direction: str) -> DataFrame:
-        """The calls in the buckets of the names: a superset of those that touch one. Only bucket numbers come to the driver."""
-        found = sorted(r[0] for r in names.select(name_bucket(F.col(column))).distinct().collect() if r[0] is not None)
-        return self.sides[direction].where(F.col("bucket").isin(found)).drop("bucket")
+    def near(self, names: DataFrame, column: str, direction: str, kinds: tuple[str, ...] | None = ("calls",)) -> DataFrame:
+        """The edges in the buckets of the names: a superset of those that touch one. Only bucket numbers come to the driver."""
+        return self._pruned(self.sides[direction], names, column, kinds).drop("bucket")
+
+    def degree(self, names: DataFrame, direction: str, kinds: tuple[str, ...] | None = ("calls",)) -> int:
+        """How many edges the names (name) have in all, at most."""
+        rows = self._pruned(self.counted, names, "name", kinds).join(names.select("name"), "name", "left_semi")
+        return rows.agg(F.sum("n_out" if direction == DOWN else "n_in")).first()[0] or 0
 
 
 def edge_pairs(edges: DataFrame, kinds: tuple[str, ...] | None = ("calls",)) -> DataFrame:
@@ -50,6 +71,13 @@ def edge_pairs(edges: DataFrame, kinds: tuple[str, ...] | None = ("calls",)) ->
     return rows.select("source", "target")
 
 
+def touching(edges: DataFrame | Adjacency, frontier: DataFrame, direction: str, kinds: tuple[str, ...] | None = ("calls",)) -> DataFrame:
+    """source, target of the edges that leave (down) or enter (up) a name of the frontier (name)."""
+    pairs = edges.near(frontier, "name", direction, kinds).select("source", "target") if isinstance(edges, Adjacency) else edge_pairs(edges, kinds)
+    at = frontier.select(F.col("name").alias("_at"))
+    return pairs.join(at, pairs["target" if direction == UP else "source"] == at["_at"], "left_semi")
+
+
 def first_level(edges: DataFrame | Adjacency, anchors: DataFrame, direction: str, suffix: bool = True) -> DataFrame:
     """anchor, source, target: edges that touch an anchor by its name.
 
@@ -116,8 +144,6 @@ def impact(edges: DataFrame | Adjacency, name: str, max_depth: int = 5) -> DataF
 
 def impact_of_files(symbols: DataFrame, edges: DataFrame, changed: DataFrame, depth: int = 3, symbols_per_file: int | None = None, targets_per_symbol: int | None = None) -> DataFrame:
     """file_path, symbol, source, target, depth for all symbols of the changed files (path); caps are reports' limits."""
-    from pyspark.sql import Window
-
     touched = symbols.join(changed.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select("file_path", "qualified_name", "id")
     if symbols_per_file is not None:
         w = Window.partitionBy("file_path").orderBy("id")
@@ -131,56 +157,118 @@ def impact_of_files(symbols: DataFrame, edges: DataFrame, changed: DataFrame, de
     return rows
 
 
-def neighbourhood(edges: DataFrame, root: str, depth: int = 2, kinds: tuple[str, ...] | None = ("calls",)) -> DataFrame:
+def neighbourhood(edges: DataFrame | Adjacency, root: str, depth: int = 2, kinds: tuple[str, ...] | None = ("calls",)) -> DataFrame:
     """name, level: every name within depth steps in either direction, at its least distance."""
-    pairs = edge_pairs(edges, kinds)
-    both = materialized(pairs.selectExpr("source AS a", "target AS b").unionAll(pairs.selectExpr("target AS a", "source AS b")), "pairs")
-    level = edges.sparkSession.createDataFrame([(root,)], "name string")
+    level = SparkSession.active().createDataFrame([(root,)], "name string")
     seen = level.withColumn("level", F.lit(0))
+    if not isinstance(edges, Adjacency):
+        edges = materialized(edge_pairs(edges, kinds).withColumn("kind", F.lit("any")), "pairs")
+        kinds = None
     for d in range(1, depth + 1):
-        step = both.join(level, both["a"] == level["name"], "left_semi").select(F.col("b").alias("name")).distinct()
-        level = materialized(step.join(seen, "name", "left_anti"), "level")  # it is read three times by the next level
+        step = touching(edges, level, DOWN, kinds).select(F.col("target").alias("name")).unionAll(touching(edges, level, UP, kinds).select(F.col("source").alias("name")))
+        level = materialized(step.distinct().join(seen, "name", "left_anti"), "level")  # it is read three times by the next level
         seen = seen.unionAll(level.withColumn("level", F.lit(d)))
     return seen
 
 
-def neighbourhood_graph(symbols: DataFrame, edges: DataFrame, root: str, depth: int = 2, cap: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+def neighbourhood_graph(symbols: DataFrame, edges: DataFrame | Adjacency, root: str, depth: int = 2, cap: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes that are known symbols (level order, at most cap), edges between them, and one row of totals."""
     reached = neighbourhood(edges, root, depth)
     known = first_per_key(symbols.join(reached, symbols["qualified_name"] == reached["name"]).select(*[symbols[c] for c in symbols.columns], "level"), ["qualified_name"], [kind_rank(F.col("kind")), "id"])
     shown = known.orderBy("level", "qualified_name").limit(cap)
-    names = shown.select("qualified_name")
-    inside = edge_pairs(edges).distinct()
-    inside = inside.join(names, inside["source"] == names["qualified_name"], "left_semi").join(names, inside["target"] == names["qualified_name"], "left_semi")
+    names = shown.select(F.col("qualified_name").alias("name"))
+    inside = touching(edges, names, DOWN).distinct()
+    inside = inside.join(names, inside["target"] == names["name"], "left_semi")
     totals = known.agg(F.count("*").alias("total_available")).withColumn("truncated", F.greatest(F.col("total_available") - cap, F.lit(0)))
     return shown, inside, totals
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_rounds: int | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+def discovery(symbols: DataFrame, edges: DataFrame | Adjacency, root: str, depth: int = 2, cap: int = 500, branches: int = 20) -> dict[str, DataFrame]:
+    """A breadth-first walk both ways as it is met name by name, stopped when cap known symbols are found.
+
+    A name's place comes from its first parent's place; a parent's callers come before its callees, each in the alphabet.
+    nodes: place, name, level and the symbol of each known name before the stop; edges: source, target at all names that were opened;
+    branches: position, symbol, depth, direction (as it was first met) of what was waiting, at most so many; totals: opened, waiting,
+    total_available, truncated. Places are drawn level by level in range partitions; the driver sees counts alone.
+    """
+    spark = symbols.sparkSession
+    own = first_per_key(symbols, ["qualified_name"], [kind_rank(F.col("kind")), "id"])
+    if not isinstance(edges, Adjacency):
+        edges = materialized(edge_pairs(edges).distinct().withColumn("kind", F.lit("calls")), "pairs")
+    met = "name string, direction string, place long, level int, known boolean"
+    here = spark.createDataFrame([(root, "root", 1)], "name string, direction string, place long").withColumn("level", F.lit(0))
+    levels, touched, waiting = [], [], spark.createDataFrame([], "symbol string, depth int, direction string, place long")
+    opened = found = 0
+    for d in range(depth + 1):
+        here = materialized(here.join(own.select(F.col("qualified_name").alias("name"), F.lit(True).alias("known")), "name", "left").withColumn("known", F.coalesce("known", F.lit(False))).select(*[c.split()[0] for c in met.split(", ")]), "met")
+        here_known = here.where("known")
+        n_known, n_all = here_known.count(), here.count()
+        stop = None
+        if found + n_known >= cap:  # the place of the last symbol that is taken
+            stop = here_known.orderBy("place").limit(max(cap - found, 1)).agg(F.max("place")).first()[0]
+        taken = here if stop is None else here.where(F.col("place") <= stop)
+        levels.append(taken)
+        seen = reduce(DataFrame.unionAll, levels).select("name")
+        opened = opened + n_all if stop is None else stop
+        found += n_known
+        more = None
+        if d < depth and n_all:
+            parents = taken.select("name", F.col("place").alias("_parent"))
+            up, down = touching(edges, parents, UP), touching(edges, parents, DOWN)
+            touched += [up, down]
+            steps = up.select(F.col("target").alias("_p"), F.col("source").alias("name"), F.lit(0).alias("_way")).unionAll(down.select(F.col("source").alias("_p"), F.col("target").alias("name"), F.lit(1).alias("_way")))
+            more = steps.join(parents.withColumnRenamed("name", "_p"), "_p").groupBy("name").agg(F.min(F.struct("_parent", "_way")).alias("_first"))
+            more = materialized(more.join(seen, "name", "left_anti").select("name", F.when(F.col("_first._way") == 0, "caller").otherwise("callee").alias("direction"), "_first._parent", "_first._way"), "steps")
+        if stop is not None:
+            left = here.where(F.col("place") > stop).select(F.col("name").alias("symbol"), F.col("level").alias("depth"), "direction", "place")
+            if more is not None:
+                # what waits already, and is met again from an opened name, waits at the later depth
+                again = more.select(F.col("name").alias("symbol"), F.lit(d + 1).alias("_later"))
+                left = left.join(again, "symbol", "left").select("symbol", F.coalesce("_later", "depth").alias("depth"), "direction", "place")
+                new = more.join(here.select("name"), "name", "left_anti")
+                new = numbered(new, ["_parent", "_way", "name"]).select(F.col("name").alias("symbol"), F.lit(d + 1).alias("depth"), "direction", (F.col("position") + opened + n_all).alias("place"))
+                left = left.unionAll(new)
+            waiting = materialized(left, "waiting")
+            break
+        if more is None:
+            break
+        here = numbered(more, ["_parent", "_way", "name"]).select("name", "direction", (F.col("position") + opened).alias("place"), F.lit(d + 1).alias("level"))
+    all_taken = reduce(DataFrame.unionAll, levels)
+    nodes = all_taken.where("known").select("place", F.col("name").alias("qualified_name"), "level").join(own.drop("place", "level"), "qualified_name")
+    nodes = nodes.select("place", "qualified_name", "level", *[c for c in own.columns if c not in ("qualified_name", "level", "place")])
+    lines = reduce(DataFrame.unionAll, touched).distinct() if touched else spark.createDataFrame([], "source string, target string")
+    first = waiting.orderBy("place").limit(branches)
+    first = first.withColumn("position", F.row_number().over(Window.orderBy("place"))).select("position", "symbol", "depth", "direction")  # so many rows
+    totals = waiting.agg(F.count("*").alias("waiting")).select(F.lit(opened).cast("long").alias("opened"), "waiting", (F.col("waiting") + opened).alias("total_available"), (F.col("waiting") > 0).alias("truncated"))
+    return {"nodes": nodes, "edges": lines, "branches": first, "totals": totals}
+
+
+def shortest_path(edges: DataFrame | Adjacency, source: str, target: str, max_rounds: int | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """step, name of one shortest directed path; no rows if there is none (with max_rounds: within 2 * max_rounds steps).
 
-    Two frontiers meet: the smaller one of each round goes on. Of several parents a name keeps the least, so
+    Two frontiers meet: the smaller one of each round goes on; over an Adjacency, the one with fewer edges to read. Of several parents a name keeps the least, so
     the path is the same in every run. Only sizes come to the driver, and at last the path itself.
     """
-    spark = edges.sparkSession
+    spark = SparkSession.active()
     schema = "step int, name string"
     if source == target:
         return spark.createDataFrame([(0, source)], schema)
-    pairs = materialized(edge_pairs(edges, kinds), "pairs")
+    stored = isinstance(edges, Adjacency)
+    if not stored:
+        edges, kinds = materialized(edge_pairs(edges, kinds).withColumn("kind", F.lit("any")), "pairs"), None
     start = "name string, parent string, round int"
     seen = {DOWN: spark.createDataFrame([(source, None, 0)], start), UP: spark.createDataFrame([(target, None, 0)], start)}
     front = dict(seen)
-    size, done = {DOWN: 1, UP: 1}, {DOWN: 0, UP: 0}
+    size, done = {w: edges.degree(front[w], w, kinds) if stored else 1 for w in (DOWN, UP)}, {DOWN: 0, UP: 0}
     while max_rounds is None or sum(done.values()) < 2 * max_rounds:
         way = min(size, key=lambda k: (size[k], k))
         if not size[way]:
             return spark.createDataFrame([], schema)
         at, to = ("source", "target") if way == DOWN else ("target", "source")
-        names = front[way].select(F.col("name").alias("_at"))
-        step = pairs.join(names, pairs[at] == names["_at"]).groupBy(F.col(to).alias("name")).agg(F.min(at).alias("parent"))
+        step = touching(edges, front[way], way, kinds).groupBy(F.col(to).alias("name")).agg(F.min(at).alias("parent"))
         done[way] += 1
         new = materialized(step.join(seen[way], "name", "left_anti").select("name", "parent", F.lit(done[way]).alias("round")), "front")
-        size[way] = new.count()
+        size[way] = edges.degree(new, way, kinds) if stored else new.count()
         front[way] = new
         seen[way] = seen[way].unionAll(new)
         other = seen[UP if way == DOWN else DOWN]

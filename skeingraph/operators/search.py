@@ -45,8 +45,9 @@ def index(rows: DataFrame) -> Index:
     """The index of rows, not yet computed: to search it often, store docs, and postings partitioned by bucket."""
     docs = rows.withColumn("length", sum((F.size(tokens(F.col(f))) for f in FIELDS), F.lit(0)))
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in FIELDS])).alias("f")
-    flat = rows.select(F.col("id").alias("doc"), pairs)
-    postings = flat.select("doc", F.col("f.field").alias("field"), F.posexplode("f.terms").alias("pos", "term"))
+    own = ["file_path"] if "file_path" in rows.columns else []
+    flat = rows.select(F.col("id").alias("doc"), *own, pairs)
+    postings = flat.select("doc", *own, F.col("f.field").alias("field"), F.posexplode("f.terms").alias("pos", "term"))
     return Index(docs, postings.withColumn("bucket", bucket(F.col("term"))))
 
 

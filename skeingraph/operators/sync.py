@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,21 @@ def newer(before: DataFrame, now: DataFrame) -> DataFrame:
     """path of files (path, mtime) that are new or have a later time."""
     b = before.select("path", F.col("mtime").alias("_was"))
     return now.join(b, "path", "left").where("_was IS NULL OR mtime > _was").select("path")
+
+
+def differences(before: DataFrame, now: DataFrame) -> DataFrame:
+    """path, change (new, changed, deleted or moved), was (a moved file's old path) between two listings (path, mtime, size).
+
+    A file is changed if its time or size differs in any way. A deleted and a new one of one time and size are one that was
+    moved; of several such, the first paths of both sides belong together, then the second ones.
+    """
+    old = before.select("path", F.col("mtime").alias("_m"), F.col("size").alias("_s"))
+    both = old.join(now.select("path", "mtime", "size"), "path", "full_outer")
+    change = F.when(F.col("_m").isNull(), "new").when(F.col("mtime").isNull(), "deleted").when((F.col("_m") != F.col("mtime")) | (F.col("_s") != F.col("size")), "changed")
+    rows = both.select("path", change.alias("change"), F.coalesce("mtime", "_m").alias("mtime"), F.coalesce("size", "_s").alias("size")).where("change IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("change", "mtime", "size").orderBy("path"))
+    ends = rows.where("change IN ('new', 'deleted')").withColumn("n", place)
+    pair = ends.groupBy("mtime", "size", "n").agg(F.max(F.when(F.col("change") == "new", F.col("path"))).alias("to"), F.max(F.when(F.col("change") == "deleted", F.col("path"))).alias("was"))
+    moved = F.col("to").isNotNull() & F.col("was").isNotNull()
+    one = pair.select(F.coalesce("to", "was").alias("path"), F.when(moved, "moved").when(F.col("was").isNull(), "new").otherwise("deleted").alias("change"), F.when(moved, F.col("was")).alias("was"))
+    return one.unionAll(rows.where("change = 'changed'").select("path", "change", F.lit(None).cast("string").alias("was")))

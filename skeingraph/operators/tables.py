@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:
@@ -16,3 +19,19 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     path = f"{at.rstrip('/')}/skein/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_OWN: list[str] = []
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset, below a temporary one that goes with the process, on a single machine only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="skein-scratch"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        at = f"file://{_OWN[0]}"
+    return f"{at.rstrip('/')}/skein/{label}-{uuid.uuid4().hex}"

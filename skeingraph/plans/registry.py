@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, records, searches, walks
+from . import code, records, searches, stored, walks
 
-MODULES = [walks, searches, records, code]
+MODULES = [walks, searches, records, code, stored]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

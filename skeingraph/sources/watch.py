@@ -1,70 +1,87 @@
-"""A source tree as a stream: every micro-batch lists the tree and reports files that are new or have a later time."""
+"""A source tree as a stream: whenever anything in it differs, one batch lists the whole tree, and the difference to the last listing is what changed.
+
+The driver only digests names, times and sizes to see whether there is anything new; the listing is read by tasks,
+a top folder each. The last listing lies beside the checkpoint, one table a batch, so a batch that comes again says the
+same, and files of older time, deletions and moves are seen as well as later ones.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from .project import EXCLUDED
 
-SCHEMA = "path string, mtime double"
+LISTING = "path string, mtime double, size long"
+
 
+def listing(root: str, extensions: frozenset[str], top: str | None = None) -> Iterator[tuple[str, float, int]]:
+    """Path below root, time and size of every file with one of the extensions, outside hidden and excluded folders, in order.
 
-def listing(root: str, extensions: frozenset[str]) -> dict[str, float]:
-    """Path below root and time of every file with one of the extensions, outside hidden and excluded folders."""
-    found = {}
-    for here, folders, names in os.walk(root):
-        folders[:] = [f for f in folders if not f.startswith(".") and f not in EXCLUDED]
-        for name in names:
+    top: a folder of the root, to list that one alone; an empty name: only the files in the root itself.
+    """
+    for here, folders, names in os.walk(root if not top else os.path.join(root, top)):
+        folders[:] = sorted(f for f in folders if not f.startswith(".") and f not in EXCLUDED) if top != "" else []
+        for name in sorted(names):
             if os.path.splitext(name)[1].lower() in extensions:
                 path = os.path.join(here, name)
                 try:
-                    found[os.path.relpath(path, root)] = os.stat(path, follow_symlinks=False).st_mtime
+                    s = os.stat(path, follow_symlinks=False)
                 except OSError:  # gone since it was listed
                     continue
-    return found
+                yield os.path.relpath(path, root), s.st_mtime, s.st_size
+
 
+class Folder(InputPartition):
+    def __init__(self, top: str):
+        self.top = top
 
-class TreeReader(SimpleDataSourceStreamReader):
-    """An offset is the latest time seen, and the files that have it: only what is later, or new at that time, is reported."""
+
+class TreeReader(DataSourceStreamReader):
+    """An offset is the number of a listing and its digest; a batch is the listing as it is when the batch runs."""
 
     def __init__(self, root: str, extensions: frozenset[str]):
-        self.root, self.extensions = root, extensions
+        self.root, self.extensions, self.at = root, extensions, None
 
     def initialOffset(self) -> dict:
-        return {"at": -1.0, "last": []}
+        return {"listing": 0, "digest": ""}
+
+    def latestOffset(self) -> dict:
+        h = hashlib.sha256()
+        for row in listing(self.root, self.extensions):
+            h.update(repr(row).encode())
+        if self.at is None or self.at["digest"] != h.hexdigest():
+            # after a restart the number goes on from the time, as the reader does not see the log
+            self.at = {"listing": os.stat(self.root).st_mtime_ns if self.at is None else self.at["listing"] + 1, "digest": h.hexdigest()}
+        return self.at
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        seen, at = set(start["last"]), start["at"]
-        now = listing(self.root, self.extensions)
-        new = sorted((p, t) for p, t in now.items() if t > at or t == at and p not in seen)
-        latest = max([at, *(t for _, t in new)])
-        return iter(new), {"at": latest, "last": sorted(p for p, t in now.items() if t == latest)}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        tops = (d.name for d in os.scandir(self.root) if d.is_dir(follow_symlinks=False) and not d.name.startswith(".") and d.name not in EXCLUDED)
+        return [Folder(""), *map(Folder, sorted(tops))]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """The same files again after a restart, as far as they are as they were."""
-        now = listing(self.root, self.extensions)
-        return iter(sorted((p, t) for p, t in now.items() if start["at"] < t <= end["at"] or t == start["at"] and p not in start["last"]))
+    def read(self, partition: Folder) -> Iterator[tuple]:
+        yield from listing(self.root, self.extensions, partition.top)
 
 
 class Tree(DataSource):
-    """Format `source_tree`; options path (a folder the driver can list) and extensions (with commas between)."""
+    """Format `source_tree`; options path (a folder that driver and executors see) and extensions (with commas between)."""
 
     @classmethod
     def name(cls) -> str:
         return "source_tree"
 
     def schema(self) -> str:
-        return SCHEMA
+        return LISTING
 
-    def simpleStreamReader(self, schema) -> TreeReader:
+    def streamReader(self, schema) -> TreeReader:
         return TreeReader(self.options["path"], frozenset(self.options["extensions"].split(",")))
 
 
 def tree(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
-    """path, mtime: a stream; its first batch reports every file."""
+    """path, mtime, size: a stream of whole listings, one a batch."""
     spark.dataSource.register(Tree)
     return spark.readStream.format("source_tree").option("path", root).option("extensions", ",".join(sorted(extensions))).load()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.sync import differences
 from ..operators.usage import BUCKETS
 
 
@@ -51,6 +52,42 @@ def changed_files(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("path").applyInPandasWithState(step, "path string, change string", "mtime double", "update", GroupStateTimeout.NoTimeout)
 
 
+def tree_changes(listings: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "2 seconds"):
+    """Starts a query over listings (path, mtime, size; a batch is one whole listing, or scans by number in `scan`, each whole) that hands each one's differences to apply.
+
+    The listing that a batch is compared with is a table of the batch before, below the checkpoint; a batch that comes
+    again is compared with the same one. apply gets path, change, was (and scan), and the batch's number.
+    """
+    spark = listings.sparkSession
+    schema = "path string, mtime double, size long"
+
+    def at(n: int) -> str:
+        return f"{checkpoint}/listings/{n}"
+
+    def step(df: DataFrame, n: int) -> None:
+        before = spark.read.schema(schema).parquet(at(n - 1)) if n else spark.createDataFrame([], schema)
+        now = df.select("path", F.col("mtime").cast("double").alias("mtime"), F.col("size").cast("long").alias("size"))
+        if "scan" not in df.columns:
+            now.where("path IS NOT NULL").write.mode("overwrite").parquet(at(n))
+            apply(differences(before, spark.read.schema(schema).parquet(at(n))), n)
+            return
+        scans = [r.scan for r in df.select("scan").distinct().orderBy("scan").collect()]  # the few of this batch
+        df.select("path", F.col("mtime").cast("double").alias("mtime"), F.col("size").cast("long").alias("size"), F.col("scan").cast("long").alias("scan")).write.mode("overwrite").partitionBy("scan").parquet(f"{at(n)}.scans")
+        kept = spark.read.schema(f"{schema}, scan long").parquet(f"{at(n)}.scans")
+        out = None
+        for s in scans:
+            here = kept.where((F.col("scan") == s) & F.col("path").isNotNull()).drop("scan")
+            part = differences(before, here).withColumn("scan", F.lit(s).cast("long"))
+            out, before = part if out is None else out.unionAll(part), here
+        before.write.mode("overwrite").parquet(at(n))
+        if out is not None:
+            apply(out, n)
+
+    writer = listings.writeStream.option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    return writer.foreachBatch(step).start()
+
+
 def sync(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "2 seconds"):
     """Starts a query that hands each batch's changed paths, once each, to apply; every=None: what there is, then stop.
 

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from skeingraph import segments
 from skeingraph.engine import Engine
 from skeingraph.streaming import queries as streams
 
@@ -103,7 +104,8 @@ def test_versions_appends_and_writers(spark, tmp_path):
     assert len(folders()) == 2 and e.table("query_log").count() == 5 and e.insights().count() == 4
 
 
-def test_search_reads_its_buckets_and_repeats_from_memory(spark, tmp_path):
+def test_search_reads_its_buckets_and_repeats_from_memory(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "SMALL", 0)  # as a large segment is laid out
     root = tmp_path / "src"
     root.mkdir()
     (root / "a.py").write_text("def load_file():\n    pass\n\n\ndef save_file():\n    pass\n")

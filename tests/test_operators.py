@@ -301,7 +301,7 @@ def test_walks_over_stored_adjacency(spark, tmp_path):
     for name, table in graph.Adjacency.tables(edges).items():
         table.write.partitionBy("bucket").parquet(str(tmp_path / name))
         at[name] = spark.read.schema(table.schema).parquet(str(tmp_path / name))
-    stored = graph.Adjacency(at["calls_out"], at["calls_in"])
+    stored = graph.Adjacency(at["edges_out"], at["edges_in"], at["degrees"])
     anchors = spark.createDataFrame([(n,) for n in ("m1.f1", "F9", "x.f7", "none")], "anchor string")
     for way in (graph.UP, graph.DOWN):
         for suffix in (True, False):
