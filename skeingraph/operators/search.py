@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -57,15 +58,19 @@ def of_symbols(symbols: DataFrame) -> Index:
 
 #: Names of the fields in queries.
 FIELD_NAMES = {"symbol_name": "symbol_name", "name": "symbol_name", "qualified_name": "qualified_name", "signature": "signature", "kind": "kind"}
-_LEXEME = re.compile(r'\s*(?:(?P<open>\()|(?P<close>\))|(?P<field>\w+)\s*:\s*|(?P<quoted>"[^"]*"\*?)|(?P<word>[^\s()":]+))')
+#: Fixed value: how far apart NEAR's phrases may be where it does not say.
+NEAR_TERMS = 10
+_LEXEME = re.compile(r'\s*(?:(?P<near>NEAR\s*\()|(?P<comma>,)|(?P<open>\()|(?P<close>\))|(?P<field>\w+)\s*:\s*|(?P<quoted>"[^"]*"\*?)|(?P<word>[^\s()":,]+))')
 
 
 def parse(query: str) -> tuple[list[tuple[list[str], bool, str | None]], object]:
     """A query's phrases (terms, whether the last is a prefix, the field or None), and how they must match.
 
     Words and "quoted phrases" are phrases of terms (an underscore separates); a final * makes the last term a prefix;
-    `field:` before one restricts it. AND (or nothing) binds stronger than OR, NOT leaves out what follows; parentheses
-    group. The second value is a number of a phrase, or ("and" | "or" | "not", left, right); None: nothing is asked for.
+    `field:` before one restricts it. NEAR(phrases, n) asks for all of them in one field with at most n terms (NEAR_TERMS)
+    between the end of the first and the start of the last. AND (or nothing) binds stronger than OR, NOT leaves out what follows;
+    parentheses group. The second value is a number of a phrase, ("near", numbers, n), or ("and" | "or" | "not", left, right);
+    None: nothing is asked for.
     """
     lexemes, at = [], 0
     while query[at:].strip():
@@ -91,6 +96,10 @@ def parse(query: str) -> tuple[list[tuple[list[str], bool, str | None]], object]
             if text not in FIELD_NAMES:
                 raise ValueError(f"no such field: {text}")
             return one(FIELD_NAMES[text])
+        if kind == "near":
+            return near(field)
+        if kind == "comma" and lexemes:  # between words it says nothing
+            return one(field)
         if kind not in ("word", "quoted") or kind == "word" and text in ("AND", "OR", "NOT", "NEAR"):
             raise ValueError(f"not supported in a query: {text or query}")
         terms = [t.lower() for t in re.findall(r"[^\W_]+", text)]
@@ -99,12 +108,30 @@ def parse(query: str) -> tuple[list[tuple[list[str], bool, str | None]], object]
         found.append((terms, text.endswith("*"), field))
         return len(found) - 1
 
+    def near(field: str | None):
+        inner, far = [], NEAR_TERMS
+        while lexemes and lexemes[-1][0] in ("word", "quoted"):
+            inner.append(one(field))
+        if lexemes and lexemes[-1][0] == "comma":
+            lexemes.pop()
+            kind, text = lexemes.pop() if lexemes else ("end", "")
+            if kind != "word" or not text.isdigit():
+                raise ValueError(f"NEAR asks for a number after the comma: {query}")
+            far = int(text)
+        if not lexemes or lexemes.pop()[0] != "close":
+            raise ValueError(f"NEAR is not closed: {query}")
+        inner = [i for i in inner if i is not None]
+        return ("near", tuple(inner), far) if len(inner) > 1 else inner[0] if inner else None
+
     def joined(op: str, a, b):
         return (b if op != "not" else None) if a is None else a if b is None else (op, a, b)
 
     def all_of():
         tree = one()
         while lexemes and lexemes[-1][0] != "close" and not peek("OR"):
+            if lexemes[-1][0] == "comma":
+                lexemes.pop()
+                continue
             op = "and"
             if peek("AND", "NOT"):
                 op = lexemes.pop()[1].lower()
@@ -129,12 +156,14 @@ def holds(tree, met: Column) -> Column:
     if isinstance(tree, int):
         return F.array_contains(met, tree)
     op, a, b = tree
+    if op == "near":  # its phrases are only met where they are near
+        return holds(a[0], met)
     left, right = holds(a, met), holds(b, met)
     return left & right if op == "and" else left | right if op == "or" else left & ~right
 
 
-def phrase_hits(index: Index, wanted: list[tuple[int, list[str], bool, str | None]]) -> DataFrame:
-    """phrase, doc, tf for numbered phrases: how often each stands in a document, in one field in a row.
+def phrase_spots(index: Index, wanted: list[tuple[int, list[str], bool, str | None]]) -> DataFrame:
+    """phrase, n, doc, field, at for numbered phrases: each place where all n terms of one stand in a row in a field.
 
     Of stored postings only the buckets of the query's terms are read (all for a prefix of one character).
     """
@@ -151,7 +180,39 @@ def phrase_hits(index: Index, wanted: list[tuple[int, list[str], bool, str | Non
         same = F.when(F.col("prefix"), F.startswith("term", "want")).otherwise(same)
     joined = postings.join(asked, same).where("only IS NULL OR only = field")
     spots = joined.groupBy("phrase", "n", "doc", "field", (F.col("pos") - F.col("place")).alias("at")).agg(F.count_distinct("place").alias("met"))
-    return spots.where("met = n").groupBy("phrase", "doc").agg(F.count("*").alias("tf"))
+    return spots.where("met = n").drop("met")
+
+
+def phrase_hits(index: Index, wanted: list[tuple[int, list[str], bool, str | None]]) -> DataFrame:
+    """phrase, doc, tf for numbered phrases: how often each stands in a document."""
+    return phrase_spots(index, wanted).groupBy("phrase", "doc").agg(F.count("*").alias("tf"))
+
+
+def near_spots(spots: DataFrame, phrases: tuple[int, ...], far: int) -> DataFrame:
+    """Of spots (phrase, n, doc, field, at) those of the phrases that are part of a cover.
+
+    A cover has a place of each phrase in one field, and at most far terms between the end of any and the start of the last one. One
+    pass over a field's places in order finds, for each place, whether it ends a cover (of each other phrase the last place before it is near
+    enough), and then whether a cover of another phrase's end follows that is near enough.
+    """
+    own = spots.where(F.col("phrase").isin(*phrases))
+    before = Window.partitionBy("doc", "field").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("doc", "field").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    # of each phrase the last place so far, as where its end lies: the one that reaches furthest
+    ends = [F.max(F.when(F.col("phrase") == p, F.col("at") + F.col("n"))).over(before) for p in phrases]
+    closed = own.withColumn(
+        "_closes", reduce(lambda a, b: a & b, [F.coalesce((F.col("phrase") == p) | (F.col("at") - e <= far), F.lit(False)) for p, e in zip(phrases, ends, strict=True)])
+    )
+    nexts = F.array(*[F.min(F.when(F.col("_closes") & (F.col("phrase") == p), F.col("at"))).over(after) for p in phrases])
+    others = F.array_min(F.array_compact(F.transform(F.filter(F.arrays_zip(F.array(*map(F.lit, phrases)).alias("p"), nexts.alias("a")), lambda x: x["p"] != F.col("phrase")), lambda x: x["a"])))
+    found = closed.withColumn("_in", F.col("_closes") | F.coalesce(others - (F.col("at") + F.col("n")) <= far, F.lit(False)))
+    return found.where("_in").drop("_closes", "_in")
+
+
+def near_groups(tree) -> list[tuple[tuple[int, ...], int]]:
+    if not isinstance(tree, tuple):
+        return []
+    return [(tree[1], tree[2])] if tree[0] == "near" else near_groups(tree[1]) + near_groups(tree[2])
 
 
 def bm25(index: Index, hits: DataFrame) -> DataFrame:
@@ -169,7 +230,12 @@ def match(index: Index, query: str, file_path: str | None = None) -> DataFrame:
     asked, tree = parse(query)
     if tree is None:
         return index.docs.drop("length").withColumn("rank", F.lit(0.0)).limit(0)
-    per = bm25(index, phrase_hits(index, [(i, *p) for i, p in enumerate(asked)]))
+    spots = phrase_spots(index, [(i, *p) for i, p in enumerate(asked)])
+    groups = near_groups(tree)
+    if groups:
+        alone = spots.where(~F.col("phrase").isin(*[p for g, _ in groups for p in g]))
+        spots = reduce(DataFrame.unionByName, [near_spots(spots, g, far) for g, far in groups], alone)
+    per = bm25(index, spots.groupBy("phrase", "doc").agg(F.count("*").alias("tf")))
     whole = per.groupBy("doc").agg(F.collect_set("phrase").alias("met"), F.sum("rank").alias("rank")).where(holds(tree, F.col("met")))
     found = index.docs.drop("length").join(whole.select(F.col("doc").alias("id"), "rank"), "id")
     return found if file_path is None else found.where(F.col("file_path") == file_path)

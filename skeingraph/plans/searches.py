@@ -68,6 +68,36 @@ def text_expression(spark, d):
     return _rounded(search.match(_index(spark, d), '(widget OR supplier) NOT "brand 1"').select("id", "rank"), "rank")
 
 
+def _near_sql(phrases: list[list[str]], far: int, tables: str = "") -> str:
+    """NEAR by joining all places of all phrases: distance from the end of each to the start of the last."""
+    n = len(phrases)
+    occ = " UNION ALL ".join(
+        f"SELECT {i} AS phrase, {len(ts)} AS n, p0.id, p0.field, p0.pos AS at_pos FROM p p0 {' '.join(f'JOIN p p{k} USING (id, field)' for k in range(1, len(ts)))} WHERE " + " AND ".join(f"p{k}.term = '{t}' AND p{k}.pos = p0.pos + {k}" for k, t in enumerate(ts)) for i, ts in enumerate(phrases)
+    )
+    last = f"greatest({', '.join(f'o{i}.at_pos' for i in range(n))})"
+    cover = f"SELECT o0.id, o0.field, {', '.join(f'o{i}.at_pos AS s{i}' for i in range(n))} FROM occ o0 {' '.join(f'JOIN occ o{i} ON o{i}.id = o0.id AND o{i}.field = o0.field AND o{i}.phrase = {i}' for i in range(1, n))} WHERE o0.phrase = 0 AND " + " AND ".join(f"{last} - (o{i}.at_pos + o{i}.n) <= {far}" for i in range(n))
+    spots = " UNION ALL ".join(f"SELECT {i} AS phrase, id, count(DISTINCT (field, s{i})) AS tf FROM cover GROUP BY id" for i in range(n))
+    fields = " UNION ALL ".join(f"SELECT id, '{f}' AS field, {TOKEN.format(c=f)} AS terms FROM d" for f in FIELDS)
+    return oracle(
+        f""", d AS (SELECT * FROM symbols), f AS ({fields}), p AS MATERIALIZED (SELECT id, field, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM f),
+        len AS (SELECT id, sum(len(terms)) AS length FROM f GROUP BY id), total AS (SELECT count(*) AS n, avg(length) AS mean FROM len),
+        occ AS MATERIALIZED ({occ}), cover AS MATERIALIZED ({cover}), spots AS ({spots}),
+        s AS (SELECT phrase, id, -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS rank FROM (SELECT *, count(*) OVER (PARTITION BY phrase) AS df FROM spots) JOIN len USING (id), total)
+        SELECT id, round(sum(rank), 6) AS rank FROM s GROUP BY id"""
+    )
+
+
+@query(_near_sql([["ring"], ["economy"]], 2))
+def text_near(spark, d):
+    return _rounded(search.match(_index(spark, d), "NEAR(ring economy, 2)").select("id", "rank"), "rank")
+
+
+@query(_near_sql([["class"], ["brand", "2"], ["widget"]], 2))
+def text_near_phrases(spark, d):
+    """Three phrases of several terms."""
+    return _rounded(search.match(_index(spark, d), 'NEAR(class "brand 2" widget, 2)').select("id", "rank"), "rank")
+
+
 @query(oracle("SELECT id FROM symbols WHERE kind = 'interface'"))
 def text_in_field(spark, d):
     return search.match(_index(spark, d), "kind:interface").select("id")

@@ -11,7 +11,7 @@ from ..operators.tables import materialized, scratch
 from ..sources import star
 from ..sources.star import oracle
 from .registering import registrar
-from .searches import _bm25, _rounded, _score
+from .searches import _bm25, _near_sql, _rounded, _score
 from .walks import _walk_sql
 
 QUERIES, ORACLES, query = registrar()
@@ -120,6 +120,11 @@ def stored_expression(spark, d):
     return _rounded(search.match(_index(spark, d), '(widget OR supplier) NOT "brand 1"').select("id", "rank"), "rank")
 
 
+@query(_final(_near_sql([["class"], ["again"]], 6)))
+def stored_near(spark, d):
+    return _rounded(search.match(_index(spark, d), "NEAR(class again, 6)").select("id", "rank"), "rank")
+
+
 @query(_final(_walk_sql("SELECT 'supplier_7' AS anchor, source, target FROM calls WHERE target = 'supplier_7'", 3, "up")))
 def stored_callers(spark, d):
     return graph.walk(_near(spark, d), graph.one(spark, "supplier_7"), graph.UP, 3)

@@ -310,3 +310,36 @@ def test_walks_over_stored_adjacency(spark, tmp_path):
     plan = stored.near(anchors.limit(1), "anchor", graph.DOWN)._jdf.queryExecution().toString()
     assert "PartitionFilters: []" not in plan
     assert graph.callees(stored, "F9", 2).count() == graph.callees(edges, "F9", 2).count()
+
+
+def test_near_against_brute_force(spark):
+    """Random fields of few words: what NEAR finds, and how many places of each phrase lie in a cover."""
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 14))), "q", None, "function", "x.py") for i in range(120)]
+    index = search.of_symbols(spark.createDataFrame(rows, "id long, name string, qualified_name string, signature string, kind string, file_path string"))
+    for query, phrases, far in (("NEAR(a b, 2)", ["a", "b"], 2), ("NEAR(a a, 1)", ["a", "a"], 1), ('NEAR("a b" c d, 3)', ["a b", "c", "d"], 3), ("NEAR(a b c, 0)", ["a", "b", "c"], 0), ("NEAR(a e)", ["a", "e"], 10), ('name:NEAR(b "c d" "e e", 4)', ["b", "c d", "e e"], 4)):
+        want = {}
+        for i, text, *_ in rows:
+            w = text.split()
+            spots = [[(s, len(p.split())) for s in range(len(w)) if w[s : s + len(p.split())] == p.split()] for p in phrases]
+            covers = [c for c in itertools.product(*spots) if all(max(s for s, _ in c) - (s + n) <= far for s, n in c)]
+            if covers:
+                want[i] = tuple(len({c[k] for c in covers}) for k in range(len(phrases)))
+        asked, tree = search.parse(query)
+        groups = search.near_groups(tree)
+        assert groups == [(tuple(range(len(phrases))), far)]
+        got = search.near_spots(search.phrase_spots(index, [(k, *p) for k, p in enumerate(asked)]), *groups[0]).where("field = 'symbol_name'").groupBy("doc", "phrase").count().collect()
+        assert {(r.doc, r.phrase): r["count"] for r in got} == {(i, k): c for i, n in want.items() for k, c in enumerate(n)}, query
+        assert {r.id for r in search.match(index, query).collect()} == set(want)
+    both = {r.id for r in search.match(index, "NEAR(a b, 1) AND c").collect()}
+    assert both == {r.id for r in search.match(index, "NEAR(a b, 1)").collect()} & {r.id for r in search.match(index, "c").collect()}
+    for bad in ("NEAR(a b", "NEAR(a b, x)", "NEAR(a b,"):
+        try:
+            search.parse(bad)
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+    assert search.parse("NEAR(a)") == ([(["a"], False, None)], 0) and search.parse("NEAR()")[1] is None
