@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas, segments
-from .operators import analytics, documents, export, graph, lookup, search, sync, usage
+from .operators import analytics, documents, export, graph, lookup, search, stemmed, sync, usage
 from .sources import changes, conversations, project, stores, watch
 from .sources.languages import Registry, builtin
 from .streaming import queries as streams
@@ -277,6 +277,10 @@ class Engine:
     def search_task(self, task: str, limit: int = 10, file_path: str | None = None) -> DataFrame:
         return search.search_words(self._index(), task, limit, file_path)
 
+    def search_plain(self, query: str, limit: int = 20, file_path: str | None = None) -> DataFrame:
+        """Symbols that have all words in any form in name or signature, the best first."""
+        return stemmed.search_plain(self._index(), self.table("stems"), query, limit, file_path)
+
     def embed(self, dim: int = 384) -> None:
         """Stores an embedding of every symbol's name and signature."""
         if self.encoder is None:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, records, searches, stored, walks
+from . import code, plain, records, searches, stored, walks
 
-MODULES = [walks, searches, records, code, stored]
+MODULES = [walks, searches, records, code, stored, plain]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
-from .operators import graph, search
+from .operators import graph, search, stemmed
 from .operators.tables import materialized
 
 #: So many segments at least are merged; up to SMALL files a segment is one file a relation; up to HIDDEN paths are broadcast.
@@ -29,11 +29,11 @@ RELATIONS = {
     "files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES,
     "search_docs": "id BIGINT, symbol_name STRING, qualified_name STRING, signature STRING, kind STRING, file_path STRING, length INT",
     "postings": "bucket INT, term STRING, doc BIGINT, field STRING, pos INT, file_path STRING",
-    "edges_out": ADJACENT, "edges_in": ADJACENT, "degrees": "bucket INT, kind STRING, name STRING, n_out BIGINT, n_in BIGINT",
+    "stems": "bucket INT, stem STRING, term STRING", "edges_out": ADJACENT, "edges_in": ADJACENT, "degrees": "bucket INT, kind STRING, name STRING, n_out BIGINT, n_in BIGINT",
 }
 #: How a large segment is laid out: folders, then the order within a file.
-LAYOUT = {"symbols": (["kind"], ["qualified_name"]), "postings": (["bucket"], ["term"]), "edges_out": (["kind", "bucket"], ["source"]), "edges_in": (["kind", "bucket"], ["target"]), "degrees": (["kind", "bucket"], ["name"])}
-#: The column that names a row's file, and the one that names the file it leads to. degrees are upper bounds and hide nothing.
+LAYOUT = {"symbols": (["kind"], ["qualified_name"]), "postings": (["bucket"], ["term"]), "stems": (["bucket"], ["stem"]), "edges_out": (["kind", "bucket"], ["source"]), "edges_in": (["kind", "bucket"], ["target"]), "degrees": (["kind", "bucket"], ["name"])}
+#: The column that names a row's file, and the one that names the file it leads to. degrees are upper bounds, stems a dictionary: nothing of them is hidden.
 OWN = {"files": "path", "symbols": "file_path", "search_docs": "file_path", "postings": "file_path", "edges": "source_file", "edges_out": "source_file", "edges_in": "source_file"}
 INTO = {"edges": "target_file", "edges_out": "target_file", "edges_in": "target_file"}
 GONE = "path STRING, deleted BOOLEAN"
@@ -131,7 +131,8 @@ class Segments:
     def merge(self, segments: list[Segment], newest: int) -> list[Segment]:
         """The log with its newest ones as one segment. What takes nothing out any more, as there is nothing older, goes."""
         old, new = segments[:-newest], segments[-newest:]
-        own = {n: self.live(n, new) for n in RELATIONS if n != "degrees"}
+        own = {n: self.live(n, new) for n in RELATIONS if n not in ("degrees", "stems")}
+        own["stems"] = self.live("stems", new).distinct()
         own["degrees"] = graph.Adjacency.degrees(own["edges_out"])
         none = self.spark.createDataFrame([], GONE)
         parts = [self._read("gone", s.folders["gone"]) for s in new if s.gone]
@@ -147,7 +148,7 @@ class Segments:
 def derived(state: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The stored forms that searches and walks read."""
     built = search.of_symbols(state["symbols"])
-    return {"search_docs": built.docs, "postings": built.postings, **graph.Adjacency.tables(state["edges"])}
+    return {"search_docs": built.docs, "postings": built.postings, "stems": stemmed.dictionary(built.postings), **graph.Adjacency.tables(state["edges"])}
 
 
 def batch(state: DataFrame, parsed: dict[str, DataFrame], status: DataFrame, force: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
