@@ -195,6 +195,44 @@ class Engine:
         if not here.isEmpty():
             self.ingest_paths(here, root, analyze)
 
+    def feed(self, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "1 second"):
+        """A subscription to what changes: hands each new version's changes (version, relation, file_path, entity, kind, change) to apply, with the batch's number.
+
+        Versions are files that are created once, so they are the source; where a subscriber is, its checkpoint says. Versions
+        that were compacted away before a subscriber came to them are seen as one step. A batch may come again after a failure.
+        """
+        arrived = self.spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.json").text(f"{self.home}/versions")
+        names = arrived.select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("long").alias("version"))
+
+        def step(df: DataFrame, n: int) -> None:
+            out = None
+            for v in sorted(r.version for r in df.distinct().collect()):  # the few of this batch
+                older = [x for x in self._numbers() if x < v]
+                before = next((s for s in map(self._segments_of, older) if s is not None), [])
+                after = self._segments_of(v)
+                if after is not None and segments.added(before, after):
+                    part = self.log.changes(before, after).select(F.lit(v).alias("version"), "*")
+                    out = part if out is None else out.unionAll(part)
+            if out is not None:
+                apply(out, n)
+
+        writer = names.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
+        return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
+
+    def _segments_of(self, version: int) -> list[segments.Segment] | None:
+        """A version's segments; None: its writer died, or it is not there any more."""
+        fs, p = self._fs(f"{self.home}/versions/{version}.json")
+        for _ in range(20):
+            if not fs.exists(p):
+                return None
+            try:
+                return segments.from_log(json.loads("".join(r[0] for r in self.spark.read.text(p.toString(), wholetext=True).collect())).get("segments", []))
+            except ValueError:  # still being written, or never to be whole
+                if self._numbers()[0] > version:
+                    return None
+                time.sleep(0.1)
+        return None
+
     def delete_files(self, paths: list[str]) -> None:
         self._drop(self.spark.createDataFrame([(p,) for p in paths], "path string"))
 

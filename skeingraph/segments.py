@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,13 +39,37 @@ INTO = {"edges": "target_file", "edges_out": "target_file", "edges_in": "target_
 GONE = "path STRING, deleted BOOLEAN"
 
 
+@dataclass(frozen=True)
+class Migration:
+    """What became of one relation from a schema to the next: columns' new names, types (old, new; one that holds the old), and new columns (type, SQL of what they are in old rows)."""
+
+    renamed: dict[str, str] = field(default_factory=dict)
+    widened: dict[str, tuple[str, str]] = field(default_factory=dict)
+    added: dict[str, tuple[str, str]] = field(default_factory=dict)
+
+    def before(self, columns: dict[str, str]) -> dict[str, str]:
+        """The columns (name to type) as they were."""
+        back = {new: old for old, new in self.renamed.items()}
+        return {back.get(c, c): self.widened.get(c, (t,))[0] for c, t in columns.items() if c not in self.added}
+
+    def apply(self, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+        """Old rows as rows of the new columns."""
+        back = {new: old for old, new in self.renamed.items()}
+        return rows.select(*[(F.expr(self.added[c][1]) if c in self.added else F.col(back.get(c, c))).cast(t).alias(c) for c, t in columns.items()])
+
+
+#: Step i leads from schema i to schema i + 1, by relation; new segments are written by the last one.
+MIGRATIONS: tuple[dict[str, Migration], ...] = ()
+
+
 @dataclass(frozen=True)
 class Segment:
-    """folders: by relation, below the home; files: that it holds; gone: paths that it takes out of older ones."""
+    """folders: by relation, below the home; files: that it holds; gone: paths that it takes out of older ones; schema: that it was written by."""
 
     folders: dict[str, str]
     files: int
     gone: int
+    schema: int = 0
 
     def size(self) -> int:
         return self.files + self.gone
@@ -72,14 +96,24 @@ def mergeable(sizes: list[int]) -> int:
 class Segments:
     """Writes and reads segments below a home; which ones there are, and in what order, is the caller's log to say."""
 
-    def __init__(self, spark: SparkSession, home: str):
-        self.spark, self.home = spark, home
+    def __init__(self, spark: SparkSession, home: str, relations: dict[str, str] | None = None, migrations: tuple[dict[str, Migration], ...] = MIGRATIONS):
+        """relations: other schemas than RELATIONS for some; migrations: how segments of older schemas are read."""
+        self.spark, self.home, self.migrations = spark, home, migrations
+        self.relations = RELATIONS | {"gone": GONE} | (relations or {})
 
     # ------------------------------------------------------------ reading
 
-    def _read(self, name: str, folder: str) -> DataFrame:
-        schema = {**RELATIONS, "gone": GONE}[name]
-        return self.spark.read.schema(schema).parquet(f"{self.home}/{folder}").select([c.split()[0] for c in schema.split(", ")])
+    def _read(self, name: str, folder: str, schema: int | None = None) -> DataFrame:
+        steps = [m.get(name) for m in self.migrations[len(self.migrations) if schema is None else schema :]]
+        shapes = [schemas.columns(self.relations[name])]
+        for m in reversed(steps):
+            shapes.append(m.before(shapes[-1]) if m else shapes[-1])
+        columns = shapes.pop()
+        rows = self.spark.read.schema(", ".join(f"{c} {t}" for c, t in columns.items())).parquet(f"{self.home}/{folder}").select(*columns)
+        for m in steps:
+            columns = shapes.pop()
+            rows = m.apply(rows, columns) if m else rows
+        return rows
 
     def hidden(self, segments: list[Segment]) -> DataFrame | None:
         """_path, _replaced, _deleted: the newest segment (its place from 0) that takes a path out in either way; None: nothing is."""
@@ -91,9 +125,9 @@ class Segments:
 
     def live(self, name: str, segments: list[Segment]) -> DataFrame:
         """The rows of a relation that no newer segment takes out."""
-        parts = [self._read(name, s.folders[name]).withColumn("_seq", F.lit(i)) for i, s in enumerate(segments) if name in s.folders]
+        parts = [self._read(name, s.folders[name], s.schema).withColumn("_seq", F.lit(i)) for i, s in enumerate(segments) if name in s.folders]
         if not parts:
-            return self.spark.createDataFrame([], RELATIONS[name])
+            return self.spark.createDataFrame([], self.relations[name])
         rows, gone = reduce(DataFrame.unionAll, parts), self.hidden(segments) if name in OWN else None
         if gone is not None:
             rows = rows.join(gone, (F.col(OWN[name]) == gone["_path"]) & (F.col("_seq") < gone["_replaced"]), "left_anti")
@@ -101,11 +135,37 @@ class Segments:
                 rows = rows.join(gone, (F.col(INTO[name]) == gone["_path"]) & (F.col("_seq") < gone["_deleted"]), "left_anti")
         return rows.drop("_seq")
 
+    def changes(self, before: list[Segment], after: list[Segment]) -> DataFrame:
+        """relation, file_path, entity, kind, change (new, changed or deleted) of the files and symbols that differ between two states of a log.
+
+        Only the files that the new segments name are looked at. Symbols of one file, name and kind are one entity.
+        """
+        new = added(before, after)
+        touched = [self._read("gone", s.folders["gone"], s.schema).select("path") for s in new if s.gone] + [self._read("files", s.folders["files"], s.schema).select("path") for s in new if s.files]
+        schema = "relation string, file_path string, entity string, kind string, change string"
+        if not touched:
+            return self.spark.createDataFrame([], schema)
+        paths = reduce(DataFrame.unionAll, touched).distinct()
+
+        def state(log: list[Segment], name: str, key: list[str], side: str) -> DataFrame:
+            rows = self.live(name, log)
+            mine = rows.join(paths.withColumnRenamed("path", OWN[name]), OWN[name], "left_semi")
+            rest = F.xxhash64(*[c for c in rows.columns if c not in (*key, "last_indexed")])
+            return mine.groupBy(*key).agg(F.count("*").alias(f"n{side}"), F.sum(rest.cast("decimal(38,0)")).alias(f"h{side}"))
+
+        out = []
+        for name, key in (("files", ["path"]), ("symbols", ["file_path", "qualified_name", "kind"])):
+            both = state(before, name, key, "0").join(state(after, name, key, "1"), key, "full_outer")
+            change = F.when(F.col("n0").isNull(), "new").when(F.col("n1").isNull(), "deleted").when((F.col("n0") != F.col("n1")) | (F.col("h0") != F.col("h1")), "changed")
+            none = F.lit(None).cast("string").alias("kind")
+            out.append(both.select(F.lit(name).alias("relation"), F.col(key[0]).alias("file_path"), F.col(key[1] if name == "symbols" else "path").alias("entity"), "kind" if name == "symbols" else none, change.alias("change")).where("change IS NOT NULL"))
+        return reduce(DataFrame.unionAll, out)
+
     # ------------------------------------------------------------ writing
 
     def _store(self, name: str, rows: DataFrame, small: bool) -> str:
         at = f"{name}-{uuid.uuid4().hex}"
-        fields = self.spark.createDataFrame([], {**RELATIONS, "gone": GONE}[name]).schema
+        fields = self.spark.createDataFrame([], self.relations[name]).schema
         out = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
         folders, order = LAYOUT.get(name, ([], []))
         if small:
@@ -122,7 +182,7 @@ class Segments:
         stored = self._store_all({**relations, **({"gone": gone} if out else {})} if files else {"gone": gone}, files <= SMALL)
         if files and "postings" not in relations:
             stored |= self._store_all(derived({n: self._read(n, stored[n]) for n in ("symbols", "edges")}), files <= SMALL)
-        return Segment(stored, files, out)
+        return Segment(stored, files, out, len(self.migrations))
 
     def _store_all(self, tables: dict[str, DataFrame], small: bool) -> dict[str, str]:
         with ThreadPoolExecutor(len(tables)) as pool:  # relations are written side by side
@@ -145,6 +205,11 @@ class Segments:
         return segments
 
 
+def added(before: list[Segment], after: list[Segment]) -> list[Segment]:
+    """The segments that came on top; none after a merge, which changes nothing that is read."""
+    return after[len(before) :] if after[: len(before)] == before else []
+
+
 def derived(state: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The stored forms that searches and walks read."""
     built = search.of_symbols(state["symbols"])

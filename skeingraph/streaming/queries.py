@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.sync import differences
@@ -109,3 +112,64 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     """user_id, start, n: runs of a user's events with no gap that long."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+def bound(seconds: float) -> str:
+    """The column that counts samples up to so many seconds."""
+    return f"le_{seconds}".replace(".", "_")
+
+
+class Latencies(StatefulProcessor):
+    """Of each key the newest samples, up to `most`; one more, and only the newest `keep` stay. Beside them a count for each bound, and the number of all."""
+
+    def __init__(self, most: int, keep: int):
+        self.most, self.keep = most, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.samples = handle.getListState("samples", "ts double, seconds double")
+        self.counts = handle.getValueState("counts", "n long, kept long, under array<long>")
+
+    def left(self, kept: int, new: int) -> int:
+        """How many samples there are after some more have come one by one."""
+        if kept + new <= self.most:
+            return kept + new
+        return self.keep + (kept + new - self.most - 1) % (self.most + 1 - self.keep)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, kept, under = self.counts.get() if self.counts.exists() else (0, 0, [0] * len(BUCKETS))
+        under, newest, new = np.array(under, np.int64), pd.DataFrame({"ts": [], "seconds": []}), 0
+        for f in rows:
+            new += len(f)
+            under += (f["seconds"].to_numpy()[:, None] <= np.array(BUCKETS)).sum(axis=0)
+            # of a batch no more than `most` samples are ever held
+            newest = pd.concat([newest, f[["ts", "seconds"]]]).sort_values(["ts", "seconds"], kind="stable").tail(self.most)
+        after = self.left(kept, new)
+        if after == kept + new:
+            self.samples.appendList(list(newest.itertuples(index=False, name=None)))
+        else:
+            old = list(self.samples.get()) if after > len(newest) else []
+            self.samples.put([*old, *newest.itertuples(index=False, name=None)][-after:])
+        self.counts.update((n + new, after, under.tolist()))
+        held = sorted(s for _, s in self.samples.get())
+        yield pd.DataFrame({"key": [key[0]], "n": [n + new], "kept": [after], "total": [float(sum(held))], "p50": [held[len(held) // 2]], **{bound(b): [int(c)] for b, c in zip(BUCKETS, under, strict=True)}})
+
+
+def bounded_latencies(samples: DataFrame, most: int = 10_000, keep: int = 5_000) -> DataFrame:
+    """A row for each key of each batch of a stream (key, ts, seconds): n (all samples so far), kept (how many are held), their total and middle one (p50), and how many of all are at most each bound.
+
+    Samples come in order of time within a batch, and batches one after the other. The session must keep state in RocksDB (state_in_rocksdb).
+    """
+    schema = "key string, n long, kept long, total double, p50 double, " + ", ".join(f"{bound(b)} long" for b in BUCKETS)
+    return samples.groupBy("key").transformWithStateInPandas(Latencies(most, keep), schema, "Update", "None")
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB, as lists and timers ask for; the session's own setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was) if was else spark.conf.unset(name)
