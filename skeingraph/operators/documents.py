@@ -96,7 +96,8 @@ def delete_annotation(annotations: DataFrame, file: str, symbol: str, index: int
     if index is None:
         return annotations.where(~hit)
     n = F.row_number().over(Window.partitionBy("file", "symbol").orderBy("place")) - 1
-    return annotations.withColumn("_n", n).where(~(hit & (F.col("_n") == index))).drop("_n")
+    left = annotations.where(hit).withColumn("_n", n).where(F.col("_n") != index).drop("_n")  # only that key's entries are numbered
+    return annotations.where(~F.coalesce(hit, F.lit(False))).unionByName(left)
 
 
 def without_files(rows: DataFrame, files: DataFrame, key: str = "file") -> DataFrame:

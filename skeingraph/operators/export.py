@@ -71,6 +71,10 @@ def dot(nodes: DataFrame, edges: DataFrame, name: str = "code") -> DataFrame:
     return head.unionAll(n).unionAll(e).orderBy("part", "i", "line")
 
 
+#: Tasks that the lines of one much used vertex are dealt to.
+SALTS = 16
+
+
 def lsif(files: DataFrame, symbols: DataFrame, edges: DataFrame, root: str = ".", tool: str = "skeingraph") -> DataFrame:
     """id, json: vertices and edges of an LSIF dump with ids from 1 without gaps, in an order that later lines only refer back.
 
@@ -129,7 +133,14 @@ def lsif(files: DataFrame, symbols: DataFrame, edges: DataFrame, root: str = "."
     for p in parts[1:]:
         table = table.unionAll(p)
     table = materialized(numbered(table, ["part", "o", "step", "key"], "id"), "lsif")  # read three times below
-    ids = table.select(F.col("key").alias("_k"), F.col("id").alias("_id"))
-    joined = table.join(ids.withColumnsRenamed({"_k": "_ko", "_id": "_out"}), F.col("out_v") == F.col("_ko"), "left").join(ids.withColumnsRenamed({"_k": "_ki", "_id": "_in"}), F.col("in_v") == F.col("_ki"), "left")
+    ids = table.where("body LIKE '{\"type\":\"vertex\"%'").select("key", "id")
+    lines = table.where("out_v IS NOT NULL")
+    # many lines start at the project, at a document or at what refers to a name: those keys are dealt over SALTS tasks each
+    many = lambda c: (F.col(c) == "project") | F.startswith(c, F.lit("doc|")) | F.startswith(c, F.lit("result|"))
+    salted = ids.where(many("key")).select(F.col("key").alias("out_v"), F.col("id").alias("_out"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    hot = lines.where(many("out_v")).withColumn("_salt", F.pmod(F.xxhash64("in_v"), F.lit(SALTS)).cast("int")).join(salted, ["out_v", "_salt"]).drop("_salt")
+    cold = lines.where(~many("out_v")).join(ids.where(~many("key")).select(F.col("key").alias("out_v"), F.col("id").alias("_out")), "out_v")
+    ends = hot.unionByName(cold).join(ids.select(F.col("key").alias("in_v"), F.col("id").alias("_in")), "in_v")
+    joined = ends.unionByName(table.where("out_v IS NULL"), allowMissingColumns=True)
     refs = F.when(F.col("_out").isNull(), "").otherwise(F.concat(F.lit(',"outV":'), F.col("_out").cast("string"), F.when(F.col("plural"), F.concat(F.lit(',"inVs":['), F.col("_in").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit(',"inV":'), F.col("_in").cast("string")))))
     return joined.select("id", F.concat(F.lit('{"id":'), F.col("id").cast("string"), refs, F.lit(","), F.substring("body", 2, 1 << 30)).alias("json")).orderBy("id")

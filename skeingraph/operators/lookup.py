@@ -93,7 +93,8 @@ def caller_callee_lists(edges: DataFrame) -> DataFrame:
 
 def with_start_lines(results: DataFrame, symbols: DataFrame) -> DataFrame:
     """results (kind, qualified_name) with the start_line of the last symbol of that kind and name."""
-    lines = symbols.groupBy("kind", "qualified_name").agg(F.max_by("start_line", "id").alias("start_line"))
+    asked = results.select("kind", "qualified_name").distinct()  # of a few results, a small side: the symbols are then not shuffled
+    lines = symbols.join(asked, ["kind", "qualified_name"], "left_semi").groupBy("kind", "qualified_name").agg(F.max_by("start_line", "id").alias("start_line"))
     return results.join(lines, ["kind", "qualified_name"], "left")
 
 

@@ -383,10 +383,13 @@ def main():
 '''
 
 
-@query("SELECT * FROM (VALUES ('Store', 'class', NULL, 7), ('get', 'method', 'Store', 8), ('find', 'method', 'Store', 13), ('main', 'function', NULL, 17), ('LIMIT', 'variable', NULL, 4)) t(name, kind, parent_symbol, start_line)")
+@query("SELECT 'src/store_' || s_suppkey || '.py' AS file_path, replace(name, 'Store', 'Store' || s_suppkey) AS name, kind, replace(parent_symbol, 'Store', 'Store' || s_suppkey) AS parent_symbol, start_line FROM supplier, (VALUES ('Store', 'class', NULL, 7), ('get', 'method', 'Store', 8), ('find', 'method', 'Store', 13), ('main', 'function', NULL, 17), ('LIMIT', 'variable', NULL, 4)) t(name, kind, parent_symbol, start_line)")
 def parsed_symbols(spark, d):
-    sources = spark.createDataFrame([("src/store.py", bytearray(SAMPLE.encode()))], "path string, content binary")
-    return project.relations(project.parse(sources))["symbols"].select("name", "kind", "parent_symbol", "start_line")
+    """A module for each supplier, whose number its class bears."""
+    k = F.col("s_suppkey").cast("string")
+    text = F.replace(F.lit(SAMPLE), F.lit("Store"), F.concat(F.lit("Store"), k))
+    sources = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("src/store_"), k, F.lit(".py")).alias("path"), F.encode(text, "utf-8").alias("content"))
+    return project.relations(project.parse(sources))["symbols"].select("file_path", "name", "kind", "parent_symbol", "start_line")
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE NOT regexp_matches('src/' || source || '/doc_' || doc_id || '.py', '(^|/)(build|dist)(/|$)') AND doc_id % 10 <> 4")

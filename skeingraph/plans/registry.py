@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, feeds, plain, records, searches, stored, walks
+from . import code, feeds, pages, plain, records, searches, stored, walks
 
-MODULES = [walks, searches, records, code, stored, plain, feeds]
+MODULES = [walks, searches, records, code, stored, plain, feeds, pages]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,16 +110,16 @@ def text_prefix(spark, d):
     return search.match(_index(spark, d), "build* OR kind:type").select("id")
 
 
-@query(oracle(", hit AS (SELECT qualified_name, kind FROM symbols WHERE kind IN ('class', 'type')), line AS (SELECT kind, qualified_name, arg_max(start_line, id) AS start_line FROM symbols GROUP BY 1, 2) SELECT qualified_name, kind, start_line FROM hit LEFT JOIN line USING (kind, qualified_name)"))
+@query(oracle(", hit AS (SELECT qualified_name, kind FROM symbols), line AS (SELECT kind, qualified_name, arg_max(start_line, id) AS start_line FROM symbols GROUP BY 1, 2) SELECT qualified_name, kind, start_line FROM hit LEFT JOIN line USING (kind, qualified_name)"))
 def results_with_lines(spark, d):
     s = star.symbols(spark, d)
-    return lookup.with_start_lines(s.where("kind IN ('class', 'type')").select("qualified_name", "kind"), s).select("qualified_name", "kind", "start_line")
+    return lookup.with_start_lines(s.select("qualified_name", "kind"), s).select("qualified_name", "kind", "start_line")
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings WHERE vec_id % 7 <> 3")
 def stored_vectors(spark, d):
     """Vectors out of stored bytes; those of another length are left out."""
-    blob = F.udf(lambda v, n: None if v is None else __import__("struct").pack(f"<{n}f", *v[:n]), "binary")
+    blob = F.pandas_udf(lambda v, n: pd.Series([None if x is None else np.asarray(x[:k], "<f4").tobytes() for x, k in zip(v, n, strict=True)]), "binary", F.PandasUDFType.SCALAR)
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", blob("embedding", F.when(F.col("vec_id") % 7 == 3, 63).otherwise(64)).alias("blob"))
     vectors = rows.select("vec_id", search.decoded(F.col("blob"), 64).alias("v")).where("v IS NOT NULL")
     return vectors.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
@@ -179,9 +181,11 @@ def encoded_search(spark, d):
     return search.vector_search(stored, q, 10)
 
 
-@query(oracle(", r AS (SELECT qualified_name, file_path FROM symbols WHERE kind IN ('class', 'interface', 'type')), up AS (SELECT target AS n, string_agg(source, ',' ORDER BY source) AS callers FROM calls GROUP BY 1), down AS (SELECT source AS n, string_agg(target, ',' ORDER BY target) AS callees FROM calls GROUP BY 1) SELECT qualified_name, md5(coalesce(callers, '')) AS callers, md5(coalesce(callees, '')) AS callees, CASE WHEN symbol_count > 3 THEN 'about ' || file_path END AS module_summary FROM r LEFT JOIN up ON up.n = qualified_name LEFT JOIN down ON down.n = qualified_name JOIN files ON path = file_path"))
+@query(oracle(""", r AS (SELECT qualified_name, file_path FROM symbols), n AS (SELECT DISTINCT qualified_name, unnest([qualified_name, split_part(qualified_name, '.', -1)]) AS name FROM symbols),
+    up AS (SELECT qualified_name, string_agg(DISTINCT source, ',' ORDER BY source) AS callers FROM n JOIN calls ON target = name GROUP BY 1), down AS (SELECT qualified_name, string_agg(DISTINCT target, ',' ORDER BY target) AS callees FROM n JOIN calls ON source = name GROUP BY 1)
+    SELECT qualified_name, md5(coalesce(callers, '')) AS callers, md5(coalesce(callees, '')) AS callees, CASE WHEN symbol_count > 3 THEN 'about ' || file_path END AS module_summary FROM r LEFT JOIN up USING (qualified_name) LEFT JOIN down USING (qualified_name) JOIN files ON path = file_path"""))
 def task_context(spark, d):
-    s = star.symbols(spark, d).where("kind IN ('class', 'interface', 'type')").select("qualified_name", "file_path")
+    s = star.symbols(spark, d).select("qualified_name", "file_path")
     docs = star.files(spark, d).where("symbol_count > 3").select(F.col("path").alias("file"), F.concat(F.lit("about "), "path").alias("module_summary"))
     rows = documents.context(s, star.edges(spark, d), docs)
     return rows.select("qualified_name", F.md5(F.array_join("callers", ",")).alias("callers"), F.md5(F.array_join("callees", ",")).alias("callees"), "module_summary")

@@ -137,12 +137,12 @@ class Latencies(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, kept, under = self.counts.get() if self.counts.exists() else (0, 0, [0] * len(BUCKETS))
-        under, newest, new = np.array(under, np.int64), pd.DataFrame({"ts": [], "seconds": []}), 0
+        under, newest, new = np.array(under, np.int64), None, 0
         for f in rows:
             new += len(f)
             under += (f["seconds"].to_numpy()[:, None] <= np.array(BUCKETS)).sum(axis=0)
             # of a batch no more than `most` samples are ever held
-            newest = pd.concat([newest, f[["ts", "seconds"]]]).sort_values(["ts", "seconds"], kind="stable").tail(self.most)
+            newest = pd.concat([*([] if newest is None else [newest]), f[["ts", "seconds"]]]).sort_values(["ts", "seconds"], kind="stable").tail(self.most)
         after = self.left(kept, new)
         if after == kept + new:
             self.samples.appendList(list(newest.itertuples(index=False, name=None)))
