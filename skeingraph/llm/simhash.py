@@ -15,6 +15,7 @@ distinct fingerprint in it. Fingerprints and components that many rows share are
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -126,48 +127,58 @@ def forest(f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return f[np.concatenate(a or none)], f[np.concatenate(b or none)]
 
 
+def short_links(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links within runs of equal keys, each a few long."""
+    a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    s = 1
+    while len(same := np.flatnonzero(key[s:] == key[:-s])):
+        x, y = fp[same], fp[same + s]
+        near = np.bitwise_count(x ^ y) <= most
+        a.append(x[near])
+        b.append(y[near])
+        s += 1
+    return np.concatenate(a), np.concatenate(b)
+
+
 def run_links(key: np.ndarray, fp: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys."""
+    """Links within runs of equal keys (postings' keys)."""
     cut = np.flatnonzero(np.diff(key)) + 1
     start = np.concatenate([[0], cut])
     size = np.diff(np.concatenate([start, [len(key)]]))
-    a, b = [], []
-    of = np.repeat(size, size)
-    short = np.flatnonzero((of > 1) & (of <= SHORT_RUN))
-    k, f = key[short], fp[short]
-    for s in range(1, int(of[short].max()) if len(short) else 0):
-        same = np.flatnonzero(k[s:] == k[:-s])
-        x, y = f[same], f[same + s]
-        near = np.bitwise_count(x ^ y) <= most
-        a.append(x[near])
-        b.append(y[near])
+    short = np.repeat((size > 1) & (size <= SHORT_RUN), size)
+    found = [short_links(key[short], fp[short], most)]
     for i in np.flatnonzero(size > SHORT_RUN):
         f = fp[start[i] : start[i] + size[i]]
-        x, y = second_level(f, most) if len(f) > LONG_RUN else forest(f, most)
-        a.append(x)
-        b.append(y)
-    none = [np.empty(0, np.uint64)]
-    return np.concatenate(a or none), np.concatenate(b or none)
+        low, width = next(x for x in reversed(SEGMENTS) if int(key[start[i]]) >> 21 >= x[0])
+        found.append(second_level(f, low, width, most) if len(f) > LONG_RUN else forest(f, most))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
 
+def second_level(f: np.ndarray, low: int, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a long run that shares a segment but for a bit.
 
-def second_level(f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a long run: of `most` + 1 pieces of two near fingerprints one is equal, so each piece in turn is a key."""
-    edges = np.linspace(0, 64, most + 2).astype(int)
+    The bits outside of the segment are cut into `most` + r pieces, of which two near fingerprints share r, so each choice of r pieces in
+    turn is a key; r is so large that the keys are about as many as the run is long.
+    """
+    outside = (f & np.uint64((1 << low) - 1)) | ((f >> np.uint64(low + width)) << np.uint64(low) if low + width < 64 else np.uint64(0))
+    bits = 64 - width
+    r = next((r for r in (2, 3, 4) if bits * r // (most + r) >= len(f).bit_length() - 1), 5)
+    edges = np.linspace(0, bits, most + r + 1).astype(int).tolist()
+    pieces = [((outside >> np.uint64(a)) & np.uint64((1 << (z - a)) - 1), z - a) for a, z in zip(edges, edges[1:])]
     a, b = [], []
-    for low, high in zip(edges.tolist(), edges[1:].tolist(), strict=False):
-        piece = (f >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
-        order = np.argsort(piece, kind="stable")
-        g, key = f[order], piece[order]
+    for chosen in itertools.combinations(pieces, r):
+        key = np.zeros(len(f), np.uint64)
+        for piece, size in chosen:
+            key = key << np.uint64(size) | piece
+        order = np.argsort(key, kind="stable")
+        g, key = f[order], key[order]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([start, [len(g)]]))
-        many = np.repeat(size, size) <= SHORT_RUN
-        x, y = run_links(key[many], g[many], most) if many.any() else (g[:0], g[:0])
-        a.append(x)
-        b.append(y)
-        for i in np.flatnonzero(size > SHORT_RUN):
-            x, y = forest(g[start[i] : start[i] + size[i]], most)
-            a.append(x)
-            b.append(y)
+        many = np.repeat((size > 1) & (size <= SHORT_RUN), size)
+        found = [short_links(key[many], g[many], most)]
+        found += [forest(g[start[j] : start[j] + size[j]], most) for j in np.flatnonzero(size > SHORT_RUN)]
+        a += [p for p, _ in found]
+        b += [q for _, q in found]
     return np.concatenate(a), np.concatenate(b)
 
 
