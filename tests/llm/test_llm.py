@@ -135,7 +135,9 @@ def test_long_runs_give_the_same_groups():
     assert len(a) == len(f) - len(set(groups(near)))
 
 
-def test_second_level_gives_the_same_groups():
+@pytest.mark.parametrize("low, width", [(0, 22), (22, 21), (43, 21)])
+def test_second_level_gives_the_same_groups(low, width):
+    """Fingerprints that share a segment but for one bit, as those of one posting do."""
     from skeingraph.llm.simhash import forest, second_level
 
     rng = np.random.default_rng(5)
@@ -143,7 +145,9 @@ def test_second_level_gives_the_same_groups():
     near = base[rng.integers(0, 40, 1500)]
     for _ in range(3):
         near = near ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
-    f = np.unique(np.concatenate([near, base, rng.integers(0, 2**63, 1500).astype(np.uint64)]))
+    f = np.concatenate([near, base, rng.integers(0, 2**63, 1500).astype(np.uint64)])
+    shared = np.uint64(((1 << width) - 1) << low) ^ np.uint64(1 << (low + 7))
+    f = np.unique((f & ~shared) | (np.uint64(0x5A5A5A5A5A5A5A5A) & shared))
 
     def roots(a, b):
         root = {x: x for x in f.tolist()}
@@ -159,7 +163,24 @@ def test_second_level_gives_the_same_groups():
             root[y] = x
         return {x: find(x) for x in root}
 
-    assert roots(*forest(f, 4)) == roots(*second_level(f, 4))
+    assert roots(*forest(f, 4)) == roots(*second_level(f, low, width, 4))
+
+
+def test_long_runs_take_about_their_length():
+    """40,000 and ten times as many different fingerprints of one posting."""
+    import time
+
+    from skeingraph.llm.simhash import SEGMENTS, run_links
+
+    rng = np.random.default_rng(3)
+    for s, (low, width) in enumerate(SEGMENTS):
+        took = []
+        for n in (40_000, 400_000) if s == 0 else (40_000,):
+            f = rng.integers(0, 2**63, n).astype(np.uint64) & ~np.uint64(((1 << width) - 1) << low)
+            began = time.perf_counter()
+            run_links(np.full(n, low << 21, np.int32), f)
+            took.append(time.perf_counter() - began)
+        assert took[0] < 2 and took[-1] < 40 * took[0] + 2
 
 
 def test_components(spark):
@@ -438,7 +459,7 @@ def test_neighbours(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block int")
     queries = df.where("vec_id % 20 = 0 OR vec_id IN (5, 901)")
     got: dict = {}
-    for r in nearest(df, queries, k=10, candidates=250, block=400).collect():
+    for r in nearest(df, queries, k=10, block=400).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     hit = 0
     for q, found in got.items():
@@ -467,7 +488,7 @@ def test_neighbours_of_repeated_ids_and_copies(spark):
     same = np.flatnonzero((v == v[0]).all(axis=1))
     asked = [int(i) for i in [*same[:30], *range(1, 40)]]
     by: dict = {}
-    for r in nearest(table, table.where(table.vec_id.isin(asked)), candidates=300, block=700, part=20).collect():
+    for r in nearest(table, table.where(table.vec_id.isin(asked)), block=700, part=20).collect():
         by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     hits = 0
     for q in set(asked):
@@ -480,27 +501,47 @@ def test_neighbours_of_repeated_ids_and_copies(spark):
     assert hits >= 0.95 * 20 * len(set(asked))
 
 
-def test_recall_and_budget_over_many_blocks():
-    """51,200 vectors of 64 dimensions with little structure: recall holds with the blocks, and what is reranked does not grow with them."""
-    from skeingraph.llm.neighbours import CANDIDATES, Block, budget, pivots_of  # noqa: F401
+@pytest.mark.parametrize("n, kind, least", [(100_000, "groups", 0.93), (100_000, "spread", 0.93), (1_000_000, "spread", 0.92)])
+def test_recall_and_work_at_size(n, kind, least):
+    """64 dimensions with little or no structure: what is found, and how much of the index is touched for it."""
+    from skeingraph.llm.neighbours import PIVOTS, Block, budget
 
     rng = np.random.default_rng(9)
-    centres = rng.standard_normal((10, 64))
-    v = centres[rng.integers(0, 10, 51_200)] * 0.35 + rng.standard_normal((51_200, 64))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    pivots = v[:256]
-    q = v[rng.choice(len(v), 40, replace=False)]
+    v = rng.standard_normal((n, 64))
+    if kind == "groups":
+        v += rng.standard_normal((10, 64))[rng.integers(0, 10, n)] * 0.35
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+    pivots = v[:PIVOTS] / np.linalg.norm(v[:PIVOTS], axis=1, keepdims=True)
+    q = v[rng.choice(n, 40, replace=False)]
     exact = q @ v.T
-    for size in (51_200, 6400):
-        found: list[list] = [[] for _ in q]
-        most = budget(len(v), CANDIDATES, size)
-        for at in range(0, len(v), size):
-            for i, (e, s) in enumerate(Block(v[at : at + size], pivots).search(q, most, 21)):
-                found[i] += [(x, int(j) + at) for x, j in zip(s.tolist(), e.tolist(), strict=True)]
-        hit = sum(len({j for _, j in sorted(f, reverse=True)[:20]} & set(np.argsort(-exact[i])[:20].tolist())) for i, f in enumerate(found))
-        assert hit >= 0.93 * 20 * len(q)
-        blocks = len(v) // size
-        assert most * blocks <= CANDIDATES + 3 * (CANDIDATES * blocks) ** 0.5 + blocks
+    found: list[list] = [[] for _ in q]
+    size, read, reranked = 131_072, [], 0
+
+    class Counted(np.ndarray):
+        def __getitem__(self, x):
+            if isinstance(x, slice):
+                read.append(x.stop - x.start)
+            return np.asarray(super().__getitem__(x))
+
+    for at in range(0, n, size):
+        block = Block(v[at : at + size], pivots)
+        block.listed = block.listed.view(Counted)
+        most = budget(n, len(block.v))
+        reranked += most
+        for i, (e, s) in enumerate(block.search(q, most, 21)):
+            found[i] += [(x, int(j) + at) for x, j in zip(s.tolist(), e.tolist(), strict=True)]
+    hit = sum(len({j for _, j in sorted(f, reverse=True)[:20]} & set(np.argpartition(-exact[i], 20)[:20].tolist())) for i, f in enumerate(found))
+    assert hit >= least * 20 * len(q)
+    assert reranked < 0.06 * n and sum(read) < 2.3 * n * len(q)  # entries of a list are four bytes and one, vectors 512
+
+
+def test_neighbours_of_one_length(spark):
+    from skeingraph.llm.neighbours import nearest
+
+    rows = [(i, [float(i + 1), 1.0]) for i in range(8)] + [(20, [1.0, 2.0, 3.0]), (40, [5.0]), (60, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(table, table.where("vec_id % 20 = 0"), k=3).collect()
+    assert {r.query_id for r in got} == {0, 60} and {r.vec_id for r in got} == {7, 6, 5}
 
 
 def few_last(v: np.ndarray) -> int:
