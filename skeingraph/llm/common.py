@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U = np.uint64
 #: Up to so many keys a side of a join is broadcast (about 200 MB as Spark hashes them); beyond, it is shuffled.
@@ -86,16 +87,23 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total:
     """left inner-joined with right, a materialized table of one row per key, without any task holding a hot key.
 
     rows: the column of right that tells how many rows of left have the key; total: their sum. Keys of over
-    max(HOT_ROWS, total / HOT_KEYS) rows are at most HOT_KEYS, so they are broadcast and their rows of left stay where
-    they are; the others are joined by a shuffle. The result has left's columns and right's others.
+    most = max(HOT_ROWS, total / HOT_KEYS) rows are at most HOT_KEYS. Such a key is dealt into parts of about `most` rows, and its row of
+    right, however long, goes once to each; only the keys and their numbers of parts are broadcast. A hash of a row's
+    plain columns tells its part, so it is the same if a task runs again. The result has left's columns and right's others.
     """
     most = max(HOT_ROWS, total // HOT_KEYS)
     names = [*left.columns, *(c for c in right.columns if c not in keys and c not in left.columns)]
+    right = right.select(*keys, *names[len(left.columns) :])
     hot = right.where(F.col(rows) > most)
     if hot.isEmpty():
         return left.join(right, keys).select(names)
-    cold = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(right.where(F.col(rows) <= most), keys)
-    return left.join(F.broadcast(hot), keys).select(names).unionAll(cold.select(names))
+    parts = F.ceil(F.col(rows) / most).alias("_parts")
+    marked = left.join(F.broadcast(hot.select(*keys, parts)), keys, "left")
+    cold = marked.where("_parts IS NULL").select(left.columns).join(right.where(F.col(rows) <= most), keys)
+    plain = [f.name for f in left.schema if isinstance(f.dataType, T.AtomicType)]
+    mine = marked.where("_parts IS NOT NULL").withColumn("_part", F.pmod(F.xxhash64(*plain), F.col("_parts")))
+    theirs = hot.withColumn("_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col(rows) / most) - 1)))
+    return mine.select(*left.columns, "_part").join(theirs, [*keys, "_part"]).select(names).unionAll(cold.select(names))
 
 
 def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:

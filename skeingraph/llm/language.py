@@ -197,14 +197,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without those that the model rejects; a null lang is filled with the prediction."""
-    found = with_language(docs, model, "_lid_").where("NOT _lid_rejected")
-    lang = {"lang": F.coalesce("lang", "_lid_lang_pred")} if "lang" in docs.columns else {}
-    return found.withColumns(lang).select(docs.columns)
+    """docs without those that the model rejects; a null lang is filled with the prediction. Other columns stay as they are, whatever their names."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    found = with_language(rows, model).where("NOT rejected")
+    row = F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")) if "lang" in docs.columns else F.col("row")
+    return found.select(row.alias("row")).select("row.*")
 
 
 def held_out(column: str = "doc_id") -> F.Column:
-    return F.crc32(F.col(column).cast("string")) % 3 == 1
+    """A row without an id is not held out, and has no label either where ids tell them."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
 
 def train_on_documents(docs: DataFrame) -> Model:

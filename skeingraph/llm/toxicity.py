@@ -102,11 +102,11 @@ def telling_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
 
 
 def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
-    """share: of toxic texts among all labelled ones, for the sample holds more of them."""
+    """share: of toxic texts among all labelled ones, for the sample holds more of them. Where one kind has no text to calibrate with, every text scores the share."""
     cut_t, cut_o = 2 * len(toxic) // 3, len(ordinary) // 2
     plain = [w for t in ordinary[:cut_o] for w in windows(t, WINDOW)]
     shared = dictionary(plain[::2], SHARED_BYTES)
-    model = Model(shared + dictionary(telling_words(toxic[:cut_t], ordinary[:cut_o]), OWN_BYTES), shared + dictionary(plain[1::2], OWN_BYTES), STEPS[0], np.array([0.0, 0.0]))
+    model = Model(shared + dictionary(telling_words(toxic[:cut_t], ordinary[:cut_o]), OWN_BYTES), shared + dictionary(plain[1::2], OWN_BYTES), STEPS[0], np.array([0.0, -30.0 if share <= 0 else 30.0 if share >= 1 else np.log(share / (1 - share))]))
     own = model.compressors()
     rest_t, rest_o = toxic[cut_t:], ordinary[cut_o:]
     if rest_t and rest_o:
@@ -162,7 +162,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    """A row without an id is not held out; labels do not reach it."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

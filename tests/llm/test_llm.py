@@ -183,6 +183,46 @@ def test_long_runs_take_about_their_length():
         assert took[0] < 2 and took[-1] < 40 * took[0] + 2
 
 
+def test_attach_deals_hot_keys_over_parts(spark, monkeypatch):
+    """The same rows as a plain join, with null keys, equal rows and a map among the columns."""
+    from pyspark.sql import functions as F
+
+    from skeingraph.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    monkeypatch.setattr(common, "HOT_KEYS", 40)
+    rows = [("hot", i // 2, {"a": i}) for i in range(120)] + [("warm", i, None) for i in range(9)] + [(f"k{i % 20}", i, {}) for i in range(50)] + [(None, 1, {})] * 9
+    left = spark.createDataFrame(rows, "k string, i int, m map<string, int>").repartition(3)
+    sizes = left.groupBy("k").agg(F.count("*").alias("n")).where("k IS NOT NULL AND k <> 'k3'").withColumn("spots", F.array(F.col("k"), F.lit("x"))).withColumn("i", F.lit(-1))
+    right = common.materialize(sizes, "right")
+    got = common.attach(left, right, ["k"], "n", len(rows))
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(got) == plain(left.join(right.drop("i"), "k").select(got.columns)) and got.columns == ["k", "i", "m", "n", "spots"]
+    assert got.rdd.glom().map(lambda p: sum(r.k == "hot" for r in p)).max() < 120
+
+
+def test_without_labels_the_share_is_the_score():
+    from skeingraph.llm.toxicity import fit
+
+    texts = ["some ordinary text of a few words"] * 20
+    none = np.zeros(2, int)
+    for toxic, ordinary, share in (([], texts, 0.0), (texts, [], 1.0), ([], [], 0.0), ([], texts, 0.25)):
+        p = fit(toxic, ordinary, share).scores(none, none + 1)
+        assert np.allclose(p, share, atol=1e-6)
+
+
+def test_columns_that_the_language_stage_uses_itself(spark):
+    from pyspark.sql import functions as F
+
+    from skeingraph.llm.language import fit, held_out, keep_identified
+
+    model = fit(["the cat and the dog are here"] * 30 + ["der hund und die katze sind hier"] * 30, ["en"] * 30 + ["de"] * 30)
+    rows = spark.createDataFrame([(1, "the dog and the cat", None, 1.5, "r", "s"), (None, "der hund", "xx", 2.5, None, None)], "doc_id long, text string, lang string, _lid_score double, rejected string, row string")
+    kept = keep_identified(rows, model)
+    assert kept.columns == rows.columns and {(r.doc_id, r._lid_score, r.rejected, r.row) for r in kept.collect()} <= {(1, 1.5, "r", "s"), (None, 2.5, None, None)} and kept.count() >= 1
+    assert rows.select(held_out().alias("h")).where("h IS NULL").count() == 0 and kept.where("doc_id = 1").select(F.col("lang")).first()[0] == "en"
+
+
 def test_components(spark):
     from skeingraph.llm.components import connected_components
 
