@@ -341,9 +341,9 @@ class Engine:
         v = self.spark.range(1).select(self.encoder(F.lit(f"query {query}"), dim).alias("v")).first()["v"]
         return search.vector_search(texts.join(self.table("embeddings"), ["qualified_name", "file_path"]), v, limit)
 
-    def context(self, task: str, limit: int = 10) -> DataFrame:
-        """Results with callers, callees and summaries; hits: how often each was found before; relevance: its score over the best one's."""
-        found = documents.context(self.search_task(task, limit), self.table("edges"), self.documents())
+    def context(self, task: str, limit: int = 10, most: int | None = 200) -> DataFrame:
+        """Results with callers, callees (the first `most`, and how many there are) and summaries; hits: how often each was found before; relevance: its score over the best one's."""
+        found = documents.context(self.search_task(task, limit), self.table("edges"), self.documents(), most)
         used = self.table("query_log").select(F.explode("symbols").alias("qualified_name")).groupBy("qualified_name").agg(F.count("*").alias("hits"))
         best = found.agg(F.max("score").alias("_best"))  # one row
         rows = found.join(used, "qualified_name", "left").crossJoin(F.broadcast(best))

@@ -155,17 +155,24 @@ def node_details(symbols: DataFrame, docs: DataFrame) -> DataFrame:
     return symbols.join(roles, ["file_path", "qualified_name"], "left").join(ranks, ["file_path", "name"], "left")
 
 
-def context(results: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """Search results (qualified_name, file_path, ...) with their direct callers and callees and the file's summary."""
-    names = results.select("qualified_name", last_segment(F.col("qualified_name")).alias("name"))
-    wanted = names.select("name").unionAll(names.select("qualified_name")).distinct()
+def context(results: DataFrame, edges: DataFrame, docs: DataFrame, most: int | None = None) -> DataFrame:
+    """Search results (qualified_name, file_path, ...) with their direct callers and callees in order, n_callers, n_callees, and the file's summary.
+
+    Names in edges may be bare or qualified: both count. most: so many names a list; those that come first are picked before
+    any list is made, so that a name that everything calls costs no more than others.
+    """
+    names = results.select("qualified_name", F.explode(F.array_distinct(F.array("qualified_name", last_segment(F.col("qualified_name"))))).alias("name")).distinct()
     calls = edges.where("kind = 'calls'").select("source", "target")  # only edges that touch a result go on
-    near = [calls.join(wanted, calls[side] == wanted["name"]).select("name", F.col(other).alias(as_)).distinct() for side, other, as_ in (("target", "source", "caller"), ("source", "target", "callee"))]
-    up, down = (n.groupBy("name").agg(F.sort_array(F.collect_list(c)).alias(f"{c}s")) for n, c in zip(near, ("caller", "callee"), strict=True))
-    lists = up.join(down, "name", "full_outer")
+    out = results
+    for side, other, as_ in (("target", "source", "callers"), ("source", "target", "callees")):
+        near = calls.join(names, calls[side] == names["name"]).select("qualified_name", F.col(other).alias("other")).distinct()
+        first = near
+        if most is not None:
+            place = F.row_number().over(Window.partitionBy("qualified_name").orderBy("other"))
+            first = near.withColumn("_n", place).where(F.col("_n") <= most)
+        lists = first.groupBy("qualified_name").agg(F.sort_array(F.collect_list("other")).alias(as_))
+        counts = near.groupBy("qualified_name").agg(F.count("*").alias(f"n_{as_}"))
+        out = out.join(lists.join(counts, "qualified_name"), "qualified_name", "left")
+    out = out.join(docs.select(F.col("file").alias("file_path"), "module_summary"), "file_path", "left")
     empty = F.array().cast("array<string>")
-    # names in edges may be bare or qualified: take both
-    both = F.array_sort(F.array_distinct(F.flatten(F.collect_list("callers")))), F.array_sort(F.array_distinct(F.flatten(F.collect_list("callees"))))
-    hits = names.select("qualified_name", F.explode(F.array_distinct(F.array("qualified_name", "name"))).alias("name")).join(lists, "name").groupBy("qualified_name").agg(both[0].alias("callers"), both[1].alias("callees"))  # collect_list leaves nulls out
-    out = results.join(hits, "qualified_name", "left").join(docs.select(F.col("file").alias("file_path"), "module_summary"), "file_path", "left")
-    return out.withColumns({c: F.coalesce(c, empty) for c in ("callers", "callees")})
+    return out.withColumns({c: F.coalesce(c, empty) for c in ("callers", "callees")} | {c: F.coalesce(c, F.lit(0)) for c in ("n_callers", "n_callees")})

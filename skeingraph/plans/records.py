@@ -15,6 +15,7 @@ from ..sources import changes, conversations, project, star
 from ..sources.star import oracle
 from ..streaming import queries as streams
 from .registering import registrar
+from .searches import CRC_TABLE, cosine_sql, embedded_sql
 
 QUERIES, ORACLES, query = registrar()
 
@@ -320,16 +321,31 @@ def conversation_statements(spark, d):
 @query(_statement_sql().replace("SELECT id, family, pattern, symbol, trim(statement) AS statement FROM (", "SELECT id, CASE WHEN family = 'design_intent' THEN trim(statement) ELSE '' END AS module_summary, CASE WHEN family = 'summary' THEN symbol || ': ' || trim(statement) WHEN family = 'pitfalls' THEN symbol || '! ' || trim(statement) END AS annotation FROM ("))
 def conversation_documents(spark, d):
     """A document for each statement of the whole text."""
-    docs = conversations.statement_documents(conversations.extract(_said(spark, d)))
-    a = F.col("annotations")[0]
-    said = F.when(F.size("annotations") == 0, None).when(a["kind"] == "function", F.concat(a["symbol"], F.lit(": "), a["summary"])).otherwise(F.concat(a["symbol"], F.lit("! "), a["pitfalls"]))
-    return docs.select("id", "module_summary", said.alias("annotation"))
+    return _stated(conversations.statement_documents(conversations.extract(_said(spark, d))))
+
+
+def _relevant_sql() -> str:
+    """Sentences near an anchor, joined again; statements of those where there are any, else of the whole text."""
+    own = _statement_sql()
+    patterns = own[own.index("FROM (") + 6 : own.rindex(")")]
+    near = f"""{CRC_TABLE}, cut AS (SELECT id, list_filter([trim(x, ' \n\t\r') for x in string_split_regex(regexp_replace(text, '([.!?。！？\n])\\s+', '\\1\x01', 'g'), '\x01')], lambda x: length(x) > 20) AS all_ FROM s),
+    sent AS (SELECT id * 1000 + n AS id, id AS doc, n, sentence AS text FROM (SELECT id, unnest(all_) AS sentence, generate_subscripts(all_, 1) AS n FROM cut WHERE len(all_) >= 2)), {embedded_sql("SELECT id, text FROM sent", 256, "e")},
+    {embedded_sql("SELECT 0 AS id, 'function handles rows' AS text UNION ALL SELECT 1, 'design keep use caching'", 256, "q")}, near AS (SELECT DISTINCT a_id FROM ({cosine_sql("e", "q")}) WHERE similarity > 0.4),
+    r AS (SELECT doc AS id, string_agg(text, '\n' ORDER BY n) AS text FROM sent WHERE id IN (SELECT a_id FROM near) GROUP BY 1), few AS ({patterns.replace("FROM s", "FROM r")}), whole AS ({patterns}), found AS (SELECT * FROM few UNION ALL SELECT * FROM whole WHERE id NOT IN (SELECT id FROM few))"""
+    return f"WITH {_SAID}, {near} SELECT id, CASE WHEN family = 'design_intent' THEN trim(statement) ELSE '' END AS module_summary, CASE WHEN family = 'summary' THEN symbol || ': ' || trim(statement) WHEN family = 'pitfalls' THEN symbol || '! ' || trim(statement) END AS annotation FROM found"
 
 
-@query()
+@query(_relevant_sql())
 def relevant_documents(spark, d):
     """The same of only the sentences that come near an anchor phrase."""
-    return conversations.statement_documents(conversations.extract(_said(spark, d), ["function handles rows", "design keep use caching"]))
+    docs = conversations.statement_documents(conversations.extract(_said(spark, d), ["function handles rows", "design keep use caching"]))
+    return _stated(docs)
+
+
+def _stated(docs: DataFrame) -> DataFrame:
+    a = F.col("annotations")[0]
+    said = F.when(F.size("annotations") == 0, None).when(a["kind"] == "function", F.concat(a["symbol"], F.lit(": "), a["summary"])).otherwise(F.concat(a["symbol"], F.lit("! "), a["pitfalls"]))
+    return docs.select("id", "module_summary", said.alias("annotation"))
 
 
 @query("SELECT doc_id, len(list_filter(s, lambda x: length(x) > 20)) AS n, md5(array_to_string(list_filter(s, lambda x: length(x) > 20), '|')) AS digest FROM (SELECT doc_id, [trim(x, ' \n\t\r') for x in string_split_regex(regexp_replace(text, '([.!?。！？\n])\\s+', '\\1\x01', 'g'), '\x01')] AS s FROM documents)")

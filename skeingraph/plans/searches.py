@@ -172,6 +172,35 @@ def hybrid_search(spark, d):
     return _rounded(search.hybrid(texts, found), "combined")
 
 
+#: CRC-32 byte by byte: the table, and of a text the number.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab)"
+
+
+def crc_sql(text: str) -> str:
+    """With the common table crc in scope."""
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode({text}))), lambda j: CAST('0x' || substr(hex(encode({text})), 2 * j + 1, 2) AS BIGINT))), lambda a, x: xor(a >> 8, tab[xor(a & 255, x) + 1])), 4294967295)"
+
+
+def embedded_sql(rows: str, dim: int, name: str) -> str:
+    """Common tables {name} (id, b, v): the hashed terms of rows (id, text), each different term hashed once; needs crc."""
+    return f"""{name}_t AS (SELECT id, unnest({TOKEN.format(c="text")}) AS term FROM ({rows})), {name}_h AS (SELECT term, {crc_sql("term")} AS h FROM (SELECT DISTINCT term FROM {name}_t), crc),
+    {name} AS MATERIALIZED (SELECT id, h % {dim} AS b, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}_t JOIN {name}_h USING (term) GROUP BY 1, 2)"""
+
+
+def cosine_sql(a: str, b: str) -> str:
+    """a_id, b_id, similarity of all pairs that share anything."""
+    return f"SELECT a.id AS a_id, b.id AS b_id, sum(a.v * b.v) / sqrt(any_value(na) * any_value(nb)) AS similarity FROM {a} a JOIN {b} b USING (b) JOIN (SELECT id, sum(v * v) AS na FROM {a} GROUP BY 1) x ON x.id = a.id JOIN (SELECT id, sum(v * v) AS nb FROM {b} GROUP BY 1) y ON y.id = b.id WHERE na > 0 AND nb > 0 GROUP BY 1, 2"
+
+
+@query(oracle(f""", {CRC_TABLE}, {embedded_sql("SELECT id, name || coalesce(': ' || signature, '') AS text FROM symbols", 64, "e")}, {embedded_sql("SELECT 0 AS id, 'query widget brand' AS text", 64, "q")}, c AS ({cosine_sql("e", "q")}) SELECT symbols.id, round(coalesce(similarity, 0), 5) + 0.0 AS similarity FROM symbols LEFT JOIN c ON a_id = symbols.id"""))
+def encoded_similarity(spark, d):
+    """Every symbol's cosine to a query, by hashed embeddings of their texts."""
+    s = star.symbols(spark, d)
+    q = F.array(*[F.lit(x) for x in spark.range(1).select(search.hashed_embedding(F.lit("query widget brand"), 64).alias("e")).first()["e"]])
+    rows = s.select("id", search.hashed_embedding(search.symbol_text(F.col("name"), F.col("signature")), 64).alias("e"))
+    return rows.select("id", (F.round(search.cosine(F.col("e"), q), 5) + F.lit(0.0)).alias("similarity"))
+
+
 @query()
 def encoded_search(spark, d):
     """Symbols by the cosine of hashed embeddings of their texts."""
@@ -191,6 +220,20 @@ def task_context(spark, d):
     return rows.select("qualified_name", F.md5(F.array_join("callers", ",")).alias("callers"), F.md5(F.array_join("callees", ",")).alias("callees"), "module_summary")
 
 
+_FEW = "list_slice(list_sort(list(DISTINCT {c})), 1, 3)"
+
+
+@query(oracle(f""", n AS (SELECT DISTINCT qualified_name, unnest([qualified_name, split_part(qualified_name, '.', -1)]) AS name FROM symbols),
+    up AS (SELECT qualified_name, count(DISTINCT source) AS n_callers, array_to_string({_FEW.format(c='source')}, ',') AS callers FROM n JOIN calls ON target = name GROUP BY 1), down AS (SELECT qualified_name, count(DISTINCT target) AS n_callees, array_to_string({_FEW.format(c='target')}, ',') AS callees FROM n JOIN calls ON source = name GROUP BY 1)
+    SELECT s.id, coalesce(n_callers, 0) AS n_callers, coalesce(callers, '') AS callers, coalesce(n_callees, 0) AS n_callees, coalesce(callees, '') AS callees FROM symbols s LEFT JOIN up USING (qualified_name) LEFT JOIN down USING (qualified_name)"""))
+def bounded_context(spark, d):
+    """Of each symbol the first three callers and callees, and how many there are."""
+    s = star.symbols(spark, d).select("id", "qualified_name", "file_path")
+    docs = star.files(spark, d).select(F.col("path").alias("file"), F.lit("").alias("module_summary"))
+    rows = documents.context(s, star.edges(spark, d), docs, most=3)
+    return rows.select("id", "n_callers", F.array_join("callers", ",").alias("callers"), "n_callees", F.array_join("callees", ",").alias("callees"))
+
+
 @query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
 def content_hashes(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
