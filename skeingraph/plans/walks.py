@@ -156,7 +156,22 @@ def shortest_path_length(spark, d):
     return graph.shortest_path(_calls(spark, d), "order_7", "region_2").agg((F.count("*") - 1).cast("int").alias("length"))
 
 
-@query()
+def _path_sql(source: str, target: str, most: int = 8) -> str:
+    """Distances from both ends; the end whose last circle is smaller goes on, so the circles' sizes tell where they meet; there the least name, and towards each end the least name one step nearer."""
+    return oracle(
+        f""", pairs AS MATERIALIZED (SELECT DISTINCT source, target FROM edges),
+        ws(name, level) AS (SELECT '{source}', 0 UNION SELECT target, level + 1 FROM ws JOIN pairs ON source = name WHERE level < {most}), s AS MATERIALIZED (SELECT name, min(level) AS level FROM ws GROUP BY name),
+        wt(name, level) AS (SELECT '{target}', 0 UNION SELECT source, level + 1 FROM wt JOIN pairs ON target = name WHERE level < {most}), t AS MATERIALIZED (SELECT name, min(level) AS level FROM wt GROUP BY name),
+        size AS (SELECT 's' AS side, level, count(*) AS n FROM s GROUP BY level UNION ALL SELECT 't', level, count(*) FROM t GROUP BY level),
+        turn(i, j) AS (SELECT 0, 0 UNION ALL SELECT CASE WHEN a.n <= b.n THEN i + 1 ELSE i END, CASE WHEN a.n <= b.n THEN j ELSE j + 1 END FROM turn JOIN size a ON a.side = 's' AND a.level = i JOIN size b ON b.side = 't' AND b.level = j WHERE i + j < (SELECT level FROM s WHERE name = '{target}')),
+        meet AS (SELECT min(s.name) AS name, any_value(i) AS i, any_value(j) AS j FROM (SELECT * FROM turn ORDER BY i + j DESC LIMIT 1) JOIN s ON s.level = i JOIN t ON t.level = j AND t.name = s.name),
+        back(name, step) AS (SELECT name, i FROM meet UNION ALL SELECT (SELECT min(p.source) FROM pairs p JOIN s ON s.name = p.source WHERE p.target = back.name AND s.level = back.step - 1), step - 1 FROM back WHERE step > 0),
+        forth(name, left_, step) AS (SELECT name, j, i FROM meet UNION ALL SELECT (SELECT min(p.target) FROM pairs p JOIN t ON t.name = p.target WHERE p.source = forth.name AND t.level = forth.left_ - 1), left_ - 1, step + 1 FROM forth WHERE left_ > 0)
+        SELECT CAST(step AS INTEGER) AS step, name FROM back UNION SELECT CAST(step AS INTEGER), name FROM forth""", recursive=True,
+    )
+
+
+@query(_path_sql("order_7", "region_2"))
 def shortest_path(spark, d):
     return graph.shortest_path(_calls(spark, d), "order_7", "region_2")
 

@@ -10,6 +10,7 @@ import logging
 import time
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .engine import Engine
 from .repository import Versions
@@ -68,6 +69,12 @@ def file_tree(paths: list[str], part: str = "") -> dict:
     return root
 
 
+def rows(found: DataFrame) -> dict:
+    """The first LIMIT rows, and whether there are more."""
+    first = [r.asDict(recursive=True) for r in found.limit(LIMIT + 1).collect()]
+    return {"rows": first[:LIMIT], "truncated": True} if len(first) > LIMIT else {"rows": first}
+
+
 class Tools:
     #: Name: method, arguments that must be there, arguments that may be.
     NAMES = {
@@ -78,6 +85,7 @@ class Tools:
         "add_insight": (("file", "insight"), ("related",)), "add_unknown": (("file", "symbol", "question"), ("context",)), "check_freshness": (("root",), ()), "sync": (("root",), ("analyze",)),
         "ingest_conversation": (("text", "file"), ()), "save_conversation": (("text", "to"), ()), "hot_symbols": ((), ("limit",)), "files": ((), ()), "file_tree": ((), ("part",)), "layers": ((), ()), "status": ((), ()), "health": ((), ()),
         "patterns": ((), ()), "smells": ((), ("file", "severity")), "metrics": ((), ("file",)), "coverage": ((), ()),
+        "graph": (("root",), ("depth", "cap")), "search_plain": (("query",), ("limit", "file_path")),
     }
 
     def __init__(self, engine: Engine):
@@ -106,7 +114,7 @@ class Tools:
             return {"error": str(e)}
         finally:
             self.seconds = [*self.seconds[-9999:], time.perf_counter() - began]
-        return {"rows": [r.asDict(recursive=True) for r in out.limit(LIMIT).collect()]} if isinstance(out, DataFrame) else out or {"done": True}
+        return rows(out) if isinstance(out, DataFrame) else out or {"done": True}
 
     def _search(self, **a) -> DataFrame:
         return self.engine.search(**a, log=True)
@@ -125,6 +133,12 @@ class Tools:
         lists = {n: [r.asDict(recursive=True) for r in kept.relation(n, file).limit(LIMIT).collect()] for n in ("annotations", "unknowns", "insights")}
         return {"file": file, "module_summary": module.module_summary if module else "", "module_roles": dict(module.module_roles) if module else {}, **lists}
 
+    def _graph(self, **a) -> dict:
+        """A symbol's surroundings in the order in which they are met, and what was left waiting at the cap."""
+        found = self.engine.discovery(**a)
+        edges, totals = rows(found["edges"]), found["totals"].first()
+        return {"nodes": rows(found["nodes"].orderBy("place"))["rows"], "edges": edges["rows"], "edges_truncated": "truncated" in edges, "truncated": totals.truncated, "total_available": totals.total_available, "truncated_branches": rows(found["branches"].orderBy("position"))["rows"]}
+
     def _check_freshness(self, root: str) -> DataFrame:
         return self.engine.freshness(root)
 
@@ -132,7 +146,10 @@ class Tools:
         return {"path": self.engine.save_conversation(text, to)}
 
     def _file_tree(self, part: str = "") -> dict:
-        return file_tree([r.path for r in self.engine.files().select("path").limit(100 * LIMIT).collect()], part)
+        """Of the files whose path holds a text, the first 100 LIMIT in the alphabet; a name that no file can have says if there are more."""
+        found = self.engine.files().where(F.contains(F.lower("path"), F.lit(part.lower()))).select("path").orderBy("path").limit(100 * LIMIT + 1).collect()
+        tree = file_tree([r.path for r in found[: 100 * LIMIT]], part)
+        return tree | {"/truncated": True} if len(found) > 100 * LIMIT else tree
 
     def _health(self) -> dict:
         return self.engine.health().first().asDict()

@@ -47,6 +47,19 @@ def test_tools(engine, tmp_path):
     assert "# TYPE graph_symbols gauge" in lines and "graph_symbols 2" in lines and any(x.startswith("requests_total ") for x in lines)
 
 
+def test_cut_answers_say_so(engine, monkeypatch):
+    monkeypatch.setattr(tools, "LIMIT", 1)
+    t = tools.Tools(engine)
+    assert len(t.call("search", {"query": "one OR two"})["rows"]) == 1 and t.call("search", {"query": "one OR two"})["truncated"] and "truncated" not in t.call("search", {"query": "one"})
+    monkeypatch.setattr(tools, "LIMIT", 1000)
+    found = t.call("graph", {"root": "one", "depth": 1})
+    assert [n["qualified_name"] for n in found["nodes"]] == ["one", "two"] and found["edges"] == [{"source": "one", "target": "two"}] and not found["truncated"]
+    cut = t.call("graph", {"root": "one", "cap": 1})
+    assert [n["qualified_name"] for n in cut["nodes"]] == ["one"] and cut["truncated"] and cut["total_available"] == 2
+    assert [{k: b[k] for k in ("symbol", "depth", "direction")} for b in cut["truncated_branches"]] == [{"symbol": "two", "depth": 1, "direction": "callee"}]
+    assert [r["qualified_name"] for r in t.call("search_plain", {"query": "ones"})["rows"]] == ["one"]
+
+
 def test_bodies_and_log_lines():
     assert tools.body(b'{"a": 1}') == {"a": 1}
     for raw, status in ((b"", 400), (b"[1]", 400), (b"{", 400), (b" " * (tools.LONGEST_BODY + 1), 413)):
