@@ -66,8 +66,15 @@ def flat(text: bytes) -> bytes:
 
 def runs(text: bytes, starts: np.ndarray, ends: np.ndarray, notice: Notice) -> dict[tuple[int, int], int]:
     """Edits of each run of words (first, last) that the notice matches; starts, ends: of the words of the flat text."""
-    k, found, seen = notice.edits, {}, set()
-    size = len(notice.phrase)
+    k, found, seen, size = notice.edits, {}, set(), len(notice.phrase)
+    known: dict[bytes, int | None] = {}  # a run that stands in the text again is matched once
+
+    def matched(run: bytes) -> int | None:
+        if run not in known:
+            m = _pattern(notice.phrase, k).fullmatch(run.decode("utf-8", "replace"))
+            known[run] = sum(m.fuzzy_counts) if m else None
+        return known[run]
+
     for offset, piece in notice.pieces():
         rest = size - offset - len(piece)
         at = text.find(piece)
@@ -80,9 +87,8 @@ def runs(text: bytes, starts: np.ndarray, ends: np.ndarray, notice: Notice) -> d
                 for z in range(max(a, last[0]), last[1]):
                     if (a, z) not in seen:
                         seen.add((a, z))
-                        m = _pattern(notice.phrase, k).fullmatch(text[starts[a] : ends[z]].decode("utf-8", "replace"))
-                        if m:
-                            found[a, z] = sum(m.fuzzy_counts)
+                        if (edits := matched(text[starts[a] : ends[z]])) is not None:
+                            found[a, z] = edits
             at = text.find(piece, at + 1)
     return found
 
