@@ -34,12 +34,14 @@ class Engine:
     #: Results of searches that are kept in memory, the oldest giving way.
     KEPT = 256
 
-    def __init__(self, spark: SparkSession, home: str, registry: Registry | None = None, encoder: Callable[[Column, int], Column] | None = search.hashed_embedding):
-        """encoder: a text column and a number of dimensions to a column of vectors; None: nothing is embedded, and searches go by text alone."""
+    def __init__(self, spark: SparkSession, home: str, registry: Registry | None = None, encoder: Callable[[Column, int], Column] | None = search.hashed_embedding, log_every: int = 1):
+        """encoder: a text column and a number of dimensions to a column of vectors; None: nothing is embedded, and searches go by text alone. log_every: how many searches are logged in one write."""
         self.spark, self.home, self.encoder = spark, home, encoder
         self.registry = registry or builtin()
         self.log = segments.Segments(spark, home)
         self._searches: dict[tuple, list] = {}
+        self.log_every = log_every
+        self._unlogged: list[tuple] = []
 
     # ------------------------------------------------------------ storage
 
@@ -68,6 +70,8 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         if name in segments.RELATIONS:
             return self.log.live(name, self._segments())
+        if name == "query_log":
+            self.flush_log()
         at = self._version()[1].get(name)
         if not at:
             return self.spark.createDataFrame([], self.NAMES[name])
@@ -454,8 +458,15 @@ class Engine:
         return usage.index_rate(self.table("files"))
 
     def log_query(self, tool: str, query: str, symbols: list[str]) -> None:
-        row = self.spark.createDataFrame([(time.time(), tool, query, symbols)], schemas.QUERY_LOG)
-        self.append("query_log", changes.log_entry(row))
+        """Notes what was found; entries are written log_every at a time, and before anything reads the log."""
+        self._unlogged.append((time.time(), tool, query, symbols))
+        if len(self._unlogged) >= self.log_every:
+            self.flush_log()
+
+    def flush_log(self) -> None:
+        if self._unlogged:
+            rows, self._unlogged = self._unlogged, []
+            self.append("query_log", changes.log_entry(self.spark.createDataFrame(rows, schemas.QUERY_LOG)))
 
     def hot_symbols(self, limit: int = 20) -> DataFrame:
         return usage.hot_symbols(self.table("query_log"), limit)

@@ -86,11 +86,12 @@ def module_shapes(spark, d):
     return shapes.where("symbol LIKE 'load%'").select("file", "symbol", "parameters", "nesting")
 
 
-@query(_FILES + "SELECT path AS file, 'Customer ' || k || ' of ' || m || '.' AS module_summary, 'auto-analysis' AS source, 3::BIGINT AS functions FROM c")
+@query(_FILES + "SELECT path AS file, 'Customer ' || k || ' of ' || m || '.' AS module_summary, 'auto-analysis' AS source, 3::BIGINT AS functions, 4 AS worst, 20 AS loc, 'A,A,A' AS ranks FROM c")
 def analysed_documents(spark, d):
     parsed = _parsed(spark, d)
     docs = project.analysis_documents(project.relations(parsed), parsed)
-    return docs.select("file", "module_summary", "source", F.size("metrics.complexity").cast("long").alias("functions"))
+    c = F.col("metrics.complexity")
+    return docs.select("file", "module_summary", "source", F.size(c).cast("long").alias("functions"), F.array_max(F.transform(c, lambda x: x.complexity)).alias("worst"), F.col("metrics.raw.loc").alias("loc"), F.array_join(F.transform(c, lambda x: x["rank"]), ",").alias("ranks"))
 
 
 @query(_FILES + "SELECT path AS file, x.name, x.c::INT AS complexity FROM (SELECT path, unnest([{name: 'load_' || k, c: 4}, {name: 'Base' || n || '.get', c: 1}, {name: 'Base' || n || '.put', c: 1}]) AS x FROM c WHERE k = 7)")

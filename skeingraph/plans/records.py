@@ -318,6 +318,20 @@ def conversation_statements(spark, d):
     return conversations.statements(_said(spark, d)).select("id", "family", "pattern", "symbol", "statement")
 
 
+@query(_statement_sql().replace(_SAID, "s AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations)"))
+def turn_statements(spark, d):
+    """What every turn of all conversations states."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return conversations.statements(c).select("id", "family", "pattern", "symbol", "statement")
+
+
+@query("SELECT conv_id * 1000 + turn AS id, len(list_filter(s, lambda x: length(x) > 20)) AS n, md5(array_to_string(list_filter(s, lambda x: length(x) > 20), '|')) AS digest FROM (SELECT conv_id, turn, [trim(x, ' \n\t\r') for x in string_split_regex(regexp_replace(text, '([.!?。！？\n])\\s+', '\\1\x01', 'g'), '\x01')] AS s FROM conversations)")
+def turn_sentences(spark, d):
+    """The longer sentences of every turn."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), conversations.sentences(F.col("text")).alias("s"))
+    return c.select("id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
 @query(_statement_sql().replace("SELECT id, family, pattern, symbol, trim(statement) AS statement FROM (", "SELECT id, CASE WHEN family = 'design_intent' THEN trim(statement) ELSE '' END AS module_summary, CASE WHEN family = 'summary' THEN symbol || ': ' || trim(statement) WHEN family = 'pitfalls' THEN symbol || '! ' || trim(statement) END AS annotation FROM ("))
 def conversation_documents(spark, d):
     """A document for each statement of the whole text."""

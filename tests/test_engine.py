@@ -104,6 +104,16 @@ def test_versions_appends_and_writers(spark, tmp_path):
     assert len(folders()) == 2 and e.table("query_log").count() == 5 and e.insights().count() == 4
 
 
+def test_log_in_batches(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "home"), log_every=3)
+    e.init()
+    before = e._version()[0]
+    for i in range(7):
+        e.log_query("search", f"q{i}", [f"s{i}"])
+    assert e._version()[0] == before + 2 and e.hot_symbols().count() == 7 and e._version()[0] == before + 3
+    assert [r.query for r in e.table("query_log").orderBy("ts").collect()] == [f"q{i}" for i in range(7)]
+
+
 def test_search_reads_its_buckets_and_repeats_from_memory(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "SMALL", 0)  # as a large segment is laid out
     root = tmp_path / "src"
