@@ -6,7 +6,7 @@ it, explicitly, inside each file's group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import last_segment
@@ -36,9 +36,28 @@ def insights_of(docs: DataFrame) -> DataFrame:
     return _exploded(docs, "insights").select("file", "item.*", F.struct("ingest_seq", "pos").alias("place"))
 
 
-def _in_place(rows: DataFrame, name: str, fields: list[str]) -> DataFrame:
-    packed = F.sort_array(F.collect_list(F.struct(F.col("place"), F.struct(*fields).alias("v"))))
-    return rows.groupBy("file").agg(F.transform(packed, lambda x: x["v"]).alias(name))
+def _items(docs: DataFrame) -> DataFrame:
+    """file, kind, k1, k2, at, v: each version as rows of what it says; v has one field for each kind (d: the version itself), of which one is set."""
+    of = {c[0]: docs.schema[c].dataType.elementType for c in ("annotations", "unknowns", "insights", "odors")} | {"r": docs.schema["module_roles"].dataType.valueType}
+    whole = F.struct("file_hash", "ingested_at", "source", "module_summary", F.col("metrics.complexity").alias("complexity"), F.col("metrics.raw").alias("raw"))
+    shape = docs.select(whole.alias("d")).schema["d"].dataType
+    text, none = F.lit(None).cast("string"), F.lit(None)
+
+    def item(kind: str, value: Column, k1: Column = text, k2: Column = text, pos: Column | None = None) -> Column:
+        fields = [(value if k == kind else none.cast(t)).alias(k) for k, t in ({"d": shape} | of).items()]
+        return F.struct(F.lit(kind).alias("kind"), k1.alias("k1"), k2.alias("k2"), (F.lit(0) if pos is None else pos).alias("pos"), F.struct(*fields).alias("v"))
+
+    def each(name: str, make) -> Column:
+        return F.coalesce(F.transform(name, make), F.array().cast(f"array<{one.simpleString()}>"))
+
+    one = docs.select(item("d", whole).alias("x")).schema["x"].dataType
+    roles = F.coalesce(F.transform(F.map_entries("module_roles"), lambda e: item("r", e["value"], e["key"])), F.array().cast(f"array<{one.simpleString()}>"))
+    said = F.concat(
+        F.array(item("d", whole)), each("annotations", lambda x, i: item("a", x, x["symbol"], pos=i)), each("unknowns", lambda x, i: item("u", x, x["symbol"], x["question"], i)),
+        each("insights", lambda x, i: item("i", x, pos=i)), each("odors", lambda x, i: item("o", x, pos=i)), roles,
+    )
+    rows = docs.select("file", "ingest_seq", F.explode(said).alias("x"))
+    return rows.select("file", "x.kind", "x.k1", "x.k2", F.struct("ingest_seq", "x.pos").alias("at"), "x.v")
 
 
 def merge_documents(docs: DataFrame) -> DataFrame:
@@ -46,29 +65,29 @@ def merge_documents(docs: DataFrame) -> DataFrame:
 
     Summary: the last that is not empty. Annotations: by symbol, the last version at the first place. Unknowns: by
     symbol and question, the first. Insights and odors: all, in order. Metrics, roles: the last value of each key.
+    All come from one look at the versions: what is said is aggregated by its key, and then by file.
     """
-    last = lambda c, ok: F.max_by(F.when(ok, F.col(c)), F.when(ok, F.col("ingest_seq")))
-    base = docs.groupBy("file").agg(
-        F.max_by("file_hash", "ingest_seq").alias("file_hash"), F.max_by("ingested_at", "ingest_seq").alias("ingested_at"), F.max_by("source", "ingest_seq").alias("source"),
-        last("module_summary", F.coalesce(F.col("module_summary"), F.lit("")) != "").alias("module_summary"),
-        last("metrics.complexity", F.col("metrics.complexity").isNotNull()).alias("_complexity"), last("metrics.raw", F.col("metrics.raw").isNotNull()).alias("_raw"),
+    d = lambda c: F.col(f"v.d.{c}")
+    last = lambda c, ok: F.max_by(F.when(ok, d(c)), F.when(ok, F.col("at")))
+    keyed = _items(docs).groupBy("file", "kind", "k1", "k2").agg(
+        F.max_by("v", "at").alias("last"), F.min_by("v", "at").alias("first"), F.min("at").alias("place"), F.collect_list(F.when(F.col("kind").isin("i", "o"), F.struct("at", "v"))).alias("every"),
+        F.struct(
+            *[F.max_by(d(c), "at").alias(c) for c in ("file_hash", "ingested_at", "source")], last("module_summary", F.coalesce(d("module_summary"), F.lit("")) != "").alias("module_summary"),
+            last("complexity", d("complexity").isNotNull()).alias("complexity"), last("raw", d("raw").isNotNull()).alias("raw"),
+        ).alias("whole"),
+    )
+    kind = lambda k: F.col("kind") == k
+    one = lambda k, side: F.transform(F.sort_array(F.collect_list(F.when(kind(k), F.struct("place", F.col(f"{side}.{k}").alias("v"))))), lambda x: x["v"])
+    every = lambda k: F.transform(F.sort_array(F.flatten(F.collect_list(F.when(kind(k), F.transform("every", lambda x: F.struct(x["at"].alias("at"), x["v"][k].alias("v"))))))), lambda x: x["v"])
+    merged = keyed.groupBy("file").agg(
+        F.any_value(F.when(kind("d"), F.col("whole")), True).alias("d"), one("a", "last").alias("annotations"), one("u", "first").alias("unknowns"), every("i").alias("insights"), every("o").alias("odors"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(kind("r"), F.struct("k1", F.col("last.r").alias("v")))))).alias("module_roles"),
+    )
+    names = ("file_hash", "ingested_at", "source")
+    return merged.select(
+        "file", *[F.col(f"d.{c}").alias(c) for c in names], F.coalesce("d.module_summary", F.lit("")).alias("module_summary"), "annotations", "unknowns", "insights", "odors", "module_roles",
+        F.struct(F.col("d.complexity").alias("complexity"), F.col("d.raw").alias("raw")).alias("metrics"),
     )
-    odors = _exploded(docs, "odors").withColumn("place", F.struct("ingest_seq", "pos"))
-    roles = docs.select("file", "ingest_seq", F.explode("module_roles").alias("k", "v")).groupBy("file", "k").agg(F.max_by("v", "ingest_seq").alias("v"))
-    roles = roles.groupBy("file").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("module_roles"))
-    parts = [
-        _in_place(annotations_of(docs), "annotations", ["symbol", "kind", "summary", "design_intent", "pitfalls"]),
-        _in_place(unknowns_of(docs), "unknowns", ["symbol", "question", "context"]),
-        _in_place(insights_of(docs), "insights", ["insight", "related_symbols"]),
-        odors.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]).alias("odors")),
-        roles,
-    ]
-    for p in parts:
-        base = base.join(p, "file", "left")
-    out = base.withColumn("metrics", F.struct(F.col("_complexity").alias("complexity"), F.col("_raw").alias("raw"))).drop("_complexity", "_raw")
-    for c in ("annotations", "unknowns", "insights", "odors", "module_roles"):
-        out = out.withColumn(c, F.coalesce(c, F.array().cast(out.schema[c].dataType) if c != "module_roles" else F.create_map().cast("map<string,string>")))
-    return out.withColumn("module_summary", F.coalesce("module_summary", F.lit("")))
 
 
 def from_relations(annotations: DataFrame, unknowns: DataFrame, insights: DataFrame, modules: DataFrame) -> DataFrame:
