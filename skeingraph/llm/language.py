@@ -198,10 +198,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """docs without those that the model rejects; a null lang is filled with the prediction. Other columns stay as they are, whatever their names."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
-    found = with_language(rows, model).where("NOT rejected")
-    row = F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")) if "lang" in docs.columns else F.col("row")
-    return found.select(row.alias("row")).select("row.*")
+    prefix = "_lid_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    found = with_language(docs, model, prefix).where(f"NOT {prefix}rejected")
+    lang = {"lang": F.coalesce("lang", f"{prefix}lang_pred")} if "lang" in docs.columns else {}
+    return found.withColumns(lang).select(docs.columns)
 
 
 def held_out(column: str = "doc_id") -> F.Column:
