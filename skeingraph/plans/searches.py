@@ -116,10 +116,14 @@ def results_with_lines(spark, d):
     return lookup.with_start_lines(s.select("qualified_name", "kind"), s).select("qualified_name", "kind", "start_line")
 
 
+def _packed(vectors: pd.Series, many: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else np.asarray(v[:n], "<f4").tobytes() for v, n in zip(vectors, many, strict=True)])
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings WHERE vec_id % 7 <> 3")
 def stored_vectors(spark, d):
     """Vectors out of stored bytes; those of another length are left out."""
-    blob = F.pandas_udf(lambda v, n: pd.Series([None if x is None else np.asarray(x[:k], "<f4").tobytes() for x, k in zip(v, n, strict=True)]), "binary", F.PandasUDFType.SCALAR)
+    blob = F.pandas_udf(_packed, "binary")
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", blob("embedding", F.when(F.col("vec_id") % 7 == 3, 63).otherwise(64)).alias("blob"))
     vectors = rows.select("vec_id", search.decoded(F.col("blob"), 64).alias("v")).where("v IS NOT NULL")
     return vectors.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))

@@ -4,7 +4,7 @@ A segment holds all relations' rows of some files, and the paths that it takes o
 deleted). It is never changed. A reader takes the union of all segments less the rows that a newer one takes out: those of
 a replaced or deleted file, and the edges into a deleted one. When several of the newest segments have together come to the size of
 an older one, they are merged with it, so a file's rows are rewritten about log(files) times, and there are about as many segments.
-Small segments are one file a relation; large ones lie in folders by what is looked up.
+Files are sorted by what is looked up, so a reader skips pages; large segments lie in folders, which it skips as a whole.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from . import schemas
 from .operators import graph, search, stemmed
 from .operators.tables import materialized
 
-#: So many segments at least are merged; up to SMALL files a segment is one file a relation; up to HIDDEN paths are broadcast.
-FANOUT, SMALL, HIDDEN = 4, 2_000, 100_000
+#: So many segments at least are merged; a segment is one file a relation for SMALL files each, and over LARGE files it lies in folders; up to HIDDEN paths are broadcast.
+FANOUT, SMALL, LARGE, HIDDEN = 4, 2_000, 100_000, 100_000
 ADJACENT = "bucket INT, kind STRING, source STRING, target STRING, source_file STRING, target_file STRING"
 RELATIONS = {
     "files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES,
@@ -163,30 +163,32 @@ class Segments:
 
     # ------------------------------------------------------------ writing
 
-    def _store(self, name: str, rows: DataFrame, small: bool) -> str:
+    def _store(self, name: str, rows: DataFrame, files: int) -> str:
         at = f"{name}-{uuid.uuid4().hex}"
         fields = self.spark.createDataFrame([], self.relations[name]).schema
         out = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-        folders, order = LAYOUT.get(name, ([], []))
-        if small:
-            out = out.repartition(1).sortWithinPartitions(*folders, *order) if folders else out.repartition(1)
-        elif "bucket" in folders:  # a bucket's file is written by one task
+        folders, order = LAYOUT.get(name, ([], [OWN.get(name, "path")]))
+        large = files > LARGE
+        if "bucket" in folders and large:  # a bucket's file is written by one task
             out = out.repartition(*folders).sortWithinPartitions(*folders, *order)
-        (out.write.partitionBy(*folders) if folders and not small else out.write).parquet(f"{self.home}/{at}")
+        elif not large:
+            many = max(1, -(-files // SMALL))
+            out = (out.repartition(many, "bucket") if "bucket" in folders else out.coalesce(many) if many > 1 else out.repartition(1)).sortWithinPartitions(*folders, *order)
+        (out.write.partitionBy(*folders) if folders and large else out.write).parquet(f"{self.home}/{at}")
         return at
 
     def write(self, relations: dict[str, DataFrame], gone: DataFrame) -> Segment:
         """A segment of these files, symbols and edges, and of all that searches and walks read, which comes from the rows as they were written; gone: path, deleted."""
         gone = materialized(gone.groupBy("path").agg(F.max("deleted").alias("deleted")), "gone")
         files, out = relations["files"].count(), gone.count()
-        stored = self._store_all({**relations, **({"gone": gone} if out else {})} if files else {"gone": gone}, files <= SMALL)
+        stored = self._store_all({**relations, **({"gone": gone} if out else {})} if files else {"gone": gone}, files)
         if files and "postings" not in relations:
-            stored |= self._store_all(derived({n: self._read(n, stored[n]) for n in ("symbols", "edges")}), files <= SMALL)
+            stored |= self._store_all(derived({n: self._read(n, stored[n]) for n in ("symbols", "edges")}), files)
         return Segment(stored, files, out, len(self.migrations))
 
-    def _store_all(self, tables: dict[str, DataFrame], small: bool) -> dict[str, str]:
+    def _store_all(self, tables: dict[str, DataFrame], files: int) -> dict[str, str]:
         with ThreadPoolExecutor(len(tables)) as pool:  # relations are written side by side
-            return dict(zip(tables, pool.map(lambda item: self._store(*item, small), tables.items()), strict=True))
+            return dict(zip(tables, pool.map(lambda item: self._store(*item, files), tables.items()), strict=True))
 
     def merge(self, segments: list[Segment], newest: int) -> list[Segment]:
         """The log with its newest ones as one segment. What takes nothing out any more, as there is nothing older, goes."""

@@ -115,7 +115,7 @@ def test_log_in_batches(spark, tmp_path):
 
 
 def test_search_reads_its_buckets_and_repeats_from_memory(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(segments, "SMALL", 0)  # as a large segment is laid out
+    monkeypatch.setattr(segments, "LARGE", 0)  # as a large segment is laid out
     root = tmp_path / "src"
     root.mkdir()
     (root / "a.py").write_text("def load_file():\n    pass\n\n\ndef save_file():\n    pass\n")

@@ -24,9 +24,10 @@ def relations(spark, files: dict[str, int]):
     return {"files": spark.createDataFrame([(f, str(v)) for f, v in files.items()], "path string, file_hash string"), "symbols": spark.createDataFrame(s, SYMBOLS), "edges": spark.createDataFrame(e, EDGES)}, s, e
 
 
-@pytest.mark.parametrize("small", [0, 2000])
-def test_log_equals_a_rebuild(spark, tmp_path, monkeypatch, small):
+@pytest.mark.parametrize("small, large", [(2000, 0), (2000, 9999), (3, 9999)])
+def test_log_equals_a_rebuild(spark, tmp_path, monkeypatch, small, large):
     monkeypatch.setattr(segments, "SMALL", small)
+    monkeypatch.setattr(segments, "LARGE", large)
     rng, at = random.Random(4), segments.Segments(spark, str(tmp_path))
     log, state, symbols, edges = [], {}, [], []
     for step in range(9):
@@ -101,7 +102,7 @@ def test_a_changed_file_writes_its_own_rows(spark, tmp_path):
 
 
 def test_a_walk_reads_its_buckets_alone(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(segments, "SMALL", 0)
+    monkeypatch.setattr(segments, "LARGE", 0)
     at = segments.Segments(spark, str(tmp_path))
     new, *_ = relations(spark, {f"f{i}.py": i for i in range(40)})
     log = [at.write(new, spark.createDataFrame([], segments.GONE))]
