@@ -28,7 +28,7 @@ from .common import attach, drop_table, materialize, read, ship
 #: Pivots (a bounded sample); places that a vector is posted at; the place that counts as not shared; a list is read as far as its place and the query's make up REACH.
 PIVOTS, ORDER, LAST, REACH = 1024, 64, 96, 64
 #: Candidates that are reranked for a query among n vectors: FACTOR n^POWER, LEAST at least.
-FACTOR, POWER, LEAST = 5.0, 0.6, 64
+FACTOR, POWER, LEAST = 8.0, 0.6, 64
 #: Bytes of the distinct vectors in a block, and of the distinct queries that are broadcast at a time (131,072 and 65,536 at 64 components).
 BLOCK, PART = 1 << 26, 1 << 25
 EVERY, NEAREST = 20, 20
