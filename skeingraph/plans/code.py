@@ -37,7 +37,7 @@ class Base{n}(Root):
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    c = spark.read.parquet(f"{d}/customer.parquet")
+    c = project.dealt(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
     text = F.lit(MODULE)
     for mark, column in (("{k}", "c_custkey"), ("{n}", "c_nationkey"), ("{m}", "c_mktsegment")):
         text = F.replace(text, F.lit(mark), F.col(column).cast("string"))
@@ -265,7 +265,7 @@ def _languages(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     s = spark.read.parquet(f"{d}/supplier.parquet")
     modules = F.explode(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])).alias("name", "text")
     k, n = (F.col(c).cast("string") for c in ("s_suppkey", "s_nationkey"))
-    rows = s.select("s_suppkey", "s_nationkey", modules)
+    rows = project.dealt(s.select("s_suppkey", "s_nationkey", modules), "s_suppkey")
     text = F.replace(F.replace("text", F.lit("{k}"), k), F.lit("{n}"), n)
     sources = rows.select(F.concat(F.lit("s"), k, F.lit("/"), "name").alias("path"), F.encode(text, "utf-8").alias("content"))
     return project.relations(materialized(project.parse(sources), "parsed"), resolve=False)

@@ -133,6 +133,15 @@ def summary(text: str, language: str, name: str) -> str:
     return f"{language} source file: {name}" if best is None else found[best][:LONGEST_SUMMARY]
 
 
+#: So many files are parsed by one task.
+PER_TASK = 5_000
+
+
+def dealt(files: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a file each, dealt over tasks by their number: parsing takes long for few bytes, and splits go by bytes."""
+    return files.repartition(max(1, -(-files.count() // PER_TASK)), *keys)
+
+
 def parse(sources: DataFrame, registry: Registry | None = None) -> DataFrame:
     """PARSED rows of sources (path, content): one per file, whatever happens to it; errors are data."""
     registry = registry or builtin()

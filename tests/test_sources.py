@@ -110,3 +110,16 @@ def test_stored_tree_is_the_scanned_one(spark, tmp_path):
         found[name] = sorted(tuple(r) for r in e.files().select("path", "file_hash", "symbol_count").collect())
         assert {r.status: r.n for r in e.freshness(root).collect()} == {"unchanged": 2}
     assert found["local"] == found["address"] and len(found["local"]) == 2
+
+
+def test_files_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """One small split of many files is parsed by several tasks, and no file is lost or parsed twice."""
+    from skeingraph.plans import code
+
+    monkeypatch.setattr(project, "PER_TASK", 50)
+    rows = spark.range(200).selectExpr("id AS c_custkey", "CAST(id % 5 AS INT) AS c_nationkey", "'M' AS c_mktsegment")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    sources = code._sources(spark, str(tmp_path))
+    assert sources.rdd.getNumPartitions() == 4 and sources.where(F.spark_partition_id() == 0).count() < 100
+    assert sorted(r.path for r in project.parse(sources).where("fatal_error IS NULL").collect()) == sorted(f"m/c_{i}.py" for i in range(200))
+    assert project.dealt(rows.limit(0), "c_custkey").count() == 0
