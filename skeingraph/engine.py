@@ -388,11 +388,10 @@ class Engine:
         return documents.first_insights(documents.insights_of(self.table("documents")), limit)
 
     def coverage(self) -> DataFrame:
-        return documents.coverage(self.documents().withColumn("ingest_seq", F.lit(0).cast("long")), self.table("files"), self.table("symbols"))
+        return documents.coverage(self.table("documents"), self.table("files"), self.table("symbols"))
 
     def smells(self, file: str | None = None, severity: str | None = None) -> DataFrame:
-        rows = self.documents().select("file", F.explode("odors").alias("o")).select("file", "o.*")
-        return analytics.filter_smells(rows, file, severity)
+        return analytics.filter_smells(documents.odors_of(self.table("documents")), file, severity)
 
     def metrics(self, file: str | None = None) -> DataFrame:
         return documents.complexity_rows(self.documents(), file)

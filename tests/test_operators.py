@@ -343,3 +343,23 @@ def test_near_against_brute_force(spark):
         except ValueError:
             pass
     assert search.parse("NEAR(a)") == ([(["a"], False, None)], 0) and search.parse("NEAR()")[1] is None
+
+
+def test_versions_say_the_same_as_merged_documents(spark):
+    """Counts, odors, roles and metrics read from the versions are those of the merged documents, with nothing listed that is not asked for."""
+    a = lambda s: (s, "function", "t", "", "")
+    odor = ("long_method", "p", "info", None, 60, None, None, None, None)
+    rows = [
+        ("f", 1, "h1", "t1", "x", "first", [a("p"), a("q")], [("p", "why?", "c1")], [("i1", [])], ([("p", 1, 2, "A")], None), [odor], {"p": "model", "q": "service"}),
+        ("f", 2, "h2", "t2", "y", "", [a("r"), a("p")], [("p", "why?", "c2"), ("p", "how?", "c3")], [("i1", ["p"])], (None, (1, 2, 3, 4, 5, 6)), [odor, odor], {"p": "config"}),
+        ("g", 1, "h", "t", "x", None, None, None, None, None, None, None),
+    ]
+    docs = spark.createDataFrame(rows, DOC)
+    merged = documents.merge_documents(docs)
+    key = lambda df: sorted((tuple(sorted(r.asDict(True).items())) for r in df.collect()), key=str)
+    assert key(documents.summaries_of(docs)) == key(documents.summaries(merged))
+    assert key(documents.odors_of(docs)) == key(merged.select("file", F.explode("odors").alias("o")).select("file", "o.*"))
+    assert key(documents.roles_of(docs)) == key(merged.select("file", "metrics", "module_roles"))
+    assert key(documents.documented_files(docs)) == key(documents.documented_files(merged))
+    plan = documents.summaries_of(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
