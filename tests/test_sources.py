@@ -123,3 +123,12 @@ def test_files_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     assert sources.rdd.getNumPartitions() == 4 and sources.where(F.spark_partition_id() == 0).count() < 100
     assert sorted(r.path for r in project.parse(sources).where("fatal_error IS NULL").collect()) == sorted(f"m/c_{i}.py" for i in range(200))
     assert project.dealt(rows.limit(0), "c_custkey").count() == 0
+
+
+def test_conversations_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    from skeingraph.plans import records
+
+    monkeypatch.setattr(project, "PER_TASK", 50)
+    spark.range(200).selectExpr("id AS c_custkey", "CAST(id % 5 AS INT) AS c_nationkey", "'M' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    said = records._said(spark, str(tmp_path))
+    assert said.rdd.getNumPartitions() == 4 and sorted(r.id for r in said.collect()) == list(range(200))
