@@ -58,3 +58,13 @@ def test_numbers_of_many_rows(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.catalog.clearCache()
+
+
+def test_document_lines_hold_what_the_document_holds(spark):
+    """As many rows as nodes and calls, so no row grows with the files."""
+    symbols, edges = star.symbols(spark, SF), star.edges(spark, SF)
+    whole = json.loads(export.json_document(symbols, edges, 7).first().json)
+    lines = [json.loads(r.line) for r in export.document_lines(symbols, edges, 7).collect()]
+    key = lambda x: sorted(json.dumps(y, sort_keys=True) for y in x)
+    assert key(x["node"] for x in lines if "node" in x) == key(whole["nodes"]) and key(x["edge"] for x in lines if "edge" in x) == key(whole["edges"])
+    assert len(lines) == len(whole["nodes"]) + len(whole["edges"]) > 7
