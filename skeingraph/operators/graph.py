@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import kind_rank, last_segment, layer
 from .lookup import first_per_key, numbered
-from .tables import materialized
+from .tables import few, materialized
 
 UP, DOWN = "up", "down"
 
@@ -89,7 +89,7 @@ def first_level(edges: DataFrame | Adjacency, anchors: DataFrame, direction: str
         edges = edges.near(anchors, "anchor", direction)
     cols = ["source", "target"] + ([f"{side}_file"] if "file" in anchors.columns else [])
     e = edges.where("kind = 'calls'").select(*cols).withColumn("_name", F.col(side))
-    a = anchors.select("anchor", *(["file"] if "file" in anchors.columns else [])).distinct()
+    a = few(anchors.select("anchor", *(["file"] if "file" in anchors.columns else [])).distinct(), "anchors")
     exact = e.join(a, e["_name"] == a["anchor"])
     short = last_segment(F.col("anchor"))
     dotted = a.where(F.contains("anchor", F.lit("."))).withColumn("_short", F.lower(short))  # adaptive execution drops this branch if it is empty
@@ -104,20 +104,24 @@ def first_level(edges: DataFrame | Adjacency, anchors: DataFrame, direction: str
 def walk(edges: DataFrame | Adjacency, anchors: DataFrame, direction: str, depth: int = 1, suffix: bool = True) -> DataFrame:
     """anchor, source, target, depth: the walk from all anchors at once. depth below 1 counts as 1.
 
-    Over plain edges it is one lazy plan; over an Adjacency each level is kept, and the next reads the buckets it needs.
+    Each level is kept; the next reads the buckets it needs of an Adjacency, and of plain edges those at the level's names, which are not
+    shuffled while the names are few.
     """
     stored = isinstance(edges, Adjacency)
     level = first_level(edges, anchors, direction, suffix)
-    level = materialized(level, "walk") if stored and depth > 1 else level
+    level = materialized(level, "walk") if depth > 1 else level
     found = level.withColumn("depth", F.lit(1))
     pairs = None if stored else edge_pairs(edges)
     for d in range(2, depth + 1):
         at, to = ("source", "target") if direction == UP else ("target", "source")
         frontier = level.select("anchor", F.col(at).alias("_at")).distinct()
         if stored:
-            pairs = edges.near(frontier, "_at", direction).select("source", "target")
-        level = pairs.join(frontier, pairs[to] == frontier["_at"]).select("anchor", "source", "target").distinct()
-        if stored and d < depth or d % 6 == 0:
+            near = edges.near(frontier, "_at", direction).select("source", "target")
+        else:
+            names = few(frontier.select("_at").distinct(), "names")
+            near = pairs.join(names, pairs[to] == names["_at"], "left_semi")
+        level = near.join(frontier, near[to] == frontier["_at"]).select("anchor", "source", "target").distinct()
+        if d < depth:
             level = materialized(level, "walk")
         found = found.unionAll(level.withColumn("depth", F.lit(d)))
     return found
