@@ -196,15 +196,16 @@ def discovery(symbols: DataFrame, edges: DataFrame | Adjacency, root: str, depth
     total_available, truncated. Places are drawn level by level in range partitions; the driver sees counts alone.
     """
     spark = symbols.sparkSession
-    own = first_per_key(symbols, ["qualified_name"], [kind_rank(F.col("kind")), "id"])
-    if not isinstance(edges, Adjacency):
-        edges = materialized(edge_pairs(edges).distinct().withColumn("kind", F.lit("calls")), "pairs")
+    if not isinstance(edges, Adjacency):  # repeats included: what is found is made distinct
+        edges = materialized(edge_pairs(edges).withColumn("kind", F.lit("calls")), "pairs")
     met = "name string, direction string, place long, level int, known boolean"
     here = spark.createDataFrame([(root, "root", 1)], "name string, direction string, place long").withColumn("level", F.lit(0))
     levels, touched, waiting = [], [], spark.createDataFrame([], "symbol string, depth int, direction string, place long")
     opened = found = 0
     for d in range(depth + 1):
-        here = materialized(here.join(own.select(F.col("qualified_name").alias("name"), F.lit(True).alias("known")), "name", "left").withColumn("known", F.coalesce("known", F.lit(False))).select(*[c.split()[0] for c in met.split(", ")]), "met")
+        names = few(here.select(F.col("name").alias("qualified_name")), "names")
+        own = symbols.join(names, "qualified_name", "left_semi").select(F.col("qualified_name").alias("name"), F.lit(True).alias("known")).distinct()
+        here = materialized(here.join(own, "name", "left").withColumn("known", F.coalesce("known", F.lit(False))).select(*[c.split()[0] for c in met.split(", ")]), "met")
         here_known = here.where("known")
         n_known, n_all = here_known.count(), here.count()
         stop = None
@@ -238,6 +239,8 @@ def discovery(symbols: DataFrame, edges: DataFrame | Adjacency, root: str, depth
             break
         here = numbered(more, ["_parent", "_way", "name"]).select("name", "direction", (F.col("position") + opened).alias("place"), F.lit(d + 1).alias("level"))
     all_taken = reduce(DataFrame.unionAll, levels)
+    known = few(all_taken.where("known").select(F.col("name").alias("qualified_name")), "names")
+    own = first_per_key(symbols.join(known, "qualified_name", "left_semi").select(symbols.columns), ["qualified_name"], [kind_rank(F.col("kind")), "id"])
     nodes = all_taken.where("known").select("place", F.col("name").alias("qualified_name"), "level").join(own.drop("place", "level"), "qualified_name")
     nodes = nodes.select("place", "qualified_name", "level", *[c for c in own.columns if c not in ("qualified_name", "level", "place")])
     lines = reduce(DataFrame.unionAll, touched).distinct() if touched else spark.createDataFrame([], "source string, target string")

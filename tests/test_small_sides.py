@@ -37,3 +37,9 @@ def test_walks_do_not_shuffle_edges(spark_alone):
     found = graph.walk(edges, graph.one(spark_alone, "a3"), graph.DOWN, 3)
     assert sorted(r.source for r in found.collect()) == ["a3", "a4", "a5"]
     assert "BroadcastHashJoin [source" in plan(found)
+
+
+def test_discovery_looks_up_only_the_names_it_meets(spark_alone):
+    symbols = star.symbols(spark_alone, SF)
+    found = graph.discovery(symbols, star.edges(spark_alone, SF), "part_9", 2, 20)
+    assert "BroadcastHashJoin [qualified_name" in plan(found["nodes"]) and found["nodes"].count() == 20
