@@ -43,3 +43,14 @@ def test_discovery_looks_up_only_the_names_it_meets(spark_alone):
     symbols = star.symbols(spark_alone, SF)
     found = graph.discovery(symbols, star.edges(spark_alone, SF), "part_9", 2, 20)
     assert "BroadcastHashJoin [qualified_name" in plan(found["nodes"]) and found["nodes"].count() == 20
+
+
+def test_context_does_not_shuffle_by_file(spark_alone):
+    results = spark_alone.createDataFrame([("x", "f.py"), ("d.y", "f.py"), ("z", "g.py")], "qualified_name string, file_path string")
+    edges = spark_alone.createDataFrame([("x", "y", "calls"), ("x", "y", "calls"), ("x", "d.y", "calls"), ("z", "y", "calls")], "source string, target string, kind string")
+    docs = spark_alone.createDataFrame([("f.py", "about f")], "file string, module_summary string")
+    found = documents.context(results, edges, docs)
+    assert "hashpartitioning(file_path" not in plan(found)
+    assert sorted(map(tuple, found.select("qualified_name", "callers", "n_callers", "callees", "n_callees", "module_summary").collect()), key=lambda r: r[0]) == [
+        ("d.y", ["x", "z"], 2, [], 0, "about f"), ("x", [], 0, ["d.y", "y"], 2, "about f"), ("z", [], 0, ["y"], 1, None),
+    ]
