@@ -32,6 +32,30 @@ def test_few_rows_are_broadcast_and_many_are_not(spark_alone):
     assert "BroadcastHashJoin" not in plan(big.join(tables.few(side, "side", 4), "id"))
 
 
+def test_ordered_md5(spark):
+    rows = [(k, i, f"é{k}{i}" if i % 7 else "") for k in ("a", "b", "c") for i in range(3000)] + [("n", 1, None), ("c", 3000, None), ("e", 1, "")]
+    mixed = rows[:]
+    random.Random(1).shuffle(mixed)
+    found = tables.ordered_md5(spark.createDataFrame(mixed, "k string, i int, t string").repartition(7), ["k"], ["i"], "t")
+    want = {k: hashlib.md5(",".join(t for kk, _, t in rows if kk == k and t is not None).encode()).hexdigest() for k in "abce"}
+    assert {r.k: r.md5 for r in found.collect()} == want
+
+
+def test_merged_digests_are_those_of_merged_documents_without_their_lists(spark):
+    from skeingraph.plans import records
+
+    versions = records._versions(spark, SF)
+    said = lambda c, f: F.md5(F.array_join(F.transform(c, f), ",")).alias(c)
+    roles = F.transform(F.array_sort(F.map_entries("module_roles")), lambda e: F.concat(e["key"], e["value"]))
+    want = documents.merge_documents(versions).select(
+        "file", "ingested_at", "module_summary", said("annotations", lambda a: F.concat(a["symbol"], a["summary"])), said("unknowns", lambda u: F.concat(u["symbol"], u["question"], u["context"])),
+        said("insights", lambda i: F.concat(i["insight"], i["related_symbols"][0])), F.md5(F.array_join(roles, ",")).alias("roles"),
+    )
+    found = documents.merged_digests(versions)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "collect_list" not in plan(records.merged_documents(spark, SF))
+
+
 def test_walks_do_not_shuffle_edges(spark_alone):
     edges = spark_alone.createDataFrame([(f"a{i}", f"a{i + 1}", "calls") for i in range(50)], "source string, target string, kind string")
     found = graph.walk(edges, graph.one(spark_alone, "a3"), graph.DOWN, 3)
