@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stems as rules
 from ..operators import stemmed
-from ..operators.search import tokens
+from ..operators.search import Index, tokens
 from ..sources.star import oracle
 from . import stored
 from .registering import registrar
@@ -93,5 +93,5 @@ def plain_search(spark, d):
 @query(stored._final(_plain_sql(["bolt"], 40)))
 def stored_plain_search(spark, d):
     """Over stored postings and dictionary, the best forty."""
-    at, own = stored.log(spark, d)
-    return _plain(spark, d, stored._index(spark, d), at.live("stems", own), "bolted", 40)
+    docs, postings, stems = stored.live(spark, d, *stored.INDEX, "stems")
+    return _plain(spark, d, Index(docs, postings), stems, "bolted", 40)

@@ -204,3 +204,12 @@ def test_many_rows_of_few_files_are_dealt(spark, tmp_path, monkeypatch):
         assert few[0].files == 1 and at.live("edges", few).count() == 600
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_log_that_is_read_in_part_is_written_in_part(spark):
+    """What searches read comes from symbols, what walks read from edges: the other's rows are not written for it."""
+    from skeingraph.plans import stored
+
+    for forms, written in ((stored.INDEX, {"files", "symbols", "search_docs", "postings"}), (stored.NEAR, {"files", "edges", "edges_out", "edges_in", "degrees"})):
+        _, own = stored.log(spark, "/root/testdata/sf0.001", *forms)
+        assert set(own[0].folders) == written and set(own[1].folders) == {*written, "gone"} and set(own[2].folders) == {"gone"}
