@@ -78,3 +78,12 @@ def test_context_does_not_shuffle_by_file(spark_alone):
     assert sorted(map(tuple, found.select("qualified_name", "callers", "n_callers", "callees", "n_callees", "module_summary").collect()), key=lambda r: r[0]) == [
         ("d.y", ["x", "z"], 2, [], 0, "about f"), ("x", [], 0, ["d.y", "y"], 2, "about f"), ("z", [], 0, ["y"], 1, None),
     ]
+
+
+def test_lsif_attaches_files_without_a_shuffle(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(export, "few", lambda rows, label, most: kept.append(label) or tables.few(rows, label, most))
+    from skeingraph.plans import records
+
+    export.lsif(*records._placed(spark, SF)).count()
+    assert kept == ["files", "documents"]
