@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Text, U, grams, materialize, read, row_keys, ship, slices, text_of, word_hashes, words_of
+from .common import Text, U, grams, materialize, read, released, row_keys, ship, slices, text_of, word_hashes, words_of
 from .simhash import without
 
 SHINGLE, CONTAINMENT, FUNCTIONS, LEAST_BLOCK, LEAST_CLASS = 5, 0.8, 64, 32, 8
@@ -133,6 +133,7 @@ def blocks_of_items(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int
 def _search(docs: DataFrame, index: Index, least: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for b in slices(batches):

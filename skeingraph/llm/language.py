@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PIECE, materialize, read, ship, slices, small, text_of
+from .common import PIECE, materialize, read, released, ship, slices, small, text_of
 
 UNKNOWN = "und"
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
@@ -175,6 +175,7 @@ def with_language(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     kept = [c for c in docs.columns if c not in added]
     d = docs.select(*kept).withColumn("text", F.col("text").cast("string"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         names = np.array([*m.langs, UNKNOWN], dtype=object)

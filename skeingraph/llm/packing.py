@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship, slices
+from .common import read, released, ship, slices
 from .tokens import default_vocabulary, encoder
 
 END_ID = 1
@@ -114,6 +114,7 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> list:
 
 
 def packer(path: str, tiers: tuple[int, ...], step_tokens: int, chunk_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         own = TaskContext.get().partitionId() << 40

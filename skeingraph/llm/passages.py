@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INV, BROADCAST_IDS, LETTER, SEPARATOR, WBASE, WBASE_INV, Text, U, attach, joined, materialize, prefix_sums, row_keys, ship, slices, sliding_min, small, span_hash, word_hashes, words_of
+from .common import BASE, BASE_INV, BROADCAST_IDS, LETTER, SEPARATOR, WBASE, WBASE_INV, Text, U, attach, joined, materialize, prefix_sums, released, row_keys, ship, slices, sliding_min, small, span_hash, word_hashes, words_of
 
 #: A row without an id comes after all others.
 NO_ID = 2**63 - 1
@@ -101,6 +101,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def anchors(rows: DataFrame, units: Units) -> DataFrame:
     """k1, k2, id, anchor, n: how many runs of windows each row has for each anchor."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=units.piece):
             for row, _, text in units.segments(b.column("text")):
@@ -125,6 +126,7 @@ def passages(rows: DataFrame, repeats: Column, units: Units, few: int = BROADCAS
     mine = attach(all_.select(*KEY, "anchor"), again, ["anchor"], "m", all_.count())
     held = materialize(mine.groupBy(*KEY).agg(F.collect_set("anchor").alias("anchors")), "held")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -192,6 +194,7 @@ def shards(batches: Iterator[pa.RecordBatch], limit: int, columns: tuple[str, ..
 def windows_of(passages_: DataFrame, cut: Callable[[bytes], list[bytes]], extra: str, kind: str) -> DataFrame:
     """digest, i, print (128 bits), and extra's i-th element (or its one value) of every window of passages."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 

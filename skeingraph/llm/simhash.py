@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, LOWER_ASCII, PIECE, attach, materialize, read, row_keys, ship, small
+from .common import BROADCAST_IDS, LOWER_ASCII, PIECE, attach, materialize, read, released, row_keys, ship, small
 from .components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """k1, k2 (the row's key), doc_id, fp (the fingerprint's bits as a signed long) for every row; a null text has no words."""
     ship(docs.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
@@ -88,6 +89,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def postings(fps: DataFrame) -> DataFrame:
     """key int, fp long: every segment of every fingerprint with each one of its bits left out."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1 << 14):
@@ -185,6 +187,7 @@ def second_level(f: np.ndarray, low: int, width: int, most: int) -> tuple[np.nda
 def links(distinct_fps: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """a, b: verified links between different fingerprints, enough to join whatever all of them would."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             a, b = run_links(key, fp, most) if len(key) else (fp, fp)

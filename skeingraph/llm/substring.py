@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, attach, materialize, read
+from .common import BROADCAST_IDS, attach, materialize, read, released
 from .passages import KEY, Units, distinct_passages, in_shards, keyed, outcomes_by_row, passages, shards, windows_of
 
 WINDOW = 50
@@ -118,6 +118,7 @@ def resolve(distinct: DataFrame, window: int, keep: bool = False) -> DataFrame:
     """digest, least (array), m, and with keep the content; distinct: see distinct_passages. Right within each group."""
     schema = "digest binary, least array<long>, m long" + (", content binary" if keep else "")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for contents, digests, ids, m in shards(batches, SHARD, ("content", "digest", "id", "m")):
             order = sorted(range(len(ids)), key=lambda i: (ids[i], digests[i]))  # over all groups: a shard may hold several parts of one anchor
@@ -190,6 +191,7 @@ def substring_digest(docs: DataFrame, group: int = GROUP, few: int = BROADCAST_I
     other. An empty table gives no rows.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, kept in _kept(batches):
             n = np.array([(len(w), len(w) - len(k)) for w, k in kept], np.int64).reshape(-1, 2)
@@ -208,6 +210,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, kept in _kept(batches):
             cut = [None if len(w) == len(k) else b" ".join(k).decode() for w, k in kept]

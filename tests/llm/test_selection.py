@@ -243,3 +243,16 @@ def test_exponion_looks_at_few_and_misses_none():
             state = clustering.assign(x, *state, c)
             clustering.two_nearest = plain
         assert sum(looked) < 0.7 * 8 * len(x) * 25
+
+
+def test_a_task_gives_its_memory_back(monkeypatch):
+    from skeingraph.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    run = common.released(lambda batches: (2 * b for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 4] and given == [1]
+    half = run(iter([1, 2]))
+    next(half)
+    half.close()  # a task that is stopped
+    assert given == [1, 1]
