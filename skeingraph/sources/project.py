@@ -9,6 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,17 @@ PARSED = (
     "shapes ARRAY<STRUCT<symbol: STRING, node: STRING, methods: INT, lines: INT, parameters: INT, nesting: INT, complexity: INT, line: INT>>, "
     "raw STRUCT<loc: INT, lloc: INT, sloc: INT, comments: INT, multi: INT, blank: INT>"
 )
+_TEXTS, _NUMBERS = (lambda names, t=t: [(n, t) for n in names.split()] for t in (pa.string(), pa.int32()))
+_PLACE = _NUMBERS("start_line start_col end_line end_col")
+_LISTS = {
+    "symbols": _TEXTS("name kind parent_symbol signature") + _PLACE + [("is_partial", pa.bool_())], "edges": _TEXTS("source target kind") + _PLACE,
+    "shapes": _TEXTS("symbol node") + _NUMBERS("methods lines parameters nesting complexity line"),
+}
+#: PARSED for Arrow.
+_PARSED = pa.schema([
+    *_TEXTS("path language content_hash fatal_error"), ("errors", pa.list_(pa.string())), ("summary", pa.string()),
+    *[(n, pa.list_(pa.struct(fields))) for n, fields in _LISTS.items()], ("raw", pa.struct(_NUMBERS("loc lloc sloc comments multi blank"))),
+])
 
 
 def ignore_patterns(text: str) -> list[str]:
@@ -146,11 +158,11 @@ def parse(sources: DataFrame, registry: Registry | None = None) -> DataFrame:
     """PARSED rows of sources (path, content): one per file, whatever happens to it; errors are data."""
     registry = registry or builtin()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zero = dict.fromkeys(("loc", "lloc", "sloc", "comments", "multi", "blank"), 0)
-        for f in frames:
+        for b in batches:
             rows = []
-            for path, content in zip(f["path"], f["content"], strict=True):
+            for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
                 row = {"path": path, "language": None, "content_hash": None, "fatal_error": None, "errors": [], "summary": None, "symbols": [], "edges": [], "shapes": [], "raw": zero}
                 try:
                     row["language"] = registry.detect(path)
@@ -167,9 +179,9 @@ def parse(sources: DataFrame, registry: Registry | None = None) -> DataFrame:
                 except Exception as e:  # a plug-in may fail in any way; the file's row says so
                     row["fatal_error"] = f"{type(e).__name__}: {e}"
                 rows.append(row)
-            yield pd.DataFrame(rows)
+            yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)  # by way of pandas, nested columns take as long as parsing
 
-    return sources.select("path", "content").mapInPandas(run, PARSED)
+    return sources.select("path", "content").mapInArrow(run, PARSED)
 
 
 def relations(parsed: DataFrame, resolve: bool = True) -> dict[str, DataFrame]:
