@@ -101,10 +101,11 @@ def with_start_lines(results: DataFrame, symbols: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, order: list, name: str = "position") -> DataFrame:
     """A running number from 1 over the whole order; counts per range partition first, so no single task sorts everything.
 
-    The partitions are drawn once and kept: drawn again, their bounds may differ.
+    The partitions are drawn once and kept, each sorted, with every row's partition and place in one number: drawn again, their bounds may differ.
     """
-    ranged = materialized(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
-    within = Window.partitionBy("_p").orderBy(*order)
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(before), "_p").withColumn(name, F.row_number().over(within) + F.col("_before")).drop("_p", "_before")
+    ranged = materialized(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("_at", 33).alias("_p")
+    before = ranged.groupBy(part).agg(F.count("*").alias("_n"))
+    before = before.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = ranged.join(F.broadcast(before), F.shiftright("_at", 33) == F.col("_p"))
+    return placed.withColumn(name, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).drop("_at", "_p", "_before")

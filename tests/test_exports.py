@@ -68,3 +68,15 @@ def test_document_lines_hold_what_the_document_holds(spark):
     key = lambda x: sorted(json.dumps(y, sort_keys=True) for y in x)
     assert key(x["node"] for x in lines if "node" in x) == key(whole["nodes"]) and key(x["edge"] for x in lines if "edge" in x) == key(whole["edges"])
     assert len(lines) == len(whole["nodes"]) + len(whole["edges"]) > 7
+
+
+def test_lsif_numbers_what_has_lines_and_looks_no_line_up(spark, monkeypatch):
+    """Ids are sums over numbered documents, symbols, calls and names: no line is numbered or found by a key. Two symbols of one id have lines of their own."""
+    counted, real = [], lookup.numbered
+    monkeypatch.setattr(export, "numbered", lambda rows, *a: counted.append(rows.count()) or real(rows, *a))
+    files, symbols, edges = records._placed(spark, SF)
+    again = symbols.where("id = 1000").unionAll(symbols.where("id <= 1000"))
+    lines = [json.loads(r.json) for r in export.lsif(files, again, edges).collect()]
+    assert [x["id"] for x in lines] == list(range(1, len(lines) + 1))
+    assert sum(x["label"] == "hoverResult" for x in lines) == again.count()
+    assert max(counted) == edges.where("kind = 'calls'").select("source", "target", "source_file", "source_start_line").distinct().join(files.select("path"), edges["source_file"] == files["path"], "left_semi").count()
