@@ -80,3 +80,16 @@ def test_lsif_numbers_what_has_lines_and_looks_no_line_up(spark, monkeypatch):
     assert [x["id"] for x in lines] == list(range(1, len(lines) + 1))
     assert sum(x["label"] == "hoverResult" for x in lines) == again.count()
     assert max(counted) == edges.where("kind = 'calls'").select("source", "target", "source_file", "source_start_line").distinct().join(files.select("path"), edges["source_file"] == files["path"], "left_semi").count()
+
+
+def test_json_document_reads_its_whole_table(spark):
+    """Every symbol of every file, and every call into one; there are more files than the fifty of a report in one row."""
+    symbols = star.symbols(spark, SF).collect()
+    many = [(f"src/f{n:02}.py", f"s{n}") for n in range(60)]
+    names = {s.qualified_name for s in symbols}
+    rows = records.json_document(spark, SF).collect()
+    assert sorted(r.a for r in rows if r.d is not None) == sorted(s.qualified_name for s in symbols)
+    assert sorted((r.a, r.b) for r in rows if r.d is None) == sorted((e.source, e.target) for e in star.edges(spark, SF).collect() if e.kind == "calls" and e.target in names)
+    nodes = spark.createDataFrame([(p, q, q, "function", 1) for p, q in many], "file_path string, qualified_name string, name string, kind string, start_line int")
+    edges = spark.createDataFrame([(q, many[-1][1], "calls") for _, q in many], "source string, target string, kind string")
+    assert export.document_lines(nodes, edges).count() == 120
