@@ -166,14 +166,15 @@ class Engine:
             self.save_documents(project.analysis_documents(rel, parsed))
         return status if drop_deleted else status.where("status <> 'deleted'")
 
-    def _extend(self, new: dict[str, DataFrame], gone: DataFrame) -> None:
+    def _extend(self, new: dict[str, DataFrame], gone: DataFrame, forms: tuple[str, ...] | None = None) -> None:
+        """forms: the relations that will be read of the log, where it is not all."""
         seen, now = self._version()
-        added = self.log.write(new, gone)
+        added = self.log.write(new, gone, forms)
         if added.files + added.gone == 0:
             return
         self._commit(seen, now | {"segments": now.get("segments", []) + segments.as_log([added])})
         seen, now = self._version()
-        settled = self.log.settled(before := segments.from_log(now["segments"]))
+        settled = self.log.settled(before := segments.from_log(now["segments"]), forms)
         if settled != before:
             self._commit(seen, now | {"segments": segments.as_log(settled)})
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from skeingraph import segments
 from skeingraph.operators import stemmed
-from skeingraph.plans import plain, stored
+from skeingraph.plans import feeds, plain, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +68,13 @@ def test_targets_are_looked_up_without_a_sort(spark, monkeypatch, capsys):
     said = capsys.readouterr().out
     assert "ShuffledHashJoin [target" in said and "SortMergeJoin" not in said
     assert kept["edges"].where("target_file IS NOT NULL").count() > 0
+
+
+def test_a_feed_stores_what_it_compares(spark, alone, monkeypatch):
+    """Files and symbols of each version; symbols are not shuffled by their file."""
+    seen, real = [], segments.Segments.changes
+    monkeypatch.setattr(segments.Segments, "changes", lambda self, before, after: seen.append((after, out := real(self, before, after))) or out)
+    assert feeds.QUERIES["change_feed"](spark, SF).count() > 0
+    assert len(seen) == 4 and {n for after, _ in seen for s in after for n in s.folders} == {"files", "symbols", "gone"}
+    plan = seen[1][1]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file_path#" in plan and not re.search(r"hashpartitioning\(file_path#\d+, \d+\)", plan)
