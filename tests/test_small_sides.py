@@ -87,3 +87,25 @@ def test_lsif_attaches_files_without_a_shuffle(spark, monkeypatch):
 
     export.lsif(*records._placed(spark, SF)).count()
     assert kept == ["files", "documents"]
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_context_of_many_results_is_that_of_few(spark, monkeypatch, most):
+    """Dotted and bare names that share callers, repeated and null ends, results of one name, a name that everything calls: as by sets, and no edge is joined to a result."""
+    rng = random.Random(5)
+    names = [f"n{i}" for i in range(12)] + [f"c{i % 3}.n{i}" for i in range(12)] + ["d.c1.n1", "x."]
+    edges = [(rng.choice(names), rng.choice(names[4:]), "calls" if rng.random() < 0.9 else "imports") for _ in range(400)]
+    edges += [(f"m{i:05}", "n1", "calls") for i in range(25_000)] + [(None, "n2", "calls"), ("n2", None, "calls")]
+    results = [(i, q, "f.py") for i, q in enumerate([*names, *names[:5], "nobody", None])]
+    rows = spark.createDataFrame(results, "id int, qualified_name string, file_path string")
+    calls = spark.createDataFrame(edges, "source string, target string, kind string").repartition(5)
+    docs = spark.createDataFrame([("f.py", "about f")], "file string, module_summary string")
+    monkeypatch.setattr(documents, "ASKED", 5)
+    found = documents.context(rows, calls, docs, most)
+    want = {}
+    for i, q, _ in results:
+        mine = {q, (q or "").rsplit(".", 1)[-1]}
+        up, down = ({e[a] for e in edges if e[2] == "calls" and e[b] in mine and None not in e[:2]} if q is not None else set() for a, b in ((0, 1), (1, 0)))
+        want[i] = (sorted(up)[:most], len(up), sorted(down)[:most], len(down), "about f")
+    assert {r[0]: tuple(r)[1:] for r in found.select("id", "callers", "n_callers", "callees", "n_callees", "module_summary").collect()} == want
+    assert "WindowGroupLimit" not in plan(found) and "rangepartitioning(name" in plan(found)
