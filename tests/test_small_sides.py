@@ -108,4 +108,6 @@ def test_context_of_many_results_is_that_of_few(spark, monkeypatch, most):
         up, down = ({e[a] for e in edges if e[2] == "calls" and e[b] in mine and None not in e[:2]} if q is not None else set() for a, b in ((0, 1), (1, 0)))
         want[i] = (sorted(up)[:most], len(up), sorted(down)[:most], len(down), "about f")
     assert {r[0]: tuple(r)[1:] for r in found.select("id", "callers", "n_callers", "callees", "n_callees", "module_summary").collect()} == want
+    few = documents.context(rows.where("qualified_name = 'n2'"), calls, docs, most).collect()  # joined to the edges: the same, null ends included
+    assert {r.id: (r.callers, r.n_callers, r.callees, r.n_callees, r.module_summary) for r in few} == {i: want[i] for i, q, _ in results if q == "n2"}
     assert "WindowGroupLimit" not in plan(found) and "rangepartitioning(name" in plan(found)
